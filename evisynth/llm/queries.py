@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .near_dups import op9_super_minhash
+from .packing import op10_pattern_packing
 from .token_counts import op3_token_counts
 from .token_files import op7_token_files
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op7_token_files": op7_token_files,
+    "op9_super_minhash": op9_super_minhash,
+    "op10_pattern_packing": op10_pattern_packing,
 }
 SQL: dict[str, str] = {}
