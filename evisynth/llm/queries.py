@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from .fingerprints import op1_winnowing
 from .near_dups import op9_super_minhash
 from .packing import op10_pattern_packing
+from .quality import OP6_SQL, op6_quality_cascade
 from .token_counts import op3_token_counts
 from .token_files import op7_token_files
+from .warc import OP5_SQL, op5_warc_normaliser
 
 QUERIES = {
+    "op1_winnowing": op1_winnowing,
     "op3_token_counts": op3_token_counts,
+    "op5_warc_normaliser": op5_warc_normaliser,
+    "op6_quality_cascade": op6_quality_cascade,
     "op7_token_files": op7_token_files,
     "op9_super_minhash": op9_super_minhash,
     "op10_pattern_packing": op10_pattern_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_warc_normaliser": OP5_SQL, "op6_quality_cascade": OP6_SQL}
