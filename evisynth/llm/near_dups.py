@@ -254,5 +254,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, id_col: str
     return found.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the least doc_id; rows without text or words all stay.
+
+    Rows without a doc_id take part under a negative number made from their text. Columns stay as they are."""
+    stand_in = F.coalesce(F.col("doc_id").cast("bigint"), -F.abs(F.shiftright(F.xxhash64("text"), 1)) - 1)
+    rows = docs.withColumn("_id", stand_in)
+    kept = near_duplicates(rows.select("_id", "text"), percent, k, "_id").where("kept").select("_id", "n_shingles").distinct()
+    rows = rows.join(kept, "_id")
+    some, none = rows.where("n_shingles > 0").dropDuplicates(["_id"]), rows.where("n_shingles = 0")
+    return some.unionByName(none).select(*docs.columns)
+
+
 def op9_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

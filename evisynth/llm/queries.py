@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from .fingerprints import op1_winnowing
+from .mixing import op2_sainte_lague
 from .near_dups import op9_super_minhash
 from .packing import op10_pattern_packing
 from .quality import OP6_SQL, op6_quality_cascade
+from .secrets import op8_trigram_secrets
 from .token_counts import op3_token_counts
 from .token_files import op7_token_files
 from .warc import OP5_SQL, op5_warc_normaliser
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op2_sainte_lague": op2_sainte_lague,
     "op3_token_counts": op3_token_counts,
     "op5_warc_normaliser": op5_warc_normaliser,
     "op6_quality_cascade": op6_quality_cascade,
     "op7_token_files": op7_token_files,
+    "op8_trigram_secrets": op8_trigram_secrets,
     "op9_super_minhash": op9_super_minhash,
     "op10_pattern_packing": op10_pattern_packing,
 }
