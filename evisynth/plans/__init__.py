@@ -1,5 +1,5 @@
 """Registered queries, by subject."""
 
-from . import screening
+from . import screening, statistics
 
-REGISTRIES = [screening.R]
+REGISTRIES = [screening.R, statistics.R]
