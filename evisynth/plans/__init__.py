@@ -1,5 +1,5 @@
 """Registered queries, by subject."""
 
-from . import screening, statistics
+from . import corpus, evidence, screening, statistics
 
-REGISTRIES = [screening.R, statistics.R]
+REGISTRIES = [screening.R, statistics.R, corpus.R, evidence.R]
