@@ -7,6 +7,7 @@ from .mixing import op2_sainte_lague
 from .near_dups import op9_super_minhash
 from .packing import op10_pattern_packing
 from .quality import OP6_SQL, op6_quality_cascade
+from .repeats import op4_sentence_spans
 from .secrets import op8_trigram_secrets
 from .token_counts import op3_token_counts
 from .token_files import op7_token_files
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_sainte_lague": op2_sainte_lague,
     "op3_token_counts": op3_token_counts,
+    "op4_sentence_spans": op4_sentence_spans,
     "op5_warc_normaliser": op5_warc_normaliser,
     "op6_quality_cascade": op6_quality_cascade,
     "op7_token_files": op7_token_files,
