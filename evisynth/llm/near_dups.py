@@ -7,7 +7,8 @@ estimate varies less than that of independent hashes.
 
 BANDS bands of ROWS slots each become bucket keys. Equal word sequences are one class before anything is compared.
 Within a bucket, pairs are taken between members of different components only, first of a hub with the others, then, in
-buckets that verified links have not made one component, of all that are left; so copies never become all pairs.
+buckets that verified links have not made one component, of all that are left; so copies never become all pairs. The
+large joins are sort-merge joins at every size, so that a plan which fits on a sample is the plan that runs on it all.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int = 5) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full shingle sets have 100 * intersection >= percent * union."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, None
@@ -236,8 +237,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, id_col: str
     classes = written(sketched.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = written(rows.join(hubs, "bucket").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    known = written(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h"), "near-texts")
+    pairs = written(rows.join(hubs.hint("merge"), "bucket").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    known = written(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge"), "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h"), "near-texts")
     first = written(verified(pairs, known, percent, k), "links")
     labels = components(first)
     # documents that share a bucket share its hub's group
