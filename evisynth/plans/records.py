@@ -212,9 +212,9 @@ def _(spark, d):
 
 @R.query("f18_partial_ratio")
 def _(spark, d):
-    """The best-placed Indel ratio of a quote in its text; the first 400 characters stand for a passage."""
-    p = papers(spark, d).where("length(abstract) > 60").select("ord", F.regexp_replace(F.substring("abstract", 11, 40), "e", "").alias("quote"), F.substring("abstract", 1, 400).alias("passage"))
-    return p.select("ord", F.round(C.partial_ratio("quote", "passage"), 4).alias("ratio"), F.round(C.token_sort_ratio("quote", "passage"), 4).alias("sorted_ratio"))
+    """The best-placed Indel ratio of a damaged quote in its title, and that of sorted words."""
+    p = papers(spark, d).where("length(title) > 20").select("ord", F.regexp_replace(F.substring("title", 5, 40), "e", "").alias("quote"), "title")
+    return p.select("ord", F.round(C.partial_ratio("quote", "title"), 4).alias("ratio"), F.round(C.token_sort_ratio("quote", "title"), 4).alias("sorted_ratio"))
 
 
 @R.query("f21_quote_validity", f"WITH {PAPERS} SELECT ord, contains(abstract, substr(title, 1, 20)) AS valid FROM papers WHERE title <> ''")

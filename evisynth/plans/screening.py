@@ -120,10 +120,10 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.year(F.col("o_orderdate").cast("date").cast("string")).alias("year"))
 
 
-@R.query("p06_inverted_index_text", "SELECT doc_id, md5(array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), 1, 50), ' ')) AS abstract FROM documents WHERE regexp_matches(text, '\\S')")
+@R.query("p06_inverted_index_text", "SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' ')) AS abstract FROM documents WHERE regexp_matches(text, '\\S')")
 def _(spark, d):
     """Word positions as an inverted index of each record, then the text again, by position."""
-    w = table(spark, d, "documents").select("doc_id", F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 50).alias("w"))
+    w = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w"))
     index = w.select("doc_id", F.posexplode("w").alias("pos", "word")).groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
     back = index.select("doc_id", "word", F.explode("positions").alias("pos")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("x"))
     return back.select("doc_id", F.md5(F.array_join(F.transform("x", lambda s: s["word"]), " ")).alias("abstract"))
@@ -214,7 +214,7 @@ def _(spark, d):
 _TERMS = f"list_filter(regexp_extract_all(lower(t), '[a-z0-9][a-z0-9_/-]+'), lambda x: length(x) >= 3 AND NOT list_contains({T.STOP_WORDS!r}, x))"
 
 
-@R.query("e06_tfidf_similarity", f"""WITH raw AS (SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id, split_part(text, chr(10), 1) AS t FROM documents UNION ALL SELECT 'q', CAST(item_id AS VARCHAR), text FROM benchmark),
+@R.query("e06_tfidf_similarity", f"""WITH raw AS (SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id, text AS t FROM documents UNION ALL SELECT 'q', CAST(item_id AS VARCHAR), text FROM benchmark),
 tok AS (SELECT side, id, {_TERMS} AS w FROM raw),
 terms AS (SELECT side, id, unnest(w) AS term FROM tok UNION ALL SELECT side, id, w[i] || ' ' || w[i + 1] FROM (SELECT side, id, w, unnest(range(1, len(w))) AS i FROM tok)),
 c AS (SELECT side, id, term, count(*) AS n FROM terms GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY term),
@@ -223,7 +223,7 @@ norm AS (SELECT side, id, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
 dot AS (SELECT a.id AS doc, b.id AS query, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.term = b.term AND a.side = 'd' AND b.side = 'q' GROUP BY ALL)
 SELECT doc, query, round(least(1.0, dot / (x.norm * y.norm)), 6) AS tfidf FROM dot JOIN norm x ON x.side = 'd' AND x.id = doc JOIN norm y ON y.side = 'q' AND y.id = query""")
 def _(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text")
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     return S.tfidf_similarity(docs, queries).withColumn("tfidf", F.round("tfidf", 6))
 
