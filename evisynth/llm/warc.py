@@ -23,7 +23,7 @@ LEAST, FILE_BYTES, SALTS = 100, 64 << 20, 16
 #: Fixed values of the format.
 VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-WHEN, LEVEL = "2024-01-01T00:00:00Z", 3
+WHEN, LEVEL = "2024-01-01T00:00:00Z", 6
 
 
 def record(payload: bytes, page_id: int | None, url: str | None, digest: str, refers_to: int | None) -> bytes:
@@ -104,17 +104,19 @@ def normalise(uri: str, out_uri: str, index_uri: str) -> int:
     return len(lines)
 
 
-def with_first(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages (page_id, url, html) with n, digest and refers_to: the least page_id of equal payloads of at least `least` bytes, null for itself."""
+def with_first(pages: DataFrame, n_files: int, least: int = LEAST) -> DataFrame:
+    """pages (page_id, url, html) with digest and refers_to: the least page_id of equal payloads of at least `least` bytes, null for itself.
+
+    Dealt out to n_files partitions by page and digest, which is the only time that payloads are shuffled."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("digest"))
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key")
+    rows = pages.select("page_id", key, F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("digest"))
     equal = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
     salted = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     later = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
-    later = later.where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first")
-    all_pages = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest")).alias("p")
-    same = F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.digest") == F.col("r.digest"))
-    return all_pages.join(later.alias("r"), same, "left").select("p.page_id", "p.url", "p.html", "p.digest", F.col("r.first").alias("refers_to"))
+    later = later.where(~F.col("page_id").eqNullSafe(F.col("first"))).select("key", "digest", F.col("first").alias("refers_to"))
+    all_pages = pages.select("page_id", "url", "html", key, F.sha2(payload, 256).alias("digest"))
+    return all_pages.repartition(n_files, "key", "digest").join(later.repartition(n_files, "key", "digest"), ["key", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -147,7 +149,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([uri]), pa.array([n], pa.int64())], ["file", "path", "n_records"])
 
     chosen = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    rows = with_first(chosen).repartition(n_files, "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
+    rows = with_first(chosen, n_files).sortWithinPartitions("page_id", "digest", "url")
     return written(rows.mapInArrow(write, "file bigint, path string, n_records bigint"), "archives")
 
 
