@@ -115,18 +115,18 @@ def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int
     shares = mixed(docs, cycle, most, seed)
     number = F.row_number().over(Window.partitionBy("line").orderBy("mixed_source", "taken"))
     shares = shares.where("taken > 0").withColumn("twin", number).select("line", "twin", "passes", "run_start", "run_words", "size")
-    line = F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"), F.xxhash64("text"))
-    rows = docs.withColumn("line", line).withColumn("twin", F.row_number().over(Window.partitionBy("line").orderBy("source")))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))  # so that no name of docs clashes
+    line = F.xxhash64(F.lit(seed), F.col("doc.doc_id").cast("bigint"), F.xxhash64("doc.text"))
+    rows = rows.withColumn("line", line).withColumn("twin", F.row_number().over(Window.partitionBy("line").orderBy("doc.source")))
     rows = rows.join(shares, ["line", "twin"])
     whole = F.array_repeat(F.lit(True), (F.col("passes") + (F.col("run_words") == F.col("size")).cast("int")).cast("int"))
     part = F.when((F.col("run_words") > 0) & (F.col("run_words") < F.col("size")), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>"))
     rows = rows.withColumn("whole", F.explode(F.concat(whole, part)))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0))
     run = let(words, lambda w: F.array_join(F.slice(F.concat(w, w), (F.col("run_start") + 1).cast("int"), F.col("run_words").cast("int")), " "))
-    rows = rows.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(run))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("whole"), F.col("n_chars")).otherwise(F.char_length("text")).cast("bigint"))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("run", F.when(~F.col("whole"), run))
+    fresh = {"text": F.coalesce("run", "doc.text"), "n_chars": F.coalesce(F.char_length("run").cast("bigint"), "doc.n_chars") if "n_chars" in docs.columns else None}
+    return rows.select(*(fresh.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns))
 
 
 def op2_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,11 +260,11 @@ def one_of_each(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
 
     Rows without a doc_id take part under a negative number made from their text. Columns stay as they are."""
     stand_in = F.coalesce(F.col("doc_id").cast("bigint"), -F.abs(F.shiftright(F.xxhash64("text"), 1)) - 1)
-    rows = docs.withColumn("_id", stand_in)
-    kept = near_duplicates(rows.select("_id", "text"), percent, k, "_id").where("kept").select("_id", "n_shingles").distinct()
-    rows = rows.join(kept, "_id")
-    some, none = rows.where("n_shingles > 0").dropDuplicates(["_id"]), rows.where("n_shingles = 0")
-    return some.unionByName(none).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), stand_in.alias("id"), F.col("text").alias("text"))  # so that no name of docs clashes
+    kept = near_duplicates(rows.select("id", "text"), percent, k, "id").where("kept").select("id", "n_shingles").distinct()
+    rows = rows.select("doc", "id").join(kept, "id")
+    some, none = rows.where("n_shingles > 0").dropDuplicates(["id"]), rows.where("n_shingles = 0")
+    return some.unionByName(none).select("doc.*")
 
 
 def op9_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,6 +327,15 @@ def test_warc(spark):
     assert warc.archived(pages.limit(0), new_folder(spark, "w")).count() == 0
 
 
+def test_normalising_again_after_the_stream_is_gone(tmp_path):
+    one = [warc.record(b"x" * n, n, None, "d", None) for n in range(5)]
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    (tmp_path / "raw.gz").write_bytes(z.compress(b"".join(one)) + z.flush())
+    paths = [f"file://{tmp_path}/{n}" for n in ("raw.gz", "new.gz", "new.cdxj")]
+    assert warc.normalise(*paths, keep=False) == 5 and not (tmp_path / "raw.gz").exists()
+    assert warc.normalise(*paths, keep=False) == 5
+
+
 def test_monolith_of_several_members_and_damage():
     one = warc.record(b"x" * 50, 1, "u", "d", None)
     packed = b"".join((lambda z: z.compress(one) + z.flush())(zlib.compressobj(6, zlib.DEFLATED, 31)) for _ in range(3))
