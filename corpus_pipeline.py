@@ -29,9 +29,11 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mask; n_chars follows."""
-    found = secrets.found_secrets(docs)
-    rows = found.withColumn("text", F.when(F.size("secrets") > 0, secrets.masked(F.col("text"), F.col("secrets"))).otherwise(F.col("text")))
-    return rows.withColumn("n_chars", F.when(F.size("secrets") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = secrets.found_secrets(docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc")))
+    hit = F.size("secrets") > 0
+    rows = found.withColumn("masked", F.when(hit, secrets.masked(F.col("text"), F.col("secrets"))))
+    fresh = {"text": F.coalesce("masked", "text"), "n_chars": F.coalesce(F.char_length("masked").cast("bigint"), "doc.n_chars")}
+    return rows.select(*(fresh.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
