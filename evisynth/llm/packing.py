@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, table, written
-from .tokens import id_encoder
+from .common import bytes_of, slices, table, written
+from .tokens import GROUP_BYTES, id_encoder
 
 Pattern = tuple[int, ...]
 #: Lengths in a fitted pattern, second lengths tried for each first, unused share that a pattern may have, sweeps of the fit, and shards for ranks.
@@ -134,10 +134,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, step = id_encoder(path), struct.pack("<I", end_id), 4 * capacity
         for batch in batches:
-            keys, done = batch.column(0).to_pylist(), encoder.encode(bytes_of(batch.column(1)))
-            rows = [(k, i, at // 4, raw[at : at + step]) for k, x in zip(keys, done, strict=True) for raw in (x + end,) for i, at in enumerate(range(0, len(raw), step))]
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[3]) // 4 for r in rows], pa.int64()), pa.array([zlib.crc32(r[3]) for r in rows], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array([r[3] for r in rows], pa.binary())] * with_ids, names)
+            keys, texts = batch.column(0).to_pylist(), bytes_of(batch.column(1))
+            for a, b in slices(texts, GROUP_BYTES):  # so that a task holds the ids of one group at a time
+                rows = [(k, i, at // 4, raw[at : at + step]) for k, x in zip(keys[a:b], encoder.encode(texts[a:b]), strict=True) for raw in (x + end,) for i, at in enumerate(range(0, len(raw), step))]
+                columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[3]) // 4 for r in rows], pa.int64()), pa.array([zlib.crc32(r[3]) for r in rows], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array([r[3] for r in rows], pa.binary())] * with_ids, names)
+            pa.default_memory_pool().release_unused()
 
     return chosen.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 

@@ -22,6 +22,8 @@ from .tokens import id_encoder
 MAGIC, HEAD = b"RANKVB01", struct.Struct("<8sQQQQ")
 #: Text bytes that a file holds, about; a writer keeps the ids of one file in memory.
 FILE_BYTES = 32 << 20
+#: Chunks that a writer's encoder keeps: more than usual, as a writer holds little else than one file.
+KEPT = 1_100_000
 #: For each control byte the lengths of its four ranks.
 LENGTHS = np.array([[((c >> (2 * k)) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -96,7 +98,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 2,
     bounds = id_bounds(chosen, "doc_id", n_files)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = id_encoder(path), struct.pack("<I", end_id)
+        encoder, end = id_encoder(path, KEPT), struct.pack("<I", end_id)
         now, ids, doc_ids = None, [], []
 
         def close():

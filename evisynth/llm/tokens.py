@@ -14,7 +14,7 @@ import struct
 import numpy as np
 
 #: Chunks that a worker keeps before it starts again from the frequent ones; about 200 bytes each.
-KEPT_CHUNKS = 1_200_000
+KEPT_CHUNKS = 700_000
 #: Bytes of text that are looked up at a time.
 GROUP_BYTES = 4 << 20
 _SPACE = rb"\x20\x09-\x0d"
@@ -47,8 +47,8 @@ def tokenizer(path: str):
 class ChunkEncoder:
     """Texts as arrays of ids (4-byte little-endian, as bytes), or as numbers of ids if lengths_only."""
 
-    def __init__(self, path: str, lengths_only: bool, frequent: dict[bytes, object] | None = None):
-        self.tok, self.lengths_only = tokenizer(path), lengths_only
+    def __init__(self, path: str, lengths_only: bool, frequent: dict[bytes, object] | None = None, kept: int = KEPT_CHUNKS):
+        self.tok, self.lengths_only, self.kept = tokenizer(path), lengths_only, kept
         added = self.tok.get_added_tokens_decoder()
         self.added = [x.content.encode() for x in added.values()]
         self.cut_id, self.cut = next(((i, x.content) for i, x in added.items() if x.special), (None, None))
@@ -119,7 +119,7 @@ class ChunkEncoder:
 
         out: list = []
         for a, b in slices(texts, GROUP_BYTES):
-            if len(self.plain) + len(self.spaced) > KEPT_CHUNKS:
+            if len(self.plain) + len(self.spaced) > self.kept:
                 self.plain, self.spaced = dict(self.frequent), {}
             cut = [self._chunks(t) for t in texts[a:b]]
             usual = [x for x in cut if x is not None]
@@ -131,6 +131,6 @@ class ChunkEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def id_encoder(path: str) -> ChunkEncoder:
+def id_encoder(path: str, kept: int = KEPT_CHUNKS) -> ChunkEncoder:
     """One for each worker process: its chunks serve all tasks that the worker runs."""
-    return ChunkEncoder(path, lengths_only=False)
+    return ChunkEncoder(path, lengths_only=False, kept=kept)
