@@ -56,10 +56,18 @@ def keyword_score(coverage: Column, hits: Column, n_words: Column) -> Column:
     return 0.6 * coverage + 0.4 * F.least(hits / F.greatest(n_words, F.lit(1)) * 50, F.lit(1.0))
 
 
-def direction(normalised: Column) -> Column:
-    """(for - against) / (for + against), by how many patterns are present; 0 without any."""
-    count = lambda patterns: sum((normalised.rlike(p).cast("int") for p in patterns), F.lit(0))
-    s, n = count(SUPPORT), count(NEGATION)
+def stances(normalised: Column) -> tuple[Column, Column]:
+    """How many patterns for and how many against are present. A pattern's plain stem is looked for first, as few texts hold it."""
+
+    def present(pattern: str) -> Column:
+        stem = pattern.replace(r"\b", "").replace(r"\w*", "")
+        return F.when(normalised.contains(stem), normalised.rlike(pattern).cast("int")).otherwise(0)
+
+    return sum(map(present, SUPPORT), F.lit(0)), sum(map(present, NEGATION), F.lit(0))
+
+
+def direction(s: Column, n: Column) -> Column:
+    """(for - against) / (for + against); 0 without any."""
     return F.when(s + n == 0, 0.0).otherwise((s - n) / (s + n))
 
 

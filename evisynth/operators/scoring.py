@@ -23,7 +23,8 @@ def evidence_links(papers: DataFrame, components: list[Component]) -> DataFrame:
     Every keyword is counted once a paper, whatever the number of components; blank texts score 0 and are neutral."""
     keywords = sorted({k.lower() for c in components for k in c.keywords})
     norm = papers.withColumn("norm", T.normal(F.coalesce("abstract", F.lit(""))))
-    hits = norm.select("ord", "year", "citations", F.array(*(T.occurrences(F.col("norm"), k) for k in keywords)).alias("hits"), T.words(F.col("norm")).alias("n_words"), T.direction(F.col("norm")).alias("dir_score"))
+    hits = norm.select("ord", "year", "citations", F.array(*(T.occurrences(F.col("norm"), k) for k in keywords)).alias("hits"), T.words(F.col("norm")).alias("n_words"), *(c.alias(name) for c, name in zip(T.stances(F.col("norm")), ("s", "n"), strict=True)))
+    hits = hits.select("ord", "year", "citations", "hits", "n_words", T.direction(F.col("s"), F.col("n")).alias("dir_score"))
     at = {k: i for i, k in enumerate(keywords)}
 
     def entry(c: Component) -> Column:
