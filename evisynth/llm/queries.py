@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op1_winnowing
 from .mixing import op2_sainte_lague
-from .near_dups import op9_super_minhash
+from .near_dups import OP9_SQL, op9_super_minhash
 from .packing import op10_pattern_packing
 from .quality import OP6_SQL, op6_quality_cascade
 from .repeats import op4_sentence_spans
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_super_minhash": op9_super_minhash,
     "op10_pattern_packing": op10_pattern_packing,
 }
-SQL: dict[str, str] = {"op5_warc_normaliser": OP5_SQL, "op6_quality_cascade": OP6_SQL}
+SQL: dict[str, str] = {"op5_warc_normaliser": OP5_SQL, "op6_quality_cascade": OP6_SQL, "op9_super_minhash": OP9_SQL}
