@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, table, written
+from .common import bytes_of, slices, table, written
+from .tokens import GROUP_BYTES
 
 SENTENCES, WORDS, LONG = 2, 20, 25
 _BETWEEN = re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]+|\s*\n\s*")
@@ -60,11 +61,12 @@ def all_runs(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = bytes_of(batch.column(2))
-            for at in range(0, len(texts), 500):
-                found = [runs(t) for t in texts[at : at + 500]]
-                times = pa.array(np.repeat(np.arange(at, at + len(found)), [len(f[0]) for f in found]))
+            for at, end in slices(texts, GROUP_BYTES):
+                found = [runs(t) for t in texts[at:end]]
+                times = pa.array(np.repeat(np.arange(at, end), [len(f[0]) for f in found]))
                 columns = [pa.array([x for f in found for x in f[i]], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([columns[0], batch.column(0).take(times), batch.column(1).take(times), *columns[1:]], ["hash", "doc_id", "content", "first", "last"])
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(cut, "hash bigint, doc_id bigint, content bigint, first int, last int")
 
@@ -78,34 +80,41 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     both id and text are one document and are cut alike. An empty table gives no rows; other columns are ignored."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
     found = all_runs(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"))
-    again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # both sides of each large join are dealt out for it alone, so that a common hash's rows can be split over tasks
+    again = written(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated")
     repeated = written(found.join(again.hint("merge"), "hash"), "runs")
     place = F.struct("doc_id", "content", "first")
-    firsts = repeated.groupBy("hash").agg(F.min(place).alias("keep"))
-    later = repeated.join(firsts, "hash").where(place != F.struct("keep.doc_id", "keep.content", "keep.first"))
+    firsts = written(repeated.groupBy("hash").agg(F.min(place).alias("keep")), "firsts")
+    later = repeated.join(firsts.hint("merge"), "hash").where(place != F.struct("keep.doc_id", "keep.content", "keep.first"))
     cuts = later.groupBy("doc_id", "content").agg(F.collect_set(F.struct("first", "last")).alias("cuts")).withColumnRenamed("doc_id", "cut_id").withColumnRenamed("content", "cut_content")
     cuts = written(cuts, "cuts")
     joined = rows.join(cuts.hint("merge"), (F.col("doc_id") == F.col("cut_id")) & (F.col("content") == F.col("cut_content")), "left")
     joined = joined.select("doc_id", "text", F.col("cuts.first").alias("firsts"), F.col("cuts.last").alias("lasts"))
 
+    def cleaned(t: bytes, firsts: list[int], lasts: list[int]) -> tuple[int, int, str, bytes]:
+        spans = sentences(t)
+        gone = np.zeros(len(spans) + 1, bool)
+        for i, j in zip(firsts, lasts, strict=True):
+            gone[i : j + 1] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
+        ranges = list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
+        parts, at = [], 0
+        for i, j in ranges:
+            parts.append(t[at : spans[i][0]])
+            at = spans[j + 1][0] if j + 1 < len(spans) else len(t)
+        return len(spans), int(gone.sum()), ",".join(f"{i}-{j}" for i, j in ranges), b"".join([*parts, t[at:]]) if ranges else t
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
-            out = []
-            for t, present, a, b in zip(bytes_of(batch.column(1)), batch.column(1).is_valid().to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                spans = sentences(t)
-                gone = np.zeros(len(spans) + 1, bool)
-                for i, j in zip(a or [], b or [], strict=True):
-                    gone[i : j + 1] = True
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
-                ranges = list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
-                parts, at = [], 0
-                for i, j in ranges:
-                    parts.append(t[at : spans[i][0]])
-                    at = spans[j + 1][0] if j + 1 < len(spans) else len(t)
-                kept = b"".join([*parts, t[at:]]) if ranges else t
-                out.append((len(spans), int(gone.sum()), ",".join(f"{i}-{j}" for i, j in ranges), kept.decode() if present else None))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], ["doc_id", "n_sentences", "n_removed", "removed", "text"])
+            texts = bytes_of(batch.column(1))
+            for at, end in slices(texts, GROUP_BYTES):
+                some = batch.slice(at, end - at)
+                present = some.column(1).is_valid().to_pylist()
+                out = [cleaned(t, a or [], b or []) for t, a, b in zip(texts[at:end], some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True)]
+                columns = [pa.array([r[i] if i < 3 or ok else None for r, ok in zip(out, present, strict=True)], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns[:3], columns[3].cast(pa.string())], ["doc_id", "n_sentences", "n_removed", "removed", "text"])
+            pa.default_memory_pool().release_unused()
 
     return joined.mapInArrow(remove, "doc_id bigint, n_sentences bigint, n_removed bigint, removed string, text string").withColumnRenamed("doc_id", id_col)
 
