@@ -87,9 +87,16 @@ def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("the last record is cut short")
 
 
-def normalise(uri: str, out_uri: str, index_uri: str) -> int:
-    """Rewrites a whole-stream archive with one member a record, and its sidecar: a JSON line with offset and length for each. The number of records."""
+def normalise(uri: str, out_uri: str, index_uri: str, keep: bool = True) -> int:
+    """Rewrites a whole-stream archive with one member a record, and its sidecar: a JSON line with offset and length for each. The number of records.
+
+    With keep=False the stream goes once both are in place; a later attempt then finds it gone and counts the sidecar."""
+    from pyarrow import fs as pafs
+
     fs, path = filesystem(uri)
+    if not keep and fs.get_file_info(path).type == pafs.FileType.NotFound:
+        with fs.open_input_stream(filesystem(index_uri)[1]) as f:
+            return f.read().count(b"\n")
     lines, at = [], 0
     with fs.open_input_stream(path, compression=None) as source, Publisher(out_uri) as out:
         for raw in records(inflated(iter(lambda: source.read(1 << 20), b""))):
@@ -101,6 +108,8 @@ def normalise(uri: str, out_uri: str, index_uri: str) -> int:
             at += len(member)
     with Publisher(index_uri) as out:
         out.write("".join(x + "\n" for x in lines).encode())
+    if not keep:
+        fs.delete_file(path)
     return len(lines)
 
 
@@ -153,14 +162,14 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     return written(rows.mapInArrow(write, "file bigint, path string, n_records bigint"), "archives")
 
 
-def normalise_archives(files: DataFrame) -> DataFrame:
-    """Normalises each file of write_archives beside itself, a task a file: path and index of the new archives, n_records."""
+def normalise_archives(files: DataFrame, keep: bool = True) -> DataFrame:
+    """Normalises each file of write_archives beside itself, a task a file: path and index of the new archives, n_records. keep=False removes the streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 base = uri.removesuffix(".warc.gz").replace("/raw-", "/records-")
-                n = normalise(uri, f"{base}.warc.gz", f"{base}.cdxj")
+                n = normalise(uri, f"{base}.warc.gz", f"{base}.cdxj", keep)
                 yield pa.RecordBatch.from_arrays([pa.array([f"{base}.warc.gz"]), pa.array([f"{base}.cdxj"]), pa.array([n], pa.int64())], ["path", "index", "n_records"])
 
     spark = files.sparkSession
@@ -202,8 +211,8 @@ def archived(pages: DataFrame, folder: str) -> DataFrame:
 
     A null html is an empty payload, a null url writes no target; rows without a page_id are responses unless an equal
     payload has one; repeated rows with the least page_id are all responses. An empty table writes no file and gives no
-    rows; other columns are ignored."""
-    return read_archives(normalise_archives(write_archives(pages, folder)))
+    rows; other columns are ignored. The whole-stream files are scratch and go as they are rewritten."""
+    return read_archives(normalise_archives(write_archives(pages, folder), keep=False))
 
 
 def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
