@@ -30,7 +30,7 @@ _STEPS = np.arange(1, SLOTS + 1, dtype=np.uint64) * _ODD
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)], np.uint64)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Word hashes that a worker keeps.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 300_000
 _words: dict[bytes, int] = {}
 
 
