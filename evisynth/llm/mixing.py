@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame functions only.
 
 Target words follow from weights by water filling: no source is asked for more than `most` times its size, and what that
-leaves over is shared out again by weight. The words of all targets are cut into equal blocks, which go to the sources
-by highest quotients; a source's blocks go to its shards (hashed documents) in the same way. In a shard, documents lie
-end to end in seeded order, and its quota is that many full passes over the line and one run of blocks from a seeded
-start, so what a document gives follows from its place alone and no block is ever a row.
+leaves over is shared out again by weight. The words of all targets go to the sources by highest quotients, at most
+`most` times its size to each. A source's words are whole passes over all of its shards (hashed documents) and fewer
+words than a pass, which go to the shards by highest quotients. In a shard, documents lie end to end in seeded order, and
+its words beyond the passes are one run from a seeded start, so what a document gives follows from its place alone.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, let, table, written
 
-#: Shards of a source, whatever its size; blocks that the smallest target has at least; largest block in words.
-SHARDS, BLOCKS, LARGEST = 512, 64, 4096
+#: Shards of a source, whatever its size.
+SHARDS = 512
 #: Sources that a mix may name: a row each meets in one task, so more is an error.
 MOST_SOURCES = 100_000
 
@@ -38,21 +38,25 @@ def source_targets(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most:
     rows = rows.withColumns({"total": F.sum("source_size").over(all_rows), "capped": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "weights": F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing))})
     rows = rows.withColumn("level", (F.col("total") - F.col("capped")) / F.col("weights")).withColumn("full", F.col("level") * F.col("weight") >= F.col("cap"))
     # the first source that is not full sets the level of all that are not
-    rows = rows.withColumn("level", F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(all_rows)["level"])
+    rows = rows.withColumn("level", F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(all_rows)["level"])
     return rows.select("source", "source_size", "weight", F.when(F.col("full"), F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def apportioned(items: DataFrame, group: list[str], item: str, votes: str, seats: str, quota: str) -> DataFrame:
-    """items with `quota`: whole seats of their group's `seats`, by the highest quotients votes / (2 * seats so far + 1).
+def apportioned(items: DataFrame, group: list[str], item: str, votes: str, seats: str, quota: str, most: str | None = None) -> DataFrame:
+    """items with `quota`: whole seats of their group's `seats`, by the highest quotients votes / (2 * seats so far + 1), no item more than its `most`.
 
     Rounding votes to the nearest seat gives the answer but for a few seats; only quotients of those are compared, by
     descending quotient, ties by item. A group of no votes gets no seats."""
     own = Window.partitionBy(*group)
     rows = items.withColumn("_price", F.sum(votes).over(own) / F.nullif(F.col(seats), F.lit(0)))
     rows = rows.withColumn("_near", F.coalesce(F.floor(F.col(votes) / F.nullif(F.col("_price"), F.lit(0.0)) + 0.5), F.lit(0)).cast("bigint"))
+    if most:
+        rows = rows.withColumn("_near", F.least("_near", most))
     rows = rows.withColumn("_off", F.when(F.sum(votes).over(own) > 0, F.col(seats) - F.sum("_near").over(own)).otherwise(0).cast("bigint"))
     turns = F.when(F.col("_off") > 0, F.sequence(F.lit(1), F.col("_off"))).when(F.col("_off") < 0, F.sequence(F.lit(1), F.greatest(F.least(-F.col("_off"), F.col("_near")), F.lit(1))))
-    tries = rows.where(F.col("_off") != 0).where((F.col("_off") > 0) | (F.col("_near") > 0)).select(*group, item, "_off", F.col(votes).alias("_votes"), "_near", F.explode(turns).alias("_turn"))
+    tries = rows.where(F.col("_off") != 0).where((F.col("_off") > 0) | (F.col("_near") > 0)).select(*group, item, "_off", F.col(votes).alias("_votes"), "_near", F.explode(turns).alias("_turn"), *([F.col(most).alias("_most")] if most else []))
+    if most:
+        tries = tries.where((F.col("_off") < 0) | (F.col("_near") + F.col("_turn") <= F.col("_most")))
     quotient = F.col("_votes") / (2 * F.when(F.col("_off") > 0, F.col("_near") + F.col("_turn")).otherwise(F.col("_near") - F.col("_turn") + 1) - 1)
     better = F.when(F.col("_off") > 0, -quotient).otherwise(quotient)
     place = F.row_number().over(Window.partitionBy(*group).orderBy(better, item, "_turn"))
@@ -67,7 +71,7 @@ def mixed(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 
     taken is the number of words that the mix takes, repeats counted: `passes` times the whole document, and `run_words`
     more from word `run_start` on (0 for none). No document gives more than `most` times its size, and each source gives
-    its target but for rounding to blocks.
+    its target but for rounding to words.
 
     A null text has no words; documents without a source are a source of their own, last in order; a source without
     words has target 0. Repeated rows and null ids are documents of their own. Reruns agree, as places depend on hashes
@@ -81,19 +85,15 @@ def mixed(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     if sources.count() > MOST_SOURCES:
         raise ValueError(f"a mix of more than {MOST_SOURCES} sources")
     targets = source_targets(sources, cycle, most)
-    every = Window.partitionBy()
-    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
-    block = F.greatest(F.lit(1), F.least(F.lit(LARGEST), F.floor(smallest / BLOCKS))).cast("bigint")
-    targets = targets.withColumn("block", F.coalesce(block, F.lit(1))).withColumn("_all", F.lit(0))
-    targets = targets.withColumn("blocks", F.round(F.sum("target").over(every) / F.col("block")).cast("bigint"))
-    quotas = apportioned(targets, ["_all"], "source", "target", "blocks", "source_blocks").drop("_all", "blocks")
-    parts = shards.alias("s").join(quotas.alias("q"), F.col("s.source").eqNullSafe(F.col("q.source"))).select("s.source", "s.shard", "s.shard_size", "q.source_size", "q.target", "q.block", "q.source_blocks")
-    parts = apportioned(parts, ["source"], "shard", "shard_size", "source_blocks", "shard_blocks")
-    # words of the shard: its blocks, cut at what all passes hold
-    parts = parts.withColumn("words", F.least(F.col("shard_blocks") * F.col("block"), most * F.col("shard_size")))
-    parts = parts.withColumns({"passes": F.coalesce(F.floor(F.col("words") / F.nullif(F.col("shard_size"), F.lit(0))), F.lit(0)).cast("bigint")})
-    line_blocks = F.greatest(F.lit(1), F.floor(F.col("shard_size") / F.col("block"))).cast("bigint")
-    parts = parts.withColumns({"run": F.col("words") - F.col("passes") * F.col("shard_size"), "from": F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), line_blocks) * F.col("block")})
+    targets = targets.withColumns({"_all": F.lit(0), "most_words": most * F.col("source_size")})
+    targets = targets.withColumn("all_words", F.round(F.sum("target").over(Window.partitionBy())).cast("bigint"))
+    quotas = apportioned(targets, ["_all"], "source", "target", "all_words", "source_words", "most_words")
+    # fewer words than a pass over the source are never more than a shard's own
+    passes = F.coalesce(F.floor(F.col("source_words") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("bigint")
+    quotas = quotas.withColumn("passes", passes).withColumn("rest", F.col("source_words") - F.col("passes") * F.col("source_size"))
+    parts = shards.alias("s").join(quotas.alias("q"), F.col("s.source").eqNullSafe(F.col("q.source"))).select("s.source", "s.shard", "s.shard_size", "q.source_size", "q.target", "q.passes", "q.rest")
+    parts = apportioned(parts, ["source"], "shard", "shard_size", "rest", "run", "shard_size")
+    parts = parts.withColumn("from", F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest(F.lit(1), "shard_size")))
     order = Window.partitionBy("source", "shard").orderBy("line", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0)))
     same = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.shard") == F.col("p.shard"))

@@ -250,6 +250,22 @@ def test_mixing(edge, docs):
     assert words == mixing.mixed(docs).select(F.sum("taken")).head()[0] and out.columns == docs.columns
 
 
+@pytest.mark.parametrize("small", [300, 5000])
+def test_mixing_capped_source(spark, small):
+    """A source whose target is three times its size, beside large ones: all words of all targets are taken."""
+    sizes = [("a", 400)] * 4000 + [("b", 400)] * 4000 + [("c", 1 + k * 7 % 900) for k in range(small)]
+    df = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes)], "doc_id long, source string, n int").selectExpr("doc_id", "source", "repeat('w ', n) AS text")
+    rows = mixing.mixed(df, cycle=(1, 1, 30)).collect()
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        taken[r["mixed_source"]] += r["taken"]
+        target[r["mixed_source"]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        assert r["mixed_source"] != "c" or small == 5000 or r["taken"] == 3 * r["size"]
+    assert small == 5000 or target["c"] == 3 * sum(n for s, n in sizes if s == "c")
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items()) and sum(taken.values()) == sum(n for _, n in sizes)
+
+
 @pytest.mark.parametrize("seats", [1, 7, 50, 333])
 def test_sainte_lague(spark, seats):
     votes = {f"i{k}": v for k, v in enumerate([1, 5, 5, 17, 100, 0, 3, 333])}
