@@ -64,11 +64,8 @@ def _(spark, d):
 
 @R.query("f14_j14_indel_ratio")
 def _(spark, d):
-    """Candidates share their first word's start and year; then the Indel ratio of full titles, 90 or more."""
-    p = papers(spark, d).where("title <> ''").select("ord", "year", F.lower("title").alias("t")).withColumn("block", F.substring("t", 1, 6))
-    a, b = (p.select(F.col("ord").alias(f"{x}"), "year", "block", F.col("t").alias(f"t{x}")) for x in "ab")
-    pairs = a.join(b, ["year", "block"]).where("a < b AND 200 * least(length(ta), length(tb)) >= 85 * (length(ta) + length(tb))")
-    return pairs.withColumn("ratio", F.round(C.indel_ratio("ta", "tb"), 4)).where("ratio >= 85").select("a", "b", "ratio")
+    """Indel ratio of titles, 90 or more, or 85 with equal year and first author, for whom the source stands."""
+    return C.indel_pairs(papers(spark, d), author="source").withColumn("ratio", F.round("ratio", 4))
 
 
 @R.query("f17_word_error_rate")

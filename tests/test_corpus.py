@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 
 import pytest
@@ -93,3 +95,31 @@ def test_pubmed_xml_and_paged_source(spark, tmp_path):
 def test_bibtex_escapes(spark):
     r = spark.range(1).select(B.bibtex(F.lit("k1"), F.lit("a & b_c"), F.lit(2001), F.lit("J")).alias("x")).head()["x"]
     assert r.startswith("@article{k1,\n") and "a \\& b\\_c" in r and re.search(r"year = \{2001\}", r)
+
+
+def test_indel_pairs(spark, monkeypatch):
+    """Against all pairs: other years, early differences, equal titles, ratios between 85 and 90 with and without author and year."""
+    monkeypatch.setattr(C, "BLOCK_TITLES", 20)
+    made = random.Random(5)
+    titles = ["".join(made.choice("abcde é日") for _ in range(made.randint(1, 45))).strip() for _ in range(60)]
+    for t in titles[:60]:
+        for share in (0.05, 0.1, 0.15):
+            titles.append("".join(x for x in t if made.random() > share))
+    titles += ["Xx" + titles[0][2:], titles[1].upper(), titles[1], "", " ", "a", "A"]
+    rows = [(i, t, made.choice(["p", "q", "", None]), made.choice([1990, 1991, None])) for i, t in enumerate(titles)]
+    got = [(r["a"], r["b"], round(r["ratio"], 6)) for r in C.indel_pairs(spark.createDataFrame(rows, "ord long, title string, author string, year int")).collect()]
+    by = {}
+    for i, t, author, year in rows:
+        by.setdefault(t.strip().lower(), []).append((i, author, year))
+    by.pop("", None)
+    want = [(x[0][0], y[0], 100.0) for x in by.values() for y in x[1:]]
+    for (t, x), (u, y) in itertools.combinations(by.items(), 2):
+        row = [0] * (len(u) + 1)
+        for c in t:
+            last = 0
+            for j, e in enumerate(u, 1):
+                last, row[j] = row[j], last + 1 if c == e else max(row[j], row[j - 1])
+        ratio = 200 * row[-1] / (len(t) + len(u))
+        if ratio >= 90 or ratio >= 85 and {k[1:] for k in x if k[1] and k[2]} & {k[1:] for k in y}:
+            want.append((min(x[0][0], y[0][0]), max(x[0][0], y[0][0]), round(ratio, 6)))
+    assert sorted(got) == sorted(want) and any(r < 90 for *_, r in want)
