@@ -302,7 +302,7 @@ def _(spark, d):
 @R.query("n02_n03_edge_threshold")
 def _(spark, d):
     r = brands(spark, d)
-    edges, bound = N.cooccurrence(r, "l_orderkey", "brand", "nation"), N.permutation_threshold(r, "l_orderkey", "brand", "nation", rounds=10)
+    edges, bound = N.cooccurrence(r, "l_orderkey", "brand", "nation"), N.permutation_threshold(r, "l_orderkey", "brand", "nation", rounds=500)
     return edges.join(F.broadcast(bound)).select("brand", "nation", "weight", "threshold", (F.col("weight") >= F.col("threshold")).alias("significant"))
 
 

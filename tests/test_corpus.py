@@ -123,3 +123,23 @@ def test_indel_pairs(spark, monkeypatch):
         if ratio >= 90 or ratio >= 85 and {k[1:] for k in x if k[1] and k[2]} & {k[1:] for k in y}:
             want.append((min(x[0][0], y[0][0]), max(x[0][0], y[0][0]), round(ratio, 6)))
     assert sorted(got) == sorted(want) and any(r < 90 for *_, r in want)
+
+
+def test_permutation_threshold(spark, sf, monkeypatch):
+    """Against the same shuffles by hand, each place once a round; the query takes the 500 rounds of the reference's stage 9."""
+    made = random.Random(3)
+    rows = sorted({(p, made.choice("abc"), made.choice("xyz")) for p in range(60) for _ in range(3)})
+    df = spark.createDataFrame(rows, "paper long, l string, r string")
+    papers = df.select("paper").distinct()
+    order = {k: [r["paper"] for r in papers.orderBy(F.xxhash64(F.lit(42), F.lit(k), "paper"), "paper").collect()] for k in range(21)}
+    side = lambda i: {p: {x[i] for x in rows if x[0] == p} for p in order[0]}
+    left, right = side(1), side(2)
+    heaviest = sorted(max(sum(x in left[p] and y in right[q] for p, q in zip(order[0], order[k], strict=True)) for x in "abc" for y in "xyz") for k in range(1, 21))
+    assert tuple(N.permutation_threshold(df, "paper", "l", "r", rounds=20).head()) == (heaviest[19], 20)
+    assert tuple(N.permutation_threshold(df, "paper", "l", "r", rounds=20, alpha=0.5).head()) == (heaviest[10], 20)
+    from evisynth.plans.corpus import R
+
+    asked = {}
+    monkeypatch.setattr(N, "permutation_threshold", lambda *a, **b: asked.update(b) or spark.createDataFrame([(1, 1)], "threshold long, rounds long"))
+    R.queries["n02_n03_edge_threshold"](spark, sf)
+    assert asked.get("rounds", 1000) >= 500
