@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of every contract: runs of anything but the six ASCII white-space characters.
@@ -52,7 +53,7 @@ def md5_long(col: Column) -> Column:
 def id_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """At most `buckets` ascending values of an integer key that part its rows about evenly, the smallest value first; [] without keys. Its size does not grow with the rows."""
     shares = [i / buckets for i in range(buckets)]
-    row = df.select(F.percentile_approx(key, shares, 10_000).alias("p"), F.min(key).alias("m")).head()
+    row = df.select(F.percentile_approx(key, shares, max(10_000, 4 * buckets)).alias("p"), F.min(key).alias("m")).head()
     return sorted({row["m"], *row["p"]}) if row and row["m"] is not None else []
 
 
@@ -69,8 +70,38 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
 
     if len(bounds) <= 64:
         return F.when(key.isNull(), 0).otherwise(search(0, len(bounds)))
-    known = F.array(*(F.lit(x).cast("bigint") for x in bounds))
-    return F.when(key.isNull(), 0).otherwise(F.greatest(F.size(F.filter(known, lambda x: x <= key)) - 1, F.lit(0)))
+    # two levels: every step-th bound, then the bounds from there, so that a row looks at few of them
+    step = math.isqrt(len(bounds))
+    upto = lambda known: F.greatest(F.size(F.filter(known, lambda x: x <= key)) - 1, F.lit(0))
+    longs = lambda values: F.array(*(F.lit(x).cast("bigint") for x in values))
+    blocks = F.array(*(longs(bounds[i : i + step]) for i in range(0, len(bounds), step)))
+    found = let(upto(longs(bounds[::step])), lambda i: i * step + upto(blocks[i]))
+    return F.when(key.isNull(), 0).otherwise(found)
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None) -> DataFrame:
+    """df with `rank` (from 0) in a total order of all its rows, and for each name in sums the sum of that column over all rows before.
+
+    Ranges of the order are dealt out and written; only a row a range is ordered in one task."""
+    spark, sums = df.sparkSession, sums or {}
+    ranges = partitions(spark, spark.sparkContext.defaultParallelism)
+    rows = written(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    wanted = {"rank": F.count(F.lit(1)), **{name: F.sum(c) for name, c in sums.items()}}
+    totals = rows.groupBy("_range").agg(*(x.alias(f"_{name}") for name, x in wanted.items()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", *(F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in wanted))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    at = {name: F.col(f"_{name}") + F.coalesce(x.over(inside), F.lit(0)) for name, x in wanted.items()}
+    return rows.join(totals, "_range").withColumns(at).drop("_range", *(f"_{name}" for name in wanted))
+
+
+SALTS = 32
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """left joined to right, which has a row a key: each of right's rows meets left's rows in SALTS places, so no key of left meets in one task."""
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, table, written
+from .common import bytes_of, salted_join, table, written
 
 #: A pair with Jaccard 0.85 shares no band with probability (1 - 0.85**6)**42, about 2e-9.
 BANDS, ROWS = 42, 6
@@ -96,27 +96,28 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return _mix(rows + np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD).view(np.int64)
 
 
-def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, key (of the word sequence; null without words), n_shingles, bands."""
+def sketches(rows: DataFrame, k: int = 5) -> DataFrame:
+    """missing, doc_id, content as they are; key (of the word sequence; null without words), n_shingles, bands of the text."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             keys, sizes, found = [], [], []
-            for t in bytes_of(batch.column(1)):
+            for t in bytes_of(batch.column(3)):
                 s = shingle_set(t, k)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(b" ".join(t.translate(_LOWER).split())) if len(s) else None)
                 found.append(bands(super_minhash(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["missing", "doc_id", "content", "key", "n_shingles", "bands"])
 
-    return docs.mapInArrow(sketch, "doc_id bigint, key binary, n_shingles bigint, bands array<bigint>")
+    return rows.select("missing", "doc_id", "content", "text").mapInArrow(sketch, "missing boolean, doc_id bigint, content bigint, key binary, n_shingles bigint, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int = 5) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets have 100 * intersection >= percent * union."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    """The pairs (a, b) of nodes whose texts' full shingle sets have 100 * intersection >= percent * union."""
+    of = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")).hint("merge")
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, None
@@ -134,37 +135,48 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int = 5) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of the edges that a task holds, by union-find within the task; it links the same nodes with fewer rows."""
+class UnionFind:
+    """Sets of numbers, each named by its least one."""
 
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
-        def rows() -> pa.RecordBatch:
-            nodes = list(parent)
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
+    def unite(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
 
+    def rows(self) -> pa.RecordBatch:
+        """(node, root) of every node that is not its own root: links of the same sets, fewer than nodes."""
+        pairs = [(x, r) for x in list(self.parent) if (r := self.root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], ["node", "root"])
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """(node, root) for each node of the edges that a task holds, by union-find within the task; it links the same nodes with fewer rows."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = UnionFind()
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = root(a), root(b)
-                parent[max(a, b)] = min(a, b)
-            if len(parent) > 1_000_000:  # what a task keeps is bounded
-                yield rows()
-                parent.clear()
-        yield rows()
+                sets.unite(a, b)
+            if len(sets.parent) > 1_000_000:  # what a task keeps is bounded
+                yield sets.rows()
+                sets = UnionFind()
+        yield sets.rows()
 
     return edges.mapInArrow(unite, "node bigint, root bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the least node reachable. Union-find within tasks, then rounds of least labels and pointer jumps across them, each written to the shared folder."""
-    links = written(forest(edges).where("node <> root"), "links")
+    links = written(forest(edges), "links")
     labels = written(links.select(F.explode(F.array("node", "root")).alias("node"), F.least("node", "root").alias("label")).groupBy("node").agg(F.min("label").alias("label")), "labels")
     both = links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links.select(F.col("root").alias("a"), F.col("node").alias("b")))
     while True:
@@ -201,13 +213,14 @@ def joint_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def links_between(groups: DataFrame, texts: DataFrame, percent: int, k: int = 5, block: int = 192) -> DataFrame:
-    """Links (a, b) between documents of one hub's group that are in different components.
+    """Links (a, b) that join the same nodes as all links between members of one hub's group that are in different components.
 
-    groups: hub, rep, comp and core (whether comp is the hub's). Two core documents need no comparison, so each block of
-    the others meets each block of all; a task holds two blocks whatever the size of the group."""
+    groups: hub, rep, comp and core (whether comp is the hub's). Two core members need no comparison, so each block of
+    the others meets each block of all; a task holds two blocks whatever the size of the group, and gives a forest of
+    its links, fewer than its members."""
     sizes = groups.groupBy("hub").agg(F.count("*").alias("m"), F.count_if(~F.col("core")).alias("u")).where("u > 0")
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    sized = groups.join(sizes.select("hub", blocks("m").alias("nm"), blocks("u").alias("nu")), "hub").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    sized = salted_join(groups, sizes.select("hub", blocks("m").alias("nm"), blocks("u").alias("nu")), "hub", "rep").join(texts.select(F.col("node").alias("rep"), "text").hint("merge"), "rep")
     hashed = F.xxhash64("rep")
     right = sized.select("hub", "rep", "comp", "text", F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("i"), F.pmod(hashed, "nm").cast("int").alias("j"), F.lit(False).alias("left"))
     left = sized.where(~F.col("core")).select("hub", "rep", "comp", "text", F.pmod(hashed, "nu").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"), F.lit(True).alias("left"))
@@ -219,52 +232,77 @@ def links_between(groups: DataFrame, texts: DataFrame, percent: int, k: int = 5,
         x, y = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         joint = joint_sizes([sets[i] for i in x], [sets[i] for i in y])
         near = (100 * joint >= percent * (size[x][:, None] + size[y] - joint)) & (comp[x][:, None] != comp[y])
-        i, j = np.nonzero(near)
-        return pa.table({"a": pa.array(rep[x[i]], pa.int64()), "b": pa.array(rep[y[j]], pa.int64())})
+        found = UnionFind()
+        for i, j in np.argwhere(near).tolist():
+            found.unite(int(rep[x[i]]), int(rep[y[j]]))
+        return pa.Table.from_batches([found.rows()]).rename_columns(["a", "b"])
 
     return left.unionByName(right).groupBy("hub", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: id_col, n_shingles, component_id (least id reachable over links), kept (it is that least id).
+def handled(docs: DataFrame, id_col: Column, text: Column, content: Column) -> DataFrame:
+    """Columns of the rows that grouping works on: missing and doc_id (0 if missing), content (a hash that tells rows of one id apart), text."""
+    return docs.select(id_col.isNull().alias("missing"), F.coalesce(id_col.cast("bigint"), F.lit(0)).alias("doc_id"), content.alias("content"), text.alias("text"))
 
-    Texts link if their sets of k-word shingles have 100 * intersection >= percent * union. Null and empty texts have no
-    shingles and link with nothing. Rows of one id share its least component. A document without an id belongs to the
-    component of its equals, is never kept, and brings no link; its component is null if no equal has an id. An empty
-    table gives no rows; other columns are ignored."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sketched = written(sketches(texts, k), "sketches")
-    classes = written(sketched.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    rows = classes.select("rep", F.explode("bands").alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = written(rows.join(hubs.hint("merge"), "bucket").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    known = written(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge"), "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h"), "near-texts")
+
+_HANDLE = ["missing", "doc_id", "content"]
+
+
+def near_groups(rows: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
+    """For each row (missing, doc_id, content, text): missing, doc_id, content, n_shingles, and least: the least (missing, doc_id, content) of its group, null without words.
+
+    Equal word sequences are one class, a node of its own number; components of verified links between classes are the
+    groups. So an id that stands for several texts joins nothing, and rows without an id come last in their group."""
+    sketched = written(sketches(rows, k), "sketches")
+    classes = sketched.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(*_HANDLE)).alias("least"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    keys = classes.select("node", F.explode("bands").alias("bucket"))
+    hubs = keys.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = written(keys.join(hubs.hint("merge"), "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least.*").hint("merge"), "node")
+    known = written(rows.select(*_HANDLE, "text").join(asked.hint("merge"), _HANDLE).select("node", "text").dropDuplicates(["node"]), "near-texts")
     first = written(verified(pairs, known, percent, k), "links")
     labels = components(first)
     # documents that share a bucket share its hub's group
     comp = lambda c: F.coalesce(F.col("component"), F.col(c))
-    at_hub = pairs.select("a").distinct().join(labels.withColumnRenamed("node", "a"), "a", "left").select("a", comp("a").alias("hub_comp"))
-    members = pairs.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", comp("b").alias("comp")).join(at_hub, "a")
-    groups = members.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "comp", (F.col("comp") == F.col("hub_comp")).alias("core"))
-    groups = written(groups, "groups")
+    at_hub = pairs.select("a").distinct().join(labels.withColumnRenamed("node", "a").hint("merge"), "a", "left").select("a", comp("a").alias("hub_comp"))
+    members = salted_join(pairs.join(labels.withColumnRenamed("node", "b").hint("merge"), "b", "left").select("a", "b", comp("b").alias("comp")), at_hub, "a", "b")
+    groups = written(members.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "comp", (F.col("comp") == F.col("hub_comp")).alias("core")), "groups")
     second = written(links_between(groups, known, percent, k), "links")
-    labels = components(first.unionByName(second))
-    ends = classes.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", comp("rep").alias("component"))
-    found = sketched.select("doc_id", "key", "n_shingles").join(ends, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return found.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    labels = written(classes.select("node", "key", "least").join(components(first.unionByName(second)).hint("merge"), "node", "left"), "labelled")
+    grouped = labels.where("component IS NOT NULL")
+    least = grouped.groupBy("component").agg(F.min("least").alias("all_least"))
+    ends = salted_join(grouped.select("key", "node", "component"), least, "component", "node").select("key", F.col("all_least").alias("least"))
+    ends = ends.unionByName(labels.where("component IS NULL").select("key", "least"))
+    return sketched.select(*_HANDLE, "key", "n_shingles").join(ends.hint("merge"), "key", "left").drop("key")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each document: id_col, n_shingles, component_id (least id reachable over links), kept (it is that least id).
+
+    Texts link if their sets of k-word shingles have 100 * intersection >= percent * union. Null and empty texts have no
+    shingles and link with nothing: their component is their own id. Rows of one id with different texts are documents of
+    their own, so unlike ones are in components of their own. A document without an id takes part in links, is never
+    kept, and its component is null if none that it reaches has an id. Very long texts are compared whole. An empty table
+    gives no rows; other columns are ignored."""
+    found = near_groups(handled(docs, F.col(id_col), F.col(text), F.xxhash64(text)), percent, k)
+    own = F.when(~F.col("missing"), F.col("doc_id"))
+    component = F.when(F.col("least").isNull(), own).when(~F.col("least.missing"), F.col("least.doc_id"))
+    return found.select(own.alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """docs with one row of each group of near duplicates, that of the least doc_id; rows without text or words all stay.
-
-    Rows without a doc_id take part under a negative number made from their text. Columns stay as they are."""
-    stand_in = F.coalesce(F.col("doc_id").cast("bigint"), -F.abs(F.shiftright(F.xxhash64("text"), 1)) - 1)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), stand_in.alias("id"), F.col("text").alias("text"))  # so that no name of docs clashes
-    kept = near_duplicates(rows.select("id", "text"), percent, k, "id").where("kept").select("id", "n_shingles").distinct()
-    rows = rows.select("doc", "id").join(kept, "id")
-    some, none = rows.where("n_shingles > 0").dropDuplicates(["id"]), rows.where("n_shingles = 0")
-    return some.unionByName(none).select("doc.*")
+    """docs with one row of each group of near duplicates; rows without text or words all stay. Columns stay as they are.
+
+    The row of the least doc_id stays, of several such that of the least hash over all columns; rows without a doc_id
+    come last. Equal rows are one. Very long texts are compared whole; an empty table stays empty."""
+    content = F.xxhash64(*(docs[f"`{f.name}`"] for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    rows = handled(docs, F.col("doc_id"), F.col("text"), content)
+    full = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").isNull().alias("missing"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc_id"), content.alias("content"))  # so that no name of docs clashes
+    stay = near_groups(rows, percent, k).where(F.col("least").isNull() | (F.struct(*_HANDLE) == F.col("least")))
+    stay = stay.groupBy(*_HANDLE).agg(F.first(F.col("least").isNull()).alias("wordless"))
+    number = F.row_number().over(Window.partitionBy(*_HANDLE).orderBy("wordless"))
+    return full.join(stay.hint("merge"), _HANDLE).withColumn("number", number).where("wordless OR number = 1").select("doc.*")
 
 
 def op9_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
