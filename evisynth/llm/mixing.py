@@ -1,10 +1,13 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame functions only.
 
 Target words follow from weights by water filling: no source is asked for more than `most` times its size, and what that
-leaves over is shared out again by weight. The words of all targets go to the sources by highest quotients, at most
-`most` times its size to each. A source's words are whole passes over all of its shards (hashed documents) and fewer
-words than a pass, which go to the shards by highest quotients. In a shard, documents lie end to end in seeded order, and
-its words beyond the passes are one run from a seeded start, so what a document gives follows from its place alone.
+leaves over is shared out again by weight. The words of all targets are the seats that sources are given by highest
+quotients, at most `most` times its size to each. A source's words are whole passes over all of its shards (hashed
+documents) and fewer words than a pass, which go to the shards by highest quotients. In a shard, documents lie end to end
+in seeded order and are cut into blocks of equal numbers of words; blocks are chosen in a seeded order until the shard's
+quota is met, the last of them in part. So what a document gives follows from its place alone.
+
+Seats are words, not blocks, as a small source's target may be less than a block.
 """
 
 from __future__ import annotations
@@ -12,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, let, table, written
+from .common import WORD, let, running, table, written
 
-#: Shards of a source, whatever its size.
-SHARDS = 512
-#: Sources that a mix may name: a row each meets in one task, so more is an error.
-MOST_SOURCES = 100_000
+#: Words of a block; documents that a shard holds, about; shards of a source at least.
+BLOCK, SHARD_DOCS, SHARDS = 1024, 50_000, 512
+#: Primes above any number of blocks in a shard: j -> (prime * j + shift) mod n puts n blocks in another order.
+_PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587, 2_147_483_579)
+#: Doublings of the range in which a capped item's last seats are looked for.
+_WIDER = 24
 
 
 def word_count(text: Column) -> Column:
@@ -28,104 +33,147 @@ def source_targets(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most:
     """sources (source, source_size), a row each, with weight (from the cycle, by code point, null last) and target.
 
     Let a source's cap be most * size. By ascending cap / weight the sources at their cap are the first ones: a source is
-    at its cap if the share of what the earlier caps leave, by weight among it and the later ones, is above its cap."""
-    n = len(cycle)
-    number = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))
-    rows = sources.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in cycle)), (F.pmod(number - 1, F.lit(n)) + 1).cast("int")))
-    rows = rows.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    up = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before, all_rows = up.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    rows = rows.withColumns({"total": F.sum("source_size").over(all_rows), "capped": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "weights": F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing))})
-    rows = rows.withColumn("level", (F.col("total") - F.col("capped")) / F.col("weights")).withColumn("full", F.col("level") * F.col("weight") >= F.col("cap"))
+    at its cap if the share of what the earlier caps leave, by weight among it and the later ones, is above its cap.
+    Places and sums over all sources are taken in ranges, so their number has no bound."""
+    named = [F.col("source").isNull().asc(), F.col("source").asc()]
+    weights = F.array(*(F.lit(float(w)) for w in cycle))
+    rows = running(sources, named).withColumn("weight", F.element_at(weights, (F.pmod("rank", F.lit(len(cycle))) + 1).cast("int"))).drop("rank")
+    rows = rows.withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("fill", F.col("cap") / F.col("weight"))
+    rows = running(rows, [F.col("fill").asc(), *named], {"capped": "cap", "lighter": "weight"}).drop("rank")
+    everything = rows.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).head()
+    words, weight = float(everything["words"] or 0), float(everything["weight"] or 1)
+    rows = rows.withColumn("level", (F.lit(words) - F.col("capped")) / (F.lit(weight) - F.col("lighter")))
+    rows = rows.withColumn("full", F.col("level") * F.col("weight") >= F.col("cap"))
     # the first source that is not full sets the level of all that are not
-    rows = rows.withColumn("level", F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(all_rows)["level"])
-    return rows.select("source", "source_size", "weight", F.when(F.col("full"), F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
+    first = rows.where("NOT full").agg(F.min(F.struct("fill", F.col("source").isNull(), "source", "level"))["level"].alias("level")).head()
+    target = F.when(F.col("full"), F.col("cap")).otherwise(F.lit(first["level"] or 0.0) * F.col("weight"))
+    return rows.select("source", "source_size", "weight", target.cast("double").alias("target"))
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left joined to right, null keys being equal; the keys come from left."""
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    joined = left.alias("l").join(right.alias("r"), same, "left")
+    return joined.select("l.*", *(F.col(f"r.{c}") for c in right.columns if c not in keys))
 
 
 def apportioned(items: DataFrame, group: list[str], item: str, votes: str, seats: str, quota: str, most: str | None = None) -> DataFrame:
-    """items with `quota`: whole seats of their group's `seats`, by the highest quotients votes / (2 * seats so far + 1), no item more than its `most`.
-
-    Rounding votes to the nearest seat gives the answer but for a few seats; only quotients of those are compared, by
-    descending quotient, ties by item. A group of no votes gets no seats."""
-    own = Window.partitionBy(*group)
-    rows = items.withColumn("_price", F.sum(votes).over(own) / F.nullif(F.col(seats), F.lit(0)))
-    rows = rows.withColumn("_near", F.coalesce(F.floor(F.col(votes) / F.nullif(F.col("_price"), F.lit(0.0)) + 0.5), F.lit(0)).cast("bigint"))
-    if most:
-        rows = rows.withColumn("_near", F.least("_near", most))
-    rows = rows.withColumn("_off", F.when(F.sum(votes).over(own) > 0, F.col(seats) - F.sum("_near").over(own)).otherwise(0).cast("bigint"))
-    turns = F.when(F.col("_off") > 0, F.sequence(F.lit(1), F.col("_off"))).when(F.col("_off") < 0, F.sequence(F.lit(1), F.greatest(F.least(-F.col("_off"), F.col("_near")), F.lit(1))))
-    tries = rows.where(F.col("_off") != 0).where((F.col("_off") > 0) | (F.col("_near") > 0)).select(*group, item, "_off", F.col(votes).alias("_votes"), "_near", F.explode(turns).alias("_turn"), *([F.col(most).alias("_most")] if most else []))
-    if most:
-        tries = tries.where((F.col("_off") < 0) | (F.col("_near") + F.col("_turn") <= F.col("_most")))
-    quotient = F.col("_votes") / (2 * F.when(F.col("_off") > 0, F.col("_near") + F.col("_turn")).otherwise(F.col("_near") - F.col("_turn") + 1) - 1)
-    better = F.when(F.col("_off") > 0, -quotient).otherwise(quotient)
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(better, item, "_turn"))
-    moved = tries.withColumn("_place", place).where(F.col("_place") <= F.abs("_off")).groupBy(*group, item).agg(F.sum(F.signum("_off")).cast("bigint").alias("_moved"))
-    keys = [*group, item]
-    joined = rows.alias("r").join(moved.alias("m"), [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys], "left")
-    return joined.select(*(F.col(f"r.{c}") for c in items.columns), (F.col("r._near") + F.coalesce(F.col("m._moved"), F.lit(0))).alias(quota))
+    """items with `quota`: whole seats of their group's `seats`, by the highest quotients votes / (2 * seats so far + 1), ties by item, no item more than its `most`.
+
+    At a price of votes a seat, every item gets its votes over the price, rounded. With V votes and n items, the price
+    V / (seats - n/2) gives out too few seats and V / (seats + n/2) enough (with `most`, after as many doublings of n as
+    it takes), so only the quotients in between are compared: no more than a few for each item on average. A group
+    of no votes gets no seats. With group [] all items are one group, whose quotients are ranked in ranges."""
+    price_of = lambda wider: F.try_divide(F.col("_votes"), F.col("_seats") + wider * F.col("_n") / 2)
+    capped = lambda n: F.least(n, F.col(most)) if most else n
+    at = lambda wider: F.coalesce(capped(F.floor(F.try_divide(F.col(votes), price_of(wider)) + 0.5).cast("bigint")), F.lit(0)).cast("bigint")
+    low = F.when(F.col("_seats") > F.col("_n") / 2, at(-1.0)).otherwise(F.lit(0).cast("bigint"))
+
+    def with_totals(rows: DataFrame, **totals: Column) -> DataFrame:
+        if group:
+            return _matched(rows, rows.groupBy(*group).agg(*(x.alias(name) for name, x in totals.items())), group)
+        found = rows.agg(*(x.alias(name) for name, x in totals.items()))
+        kinds = {f.name: f.dataType for f in found.schema}
+        only = found.head()
+        return rows.withColumns({name: F.lit(only[name]).cast(kinds[name]) for name in totals})
+
+    rows = with_totals(items, _votes=F.coalesce(F.sum(votes), F.lit(0)).cast("double"), _n=F.count(F.lit(1)), _seats=F.coalesce(F.max(seats), F.lit(0)).cast("bigint"))
+    rows = rows.withColumn("_low", F.when(F.col("_votes") > 0, low).otherwise(0))
+    sums = F.array(*(F.sum(F.greatest(at(float(1 << k)), F.col("_low"))) for k in range(_WIDER)))
+    rows = with_totals(rows, _given=F.sum("_low"), _sums=sums)
+    enough = F.coalesce(F.array_min(F.filter(F.transform("_sums", lambda s, k: F.when(s >= F.col("_seats"), k)), lambda k: k.isNotNull())), F.lit(_WIDER - 1))
+    rows = rows.withColumn("_high", F.when(F.col("_votes") > 0, F.greatest(at(F.pow(F.lit(2.0), enough)), F.col("_low"))).otherwise(0)).drop("_sums")
+    rows = written(rows, "quotas")
+    tries = rows.where("_high > _low AND _seats > _given").select(*group, item, (F.col("_seats") - F.col("_given")).alias("_off"), (-F.col(votes)).alias("_worse"), F.explode(F.sequence(F.col("_low") + 1, F.col("_high"))).alias("_seat"))
+    tries = tries.withColumn("_worse", F.col("_worse") / (2 * F.col("_seat") - 1))
+    order = [F.col("_worse").asc(), F.col(item).isNull().asc(), F.col(item).asc(), F.col("_seat").asc()]
+    if group:
+        tries = tries.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    else:
+        tries = running(tries, order)
+    won = tries.where("rank < _off").groupBy(*group, item).agg(F.count(F.lit(1)).alias("_won"))
+    found = _matched(rows, won, [*group, item])
+    return found.select(*items.columns, (F.col("_low") + F.coalesce("_won", F.lit(0))).alias(quota))
+
+
+def _overlap(low: Column, high: Column, from_: Column, to: Column) -> Column:
+    return F.greatest(F.lit(0).cast("bigint"), F.least(high, to) - F.greatest(low, from_))
+
+
+def _chosen_words(j: Column) -> Column:
+    """The words that block j of a shard gives: the quota, less the blocks before it in the seeded order, at most its own."""
+    n, last = F.col("n_blocks"), F.col("shard_size") - (F.col("n_blocks") - 1) * BLOCK
+    place = lambda k: F.pmod(F.col("prime") * k + F.col("shift"), n)
+    before = place(j) * BLOCK - F.when(place(j) > place(n - 1), BLOCK - last).otherwise(0)
+    own = F.when(j == n - 1, last).otherwise(F.lit(BLOCK))
+    return F.greatest(F.lit(0), F.least(F.col("run") - before, own)).cast("bigint")
 
 
 def mixed(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """A row for each row of docs: id_col, size, source_size, target, taken, and where its words are taken from.
 
-    taken is the number of words that the mix takes, repeats counted: `passes` times the whole document, and `run_words`
-    more from word `run_start` on (0 for none). No document gives more than `most` times its size, and each source gives
-    its target but for rounding to words.
+    taken is the number of words that the mix takes, repeats counted: `passes` times the whole document, and its `parts`,
+    runs (start, words) of its words that chosen blocks cover. No document gives more than `most` times its size, and
+    each source gives its target but for rounding to words.
 
     A null text has no words; documents without a source are a source of their own, last in order; a source without
-    words has target 0. Repeated rows and null ids are documents of their own. Reruns agree, as places depend on hashes
-    of the seed and the row alone (rows that are equal in all of id, source and size are alike). An empty table gives no
-    rows; other columns are ignored."""
+    words has target 0. Repeated rows and null ids are documents of their own; a very long text lies in many blocks.
+    Reruns agree, as places depend on hashes of the seed and the row alone (rows that are equal in all of id, source and
+    text are alike). An empty table gives no rows; other columns are ignored."""
     sizes = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("content"))
-    sizes = sizes.withColumns({"line": F.xxhash64(F.lit(seed), "doc_id", "content"), "shard": F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "content"), F.lit(SHARDS)).cast("int")}).drop("content")
-    sizes = written(sizes, "mix-sizes")
+    sizes = written(sizes.withColumn("line", F.xxhash64(F.lit(seed), "doc_id", "content")).drop("content"), "mix-sizes")
+    n_shards = max(SHARDS, -(-sizes.count() // SHARD_DOCS))
+    sizes = sizes.withColumn("shard", F.pmod(F.xxhash64("line"), F.lit(n_shards)).cast("int"))
     shards = written(sizes.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")), "mix-shards")
-    sources = shards.groupBy("source").agg(F.sum("shard_size").alias("source_size"))
-    if sources.count() > MOST_SOURCES:
-        raise ValueError(f"a mix of more than {MOST_SOURCES} sources")
-    targets = source_targets(sources, cycle, most)
-    targets = targets.withColumns({"_all": F.lit(0), "most_words": most * F.col("source_size")})
-    targets = targets.withColumn("all_words", F.round(F.sum("target").over(Window.partitionBy())).cast("bigint"))
-    quotas = apportioned(targets, ["_all"], "source", "target", "all_words", "source_words", "most_words")
+    targets = written(source_targets(shards.groupBy("source").agg(F.sum("shard_size").alias("source_size")), cycle, most), "targets")
+    total = round(targets.agg(F.sum("target")).head()[0] or 0)
+    targets = targets.withColumns({"most_words": most * F.col("source_size"), "all_words": F.lit(total).cast("bigint")})
+    quotas = apportioned(targets, [], "source", "target", "all_words", "source_words", "most_words")
     # fewer words than a pass over the source are never more than a shard's own
     passes = F.coalesce(F.floor(F.col("source_words") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("bigint")
     quotas = quotas.withColumn("passes", passes).withColumn("rest", F.col("source_words") - F.col("passes") * F.col("source_size"))
-    parts = shards.alias("s").join(quotas.alias("q"), F.col("s.source").eqNullSafe(F.col("q.source"))).select("s.source", "s.shard", "s.shard_size", "q.source_size", "q.target", "q.passes", "q.rest")
+    parts = _matched(shards, quotas.select("source", "source_size", "target", "passes", "rest"), ["source"])
     parts = apportioned(parts, ["source"], "shard", "shard_size", "rest", "run", "shard_size")
-    parts = parts.withColumn("from", F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest(F.lit(1), "shard_size")))
+    seeded = F.xxhash64(F.lit(seed), "source", "shard")
+    parts = parts.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("shard_size") / BLOCK)).cast("bigint"))
+    prime = F.array(*(F.lit(p).cast("bigint") for p in _PRIMES))[F.pmod(F.shiftright(seeded, 40), F.lit(len(_PRIMES))).cast("int")]
+    parts = parts.withColumns({"prime": prime, "shift": F.pmod(seeded, "n_blocks")})
     order = Window.partitionBy("source", "shard").orderBy("line", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    same = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.shard") == F.col("p.shard"))
-    rows = placed.alias("d").join(parts.alias("p"), same)
-    # the run goes from `from` to `from + run` and, past the line's end, on from 0
-    shared = lambda low, high: F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), high) - F.greatest(F.col("at"), low))
-    first = shared(F.col("from"), F.col("from") + F.col("run"))
-    second = shared(F.lit(0), F.col("from") + F.col("run") - F.col("shard_size"))
-    rows = rows.withColumns({"first_words": first, "second_words": second})
-    start = F.when((F.col("first_words") > 0) & (F.col("second_words") == 0), F.greatest(F.col("from") - F.col("at"), F.lit(0))).otherwise(0)
-    # a document that the run leaves and enters again gives its last words, then its first: as one run from the later start, around
-    start = F.when((F.col("first_words") > 0) & (F.col("second_words") > 0), F.greatest(F.col("from") - F.col("at"), F.lit(0))).otherwise(start)
-    run = F.col("first_words") + F.col("second_words")
-    return rows.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("passes") * F.col("size") + run).alias("taken"), "passes", start.alias("run_start"), run.alias("run_words"), F.col("d.source").alias("mixed_source"), "line")
+    rows = _matched(sizes.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0))), parts, ["source", "shard"])
+
+    def part(j: Column) -> Column:
+        begin = j * BLOCK
+        words = _overlap(F.col("at"), F.col("at") + F.col("size"), begin, begin + _chosen_words(j))
+        return F.struct(F.greatest(begin - F.col("at"), F.lit(0)).alias("start"), words.alias("words"))
+
+    blocks = F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK))
+    every = F.filter(F.transform(blocks, part), lambda p: p["words"] > 0)
+    rows = rows.withColumn("parts", F.when((F.col("size") > 0) & (F.col("run") > 0), every).otherwise(F.filter(F.array(part(F.lit(0).cast("bigint"))), lambda _: F.lit(False))))
+    rows = rows.withColumn("part_words", F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + p["words"]))
+    return rows.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part_words")).alias("taken"), "passes", "parts", "part_words", F.col("source").alias("mixed_source"), "line")
 
 
 def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each whole pass of a document, and one for the words of its run, blanks between them, with n_chars of its own."""
+    """The mix itself, with the columns of docs: a row for each whole pass of a document and for each of its parts, words with blanks between them and n_chars of their own.
+
+    Parts that make up the whole document are one more pass. Rows without words, so null and empty texts too, give
+    nothing; rows without an id or a source, repeated rows and very long texts are documents like others; an empty table
+    stays empty."""
     shares = mixed(docs, cycle, most, seed)
     number = F.row_number().over(Window.partitionBy("line").orderBy("mixed_source", "taken"))
-    shares = shares.where("taken > 0").withColumn("twin", number).select("line", "twin", "passes", "run_start", "run_words", "size")
+    shares = shares.where("taken > 0").withColumn("twin", number).select("line", "twin", "passes", "parts", "part_words", "size")
     rows = docs.select(F.struct(*docs.columns).alias("doc"))  # so that no name of docs clashes
     line = F.xxhash64(F.lit(seed), F.col("doc.doc_id").cast("bigint"), F.xxhash64("doc.text"))
     rows = rows.withColumn("line", line).withColumn("twin", F.row_number().over(Window.partitionBy("line").orderBy("doc.source")))
     rows = rows.join(shares, ["line", "twin"])
-    whole = F.array_repeat(F.lit(True), (F.col("passes") + (F.col("run_words") == F.col("size")).cast("int")).cast("int"))
-    part = F.when((F.col("run_words") > 0) & (F.col("run_words") < F.col("size")), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>"))
-    rows = rows.withColumn("whole", F.explode(F.concat(whole, part)))
+    covered = F.col("part_words") == F.col("size")
+    none = F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("words"))  # the text as it is
+    whole = F.array_repeat(none, (F.col("passes") + covered.cast("int")).cast("int"))
+    rows = rows.withColumn("part", F.explode(F.concat(whole, F.when(covered, F.slice("parts", 1, 0)).otherwise(F.col("parts")))))
     words = F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0))
-    run = let(words, lambda w: F.array_join(F.slice(F.concat(w, w), (F.col("run_start") + 1).cast("int"), F.col("run_words").cast("int")), " "))
-    rows = rows.withColumn("run", F.when(~F.col("whole"), run))
-    fresh = {"text": F.coalesce("run", "doc.text"), "n_chars": F.coalesce(F.char_length("run").cast("bigint"), "doc.n_chars") if "n_chars" in docs.columns else None}
+    cut = F.array_join(F.slice(words, (F.col("part.start") + 1).cast("int"), F.col("part.words").cast("int")), " ")
+    rows = rows.withColumn("cut", F.when(F.col("part.words") > 0, cut))
+    fresh = {"text": F.coalesce("cut", "doc.text"), "n_chars": F.coalesce(F.char_length("cut").cast("bigint"), "doc.n_chars") if "n_chars" in docs.columns else None}
     return rows.select(*(fresh.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns))
 
 
