@@ -2,7 +2,7 @@
 
 Only the histogram of piece lengths, at most `capacity` numbers, reaches the driver. There, patterns of a few lengths
 that fill a sequence closely are enumerated, their repeat counts are fitted to the histogram by non-negative least
-squares and rounded down, and what is left is packed best fit, longest first, whole counts of equal lengths at a time.
+squares and rounded to the nearest that is left, and the rest is packed best fit, longest first, whole counts of equal lengths at a time.
 The plan says, for each length, which ranks go to which sequence and offset; ranks are given out over hashed shards, so
 neither a common length nor a common document meets in one task.
 """
@@ -23,8 +23,10 @@ from .common import bytes_of, slices, table, written
 from .tokens import GROUP_BYTES, id_encoder
 
 Pattern = tuple[int, ...]
-#: Lengths in a fitted pattern, second lengths tried for each first, unused share that a pattern may have, sweeps of the fit, and shards for ranks.
-FEW, SECONDS, WASTE, SWEEPS, SHARDS = 4, 12, 1 / 64, 25, 256
+#: Lengths in a fitted pattern, second lengths tried for each first, unused share that a pattern may have, shards for ranks.
+FEW, SECONDS, WASTE, SHARDS = 4, 12, 1 / 64, 256
+#: Steps of the fit at most, and patterns that come in at a step.
+STEPS, ENTER = 400, 48
 
 
 def patterns(lengths: list[int], capacity: int) -> list[Pattern]:
@@ -43,20 +45,50 @@ def patterns(lengths: list[int], capacity: int) -> list[Pattern]:
     return sorted(found, reverse=True)
 
 
-def fit(found: list[Pattern], histogram: np.ndarray) -> list[float]:
-    """Repeat counts x >= 0 that bring the patterns' lengths close to the histogram in the least squares sense, by coordinate descent."""
-    columns = [[(n, float(p.count(n))) for n in set(p)] for p in found]
-    norms = [sum(c * c for _, c in col) for col in columns]
-    x, left = [0.0] * len(found), histogram.astype(float).tolist()
-    for _ in range(SWEEPS):
-        for j, col in enumerate(columns):
-            step = sum(c * left[n] for n, c in col) / norms[j]
-            if step < -x[j]:
-                step = -x[j]
-            if step:
-                x[j] += step
-                for n, c in col:
-                    left[n] -= step * c
+def fit(found: list[Pattern], histogram: np.ndarray) -> np.ndarray:
+    """Repeat counts x >= 0 that bring the patterns' lengths closest to the histogram in the least squares sense, by the active set method.
+
+    Patterns whose lengths are wanted most come in, some at a time; the least squares fit of those that are in is taken
+    as far as all stay above zero, and a pattern that comes to zero goes out. So no more patterns than lengths are left,
+    and their counts are large enough to be rounded."""
+    sets = [sorted(set(p)) for p in found]
+    col = np.repeat(np.arange(len(found)), [len(x) for x in sets])
+    row = np.array([n for x in sets for n in x], np.int64)
+    times = np.array([float(p.count(n)) for p, x in zip(found, sets, strict=True) for n in x])
+    norm = np.sqrt(np.bincount(col, times * times, len(found)))
+    x, wanted = np.zeros(len(found)), np.asarray(histogram, float)
+    active = np.zeros(0, np.int64)
+    matrix, gram = np.zeros((len(wanted), 0)), np.zeros((0, 0))
+    for _ in range(STEPS if len(found) else 0):
+        left = wanted - np.bincount(row, times * x[col], len(wanted))
+        gain = np.bincount(col, times * left[row], len(found)) / norm
+        gain[active] = 0
+        fresh, taken = [], set()
+        for j in np.argsort(-gain, kind="stable")[: 4 * ENTER].tolist():
+            if gain[j] > 1e-6 and len(fresh) < ENTER and taken.isdisjoint(sets[j]):
+                fresh.append(j)
+                taken.update(sets[j])
+        if not fresh:
+            break
+        more = np.zeros((len(wanted), len(fresh)))
+        for i, j in enumerate(fresh):
+            for n in found[j]:
+                more[n, i] += 1
+        cross = matrix.T @ more
+        gram = np.block([[gram, cross], [cross.T, more.T @ more]])
+        matrix, active = np.hstack([matrix, more]), np.append(active, fresh)
+        while len(active):
+            best = np.linalg.solve(gram + 1e-9 * np.eye(len(active)), matrix.T @ wanted)
+            now, low = x[active], best <= 0
+            if not low.any():
+                x[active] = best
+                break
+            now = now + np.min(now[low] / (now[low] - best[low])) * (best - now)
+            keep = now > 1e-12
+            if keep.all():
+                keep[np.argmin(np.where(low, now, np.inf))] = False
+            x[active] = np.where(keep, now, 0.0)
+            matrix, gram, active = matrix[:, keep], gram[np.ix_(keep, keep)], active[keep]
     return x
 
 
@@ -103,8 +135,8 @@ def plan(histogram: list[int], capacity: int) -> list[tuple[Pattern, int]]:
     left[capacity] = 0
     present = [n for n in range(1, capacity) if left[n]]
     found = patterns(present, capacity)
-    for x, p in sorted(zip(fit(found, np.array(left)), found, strict=True), reverse=True):
-        n = min([int(x), *(left[k] // p.count(k) for k in set(p))])
+    for x, p in sorted(zip(fit(found, np.array(left)).tolist(), found, strict=True), reverse=True):
+        n = min([int(x + 0.5), *(left[k] // p.count(k) for k in set(p))])
         if n > 0:
             out.append((p, n))
             for k in p:
@@ -145,7 +177,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
 
 
 def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to a table of pieces with doc_id, piece, start, length (1 to capacity) and ids_crc32, which is read twice.
+    """Adds sequence_id and offset to a table of pieces with doc_id, piece, start, length (1 to capacity), ids_crc32 and maybe ids, which is read twice.
 
     Sequences are filled from offset 0 without gaps and hold at most `capacity`. Repeated rows and ids are pieces of
     their own; an empty table stays empty."""
@@ -160,35 +192,32 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     counts = rows.groupBy("length", "shard").count().select("length", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = rows.join(counts, ["length", "shard"]).withColumn("rank", F.col("base") + F.row_number().over(order) - 1)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    key = F.shiftleft(F.col("length"), 44).bitwiseOR(F.col("rank")).alias("key")
+    names = [*cut.columns, "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, base, offset = shared.value
         for batch in batches:
-            key = np.left_shift(batch.column(3).to_numpy(), 44) | batch.column(5).to_numpy()
+            key = batch.column(0).to_numpy()
             at = np.searchsorted(keys, key, "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(base[at] + key - keys[at]), pa.array(offset[at])], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(base[at] + key - keys[at]), pa.array(offset[at])], names)
 
-    return ranked.select(*names, "rank").mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
+    return ranked.select(key, *cut.columns).mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, (ids, little-endian 4-byte integers,) sequence_id, offset.
 
     A null text is empty: its one piece is end_id. Null and repeated doc_ids stay, row by row. Very long texts become
     many pieces. An empty table gives no rows. Other columns are ignored, whatever their names."""
-    return pack(written(pieces(docs, path, capacity, end_id, id_col, text), "pieces"), capacity).withColumnRenamed("doc_id", id_col)
+    return pack(written(pieces(docs, path, capacity, end_id, id_col, text, with_ids), "pieces"), capacity).withColumnRenamed("doc_id", id_col)
 
 
 def sequences(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """The packed sequences themselves: sequence_id, n_tokens, and parts in order (offset, doc_id, piece, ids as little-endian 4-byte integers)."""
-    cut = written(pieces(docs, path, capacity, end_id, with_ids=True), "pieces")
-    keys = ["doc_id", "piece", "start", "ids_crc32"]
-    placed = pack(cut.drop("ids"), capacity)
-    one = lambda df: df.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("length")))  # noqa: E731  repeated rows pair off
-    joined = one(placed).alias("a").join(one(cut.select(*keys, "length", "ids")).alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "copy"]])
-    part = F.struct("a.offset", "a.doc_id", "a.piece", "b.ids")
-    return joined.groupBy("a.sequence_id").agg(F.sum("a.length").alias("n_tokens"), F.sort_array(F.collect_list(part)).alias("parts"))
+    """The packed sequences themselves: sequence_id, n_tokens, and parts in order (offset, doc_id, piece, ids as little-endian 4-byte integers). What goes for pack_documents goes here."""
+    part = F.struct("offset", "doc_id", "piece", "ids")
+    return pack_documents(docs, path, capacity, end_id, with_ids=True).groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(part)).alias("parts"))
 
 
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
