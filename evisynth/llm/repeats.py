@@ -2,8 +2,9 @@
 documents, and sentences that a repeated run other than its first covers are removed.
 
 From each sentence a run goes forward, and to each sentence one comes from behind, until it has SENTENCES sentences and
-WORDS words; a sentence of LONG words is a run by itself. So a repeated passage that ends where sentences end is covered
-from its first sentence to its last. Only hashes, ids and sentence numbers are shuffled until documents are rewritten.
+WORDS words. So a repeated passage of at least that size that ends where sentences end is covered from its first sentence
+to its last; shorter repeats and single sentences are left alone. Runs are known by 128-bit hashes. Only hashes, ids and
+sentence numbers are shuffled until documents are rewritten.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import bytes_of, slices, table, written
 from .tokens import GROUP_BYTES
 
-SENTENCES, WORDS, LONG = 2, 20, 25
+#: Sentences and words of a run at least.
+SENTENCES, WORDS = 2, 20
 _BETWEEN = re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]+|\s*\n\s*")
 
 
@@ -34,7 +36,7 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
     return [*out, (at, end)] if at < end else out
 
 
-def runs(text: bytes) -> tuple[list[int], list[int], list[int]]:
+def runs(text: bytes) -> tuple[list[bytes], list[int], list[int]]:
     """(hash, first sentence, last sentence) of each run of a text. White space within sentences does not count."""
     import xxhash
 
@@ -42,7 +44,7 @@ def runs(text: bytes) -> tuple[list[int], list[int], list[int]]:
     words = [text[a:b].split() for a, b in spans]
     if not words:
         return [], [], []
-    raw = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words], np.uint64).tobytes()
+    raw = b"".join([xxhash.xxh3_128_digest(b" ".join(w)) for w in words])
     n = np.array([len(w) for w in words])
     upto = np.concatenate([[0], np.cumsum(n)])
     place = np.arange(len(n))
@@ -50,9 +52,8 @@ def runs(text: bytes) -> tuple[list[int], list[int], list[int]]:
     first = np.minimum(np.searchsorted(upto, upto[1:] - WORDS, "right") - 1, place - SENTENCES + 1)  # back from each
     pairs = {(i, j) for i, j in zip(place.tolist(), last.tolist(), strict=True) if j < len(n)}
     pairs |= {(i, j) for i, j in zip(first.tolist(), place.tolist(), strict=True) if i >= 0}
-    pairs |= {(i, i) for i in np.flatnonzero(n >= LONG).tolist()}
     order = sorted(pairs)
-    return [xxhash.xxh3_64_intdigest(raw[8 * i : 8 * j + 8]) - (1 << 63) for i, j in order], [i for i, _ in order], [j for _, j in order]
+    return [xxhash.xxh3_128_digest(raw[16 * i : 16 * j + 16]) for i, j in order], [i for i, _ in order], [j for _, j in order]
 
 
 def all_runs(docs: DataFrame) -> DataFrame:
@@ -64,11 +65,11 @@ def all_runs(docs: DataFrame) -> DataFrame:
             for at, end in slices(texts, GROUP_BYTES):
                 found = [runs(t) for t in texts[at:end]]
                 times = pa.array(np.repeat(np.arange(at, end), [len(f[0]) for f in found]))
-                columns = [pa.array([x for f in found for x in f[i]], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+                columns = [pa.array([x for f in found for x in f[i]], kind) for i, kind in enumerate((pa.binary(), pa.int32(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([columns[0], batch.column(0).take(times), batch.column(1).take(times), *columns[1:]], ["hash", "doc_id", "content", "first", "last"])
             pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(cut, "hash bigint, doc_id bigint, content bigint, first int, last int")
+    return docs.mapInArrow(cut, "hash binary, doc_id bigint, content bigint, first int, last int")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,9 +78,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     The first of equal runs is that of the least id, and in a document the earliest; it stays, but for sentences that a
     later run covers too. Removed sentences go with the white space behind them. A null text stays null and has no
     sentences, as an empty one has; rows without an id are left as they are and are nobody's first. Rows that repeat
-    both id and text are one document and are cut alike. An empty table gives no rows; other columns are ignored."""
+    both id and text are one document and are cut alike. Very long texts are cut whole. An empty table gives no rows;
+    other columns are ignored."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
-    found = all_runs(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"))
+    found = written(all_runs(rows.where("doc_id IS NOT NULL AND text IS NOT NULL")), "all-runs")
     # both sides of each large join are dealt out for it alone, so that a common hash's rows can be split over tasks
     again = written(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated")
     repeated = written(found.join(again.hint("merge"), "hash"), "runs")
