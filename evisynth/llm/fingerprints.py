@@ -17,6 +17,8 @@ from .common import bucket_of, id_bounds, let, partitions, table
 
 #: Units of a gram and grams of a window: matches of K + W - 1 = 12 units are found for sure.
 K, W = 5, 8
+#: Bytes of text in a bucket of documents that follow each other, about.
+BUCKET_BYTES = 128 << 20
 _ALONE = r"⺀-鿿가-힯豈-﫿"
 UNIT = rf"[{_ALONE}]|[^\x20\x09-\x0D{_ALONE}]+"
 _LOW = (1 << 32) - 1
@@ -46,11 +48,24 @@ def gram_hashes(text: Column, k: int = K) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= k, grams(h)).when(F.size(h) > 0, whole(h)).otherwise(F.array().cast("array<bigint>")))
 
 
+def _least(grams: Column, w: int) -> Column:
+    """The least of every w numbers in a row, by doubling: least ones of 1, 2, 4, ... numbers, then of two such runs that overlap."""
+
+    def grown(d: Column, size: int = 1) -> Column:
+        if size == w:
+            return d
+        step = min(size, w - size)
+        pairs = lambda x, n: F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(step + 1), n), lambda p, q: F.least(p, q))
+        return let(d, lambda x: grown(pairs(x, F.size(x) - step), size + step))
+
+    return grown(grams)
+
+
 def winnowed(text: Column, k: int = K, w: int = W) -> Column:
     """The fingerprint: kept grams in order of position, as numbers that hold hash and position."""
     number = lambda h, i: F.shiftleft(F.xxhash64(h).bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(F.lit(_LOW) - i.cast("bigint"))
-    least = lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - (w - 1), F.lit(1))), lambda i: F.array_min(F.slice(g, i, w)))
-    return let(F.transform(gram_hashes(text, k), number), lambda g: F.when(F.size(g) > 0, F.array_distinct(least(g))).otherwise(g))
+    kept = lambda g: F.when(F.size(g) >= w, F.array_distinct(_least(g, w))).when(F.size(g) > 0, F.array(F.array_min(g))).otherwise(g)
+    return let(F.transform(gram_hashes(text, k), number), kept)
 
 
 def hash_of(number: Column) -> Column:
@@ -84,12 +99,17 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, Column]:
     """docs (doc_id, text) in buckets of ascending doc_id, and the column that tells the rows that only close a bucket.
 
     The first row of each bucket stands once more at the end of the one before, the first of all at the end of the last,
-    so lead() within buckets gives every row the next document; no row needs the whole table in one task."""
+    so lead() within buckets gives every row the next document; no row needs the whole table in one task. Rows without
+    doc_id have buckets of their own by their text, below 0."""
     spark = docs.sparkSession
-    bounds = id_bounds(docs, "doc_id", 4 * partitions(spark, spark.sparkContext.defaultParallelism))
-    keyed = docs.withColumn("bucket", bucket_of(F.col("doc_id"), bounds)).withColumn("first", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    n = max(4 * partitions(spark, spark.sparkContext.defaultParallelism), -(-size // BUCKET_BYTES))
+    bounds = id_bounds(docs, "doc_id", n)
+    keyed = docs.withColumn("first", F.xxhash64("text"))
+    apart = -1 - F.pmod("first", F.lit(n)).cast("int")
     if not bounds:  # no ids, or no rows
-        return keyed.withColumns({"closes": F.lit(False), "wraps": F.lit(0)}), F.col("closes")
+        return keyed.withColumns({"bucket": apart, "closes": F.lit(False), "wraps": F.lit(0)}), F.col("closes")
+    keyed = keyed.withColumn("bucket", F.when(F.col("doc_id").isNull(), apart).otherwise(bucket_of(F.col("doc_id"), bounds)))
     last = len(bounds) - 1
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("closes"), F.lit(0).alias("wraps"))
     again = F.struct(F.when(F.col("bucket") == 0, last).otherwise(F.col("bucket") - 1).alias("bucket"), F.lit(True).alias("closes"), F.when(F.col("bucket") == 0, 1).otherwise(0).alias("wraps"))
@@ -104,12 +124,17 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows without doc_id come first; of repeated doc_ids, which follows which is settled by the texts' hashes."""
+    """A row for each document. Of repeated doc_ids, which follows which is settled by the texts' hashes; a document without doc_id has no place in the order: its own text follows it, and it follows none.
+
+    Null texts are empty; an empty text's fingerprint and edited text are empty, and two empty fingerprints are alike (1).
+    Very long texts are taken whole; the last document is followed by the first, an only one by itself; an empty table
+    gives no rows."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows, closes = with_next(docs)
     order = Window.partitionBy("bucket").orderBy("wraps", "doc_id", "first", "closes")
-    rows = rows.withColumn("next", F.coalesce(F.lead("text").over(order), F.col("text")))
+    follows = lambda c: F.coalesce(F.when(F.col("doc_id").isNotNull(), F.lead(c).over(order)), F.col(c))
+    rows = rows.withColumn("next", follows("text"))
     rows = rows.withColumns({"grams": winnowed(F.col("text")), "edited": edited(F.col("text"), F.col("next")), "n_chars": F.char_length("text").cast("bigint")})
-    rows = rows.withColumn("next_grams", F.coalesce(F.lead("grams").over(order), F.col("grams"))).where(~closes)
+    rows = rows.withColumn("next_grams", follows("grams")).where(~closes)
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "grams", "next_grams", winnowed(F.col("edited")).alias("edited_grams"))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("grams")).alias("fingerprint"), as_string(F.col("edited_grams")).alias("edited_fingerprint"), likeness(F.col("grams"), F.col("edited_grams")).alias("near_edited"), likeness(F.col("grams"), F.col("next_grams")).alias("near_next"))
