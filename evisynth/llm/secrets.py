@@ -90,10 +90,17 @@ def trigram_query(pattern: str) -> Clauses:
     return ALL if frozenset() in least else sorted(least, key=sorted)
 
 
+def _any_of(grams: list[str]) -> str:
+    """A look-ahead for any of the trigrams, by first letter, so that overlapping ones are all found in one pass."""
+    by: dict[str, list[str]] = {}
+    for g in grams:
+        by.setdefault(g[0], []).append(re.escape(g[1:]))
+    return "(?=(" + "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in by.items()) + "))"
+
+
 def trigram_index(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Postings (gram, doc_id) of the given lower-case trigrams over whole texts."""
-    known = F.array(*(F.lit(g) for g in grams))
-    held = let(F.lower(F.col(text)), lambda low: F.filter(known, lambda g: F.contains(low, g)))
+    held = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_any_of(grams)), F.lit(1)))
     return docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.explode(held).alias("gram"), F.col(id_col).alias("doc_id"))
 
 
@@ -110,7 +117,8 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
     """The rule's matches, leftmost and not overlapping, as (start, kind number, end) in code points, end exclusive; too short ones are left out."""
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     pattern = F.lit(rule.pattern)
-    between, found, values = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    between, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    values = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
 
     def walk(x: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
@@ -130,8 +138,9 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
 def found_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `secrets`: all spans by start, then kind as listed, as (start, kind number, end).
 
-    A null text has none. Texts of a null id are verified by every rule, as no posting names them; rows that share an id
-    share their candidate rules, and each is verified by its own text. Other columns stay."""
+    A null or empty text has none; very long ones are scanned whole. Texts of a null id are verified by every rule, as no
+    posting names them; rows that share an id share their candidate rules, and each is verified by its own text. Other
+    columns stay; an empty table stays empty."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {kind: c for kind, c in queries.items() if c != ALL}
     grams = sorted({g for clauses in indexed.values() for c in clauses for g in c})
