@@ -80,6 +80,20 @@ def test_token_files(edge, spark):
     assert token_files.read_token_files(token_files.write_token_files(edge.limit(0), BYTE, new_folder(spark, "t"))).count() == 0
 
 
+def test_patterns_place_most_of_a_small_table(docs):
+    lengths = [min(r["length"], 2047) for r in packing.pieces(docs, WORD).select("length").collect()]
+    h = np.bincount(lengths, minlength=2049)
+    found = packing.patterns(np.flatnonzero(h).tolist(), 2048)
+    x = packing.fit(found, h)
+    assert x.min() >= 0 and (x > 0).sum() <= (h > 0).sum()  # no more patterns than lengths
+    left = h.astype(float)
+    for n, p in zip(x, found, strict=True):
+        np.subtract.at(left, list(p), n)
+    assert np.linalg.norm(left) < 0.5 * np.linalg.norm(h)
+    planned = packing.plan(h.tolist(), 2048)
+    assert sum(n for _, n in planned) <= -(-int((h * np.arange(2049)).sum()) // 2048) + 1
+
+
 def test_plan_covers_the_histogram():
     for seed in range(5):
         r = np.random.default_rng(seed)
@@ -172,6 +186,22 @@ def test_near_duplicates_edges(edge):
     assert one.columns == edge.columns and one.where("text LIKE 'same text%'").count() == 1
 
 
+def test_one_of_each_keeps_the_right_rows(spark, edge):
+    a, b, c = "a b c d e f", "quite another text of some words", "and a third one that is unlike them all"
+    long_a = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None, 0), (1, None, 0), (1, a, 0), (2, a.upper(), 0), (3, b, 0), (3, c, 0), (None, c, 0), (None, "no id " * 9, 1), (None, "no id " * 9, 1), (4, "", 0), (-5, long_a, 0), (7, long_a + " x", 0), (None, long_a, 0), (9, long_a, 2), (9, long_a, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    want = [(1, None, 0), (1, None, 0), (1, a, 0), (3, b, 0), (3, c, 0), (None, "no id " * 9, 1), (4, "", 0), (-5, long_a, 0)]
+    for parts in (1, 7):
+        got = near_dups.one_of_each(df.repartition(parts)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(df).collect()}
+    assert {(3, 2, 3, True), (3, 5, 3, True), (None, 5, 3, False), (2, 2, 1, False), (1, 0, 1, True), (None, 56, -5, False)} <= found
+    kept = near_dups.one_of_each(edge).collect()
+    every = {tuple(r) for r in edge.collect()}
+    assert {tuple(r) for r in kept} == every - {r for r in every if r[0] == 6} and len(kept) == len(every) - 1
+
+
 def test_super_minhash_estimates_and_slots():
     a = near_dups._mix(np.arange(2000, dtype=np.uint64))
     b = near_dups._mix(np.arange(500, 2500, dtype=np.uint64))
@@ -211,7 +241,13 @@ def test_edited_texts(spark, sf, texts):
     prints = defaultdict(set)
     for r in rows:
         prints[texts[r["doc_id"]]].add(r["fingerprint"])
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    every = {r["doc_id"]: r for r in rows}
+    hashes = lambda x: {p.split(":")[0] for p in x.split()}
+    alike = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    for a, b in zip(sorted(texts), sorted(texts)[1:] + sorted(texts)[:1], strict=True):
+        own = hashes(every[a]["fingerprint"])
+        assert every[a]["near_edited"] == pytest.approx(alike(own, hashes(every[a]["edited_fingerprint"])))
+        assert every[a]["near_next"] == pytest.approx(alike(own, hashes(every[b]["fingerprint"])))
     assert all(len(x) == 1 for x in prints.values())
 
 
@@ -239,7 +275,8 @@ def test_mixing(edge, docs):
             size[r["mixed_source"]] += r["size"]
             taken[r["mixed_source"]] += r["taken"]
             target[r["mixed_source"]] = r["target"]
-            assert 0 <= r["taken"] <= 3 * r["size"] and 0 <= r["run_words"] <= r["size"]
+            assert 0 <= r["taken"] <= 3 * r["size"] and 0 <= r["part_words"] <= r["size"]
+            assert all(0 <= p["start"] and p["words"] > 0 and p["start"] + p["words"] <= r["size"] for p in r["parts"])
         want = water(size)
         assert target == pytest.approx(want)
         assert all(abs(taken[s] - t) <= 0.02 * t + 1 for s, t in want.items())
@@ -266,6 +303,27 @@ def test_mixing_capped_source(spark, small):
     assert all(abs(taken[s] - t) <= 1 for s, t in target.items()) and sum(taken.values()) == sum(n for _, n in sizes)
 
 
+def test_mixing_many_sources(spark):
+    """200,000 sources of one document each: no task sees them all, and no source is lost."""
+    df = spark.range(200_000).selectExpr("id AS doc_id", "concat('s', id) AS source", "'one two three' AS text")
+    got = mixing.mixed(df).selectExpr("count(*) AS n", "sum(taken) AS t", "sum(target) AS a", "max(abs(taken - target)) AS off", "count(DISTINCT target) AS k").head()
+    assert got["n"] == 200_000 and got["t"] == 600_000 and got["a"] == pytest.approx(600_000) and got["off"] <= 1 and got["k"] == 3
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sainte_lague_with_caps(spark, seed):
+    r = random.Random(seed)
+    votes = {f"i{k}": r.choice([1, 2, 3, 10, 50, 400]) for k in range(r.randint(2, 40))}
+    total = r.randint(1, sum(votes.values()))
+    df = spark.createDataFrame([(i, float(v), total, v) for i, v in votes.items()], "item string, votes double, seats long, most long")
+    want = dict.fromkeys(votes, 0)
+    for _ in range(total):
+        want[min((i for i in votes if want[i] < votes[i]), key=lambda i: (-votes[i] / (2 * want[i] + 1), i))] += 1
+    for group in ([], ["g"]):
+        got = mixing.apportioned(df.withColumn("g", F.lit(None).cast("string")), group, "item", "votes", "seats", "quota", "most")
+        assert {x["item"]: x["quota"] for x in got.collect()} == want
+
+
 @pytest.mark.parametrize("seats", [1, 7, 50, 333])
 def test_sainte_lague(spark, seats):
     votes = {f"i{k}": v for k, v in enumerate([1, 5, 5, 17, 100, 0, 3, 333])}
@@ -369,7 +427,7 @@ def test_repeats_against_brute_force(spark, texts, edge):
     for i, t in rows.items():
         b = t.encode()
         w = [b[x:y].split() for x, y in repeats.sentences(b)]
-        keys = {(k, k) for k in range(len(w)) if len(w[k]) >= 25}
+        keys = set()
         for k in range(len(w)):
             for ends in ([(k, j) for j in range(k, len(w))], [(j, k) for j in range(k, -1, -1)]):
                 keys |= set([(a, z) for a, z in ends if z - a >= 1 and sum(map(len, w[a : z + 1])) >= 20][:1])
