@@ -16,19 +16,19 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the base rules or the cascade reject go."""
+    """Rows that the base rules or the cascade reject go: null and empty texts too, as they are short. Rows without an id, repeated rows and very long texts are judged like others; an empty table stays empty."""
     session.ship(spark)
     return quality.keep_good(docs)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more. Rows without words stay, and one of equal rows; ids that stand for several texts join nothing; an empty table stays empty."""
     session.ship(spark)
     return near_dups.one_of_each(docs, percent=80)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret is replaced by a mask; n_chars follows."""
+    """Every secret is replaced by a mask; n_chars follows. Null and empty texts stay as they are; rows without an id, repeated rows and very long texts are scanned whole; an empty table stays empty."""
     found = secrets.found_secrets(docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc")))
     hit = F.size("secrets") > 0
     rows = found.withColumn("masked", F.when(hit, secrets.masked(F.col("text"), F.col("secrets"))))
@@ -37,14 +37,14 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source gives its target of words: whole documents, repeated where the mix takes more, and one run of words at most."""
+    """Each source gives its target of words: whole documents, repeated where the mix takes more, and parts of documents. Rows without words give nothing; rows without an id or a source take part; an empty table stays empty."""
     return mixing.mix_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
+    """Token pieces with their ids, sequence and offset. A null text is one end id; rows without an id, repeated rows and very long texts are packed like others; an empty table gives no rows."""
     session.ship(spark)
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), with_ids=True)
 
 
 STAGES = [("quality rules", good), ("near duplicates", unlike), ("secrets", masked), ("mixing", mixed), ("packing", packed)]
