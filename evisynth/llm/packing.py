@@ -25,8 +25,8 @@ from .tokens import GROUP_BYTES, id_encoder
 Pattern = tuple[int, ...]
 #: Lengths in a fitted pattern, second lengths tried for each first, unused share that a pattern may have, shards for ranks.
 FEW, SECONDS, WASTE, SHARDS = 4, 12, 1 / 64, 256
-#: Steps of the fit at most, and patterns that come in at a step.
-STEPS, ENTER = 400, 48
+#: Steps of the fit, patterns that come in at a step, rounds of a least squares solution, each at most.
+STEPS, ENTER, SOLVE = 60, 64, 150
 
 
 def patterns(lengths: list[int], capacity: int) -> list[Pattern]:
@@ -45,51 +45,64 @@ def patterns(lengths: list[int], capacity: int) -> list[Pattern]:
     return sorted(found, reverse=True)
 
 
+def _least_squares(row: np.ndarray, col: np.ndarray, times: np.ndarray, wanted: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The counts that bring the columns (sparse: row, column, times) closest to `wanted`, by conjugate gradients from `start`."""
+    of = lambda v: np.bincount(row, times * v[col], len(wanted))
+    x, left = start.copy(), wanted - of(start)
+    down = slope = np.bincount(col, times * left[row], len(x))
+    size = first = float(slope @ slope)
+    for _ in range(SOLVE):
+        if size <= 1e-10 * first or size == 0:
+            break
+        moved = of(down)
+        step = size / float(moved @ moved)
+        x, left = x + step * down, left - step * moved
+        slope = np.bincount(col, times * left[row], len(x))
+        size, last = float(slope @ slope), size
+        down = slope + size / last * down
+    return x
+
+
 def fit(found: list[Pattern], histogram: np.ndarray) -> np.ndarray:
-    """Repeat counts x >= 0 that bring the patterns' lengths closest to the histogram in the least squares sense, by the active set method.
+    """Repeat counts x >= 0 that bring the patterns' lengths close to the histogram in the least squares sense, by an active set.
 
-    Patterns whose lengths are wanted most come in, some at a time; the least squares fit of those that are in is taken
-    as far as all stay above zero, and a pattern that comes to zero goes out. So no more patterns than lengths are left,
-    and their counts are large enough to be rounded."""
+    At each step the patterns whose lengths are wanted most come in, no two of one length; of those that are in, the ones
+    that a least squares fit puts at zero or below go out until none is. The closest fit of all steps is taken. So few
+    more patterns than lengths are ever in, and their counts are large enough to be rounded."""
     sets = [sorted(set(p)) for p in found]
     col = np.repeat(np.arange(len(found)), [len(x) for x in sets])
     row = np.array([n for x in sets for n in x], np.int64)
     times = np.array([float(p.count(n)) for p, x in zip(found, sets, strict=True) for n in x])
     norm = np.sqrt(np.bincount(col, times * times, len(found)))
-    x, wanted = np.zeros(len(found)), np.asarray(histogram, float)
-    active = np.zeros(0, np.int64)
-    matrix, gram = np.zeros((len(wanted), 0)), np.zeros((0, 0))
+    wanted = np.asarray(histogram, float)
+    x = best = np.zeros(len(found))
+    closest = float(np.linalg.norm(wanted))
     for _ in range(STEPS if len(found) else 0):
         left = wanted - np.bincount(row, times * x[col], len(wanted))
         gain = np.bincount(col, times * left[row], len(found)) / norm
-        gain[active] = 0
-        fresh, taken = [], set()
+        gain[x > 0] = 0
+        active, taken, fresh = x > 0, set(), 0
         for j in np.argsort(-gain, kind="stable")[: 4 * ENTER].tolist():
-            if gain[j] > 1e-6 and len(fresh) < ENTER and taken.isdisjoint(sets[j]):
-                fresh.append(j)
+            if gain[j] > 1e-6 and fresh < ENTER and taken.isdisjoint(sets[j]):
+                active[j] = True
                 taken.update(sets[j])
+                fresh += 1
         if not fresh:
             break
-        more = np.zeros((len(wanted), len(fresh)))
-        for i, j in enumerate(fresh):
-            for n in found[j]:
-                more[n, i] += 1
-        cross = matrix.T @ more
-        gram = np.block([[gram, cross], [cross.T, more.T @ more]])
-        matrix, active = np.hstack([matrix, more]), np.append(active, fresh)
-        while len(active):
-            best = np.linalg.solve(gram + 1e-9 * np.eye(len(active)), matrix.T @ wanted)
-            now, low = x[active], best <= 0
+        while active.any():
+            place = np.cumsum(active) - 1
+            some = active[col]
+            z = _least_squares(row[some], place[col[some]], times[some], wanted, x[active])
+            low = z <= 0
+            x = np.zeros(len(found))
+            x[np.flatnonzero(active)[~low]] = z[~low]
             if not low.any():
-                x[active] = best
                 break
-            now = now + np.min(now[low] / (now[low] - best[low])) * (best - now)
-            keep = now > 1e-12
-            if keep.all():
-                keep[np.argmin(np.where(low, now, np.inf))] = False
-            x[active] = np.where(keep, now, 0.0)
-            matrix, gram, active = matrix[:, keep], gram[np.ix_(keep, keep)], active[keep]
-    return x
+            active = x > 0
+        off = float(np.linalg.norm(wanted - np.bincount(row, times * x[col], len(wanted))))
+        if off < closest:
+            closest, best = off, x
+    return best
 
 
 def best_fit(histogram: list[int], capacity: int) -> list[tuple[Pattern, int]]:
