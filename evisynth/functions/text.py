@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 NEGATION = [r"\bnot\b", r"\bno\b", r"\bnor\b", r"\bnever\b", r"\bneither\b", r"\bwithout\b", r"\black\b", r"\bfail\w*\b", r"\binsufficient\b", r"\bunrelated\b", r"\bcontrary\b", r"\bunlike\b", r"\babsen\w*\b"]
 SUPPORT = [r"\bsupport\w*\b", r"\bconfirm\w*\b", r"\bconsistent\b", r"\bdemonstrat\w*\b", r"\bcorrelat\w*\b", r"\bassociat\w*\b", r"\bsignificant\w*\b", r"\bincreas\w*\b", r"\benhance\w*\b", r"\bimplicat\w*\b", r"\bcontribut\w*\b"]
 #: Words that triage tokens leave out.
-STOP_WORDS = "a an and are as at be by for from in into is it of on or that the their this to we with".split()
+STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "their", "this", "to", "we", "with"]
 #: Study designs by the words that tell them, first match wins: (design, confidence, all of, any of).
 DESIGNS = [
     ("systematic_review_meta_analysis", 0.7, [], ["meta-analysis", "systematic review"]),
@@ -35,6 +35,30 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+#: Character references of mark-up that are resolved by name.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&mdash;": "\u2014", "&ndash;": "\u2013", "&hellip;": "\u2026", "&amp;": "&"}
+
+
+def unescaped(text: Column) -> Column:
+    """Character references by name resolved, & last."""
+    for name, plain in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(plain))
+    return text
+
+
+def html_text(html: Column) -> Column:
+    """The text of a page: without scripts, styles and page furniture, tags as blanks, references resolved, single blanks."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|nav|header|footer)\b.*?</(script|style|noscript|nav|header|footer)>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(unescaped(F.regexp_replace(bare, r"(?s)<[^>]+>", " ")), "\u00a0", " "), r"\s+", " "))
+
+
+def plain_text(text: Column) -> Column:
+    """NUL, byte order marks and replacement characters as blanks, references resolved, blanks of a line single, none around line ends, at most one empty line."""
+    t = F.translate(unescaped(text), "\x00\ufeff\ufffd\u00a0", "    ")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f]+", " "), r" *\n *", "\n"), r"\n{3,}", "\n\n")
+    return F.trim(t, F.lit(" \n"))
+
+
 def falsy(x: Column) -> Column:
     return x.isNull() | (x == "")
 

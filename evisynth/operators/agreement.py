@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import running, written
+
 
 def cohen_kappa(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Unweighted kappa of two raters' categories for each of `by`; 1 where chance agreement leaves no room."""
@@ -44,23 +46,34 @@ def label_of(kappa: Column) -> Column:
     return F.when(kappa < 0.2, "poor").when(kappa < 0.4, "fair").when(kappa < 0.6, "moderate").when(kappa < 0.8, "substantial").otherwise("almost perfect")
 
 
-def fractional_rank(value: str, by: list[str]) -> Column:
-    """Average ranks of ties, from 1."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def correlation(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson's r, 0 where a side does not vary."""
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.var_pop(x) == 0) | (F.var_pop(y) == 0), 0.0).otherwise(F.corr(x, y)).alias("r"))
 
 
+def value_ranks(cells: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """(by, value, name): the average rank, from 1, of each value in its group of cells (by, value, n), from sums over all values in order; so no task sees a whole group."""
+    counts = cells.groupBy(*by, value).agg(F.sum("n").alias("_m"))
+    order = running(counts, [F.col(c).asc() for c in (*by, value)], {"_before": "_m"})
+    first = order.groupBy(*by).agg(F.min("_before").alias("_first"))
+    return order.join(first, by).select(*by, value, (F.col("_before") - F.col("_first") + (F.col("_m") + 1) / 2).alias(name))
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    ranked = rows.withColumns({"_x": fractional_rank(x, by), "_y": fractional_rank(y, by)})
-    return correlation(ranked, "_x", "_y", by).withColumnRenamed("r", "rho")
+    """n and rho for each group of `by`, 0 where a side does not vary: ranks come from counts of values, and pairs of values are weighted by theirs. Rows without x or y are left out."""
+    cells = written(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("n")), "cells")
+    total = cells.groupBy(*by).agg(F.sum("n").alias("_t"))
+    ranked = cells.join(value_ranks(cells, x, by, "_x"), [*by, x]).join(value_ranks(cells, y, by, "_y"), [*by, y]).join(total, by)
+    middle = (F.col("_t") + 1) / 2
+    ranked = ranked.withColumns({"_x": F.col("_x") - middle, "_y": F.col("_y") - middle})
+    s = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
+    sums = ranked.groupBy(*by).agg(F.sum("n").alias("n"), s("_x", "_y").alias("xy"), s("_x", "_x").alias("xx"), s("_y", "_y").alias("yy"))
+    d = F.sqrt(F.col("xx") * F.col("yy"))
+    return sums.select(*by, "n", F.when(d > 0, F.col("xy") / F.nullif(d, F.lit(0.0))).otherwise(0.0).alias("rho"))
 
 
 def kendall(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Tau-b over the table of distinct (x, y): pairs of cells, not of rows."""
+    """Tau-b over the table of distinct (x, y): pairs of cells, not of rows, so it is for ratings of few values or few rows; work grows with the square of the cells of a group."""
     c = rows.groupBy(*by, x, y).agg(F.count("*").alias("n"))
     left, right = (c.select(*by, F.col(x).alias(f"x{i}"), F.col(y).alias(f"y{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
     s = left.join(right, by).where("x1 < x2 OR (x1 = x2 AND y1 < y2)")

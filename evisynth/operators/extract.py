@@ -1,30 +1,59 @@
-"""Statistical results in text: test statistics, p-values, intervals, effects, samples; coordinates; number checks.
+"""Statistical results in text: test statistics, p-values, intervals, effects, samples; report numbers; coordinates.
 
-Patterns that only list values are regexp functions. Extraction that must not read a span twice runs in Arrow batches.
+Everything is regexp functions over whole texts. Where a match's place counts (statistics that must not be read twice,
+the p-value next to a statistic), places follow from splitting the text at its matches.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A number with optional sign and blanks around its point, and what it stands in.
+#: A number with optional sign and blanks around its point, and what it stands in. Group 1 is the statistic,
+#: the group named first where there are degrees of freedom.
 NUMBER = r"[-+−]?(?:\d+\s*\.\s*\d+|\.\s*\d+|\d+)"
 TESTS = [
-    ("t_test", rf"(?i)\bt\s*\(\s*(?P<df>{NUMBER})\s*\)\s*=\s*(?P<stat>{NUMBER})"),
-    ("f_test", rf"(?i)\bF\s*\(\s*(?P<df1>{NUMBER})\s*,\s*(?P<df2>{NUMBER})\s*\)\s*=\s*(?P<stat>{NUMBER})"),
-    ("chi_square", rf"(?i)(?:chi[- ]?square|x\^?2|χ\s*(?:2|\^2|²))\s*\(\s*(?P<df>{NUMBER})\s*\)\s*=\s*(?P<stat>{NUMBER})"),
-    ("z_test", rf"(?i)\bz\s*=\s*(?P<stat>{NUMBER})"),
-    ("correlation", rf"(?i)\b(?:r|rho|rs)\s*=\s*(?P<stat>{NUMBER})"),
-    ("regression_coefficient", rf"(?i)\b(?:beta|b|coef(?:ficient)?)\s*=\s*(?P<stat>{NUMBER})"),
-    ("effect_size", rf"(?i)\b(?:Cohen[''’]?s\s+)?(?:d|g)\s*=\s*(?P<stat>{NUMBER})"),
-    ("odds_or_risk_ratio", rf"\b(?:OR|RR|HR)\s*=\s*(?P<stat>{NUMBER})"),
+    ("t_test", rf"(?i)\bt\s*\(\s*(?<df1>{NUMBER})\s*\)\s*=\s*(?<stat>{NUMBER})"),
+    ("f_test", rf"(?i)\bF\s*\(\s*(?<df1>{NUMBER})\s*,\s*(?<df2>{NUMBER})\s*\)\s*=\s*(?<stat>{NUMBER})"),
+    ("chi_square", rf"(?i)(?:chi[- ]?square|x\^?2|χ\s*(?:2|\^2|²))\s*\(\s*(?<df1>{NUMBER})\s*\)\s*=\s*(?<stat>{NUMBER})"),
+    ("z_test", rf"(?i)\bz\s*=\s*(?<stat>{NUMBER})"),
+    ("correlation", rf"(?i)\b(?:r|rho|rs)\s*=\s*(?<stat>{NUMBER})"),
+    ("regression_coefficient", rf"(?i)\b(?:beta|b|coef(?:ficient)?)\s*=\s*(?<stat>{NUMBER})"),
+    ("effect_size", rf"(?i)\b(?:Cohen[''’]?s\s+)?(?<type>d|g)\s*=\s*(?<stat>{NUMBER})"),
+    ("odds_or_risk_ratio", rf"\b(?<type>OR|RR|HR)\s*=\s*(?<stat>{NUMBER})"),
 ]
+P_VALUE = rf"(?i)\bp\s*(<=|>=|[<>=])\s*({NUMBER})(?:\b|(?=\s))"
+INTERVAL = rf"(?i)(9[059])%?\s*CI\s*[:=]?\s*[\[(]?\s*({NUMBER})\s*(?:,|;|\bto\b|-)\s*({NUMBER})"
+EFFECTS = [rf"(?i)\b(?:Cohen[''’]?s\s+)?(d|g)\s*=\s*({NUMBER})", rf"\b(OR|RR|HR)\s*=\s*({NUMBER})", rf"(?i)\b(r|rho|rs)\s*=\s*({NUMBER})"]
 SAMPLE_WORDS = "participants|patients|subjects|children|adults|adolescents|students|controls|cases|mice|rats|animals|dyads|families"
+SAMPLE, N_EQUALS = rf"(?i)(\d{{1,6}})\s+({SAMPLE_WORDS})", r"\b[Nn]\s*=\s*(\d{1,6})\b"
+AGE = rf"(?i)\bage\s*(?:mean|M)?\s*[=:]?\s*({NUMBER})(?:\s*(?:years|yrs?))?(?:\s*,?\s*SD\s*=\s*({NUMBER}))?"
+COMPARISON = r"(?i)\b([A-Za-z][A-Za-z0-9 /-]{2,40})\s+(?:vs\.?|versus|compared with|compared to)\s+([A-Za-z][A-Za-z0-9 /-]{2,40})"
+SUBJECT_WORDS = ["participants", "patients", "subjects", "children", "adults", "adolescents", "students", "controls", "cases", "mice", "rats", "animals", "caregivers", "families", "dyads", "cohort", "sample"]
+RESULT_PHRASES = ["significant", "non-significant", "nonsignificant", "associated with", "correlated with", "increased", "decreased", "no difference", "main effect", "interaction", "predicted", "odds", "risk"]
+#: Characters around a statistic that its context has, the farthest p-value that is near, kinds that are effects themselves.
+RADIUS, NEAR, OWN_EFFECT = 280, 180, ["effect_size", "odds_or_risk_ratio", "correlation"]
+#: The metrics of full texts and the numbers of abstracts.
+METRICS = {
+    "d_or_g": r"(?i)(?:Cohen[''’]?s\s+)?([dg])\s*=\s*(-?\d+\.\d{1,4})",
+    "hedges": r"(?i)Hedges[''’]?\s*g\s*=\s*(-?\d+\.\d{1,4})",
+    "eta": r"(?i)(?:partial\s+)?(?:η²|η-squared|eta[- ]?squared)\s*=\s*(\d+\.\d{1,4})",
+    "ratio": r"\b(OR|RR)\s*=\s*(\d+\.\d{1,4})",
+    "n": r"(?:participants|sample|subjects|patients)?\s*[\(\[]?\s*[Nn]\s*=\s*(\d{2,6})\s*[\)\]]?",
+    "total": r"(?i)(?:total\s+(?:of\s+)?|included\s+|enrolled\s+)(\d{1,3}(?:,\d{3})*)\s+(?:participants|patients|subjects|individuals)",
+    "ci": r"(?i)(\d{2,3})%?\s*CI\s*[:=]?\s*[\[\(]?\s*(-?\d+\.?\d*)\s*[,;\s]+\s*(-?\d+\.?\d*)\s*[\]\)]?",
+    "ci_to": r"(?i)(\d{2,3})%?\s*CI\s*[:=]?\s*(-?\d+\.?\d*)\s+to\s+(-?\d+\.?\d*)",
+    "p": r"(?i)\bp\s*([<>=≤≥])\s*\.?(\d+\.?\d*(?:[eE][+-]?\d+)?)",
+}
+ABSTRACT_NUMBERS = {
+    "paper_counts": r"(?i)(\d[\d,]*)\s+(?:papers?|studies|articles|publications?)",
+    "percentages": r"(\d+(?:\.\d+)?)\s*%",
+    "kappa_values": r"(?iu)(?:κ|kappa)\s*=\s*(\d+(?:\.\d+)?)",
+    "ci_values": r"(?i)CI\s*[\[(\s]*(\d+(?:\.\d+)?)\s*[,–-]\s*(\d+(?:\.\d+)?)\s*[\])]?",
+    "p_values": r"(?i)p\s*([<=>≤≥])\s*\.?(\d+(?:\.\d+)?)",
+    "correlations": r"\br\s*=\s*(\-?\d+(?:\.\d+)?)",
+    "generic_counts": r"(?i)(\d+)\s+(?:of\s+)?(?:\w+\s+)?(?:conditions?|mechanisms?|clusters?|brain\s+regions?)",
+}
 
 
 def number(raw: Column) -> Column:
@@ -32,58 +61,230 @@ def number(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, r"\s+", ""), "−", "-").try_cast("double")
 
 
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _groups(pattern: str) -> dict[str, int]:
+    """Numbers of the named groups; these expressions have no others."""
+    return {part.split(">")[0]: i for i, part in enumerate(pattern.replace("(?<=", "").replace("(?<!", "").split("(?<")[1:], 1)}
+
+
+def spans(text: Column, pattern: str, groups: dict[str, int]) -> Column:
+    """The matches in order, as (start, end, raw, incomplete, and a field for each group): places in code points, end exclusive.
+
+    incomplete: the point of a decimal follows, but no digits, as when a line or page ended there."""
+    parts = F.struct(F.split(text, pattern, -1).alias("between"), _all(text, pattern).alias("found"), *(_all(text, pattern, i).alias(name) for name, i in groups.items()))
+    kind = "array<struct<start:int,end:int,raw:string,incomplete:boolean" + "".join(f",{name}:string" for name in groups) + ">>"
+    empty = F.array().cast(kind)
+
+    def walk(x: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            start = state["at"] + F.char_length(x["between"][i])
+            end = start + F.char_length(x["found"][i])
+            tail, last = x["between"][i + 1], i == F.size(x["found"]) - 1
+            cut = tail.rlike(r"^\s*\.\s+(?:\D|$)") | (last & tail.rlike(r"^\s*\.\s*$")) | (~last & tail.rlike(r"^\s*\.\s+$"))
+            row = F.struct(start.alias("start"), end.alias("end"), x["found"][i].alias("raw"), cut.alias("incomplete"), *(x[name][i].alias(name) for name in groups))
+            return F.struct(end.alias("at"), F.concat(state["out"], F.array(row)).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+
+    return F.when(text.rlike(pattern), F.transform(F.array(parts), walk)[0]).otherwise(empty)
+
+
+def p_value_spans(text: Column) -> Column:
+    """(start, end, operator, value) with a value from 0 to 1, whole decimals only."""
+    found = F.filter(spans(text, P_VALUE, {"op": 1, "digits": 2}), lambda s: ~(s["incomplete"] & ~F.contains(s["digits"], F.lit("."))))
+    rows = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["op"].alias("operator"), number(s["digits"]).alias("value")))
+    return F.filter(rows, lambda s: s["value"].between(0, 1))
+
+
 def p_values(text: Column) -> Column:
     """(operator, value) pairs with a value from 0 to 1."""
-    whole = rf"(?i)\bp\s*(<=|>=|[<>=])\s*({NUMBER})"
-    ops, values = (F.regexp_extract_all(text, F.lit(whole), F.lit(i)) for i in (1, 2))
-    return F.filter(F.zip_with(ops, values, lambda o, v: F.struct(o.alias("operator"), number(v).alias("value"))), lambda s: s["value"].between(0, 1))
+    return F.transform(p_value_spans(text), lambda s: F.struct(s["operator"].alias("operator"), s["value"].alias("value")))
+
+
+def nearest(p_spans: Column, start: Column, end: Column) -> Column:
+    """(operator, value) of the p-values within NEAR characters of a span, nearest first; if none is, of the nearest one."""
+    gap = lambda s: F.when((s["start"] <= end) & (start <= s["end"]), 0).otherwise(F.least(F.abs(s["start"] - end), F.abs(start - s["end"])))
+    ordered = F.array_sort(F.transform(p_spans, lambda s, i: F.struct(gap(s).alias("gap"), i.alias("i"), s["operator"].alias("operator"), s["value"].alias("value"))))
+    near = F.filter(ordered, lambda s: s["gap"] <= NEAR)
+    return F.transform(F.when(F.size(near) > 0, near).otherwise(F.slice(ordered, 1, 1)), lambda s: F.struct(s["operator"].alias("operator"), s["value"].alias("value")))
 
 
 def intervals(text: Column) -> Column:
     """(level, lower, upper) with lower < upper."""
-    whole = rf"(?i)(9[059])%?\s*CI\s*[:=]?\s*[\[(]?\s*({NUMBER})\s*(?:,|;|\bto\b|-)\s*({NUMBER})"
-    level, low, high = (F.regexp_extract_all(text, F.lit(whole), F.lit(i)) for i in (1, 2, 3))
+    level, low, high = (_all(text, INTERVAL, i) for i in (1, 2, 3))
     rows = F.transform(F.arrays_zip(level.alias("a"), low.alias("b"), high.alias("c")), lambda s: F.struct(s["a"].try_cast("int").alias("level"), number(s["b"]).alias("lower"), number(s["c"]).alias("upper")))
     return F.filter(rows, lambda s: s["lower"] < s["upper"])
 
 
+def effect_sizes(text: Column) -> Column:
+    """Distinct (type, value): d and g, then OR, RR and HR, then r, rho and rs; types in lower case."""
+    pairs = lambda p: F.zip_with(_all(text, p, 1), _all(text, p, 2), lambda k, v: F.struct(F.lower(k).alias("type"), number(v).alias("value")))
+    return F.array_distinct(F.filter(F.concat(*map(pairs, EFFECTS)), lambda s: s["value"].isNotNull()))
+
+
+def effects(text: Column) -> Column:
+    """Values of d and g from -5 to 5, each once."""
+    return F.array_distinct(F.filter(F.transform(_all(text, EFFECTS[0], 2), number), lambda x: x.between(-5, 5)))
+
+
+def subjects(text: Column) -> Column:
+    """Distinct (n, label): numbers before words for people or animals, then N = n as "sample"; 2 to 999999 and no years."""
+    named = F.zip_with(_all(text, SAMPLE, 1), _all(text, SAMPLE, 2), lambda n, w: F.struct(n.try_cast("int").alias("n"), F.lower(w).alias("label")))
+    plain = F.transform(_all(text, N_EQUALS, 1), lambda n: F.struct(n.try_cast("int").alias("n"), F.lit("sample").alias("label")))
+    return F.array_distinct(F.filter(F.concat(named, plain), lambda s: s["n"].between(2, 999_999) & ~s["n"].between(1900, 2099)))
+
+
+def age(text: Column) -> Column:
+    """(mean, sd) of the first age; null without one."""
+    mean = number(F.regexp_extract(text, AGE, 1))
+    return F.when(mean.isNotNull(), F.struct(mean.alias("mean"), number(F.regexp_extract(text, AGE, 2)).alias("sd")))
+
+
 def sample_sizes(text: Column) -> Column:
     """Numbers before words for people or animals, 2 to 999999 and no years."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b(\d{{1,6}})\s+(?:{SAMPLE_WORDS})"), F.lit(1)), lambda x: x.try_cast("int"))
+    found = F.transform(_all(text, SAMPLE, 1), lambda x: x.try_cast("int"))
     return F.filter(found, lambda n: (n >= 2) & (n <= 999_999) & ~n.between(1900, 2099))
 
 
-def effects(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:d|g)\s*=\s*({NUMBER})"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, number), lambda x: x.between(-5, 5)))
+def comparisons(text: Column) -> Column:
+    """The first three of "a vs b" of at most 100 characters."""
+    both = F.zip_with(_all(text, COMPARISON, 1), _all(text, COMPARISON, 2), lambda a, b: F.concat(F.trim(a), F.lit(" vs "), F.trim(b)))
+    return F.slice(F.filter(both, lambda x: F.length(x) <= 100), 1, 3)
 
 
-def results_in(text: str) -> list[tuple[str, float, int, int]]:
-    """(test, statistic, start, end), earlier patterns first; a later pattern leaves out what overlaps a span already read."""
-    taken: list[tuple[int, int]] = []
-    out = []
-    for name, pattern in TESTS:
-        for m in re.finditer(pattern, text):
-            if any(m.start() < e and s < m.end() for s, e in taken):
-                continue
-            taken.append(m.span())
-            out.append((name, float(re.sub(r"\s+", "", m["stat"]).replace("−", "-")), *m.span()))
-    return sorted(out, key=lambda r: r[2])
+def _held(text: Column, words: list[str]) -> Column:
+    low = F.lower(text)
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)), w) for w in words)))
+
+
+def subject_terms(text: Column) -> Column:
+    return _held(text, SUBJECT_WORDS)
+
+
+def likely_result(text: Column) -> Column:
+    return F.size(_held(text, RESULT_PHRASES)) > 0
+
+
+def test_spans(text: Column) -> Column:
+    """(test, start, end, raw, stat, df1, df2, type): earlier patterns first; a later match leaves out what overlaps a span already read, and a cut decimal is none."""
+    names = ["stat", "df1", "df2", "type"]
+
+    def one(name: str, pattern: str) -> Column:
+        groups = _groups(pattern)
+        found = F.filter(spans(text, pattern, groups), lambda s: ~(s["incomplete"] & ~F.contains(s["stat"], F.lit("."))))
+        value = lambda s, n: (s[n] if n in groups else F.lit(None).cast("string")).alias(n)
+        return F.transform(found, lambda s: F.struct(F.lit(name).alias("test"), s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw"), *(value(s, n) for n in names)))
+
+    every = F.concat(*(one(name, pattern) for name, pattern in TESTS))
+    none = F.array().cast("array<struct<test:string,start:int,end:int,raw:string,stat:string,df1:string,df2:string,type:string>>")
+    overlaps = lambda taken, s: F.exists(taken, lambda t: F.greatest(t["start"], s["start"]) < F.least(t["end"], s["end"]))
+    return F.aggregate(every, none, lambda taken, s: F.when(overlaps(taken, s), taken).otherwise(F.concat(taken, F.array(s))))
 
 
 def test_statistics(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, *r) for k, t in zip(b[id_col], b[text], strict=True) for r in results_in(t or "")]
-            yield pd.DataFrame(rows, columns=[id_col, "test", "statistic", "start", "end"])
+    """A row for each test statistic: id_col, test, statistic, start, end. Null and empty texts have none."""
+    rows = docs.select(id_col, F.explode(test_spans(F.col(text))).alias("t"))
+    return rows.select(id_col, "t.test", number(F.col("t.stat")).alias("statistic"), "t.start", "t.end")
+
+
+def results(blocks: DataFrame, id_col: str, text: str) -> DataFrame:
+    """A row for each test statistic of a block of text, with what is found around it, and what is missing.
+
+    id_col, test, raw, statistic, df1, df2, start, end, p_values (nearest first), confidence_intervals, effect_sizes,
+    sample_sizes and comparisons (of the statistic's context, else of the block), context, missing_fields,
+    needs_review. A statistic that is an effect stands among its effect sizes. Null and empty texts give no rows."""
+    rows = blocks.select(id_col, F.col(text).alias("_text")).where("_text IS NOT NULL")
+    rows = rows.select(id_col, "_text", p_value_spans(F.col("_text")).alias("_p"), F.explode(test_spans(F.col("_text"))).alias("t"))
+    low = F.greatest(F.lit(0), F.col("t.start") - RADIUS)
+    rows = rows.withColumn("context", F.trim(F.substring("_text", low + 1, F.col("t.end") + RADIUS - low)))
+    of = lambda f: F.when(F.size(f(F.col("context"))) > 0, f(F.col("context"))).otherwise(f(F.col("_text")))
+    stat, test = number(F.col("t.stat")), F.col("t.test")
+    rows = rows.withColumns({"statistic": stat, "p_values": nearest(F.col("_p"), F.col("t.start"), F.col("t.end")), "confidence_intervals": intervals(F.col("context")), "sample_sizes": of(subjects), "comparisons": of(comparisons), "found": effect_sizes(F.col("context"))})
+    own = F.struct(F.coalesce(F.lower(F.col("t.type")), F.when(test == "correlation", "r").otherwise(test)).alias("type"), F.col("statistic").alias("value"))
+    rows = rows.withColumn("effect_sizes", F.when(test.isin(OWN_EFFECT) & F.col("statistic").isNotNull() & ~F.array_contains("found", own), F.concat("found", F.array(own))).otherwise(F.col("found")))
+    rows = rows.withColumn("missing_fields", missing_fields(F.col("p_values"), F.col("confidence_intervals"), F.col("effect_sizes"), test, F.col("sample_sizes"), F.col("comparisons")))
+    df = [number(F.col(f"t.{n}")).alias(n) for n in ("df1", "df2")]
+    return rows.select(id_col, "t.test", "t.raw", "statistic", *df, "t.start", "t.end", "p_values", "confidence_intervals", "effect_sizes", "sample_sizes", "comparisons", "context", "missing_fields", (F.size("missing_fields") > 0).alias("needs_review"))
+
+
+def missing_fields(p: Column, ci: Column, effect: Column, test: Column, sample: Column, comparison: Column) -> Column:
+    lacks = [("p_value_or_ci", (F.size(p) == 0) & (F.size(ci) == 0)), ("effect_size", (F.size(effect) == 0) & ~test.isin(OWN_EFFECT)), ("subjects", F.size(sample) == 0), ("comparison", F.size(comparison) == 0)]
+    return F.array_compact(F.array(*(F.when(c, name) for name, c in lacks)))
 
-    return docs.select(id_col, text).mapInPandas(read, f"{id_col} bigint, test string, statistic double, start int, end int")
+
+def review_flags(blocks: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id_col, reason, missing_fields: each partial result of a block, and blocks that speak of results but hold none that can be read."""
+    partial = results(blocks, id_col, text).where("needs_review").select(id_col, F.lit("partial_statistical_result").alias("reason"), "missing_fields")
+    silent = blocks.where(likely_result(F.col(text)) & (F.size(test_spans(F.col(text))) == 0))
+    lacks = F.array(F.lit("statistical_test"), F.lit("effect_size"), F.lit("p_value_or_ci"))
+    return partial.unionByName(silent.select(id_col, F.lit("result_context_without_parseable_statistic").alias("reason"), lacks.alias("missing_fields")))
+
+
+def repaired(rows: DataFrame) -> DataFrame:
+    """rows (test, statistic, p_values, context and others) with numbers read again where blanks in the context had cut decimals.
+
+    Rows whose context has no blank in a decimal stay. The match of the row's test nearest the context's middle gives
+    statistic (null if it was 0 and is cut still) and the p-values near it; without any, p-values of 0 go."""
+    c = F.col("context")
+    middle = F.char_length(c) / 2
+    none = F.lit(None).cast("struct<start:int,end:int,stat:string,incomplete:boolean>")
+    pick = none
+    for name, pattern in TESTS:
+        found = F.transform(spans(c, pattern, _groups(pattern)), lambda s: F.struct(F.abs((s["start"] + s["end"]) / 2 - middle).alias("gap"), s["start"].alias("start"), s["end"].alias("end"), s["stat"].alias("stat"), s["incomplete"].alias("incomplete")))
+        best = F.array_min(found)
+        pick = F.when(F.col("test") == name, F.struct(best["start"].alias("start"), best["end"].alias("end"), best["stat"].alias("stat"), best["incomplete"].alias("incomplete"))).otherwise(pick)
+    spaced = F.coalesce(c.rlike(r"[-+−]?(?:\d+\s*\.\s+\d+|\.\s+\d+)"), F.lit(False))
+    rows = rows.withColumn("_m", pick).withColumn("_cut", F.coalesce(F.col("_m.incomplete") & ~F.contains("_m.stat", F.lit(".")), F.lit(False)))
+    again = F.when(F.col("_cut"), F.when(F.col("statistic") != 0, F.col("statistic"))).otherwise(F.coalesce(number(F.col("_m.stat")), F.col("statistic")))
+    near = F.when(F.col("_m.start").isNull(), p_values(c)).otherwise(nearest(p_value_spans(c), F.col("_m.start"), F.col("_m.end")))
+    zero = F.exists("p_values", lambda p: p["value"] == 0)
+    fresh = F.when(F.size(near) > 0, near).when(zero, F.slice("p_values", 1, 0)).otherwise(F.col("p_values"))
+    return rows.withColumns({"statistic": F.when(spaced, again).otherwise(F.col("statistic")), "p_values": F.when(spaced, fresh).otherwise(F.col("p_values"))}).drop("_m", "_cut")
+
+
+def metrics(text: Column) -> list[Column]:
+    """Of a full text: effect_sizes (type, value), sample_sizes, confidence_intervals (level, lower, upper), p_values (operator, value), each as found, filtered to plausible values."""
+    m = METRICS
+    typed = lambda kind, value: F.struct(kind.alias("type"), value.alias("value"))
+    pairs = lambda p: F.zip_with(_all(text, p, 1), _all(text, p, 2), lambda k, v: typed(F.lower(k), v.cast("double")))
+    singles = lambda p, kind: F.transform(_all(text, p, 1), lambda v: typed(F.lit(kind), v.cast("double")))
+    within = lambda rows, low, high: F.filter(rows, lambda s: s["value"].between(low, high))
+    plain, hedges = within(pairs(m["d_or_g"]), -5, 5), within(singles(m["hedges"], "g"), -5, 5)
+    effects_ = F.concat(plain, F.array_except(hedges, plain), within(singles(m["eta"], "eta_squared"), 0, 1), within(pairs(m["ratio"]), 0.01, 100))
+    counts = lambda p: F.transform(_all(text, p, 1), lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("int"))
+    sizes = F.concat(F.filter(counts(m["n"]), lambda n: n.between(10, 999_999) & ~n.between(1900, 2099)), F.filter(counts(m["total"]), lambda n: n.between(10, 999_999)))
+
+    def bounds(p: str) -> Column:
+        rows = F.transform(F.arrays_zip(*(_all(text, p, i).alias(n) for i, n in enumerate("abc", 1))), lambda s: F.struct(s["a"].cast("int").alias("level"), s["b"].cast("double").alias("lower"), s["c"].cast("double").alias("upper")))
+        return F.filter(rows, lambda s: s["level"].isin(90, 95, 99) & (s["lower"] < s["upper"]))
+
+    first = bounds(m["ci"])
+    value = lambda v: F.when(~v.startswith("0") & ~F.contains(v, F.lit(".")), F.concat(F.lit("0."), v)).otherwise(v).try_cast("double")
+    p = F.zip_with(_all(text, m["p"], 1), _all(text, m["p"], 2), lambda o, v: F.struct(o.alias("operator"), value(v).alias("value")))
+    return [effects_.alias("effect_sizes"), sizes.alias("sample_sizes"), F.concat(first, F.array_except(bounds(m["ci_to"]), first)).alias("confidence_intervals"), F.filter(p, lambda s: (s["value"] > 0) & (s["value"] <= 1)).alias("p_values")]
+
+
+def abstract_numbers(text: Column) -> list[Column]:
+    """Of an abstract: paper_counts, percentages, kappa_values, ci_values (lower, upper), p_values (operator, value), correlations, generic_counts."""
+    n = ABSTRACT_NUMBERS
+    doubles = lambda name: F.transform(_all(text, n[name], 1), lambda v: v.cast("double")).alias(name)
+    counts = lambda name: F.transform(_all(text, n[name], 1), lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("bigint")).alias(name)
+    ci = F.zip_with(_all(text, n["ci_values"], 1), _all(text, n["ci_values"], 2), lambda a, b: F.struct(a.cast("double").alias("lower"), b.cast("double").alias("upper")))
+    p = F.zip_with(_all(text, n["p_values"], 1), _all(text, n["p_values"], 2), lambda o, v: F.struct(o.alias("operator"), v.cast("double").alias("value")))
+    return [counts("paper_counts"), doubles("percentages"), doubles("kappa_values"), ci.alias("ci_values"), p.alias("p_values"), doubles("correlations"), counts("generic_counts")]
 
 
 #: Scale of x, y and z from Talairach to MNI, at and in front of the plane y = 0, and behind it.
 FRONT, BACK = (1.0101, 1.0212, 1.0760), (1.0101, 1.0167, 1.0886)
 
 
+#: Fixed value: three whole numbers in brackets.
+TRIPLET = r"[\[(]\s*([-+−]?\d{1,3})\s*[,;]\s*([-+−]?\d{1,3})\s*[,;]\s*([-+−]?\d{1,3})\s*[\])]"
+
+
 def talairach_to_mni(x: Column, y: Column, z: Column) -> list[Column]:
     """Piecewise scaling, to one decimal."""
     return [F.round(F.when(y >= 0, c * f).otherwise(c * k), 1) for c, f, k in zip((x, y, z), FRONT, BACK, strict=True)]
@@ -91,8 +292,7 @@ def talairach_to_mni(x: Column, y: Column, z: Column) -> list[Column]:
 
 def coordinates(text: Column) -> Column:
     """(x, y, z) triplets in brackets within the brain's box, each once."""
-    whole = r"[\[(]\s*([-+−]?\d{1,3})\s*[,;]\s*([-+−]?\d{1,3})\s*[,;]\s*([-+−]?\d{1,3})\s*[\])]"
-    xs, ys, zs = (F.regexp_extract_all(text, F.lit(whole), F.lit(i)) for i in (1, 2, 3))
+    xs, ys, zs = (_all(text, TRIPLET, i) for i in (1, 2, 3))
     rows = F.transform(F.arrays_zip(xs.alias("a"), ys.alias("b"), zs.alias("c")), lambda s: F.struct(number(s["a"]).alias("x"), number(s["b"]).alias("y"), number(s["c"]).alias("z")))
     return F.array_distinct(F.filter(rows, lambda s: s["x"].between(-90, 90) & s["y"].between(-130, 90) & s["z"].between(-80, 110)))
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import special
+from ..tables import in_ranges, running, written
 
 #: Fixed value: the two-sided 5 % point of the normal distribution, where it is not rounded to 1.96.
 Z_HALF = 1.959963984540054
@@ -88,20 +90,22 @@ def reml(effects: DataFrame, by: list[str], rounds: int = 50, tol: float = 1e-8)
         s = w.join(mean, by).groupBy(*by).agg(F.first("tau2").alias("tau2"), F.first("done").alias("done"), F.sum("w").alias("sw"), F.sum(w2).alias("sw2"), F.sum(w2 * F.pow(F.col("y") - F.col("m"), F.lit(2))).alias("swr"))
         step = 0.5 * (F.col("swr") - F.col("sw") + F.col("sw2") / F.col("sw")) / (0.5 * F.col("sw2"))
         new = F.when(F.col("done"), F.col("tau2")).otherwise(F.greatest(F.lit(0.0), F.col("tau2") + step))
-        moved = s.select(*by, new.alias("tau2"), (F.col("done") | (F.abs(new - F.col("tau2")) < tol)).alias("done")).collect()  # a row a group, as in the result
-        state = effects.sparkSession.createDataFrame(moved, state.schema)
-        if all(r["done"] for r in moved):
+        state = written(s.select(*by, new.alias("tau2"), (F.col("done") | (F.abs(new - F.col("tau2")) < tol)).alias("done")), "reml")
+        if not state.where("NOT done").limit(1).count():
             break
     return state.select(*by, "tau2")
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", ties: str = "name", alpha: float = 0.05) -> DataFrame:
-    """Adds adjusted_p and significant. The tests of one correction are the rows of the frame: pooled results, not data."""
-    w = Window.orderBy(p, ties)
-    m = F.count("*").over(Window.partitionBy())
-    rows = tests.withColumn("_rank", F.row_number().over(w)).withColumn("_raw", F.col(p) * m / F.col("_rank"))
-    least = F.least(F.min("_raw").over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))
-    return rows.withColumn("_adj", least).withColumns({"adjusted_p": F.round("_adj", 10), "significant": F.col("_adj") < alpha}).drop("_rank", "_raw", "_adj")
+    """Adds adjusted_p and significant. The tests of one correction are the rows of the frame; they are ordered in ranges, so their number has no bound."""
+    m = tests.count()
+    rows = running(tests, [F.col(p).asc(), F.col(ties).asc()])
+    rows = in_ranges(rows.withColumn("_raw", F.col(p) * m / (F.col("rank") + 1)), [F.col("rank").asc()])
+    later = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)  # a row a range
+    beyond = rows.groupBy("_range").agg(F.min("_raw").alias("_least")).select("_range", F.min("_least").over(later).alias("_beyond"))
+    here = F.min("_raw").over(Window.partitionBy("_range").orderBy("rank").rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.join(beyond, "_range").withColumn("_adj", F.least(here, F.col("_beyond"), F.lit(1.0)))
+    return rows.withColumns({"adjusted_p": F.round("_adj", 10), "significant": F.col("_adj") < alpha}).drop("rank", "_raw", "_adj", "_range", "_beyond")
 
 
 def egger(effects: DataFrame, by: list[str]) -> DataFrame:
@@ -140,6 +144,22 @@ def trim_and_fill(effects: DataFrame, by: list[str], order: str = "study") -> Da
     return head.join(filled, by).select(*by, "k", "n_imputed", "original", F.when(F.col("n_imputed") == 0, F.col("original")).otherwise(F.round("mu", 6)).alias("adjusted"))
 
 
+@F.pandas_udf(DoubleType())
+def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p of Student's t, for pooled rows."""
+    return pd.Series([2 * (1 - special.t_cdf(abs(x), n)) if n > 0 else 1.0 for x, n in zip(t, df, strict=True)])
+
+
+def bias_tests(effects: DataFrame, by: list[str]) -> DataFrame:
+    """Egger, trim-and-fill and fail-safe N for each group of three or more: k, t, p, n_imputed, original, adjusted, failsafe_n, threshold, and concerns in that order.
+
+    Concerns: p below 0.05 ("egger") or 0.10 ("egger borderline"), any imputed study ("imputed"), a fail-safe N below 5 k + 10 ("fail-safe")."""
+    e = egger(effects, by).select(*by, "k", "t", t_two_sided("t", F.col("k") - 2).alias("p"))
+    j = e.join(trim_and_fill(effects, by).drop("k"), by).join(fail_safe(effects, by).drop("k", "robust"), by)
+    signs = [F.when(F.col("p") < 0.05, "egger").when(F.col("p") < 0.10, "egger borderline"), F.when(F.col("n_imputed") > 0, "imputed"), F.when(F.col("failsafe_n") < F.col("threshold"), "fail-safe")]
+    return j.withColumn("concerns", F.array_compact(F.array(*signs)))
+
+
 def two_groups(rows: DataFrame, group: str, value: str, by: list[str], first: object, second: object) -> DataFrame:
     """Standardised difference of two groups' means for each of `by`: n1, n2, d, g, pooled_sd."""
     a = rows.groupBy(*by).agg(*(f(F.when(F.col(group) == x, F.col(value))).alias(f"{n}{i}") for i, x in ((1, first), (2, second)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp)))).where("n1 >= 2 AND n2 >= 2")

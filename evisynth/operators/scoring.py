@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import partitions, written
 
 
 @dataclass(frozen=True)
@@ -82,23 +83,47 @@ def excerpts(papers: DataFrame, keywords: list[str], k: int = 3) -> DataFrame:
     return s.where(F.length("sentence") >= 20).withColumn("hits", hits).where("hits > 0").withColumn("place", place).where(F.col("place") <= k).select("ord", "place", "hits", "sentence")
 
 
-def tfidf_similarity(docs: DataFrame, queries: DataFrame, id_col: str = "ord") -> DataFrame:
-    """Cosine of every document with every query in which they share a term: uni- and bigrams, idf over both, tf 1 + ln.
+def tfidf_similarity(docs: DataFrame, queries: DataFrame, id_col: str = "ord", best: int | None = None) -> DataFrame:
+    """(doc, query, tfidf): cosine of every document with every query in which they share a term, or with its `best` ones: uni- and bigrams, idf over both, tf 1 + ln.
 
-    Long form: terms are rows and are counted per text before they are shuffled. Only the queries' terms matter for the
-    product, and they are few; a document's length needs the document frequency of all its terms."""
+    Terms are counted in the task that holds the text. A term's weight needs its document frequency, so (text, term)
+    counts are joined to it once; from there a text is one row with its length and its terms that queries have."""
     terms = lambda t: F.concat(t, F.when(F.size(t) > 1, F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
-    both = docs.select(F.lit("d").alias("side"), F.col(id_col).cast("string").alias("id"), T.triage_terms(F.col("text")).alias("t")).unionByName(queries.select(F.lit("q").alias("side"), F.col("query_id").cast("string").alias("id"), T.triage_terms(F.col("query_text")).alias("t")))
-    counted = both.select("side", "id", F.explode(terms(F.col("t"))).alias("term")).groupBy("side", "id", "term").count()
-    total = docs.count() + queries.count()
+    q_rows = queries.select(F.lit("q").alias("side"), F.col("query_id").cast("string").alias("id"), F.col("query_text").alias("text"))
+    both = docs.select(F.lit("d").alias("side"), F.col(id_col).cast("string").alias("id"), "text").unionByName(q_rows)
+    spark = docs.sparkSession
+    dealt = both.repartition(partitions(spark, spark.sparkContext.defaultParallelism), "side", "id")  # texts are dealt out, not their terms
+    counted = dealt.select("side", "id", F.explode(terms(T.triage_terms(F.col("text")))).alias("term")).groupBy("side", "id", "term").count()
+    total = both.count()
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    w = counted.join(df, "term").select("side", "id", "term", ((1 + F.log(F.col("count"))) * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1)).alias("w"))
-    norms = w.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    d, q = w.where("side = 'd'").select(F.col("id").alias("doc"), "term", F.col("w").alias("dw")), w.where("side = 'q'").select(F.col("id").alias("query"), "term", F.col("w").alias("qw"))
-    dots = d.join(q, "term").groupBy("doc", "query").agg(F.sum(F.col("dw") * F.col("qw")).alias("dot"))
-    named = lambda side, name: norms.where(F.col("side") == side).select(F.col("id").alias(name), F.col("norm").alias(f"{name}_norm"))
-    rows = dots.join(named("d", "doc"), "doc").join(named("q", "query"), "query")
-    return rows.select("doc", "query", F.least(F.lit(1.0), F.col("dot") / (F.col("doc_norm") * F.col("query_norm"))).alias("tfidf"))
+    asked = q_rows.select(F.explode(terms(T.triage_terms(F.col("text")))).alias("term")).distinct().withColumn("asked", F.lit(True))
+    weight = (1 + F.log(F.col("count"))) * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1)
+    w = counted.join(df.join(asked, "term", "left"), "term").select("side", "id", "term", "asked", weight.alias("w"))
+    texts = w.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("asked"), F.struct("term", "w"))).alias("x"))
+    texts = written(texts.where(F.size("x") > 0), "tfidf")
+    side = lambda s, name: texts.where(F.col("side") == s).select(F.col("id").alias(name), F.col("norm").alias(f"{name}_norm"), F.explode("x").alias("x")).select(name, f"{name}_norm", "x.term", F.col("x.w").alias(f"{name}_w"))
+    dots = side("d", "doc").join(side("q", "query"), "term").groupBy("doc", "query").agg(F.sum(F.col("doc_w") * F.col("query_w")).alias("dot"), F.first("doc_norm").alias("x"), F.first("query_norm").alias("y"))
+    rows = dots.select("doc", "query", F.least(F.lit(1.0), F.col("dot") / (F.col("x") * F.col("y"))).alias("tfidf"))
+    if best is None:
+        return rows
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc(F.round("tfidf", 6)), "query"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= best).drop("_place")
+
+
+def tfidf_vectors(docs: DataFrame, id_col: str, text: str, stop_words: list[str], most: int = 5000) -> DataFrame:
+    """(id_col, term, weight): each text as a vector of length 1 over the `most` commonest terms of all texts (ties by term), tf times ln((1 + n) / (1 + df)) + 1; words of two or more letters, digits or _, lower case, without stop words.
+
+    Texts without such a term have no rows; the vocabulary is bounded by `most`, so it may be broadcast."""
+    spark = docs.sparkSession
+    dealt = docs.select(id_col, text).where(F.col(text).isNotNull()).repartition(partitions(spark, spark.sparkContext.defaultParallelism), id_col)
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    counted = dealt.select(id_col, F.explode(words).alias("term")).where(~F.col("term").isin(stop_words)).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    n = docs.count()
+    vocabulary = counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(most)
+    weight = F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)
+    w = counted.join(F.broadcast(vocabulary.select("term", "df")), "term").select(id_col, "term", weight.alias("w"))
+    length = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return w.join(length, id_col).select(id_col, "term", (F.col("w") / F.col("length")).alias("weight"))
 
 
 def token_overlap(doc_tokens: Column, query_tokens: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
@@ -42,3 +43,10 @@ def isotonic(rows: DataFrame, score: str, label: str) -> DataFrame:
     x = rows.withColumn("_f", F.col(score).cast("double")).withColumn("_y", F.col(label).cast("double"))
     out = IsotonicRegression(featuresCol="_f", labelCol="_y").fit(x.select("_f", "_y")).transform(x)
     return out.select(*rows.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))).alias("calibrated"))
+
+
+def platt(rows: DataFrame, score: str, label: str) -> DataFrame:
+    """rows with `calibrated`: a logistic curve of the score, fitted without a penalty."""
+    x = VectorAssembler(inputCols=["_s"], outputCol="_f").transform(rows.withColumn("_s", F.col(score).cast("double")).withColumn("_y", F.col(label).cast("double")))
+    model = LogisticRegression(featuresCol="_f", labelCol="_y", maxIter=100).fit(x.select("_f", "_y"))
+    return model.transform(x).select(*rows.columns, vector_to_array("probability")[1].alias("calibrated"))

@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import grading as G
 from ..functions import text as T
+from ..operators import claims as E
 from ..operators import corpus as C
 from ..operators import graph as N
-from .registry import PAPERS, Registry, papers, table
+from ..tables import written as cut
+from .registry import PAPERS, UNESCAPED, Registry, papers, table
 
 R = Registry()
 
 
-def cut(df):
-    """df as a table in the folder that spark.checkpoint.dir names, or in local runs a temporary one."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    df.write.parquet(path := f"{where}/state-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed(spark, d):
     """papers with a DOI that is their first word's, so that some share one."""
     return papers(spark, d).withColumn("doi", F.nullif(F.substring(T.normal(F.col("title")), 1, 12), F.lit("")))
@@ -76,7 +67,7 @@ def _(spark, d):
 
 @R.query("x08_paragraph_blocks")
 def _(spark, d):
-    return C.paragraph_blocks(table(spark, d, "documents"), "doc_id", "text")
+    return C.paragraph_blocks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "paragraph", "start", "section", F.length("text").alias("n"))
 
 
 @R.query("j02_review_queue", """SELECT doc_id, CASE WHEN quality = 1 THEN 'relevant' WHEN quality = 0 THEN 'irrelevant' END AS label, CAST(1 + n_chars % 3 AS INT) AS tier FROM documents LEFT JOIN labels USING (doc_id) WHERE 1 + n_chars % 3 <= 2""")
@@ -146,11 +137,12 @@ def _(spark, d):
 
 @R.query("j16_n09_region_match", """WITH p AS (SELECT DISTINCT p_brand AS region FROM part), o AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS t, p_brand AS b FROM part WHERE p_size = 10), m AS (SELECT region, max(CASE WHEN contains(region, b) OR contains(b, region) THEN 1 ELSE 0 END) AS hit FROM p, o GROUP BY region) SELECT count(*) AS predicted, CAST(sum(hit) AS BIGINT) AS matched, round(sum(hit) / CAST(count(*) AS DOUBLE), 3) AS convergence FROM m""")
 def _(spark, d):
-    """Names match if they are equal or one holds the other: equal ones by key, others between the few distinct names."""
+    """Names match if they are equal or one holds the other, in their normal forms."""
     x = table(spark, d, "part")
-    p, o = x.select(F.col("p_brand").alias("region")).distinct(), x.where("p_size = 10").select(F.col("p_brand").alias("b")).distinct()
-    m = p.join(F.broadcast(o), F.contains("region", "b") | F.contains("b", "region"), "left").groupBy("region").agg(F.max(F.col("b").isNotNull().cast("int")).alias("hit"))
-    return m.agg(F.count("*").alias("predicted"), F.sum("hit").alias("matched"), F.round(F.sum("hit") / F.count("*"), 3).alias("convergence"))
+    p, o = x.select(F.col("p_brand").alias("region")).distinct(), x.where("p_size = 10").select(F.col("p_brand").alias("other")).distinct()
+    hit = E.matching_regions(p, o)
+    m = p.join(hit, "region", "left").select(F.coalesce("hit", F.lit(0)).alias("hit"))
+    return m.agg(F.count("*").alias("predicted"), F.sum("hit").cast("bigint").alias("matched"), F.round(F.sum("hit") / F.count("*"), 3).alias("convergence"))
 
 
 @R.query("j18_w08_f20_bottom_third", f"""WITH {PAPERS}, a AS (SELECT ord, (citations % 97) / 97.0 AS score FROM papers WHERE ord IN (SELECT doc_id FROM labels)), r AS (SELECT ord, row_number() OVER (ORDER BY score, ord) AS rn, count(*) OVER () AS n FROM a)
@@ -237,10 +229,10 @@ def _(spark, d):
     return papers(spark, d).select("ord", F.md5(F.array_join(F.array(f("TY", F.lit("JOUR")), f("TI", F.col("title")), f("PY", F.col("year").cast("string")), f("JO", F.col("source")), f("ER", F.lit(""))), "\n")).alias("ris"))
 
 
-@R.query("s12_html_text", r"SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|nav|header|footer)\b.*?</(script|style|noscript|nav|header|footer)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS n FROM pages")
+@R.query("s12_html_text", rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|nav|header|footer)\b.*?</(script|style|noscript|nav|header|footer)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages),
+e AS (SELECT page_id, {UNESCAPED} AS t FROM b) SELECT page_id, md5(trim(regexp_replace(replace(t, chr(160), ' '), '\s+', ' ', 'g'))) AS text FROM e""")
 def _(spark, d):
-    bare = F.regexp_replace("html", r"(?is)<(script|style|noscript|nav|header|footer)\b.*?</(script|style|noscript|nav|header|footer)>", " ")
-    return table(spark, d, "pages").select("page_id", F.length(F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]+>", " "), r"\s+", " "))).alias("n"))
+    return table(spark, d, "pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("text"))
 
 
 @R.query("s14_links_in_html", "SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS n_links, regexp_extract(html, 'href=\"([^\"]+)\"', 1) AS first_link FROM pages")
@@ -260,12 +252,6 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array(pair(1.0, "text"), pair(0.0, "role"))).alias("p")).select("conv_id", "turn", "p.label", F.length("p.t").alias("n"))
 
 
-@R.query("x20_json_scores", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, least(5, greatest(0, CAST(json_extract(props, '$.k') AS BIGINT) // 20)) AS score FROM events")
-def _(spark, d):
-    e = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
-    return e.withColumn("score", F.least(F.lit(5), F.greatest(F.lit(0), F.floor(F.col("k") / 20))))
-
-
 def brands(spark, d):
     """Orders as papers that name brands of parts and nations of suppliers."""
     s = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("nation"))
@@ -333,6 +319,50 @@ def _(spark, d):
     return N.expand(table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(15).select(F.col("o_orderkey").alias("id")), e, 3)
 
 
+@R.query("n08_two_hops", """WITH e AS (SELECT DISTINCT l_orderkey AS src, l_partkey + 10000000 AS dst FROM lineitem), s AS (SELECT o_orderkey AS id FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15),
+r AS (SELECT dst AS id, s.id AS via, row_number() OVER (PARTITION BY s.id ORDER BY dst) AS rn FROM s JOIN e ON s.id = src), h1 AS (SELECT id, 1 AS hop, min(via) AS via, 'reference' AS kind FROM r WHERE rn <= 3 GROUP BY id),
+c AS (SELECT src AS id, h1.id AS via, row_number() OVER (PARTITION BY h1.id ORDER BY src) AS rn FROM h1 JOIN e ON h1.id = dst), h2 AS (SELECT id, 2 AS hop, min(via) AS via, 'citation' AS kind FROM c WHERE rn <= 3 AND id NOT IN (SELECT id FROM s) GROUP BY id)
+SELECT id, 0 AS hop, NULL AS via, NULL AS kind FROM s UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2""")
+def _(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 10_000_000).alias("dst"))
+    seeds = table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(15).select(F.col("o_orderkey").alias("id"))
+    return N.dive(seeds, e, 3, 2, cut)
+
+
+def clustered(spark, d):
+    """documents as papers in clusters by source, with claims made from their numbers."""
+    i = F.col("doc_id")
+    one = lambda tag, n: F.array(F.concat(F.lit(tag), i % n))
+    rows = table(spark, d, "documents").where("source IS NOT NULL")
+    return rows.select(F.col("source").alias("cluster"), i.cast("string").alias("paper"), F.concat(F.lit("Paper "), i).alias("title"), F.when(i % 3 == 0, "supports").when(i % 3 == 1, "contradicts").otherwise("mixed").alias("direction"), (F.col("n_chars") % 6).cast("double").alias("score"), F.col("n_chars").alias("citations"), (1990 + i % 30).alias("year"), one("Mech ", 11).alias("mechanisms"), one("C/", 7).alias("conditions"), one("r", 5).alias("brain_regions"), F.array().cast("array<string>").alias("findings"), F.when(i % 2 == 0, "mri/eeg, cohort").alias("methodology"))
+
+
+@R.query("n06_evidence_network", """WITH p AS (SELECT source AS c, doc_id AS i, n_chars % 6 AS score, 'paper:' || doc_id AS pid, 'cluster:' || source AS cid, row_number() OVER (PARTITION BY source ORDER BY doc_id % 3 = 0 DESC, n_chars % 6 DESC, n_chars DESC, CAST(1990 + doc_id % 30 AS VARCHAR) DESC, 'paper ' || doc_id DESC, CAST(doc_id AS VARCHAR)) AS rn FROM documents WHERE source IS NOT NULL),
+t AS (SELECT * FROM p WHERE rn <= 8), n AS (SELECT pid, cid, unnest(['mechanism:mech_' || i % 11, 'condition:c_' || i % 7, 'brain_region:r' || i % 5]) AS tid FROM t), m AS (SELECT pid, unnest(['method:mri_eeg', 'method:cohort']) AS tid FROM t WHERE i % 2 = 0),
+e AS (SELECT pid AS source, cid AS target, 'belongs_to' AS type, 1.0 AS weight FROM t UNION ALL SELECT pid, cid, CASE i % 3 WHEN 0 THEN 'supports' ELSE 'contradicts' END, greatest(score, 1.0) FROM t WHERE i % 3 < 2 UNION ALL SELECT pid, tid, 'mentions', 1.0 FROM n UNION ALL SELECT cid, tid, 'cluster_theme', 1.0 FROM n UNION ALL SELECT pid, tid, 'uses_method', 1.0 FROM m)
+SELECT source, target, type, round(sum(weight), 3) AS weight, count(*) AS evidence_count FROM e GROUP BY ALL""")
+def _(spark, d):
+    return N.evidence_network(clustered(spark, d), cut)[1]
+
+
+@R.query("n06_network_nodes", """WITH p AS (SELECT source AS c, doc_id AS i, n_chars % 6 AS score, row_number() OVER (PARTITION BY source ORDER BY doc_id % 3 = 0 DESC, n_chars % 6 DESC, n_chars DESC, CAST(1990 + doc_id % 30 AS VARCHAR) DESC, 'paper ' || doc_id DESC, CAST(doc_id AS VARCHAR)) AS rn FROM documents WHERE source IS NOT NULL),
+w AS (SELECT rn, unnest([{'id': 'mechanism:mech_' || i % 11, 'type': 'mechanism'}, {'id': 'condition:c_' || i % 7, 'type': 'condition'}, {'id': 'brain_region:r' || i % 5, 'type': 'brain_region'}]) AS n FROM p UNION ALL SELECT rn, unnest([{'id': 'method:mri_eeg', 'type': 'method'}, {'id': 'method:cohort', 'type': 'method'}]) FROM p WHERE i % 2 = 0)
+SELECT 'cluster:' || c AS id, 'cluster' AS type, count(*) AS count FROM p GROUP BY c UNION ALL SELECT 'paper:' || i, 'paper', count(*) FROM p WHERE rn <= 8 GROUP BY i UNION ALL SELECT n.id, n.type, count(*) FROM w GROUP BY ALL HAVING min(rn) <= 8""")
+def _(spark, d):
+    return N.evidence_network(clustered(spark, d), cut)[0].drop("label")
+
+
+@R.query("a03_hard_mode_dedup")
+def _(spark, d):
+    """Papers with hits and scores merged by DOI, then PMID, then title; sources stand for first authors."""
+    p = papers(spark, d)
+    i = F.col("ord")
+    hit = F.array(F.struct(F.col("source").alias("provider"), F.concat(F.lit("f"), i % 3).alias("family"), F.lit("q").alias("query"), (i % 9).cast("int").alias("rank")))
+    rows = p.select("ord", F.when(i % 7 == 0, F.concat(F.lit("10.1/"), F.floor(i / 14))).alias("doi"), F.when(i % 5 == 0, F.floor(i / 10).cast("string")).alias("pmid"), "title", F.array("source").alias("authors"), "year", "source", hit.alias("hits"), F.struct(F.when(i % 2 == 0, i % 6).alias("score"), F.lit("x").alias("tag")).alias("machine"))
+    out = C.dedupe_papers(rows, ["title", "authors", "year", "doi", "pmid"], ["machine"], cut)
+    return out.select("ord", "n_merged", "title", "source", F.size("hits").alias("n_hits"), F.col("machine.score").alias("score"))
+
+
 @R.query("g01_g08_grade_table", """WITH s AS (SELECT n_name AS component, count(*) AS n, avg(CAST(l_returnflag = 'R' AS DOUBLE)) AS low, avg(CAST(l_returnflag = 'A' AS DOUBLE)) AS moderate, avg(CAST(l_linestatus = 'F' AS DOUBLE)) AS flagged, avg(CAST(l_tax > 0.02 AS DOUBLE)) AS control,
     avg(l_discount) * 10 AS agreement, stddev_samp(l_discount) AS spread, avg(l_quantity) / 50 AS stability, avg(CAST(l_quantity > 20 AS DOUBLE)) AS matched, stddev_samp(l_quantity) / sqrt(count(*)) AS width
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1),
@@ -359,3 +389,25 @@ def _(spark, d):
     q = c.withColumn("quota", F.greatest(F.lit(1), F.floor(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()) + 0.5)))
     order = Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit("42:"), "ord")), "ord")
     return s.join(F.broadcast(q), "stratum").withColumn("rn", F.row_number().over(order)).where("rn <= quota").select("ord", "stratum")
+
+
+GRADED = [("articles", "thatthe", ["ingthe", "hetion"]), ("romance", "cionado", ["osque", "para"]), ("german", "einheit", ["keitund"]), ("none", "zzzz", [])]
+_MATCHED = " UNION ALL ".join(f"SELECT '{cid}' AS component_id, doc_id FROM documents WHERE {' OR '.join(f'contains(lower(text), {w!r})' for w in (label, *words))}" for cid, label, words in GRADED)
+
+
+@R.query("g07_g08_findings_table", f"""WITH m AS ({_MATCHED}), s AS (SELECT component_id, count(*) AS n, avg(CAST(n_chars % 5 = 0 AS DOUBLE)) AS low, avg(CAST(n_chars % 5 = 1 AS DOUBLE)) AS moderate, avg(CAST(n_chars % 3 = 0 AS DOUBLE)) AS flagged, avg(CAST(n_chars % 2 = 0 AS DOUBLE)) AS control, avg(CAST(n_chars % 5 = 2 AS DOUBLE)) AS high, avg(CAST(n_chars % 7 > 0 AS DOUBLE)) AS matched FROM m JOIN documents USING (doc_id) GROUP BY 1),
+g AS (SELECT component_id, n, least(2, b1 + CASE WHEN control < 0.3 AND b1 < 2 THEN 1 ELSE 0 END) AS d1, 1 AS d2, CASE WHEN matched < 0.2 THEN 2 WHEN matched < 0.5 THEN 1 ELSE 0 END AS d3, CASE WHEN n < 3 THEN 2 WHEN n < 5 THEN 1 ELSE 0 END AS d4, 1 AS d5, high > 0.5 AS high FROM (SELECT *, CASE WHEN low > 0.5 OR flagged > 0.4 THEN 2 WHEN moderate > 0.5 OR low > 0.3 THEN 1 ELSE 0 END AS b1 FROM s)),
+l AS (SELECT ['No concern', 'Serious', 'Very serious'] AS x)
+SELECT component_id, n, x[d1 + 1] AS risk_of_bias, x[d2 + 1] AS inconsistency, x[d3 + 1] AS indirectness, x[d4 + 1] AS imprecision, x[d5 + 1] AS publication_bias, (['High', 'Moderate', 'Low', 'Very Low'])[1 + least(3, CASE WHEN high THEN 0 ELSE 2 END + d1 + d2 + d3 + d4 + d5)] AS certainty FROM g, l""")
+def _(spark, d):
+    """Studies of each component inferred from claims, all five domains rated, the certainty, and the table with a column a domain. Nothing is known of agreement, nor were bias tests run."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text", "n_chars")
+    claims_ = docs.select("article_id", F.array("text").alias("findings"), F.array().cast("array<string>").alias("conditions"))
+    x = G.studies_of_components(claims_, GRADED).join(docs.select("article_id", "n_chars"), "article_id")
+    share = lambda e: F.avg(F.expr(e).cast("double"))
+    a = x.groupBy("component_id").agg(F.count("*").alias("n"), share("n_chars % 5 = 0").alias("low"), share("n_chars % 5 = 1").alias("moderate"), share("n_chars % 3 = 0").alias("flagged"), share("n_chars % 2 = 0").alias("control"), share("n_chars % 5 = 2").alias("high"), share("n_chars % 7 > 0").alias("matched"))
+    none, c = F.lit(None).cast("double"), F.col
+    rated = {"risk_of_bias": G.risk_of_bias(c("low"), c("moderate"), c("flagged"), c("control")), "inconsistency": G.inconsistency(none, none, none), "indirectness": G.indirectness(c("matched"), c("n")), "imprecision": G.imprecision(none, c("n")), "publication_bias": G.publication_bias(c("n"), none, none, none, none)}
+    long = a.select("component_id", "n", "high", F.explode(F.array(*(F.struct(F.lit(k).alias("domain"), v.cast("int").alias("downgrade")) for k, v in rated.items()))).alias("r")).select("component_id", "n", "high", "r.*")
+    total = long.groupBy("component_id").agg(F.sum("downgrade").alias("down"), F.first("high").alias("high")).select("component_id", G.certainty(F.col("high") > 0.5, F.col("down")).alias("certainty"))
+    return G.findings_table(long, ["component_id", "n"]).join(total, "component_id")

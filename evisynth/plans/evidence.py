@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -12,11 +9,16 @@ from ..operators import extract as X
 from ..operators import resample as B
 from ..operators import topics as P
 from ..streaming import runs as V
+from ..tables import new_folder
 from .registry import CLAIMS, Registry, claims, papers, table
 
 R = Registry()
 
 
+KEYS = ["l_orderkey", "l_linenumber", "l_suppkey"]
+K = ", ".join(KEYS)
+
+
 def reports(spark, d):
     """lineitem as sentences that report results, from integers so that no number is formatted."""
     q, l, s = F.col("l_quantity").cast("int"), F.col("l_linenumber"), F.col("l_suppkey")
@@ -25,8 +27,18 @@ def reports(spark, d):
 
 
 REPORTS = """reports AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(trunc(l_quantity) AS INT) AS q, 'The trial included ' || (q + 2) || ' participants; t(' || q || ') = ' || l_linenumber || '. ' || lpad(CAST(l_suppkey % 100 AS VARCHAR), 2, '0') || ', p < 0.0' || l_linenumber || ', d = 0.' || (q % 9 + 1) || ', 95% CI 0.' || l_linenumber || ' to 0.' || (l_linenumber + 2) || ' at (' || (q - 25) || ', ' || (l_suppkey % 60) || ', 12).' AS text FROM lineitem)"""
-KEYS = ["l_orderkey", "l_linenumber", "l_suppkey"]
-K = ", ".join(KEYS)
+
+
+def studies(spark, d):
+    """lineitem as paragraphs: odd lines report a study in full, even ones a bare statistic."""
+    q, l, s = F.col("l_quantity").cast("int"), F.col("l_linenumber"), F.col("l_suppkey")
+    two, k = F.lpad((s % 100).cast("string"), 2, "0"), q % 9 + 1
+    c = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    full = c("We enrolled ", q + 10, " patients and N = ", q + 60, ". Age mean ", l + 8, ".5 years, SD = 1.", l, ". Treated group versus control group: t(", q, ") = ", l, ".", two, ", p < 0.0", l, ". Later F(2, ", q, ") = ", l, ". ", k, ", p = 0. 0", l, "; OR = ", l, ".", k, ", r = -0.", k, ", 95% CI [0.", l, ", 0.", l + 2, "].")
+    return table(spark, d, "lineitem").select(*KEYS, F.concat_ws("-", *KEYS).alias("id"), F.when(l % 2 == 1, full).otherwise(c("We saw a significant z = ", l, ".", k, " only.")).alias("text"))
+
+
+STUDIES = """st AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_linenumber AS l, CAST(trunc(l_quantity) AS INT) AS q, CAST(trunc(l_quantity) AS INT) % 9 + 1 AS k, lpad(CAST(l_suppkey % 100 AS VARCHAR), 2, '0') AS two, l_linenumber % 2 = 1 AS whole FROM lineitem)"""
 
 
 @R.query("x03_p_values", f"WITH {REPORTS} SELECT {K}, regexp_extract(text, 'p\\s*([<>=]+)', 1) AS operator, CAST(regexp_extract(text, 'p\\s*[<>=]+\\s*([0-9.]+)', 1) AS DOUBLE) AS value FROM reports")
@@ -39,9 +51,82 @@ def _(spark, d):
     return reports(spark, d).select(*KEYS, F.explode(X.intervals(F.col("text"))).alias("c")).select(*KEYS, "c.*")
 
 
-@R.query("x05_x06_effects_and_samples", f"WITH {REPORTS} SELECT {K}, CAST(regexp_extract(text, 'd = ([0-9.]+)', 1) AS DOUBLE) AS effect, CAST(regexp_extract(text, '(\\d+) participants', 1) AS INT) AS n FROM reports")
+@R.query("x05_effect_sizes", f"WITH {STUDIES} SELECT {K}, 'or' AS type, CAST(l || '.' || k AS DOUBLE) AS value FROM st WHERE whole UNION ALL SELECT {K}, 'r', CAST('-0.' || k AS DOUBLE) FROM st WHERE whole")
+def _(spark, d):
+    return studies(spark, d).select(*KEYS, F.explode(X.effect_sizes(F.col("text"))).alias("e")).select(*KEYS, "e.*")
+
+
+@R.query("x06_subjects_and_age", f"WITH {STUDIES} SELECT {K}, q + 10 AS n, 'patients' AS label, CAST((l + 8) || '.5' AS DOUBLE) AS age_mean, CAST('1.' || l AS DOUBLE) AS age_sd FROM st WHERE whole UNION ALL SELECT {K}, q + 60, 'sample', CAST((l + 8) || '.5' AS DOUBLE), CAST('1.' || l AS DOUBLE) FROM st WHERE whole")
+def _(spark, d):
+    x = studies(spark, d).select(*KEYS, F.explode(X.subjects(F.col("text"))).alias("s"), X.age(F.col("text")).alias("a"))
+    return x.select(*KEYS, "s.*", F.col("a.mean").alias("age_mean"), F.col("a.sd").alias("age_sd"))
+
+
+@R.query("x07_comparisons", f"WITH {STUDIES} SELECT {K}, 'Treated group vs control group' AS comparison FROM st WHERE whole")
+def _(spark, d):
+    return studies(spark, d).select(*KEYS, F.explode(X.comparisons(F.col("text"))).alias("comparison"))
+
+
+@R.query("t09_nearest_p", f"WITH {STUDIES}, t AS (SELECT *, unnest(['t_test', 'f_test', 'odds_or_risk_ratio', 'correlation']) AS test FROM st WHERE whole) SELECT {K}, test, CASE WHEN test = 't_test' THEN '<' ELSE '=' END AS operator, CAST('0.0' || l AS DOUBLE) AS value FROM t")
+def _(spark, d):
+    """Each statistic's nearest p-value."""
+    x = studies(spark, d).select(*KEYS, F.explode(X.test_spans(F.col("text"))).alias("t"), X.p_value_spans(F.col("text")).alias("p"))
+    x = x.select(*KEYS, "t.test", F.get(X.nearest(F.col("p"), F.col("t.start"), F.col("t.end")), F.lit(0)).alias("p")).where("p IS NOT NULL")
+    return x.select(*KEYS, "test", "p.*")
+
+
+@R.query("x10_article_results", f"""WITH {STUDIES} SELECT l_orderkey, CAST(sum(CASE WHEN whole THEN 4 ELSE 1 END) AS BIGINT) AS n_results, count(*) FILTER (NOT whole) AS n_review, CAST(sum(CASE WHEN whole THEN 0 ELSE 4 END) AS BIGINT) AS n_missing, round(sum(CASE WHEN whole THEN CAST(l || '.' || two AS DOUBLE) + CAST(l || '.' || k AS DOUBLE) * 2 - CAST('0.' || k AS DOUBLE) ELSE CAST(l || '.' || k AS DOUBLE) END), 4) AS total FROM st GROUP BY l_orderkey""")
+def _(spark, d):
+    """Every statistic of an article's paragraphs with what is around it; counts of results, of those to review and of what they lack, and the sum of statistics."""
+    x = studies(spark, d).withColumn("key", F.struct("l_orderkey", "id"))
+    r = X.results(x, "key", "text").groupBy("key.l_orderkey")
+    return r.agg(F.count("*").alias("n_results"), F.count_if("needs_review").alias("n_review"), F.sum(F.size("missing_fields")).alias("n_missing"), F.round(F.sum("statistic"), 4).alias("total"))
+
+
+@R.query("x09_review_flags", f"WITH {STUDIES} SELECT l_orderkey, 'partial_statistical_result' AS reason, 'p_value_or_ci,effect_size,subjects,comparison' AS missing, count(*) AS n FROM st WHERE NOT whole GROUP BY 1")
+def _(spark, d):
+    x = studies(spark, d).withColumn("key", F.struct("l_orderkey", "id"))
+    return X.review_flags(x, "key", "text").groupBy("key.l_orderkey", "reason", F.array_join("missing_fields", ",").alias("missing")).agg(F.count("*").alias("n"))
+
+
+@R.query("x11_repaired_rows", f"WITH {STUDIES} SELECT {K}, CASE WHEN whole THEN CAST(l || '.' || two AS DOUBLE) ELSE l END AS statistic, CASE WHEN whole THEN CAST('0.0' || l AS DOUBLE) ELSE 0.5 END AS p FROM st")
 def _(spark, d):
-    return reports(spark, d).select(*KEYS, F.get(X.effects(F.col("text")), F.lit(0)).alias("effect"), F.get(X.sample_sizes(F.col("text")), F.lit(0)).alias("n"))
+    """Rows whose decimals were cut at a blank, read again from their context; others stay."""
+    l, odd = F.col("l_linenumber"), F.col("l_linenumber") % 2 == 1
+    two = F.lpad((F.col("l_suppkey") % 100).cast("string"), 2, "0")
+    spaced = F.concat(F.lit("as t("), F.col("l_quantity").cast("int"), F.lit(") = "), l, F.lit(". "), two, F.lit(", p = 0. 0"), l, F.lit(" shows"))
+    rows = table(spark, d, "lineitem").select(*KEYS, F.lit("t_test").alias("test"), l.cast("double").alias("statistic"), F.array(F.struct(F.lit("=").alias("operator"), F.when(odd, 0.0).otherwise(0.5).alias("value"))).alias("p_values"), F.when(odd, spaced).otherwise("t(3) = 4.0").alias("context"))
+    return X.repaired(rows).select(*KEYS, "statistic", F.get("p_values", F.lit(0))["value"].alias("p"))
+
+
+def _values(spark, d, text, columns, fields):
+    """Long rows (keys, kind, value) of array columns, structs by field."""
+    x = table(spark, d, "lineitem").select(*KEYS, text.alias("text")).select(*KEYS, *columns)
+    number = lambda c, f: F.transform(c, lambda v: F.struct(F.lit(c if f is None else f"{c}.{f}").alias("kind"), (v if f is None else v[f]).cast("double").alias("value")))
+    return x.select(*KEYS, F.explode(F.concat(*(number(c, f) for c, f in fields))).alias("v")).select(*KEYS, "v.*")
+
+
+@R.query("x13_full_text_metrics", f"""WITH {STUDIES}, v AS (SELECT *, unnest([{{'kind': 'effect_sizes.value', 'value': CAST('0.' || k || '5' AS DOUBLE)}}, {{'kind': 'effect_sizes.value', 'value': CAST('0.' || k || '2' AS DOUBLE)}}, {{'kind': 'effect_sizes.value', 'value': CAST(l || '.' || k AS DOUBLE)}},
+  {{'kind': 'sample_sizes', 'value': CAST(q + 60 AS DOUBLE)}}, {{'kind': 'sample_sizes', 'value': CAST(1100 + q AS DOUBLE)}}, {{'kind': 'confidence_intervals.lower', 'value': CAST('0.' || l AS DOUBLE)}}, {{'kind': 'confidence_intervals.lower', 'value': CAST('0.' || l AS DOUBLE)}},
+  {{'kind': 'confidence_intervals.upper', 'value': CAST('0.' || (l + 2) AS DOUBLE)}}, {{'kind': 'confidence_intervals.upper', 'value': CAST('0.' || (l + 1) AS DOUBLE)}}, {{'kind': 'p_values.value', 'value': CAST('0.0' || l AS DOUBLE)}}]) AS x FROM st) SELECT {K}, x.kind AS kind, x.value AS value FROM v""")
+def _(spark, d):
+    q, l = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    k = q % 9 + 1
+    c = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    text = c("Cohen's d = 0.", k, "5, Hedges' g = 0.", k, "2, OR = ", l, ".", k, "; sample (N = ", q + 60, ") and a total of 1,", q + 100, " participants; 95% CI [0.", l, ", 0.", l + 2, "]; 90% CI 0.", l, " to 0.", l + 1, ". P < 0.0", l)
+    fields = [("effect_sizes", "value"), ("sample_sizes", None), ("confidence_intervals", "lower"), ("confidence_intervals", "upper"), ("p_values", "value")]
+    return _values(spark, d, text, X.metrics(F.col("text")), fields)
+
+
+@R.query("x14_abstract_numbers", f"""WITH {STUDIES}, v AS (SELECT *, unnest([{{'kind': 'paper_counts', 'value': CAST(1200 + q AS DOUBLE)}}, {{'kind': 'percentages', 'value': CAST(q || '.5' AS DOUBLE)}}, {{'kind': 'kappa_values', 'value': CAST('0.' || k AS DOUBLE)}}, {{'kind': 'ci_values.lower', 'value': CAST('0.' || l AS DOUBLE)}}, {{'kind': 'ci_values.upper', 'value': CAST('0.' || (l + 2) AS DOUBLE)}},
+  {{'kind': 'p_values.value', 'value': CAST('0.0' || l AS DOUBLE)}}, {{'kind': 'correlations', 'value': CAST('-0.' || k AS DOUBLE)}}, {{'kind': 'generic_counts', 'value': CAST(q AS DOUBLE)}}]) AS x FROM st) SELECT {K}, x.kind AS kind, x.value AS value FROM v""")
+def _(spark, d):
+    q, l = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    k = q % 9 + 1
+    c = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    text = c("We read 1,", q + 200, " studies: ", q, ".5% agreed, Cohen's κ = 0.", k, ", CI [0.", l, ", 0.", l + 2, "], p < 0.0", l, ", r = -0.", k, "; ", q, " of these conditions.")
+    fields = [("paper_counts", None), ("percentages", None), ("kappa_values", None), ("ci_values", "lower"), ("ci_values", "upper"), ("p_values", "value"), ("correlations", None), ("generic_counts", None)]
+    return _values(spark, d, text, X.abstract_numbers(F.col("text")), fields)
 
 
 @R.query("a17_article_metrics", f"WITH {REPORTS} SELECT l_orderkey, count(*) AS n_results, max(CAST(regexp_extract(text, '(\\d+) participants', 1) AS INT)) AS largest_n, count(DISTINCT regexp_extract(text, 'd = ([0-9.]+)', 1)) AS n_effects FROM reports GROUP BY l_orderkey")
@@ -85,14 +170,13 @@ def _(spark, d):
 
 @R.query("r03_split_half")
 def _(spark, d):
-    c = claims(spark, d).withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey"))
-    return B.split_half(c, "id", "a", 50)
+    return B.split_half_summary(claims(spark, d), "a", 1000)
 
 
 @R.query("r04_permutation_test")
 def _(spark, d):
     r = claims(spark, d).groupBy("l_returnflag", (F.col("l_suppkey") % 3).alias("g")).agg(F.avg("a").alias("rate"), F.count("*").alias("n"))
-    return B.permutation_p(r, "n", "rate", 2000)
+    return B.permutation_p(r, "n", "rate", 10_000)
 
 
 @R.query("r05_seeded_subset", f"WITH {CLAIMS} SELECT l_orderkey, l_linenumber, l_suppkey FROM claims WHERE substr(md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_suppkey), 1, 1) = '0'")
@@ -124,15 +208,16 @@ def _(spark, d):
     return P.isotonic(r, "score", "quality")
 
 
-def folder(spark, tag):
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{where}/{tag}-{uuid.uuid4().hex}"
+@R.query("e16_platt_calibration")
+def _(spark, d):
+    r = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", ((F.col("n_chars") % 101) / 100).alias("score"), "quality")
+    return P.platt(r, "score", "quality")
 
 
 @R.query("v01_additive_corpus", "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
 def _(spark, d):
     """Documents arrive as a stream; the table keeps the first of each source."""
-    base = folder(spark, "stream")
+    base = new_folder(spark, "stream")
     docs = table(spark, d, "documents").select("doc_id", "source")
     docs.write.parquet(f"{base}/in")
     V.additive(V.source(spark, f"{base}/in", docs), "source", "doc_id", f"{base}/out", f"{base}/state").awaitTermination()
@@ -149,10 +234,9 @@ def _(spark, d):
 @R.query("v06_hourly_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, d):
     """Tumbling hours of the event stream with a watermark, in complete mode over what is there."""
-    base = folder(spark, "stream")
+    base = new_folder(spark, "stream")
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     e.write.parquet(f"{base}/in")
-    name = f"hours_{uuid.uuid4().hex}"
-    q = V.windowed_counts(V.source(spark, f"{base}/in", e), "ts", "event_type").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    counts = V.windowed_counts(V.source(spark, f"{base}/in", e), "ts", "event_type")
+    V.complete(counts, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

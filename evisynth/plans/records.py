@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import ids as I
 from ..functions import text as T
+from ..operators import claims as E
+from ..operators import corpus as O
 from ..operators import records as C
-from .registry import CLAIMS, PAPERS, Registry, claims, papers, table
+from ..sources import bibliography as bib
+from ..tables import new_folder
+from .registry import CLAIMS, PAPERS, UNESCAPED, Registry, claims, papers, table
 
 R = Registry()
 
@@ -48,15 +53,6 @@ def _(spark, d):
     return both.groupBy("o_custkey").agg(F.min(F.struct("priority", "o_orderkey")).alias("m")).select("o_custkey", "m.o_orderkey", "m.priority")
 
 
-@R.query("p15_open_access_candidates", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN url || '.pdf' ELSE 'https://host/' || page_id END AS best, CASE WHEN page_id % 3 = 1 THEN 3 ELSE 2 END AS n FROM pages")
-def _(spark, d):
-    """Candidate addresses in order of preference, each once; the first is best."""
-    i = F.col("page_id")
-    host = F.concat(F.lit("https://host/"), i)
-    urls = F.array(F.when(i % 3 == 1, F.concat("url", F.lit(".pdf"))), F.when(i % 3 == 2, host), F.col("url"), F.when(i % 3 == 2, host), F.when(i % 3 != 2, host))
-    return table(spark, d, "pages").select("page_id", C.ordered_distinct(urls).alias("u")).select("page_id", F.col("u")[0].alias("best"), F.size("u").alias("n"))
-
-
 @R.query("p17_p18_overlay", "SELECT s_suppkey, coalesce(nullif(CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN 'corrected' END, ''), s_name) AS name, CASE WHEN s_nationkey = 0 THEN 99 ELSE s_nationkey END AS nation FROM supplier")
 def _(spark, d):
     i = F.col("s_suppkey") % 3
@@ -255,13 +251,6 @@ def _(spark, d):
     return papers(spark, d).where(at > 0).select("ord", F.substring("abstract", F.greatest(at - 10, F.lit(1)), F.lit(30)).alias("snippet"))
 
 
-@R.query("f40_record_keys", f"WITH {PAPERS} SELECT ord, CASE WHEN ord % 3 = 0 THEN 'doi:10.1/' || ord WHEN ord % 3 = 1 THEN 'pmid:' || ord ELSE 'title:' || lower(substr(title, 1, 80)) || '|' || year END AS record_key FROM papers")
-def _(spark, d):
-    i = F.col("ord")
-    key = F.coalesce(F.when(i % 3 == 0, F.concat(F.lit("doi:10.1/"), i)), F.when(i % 3 == 1, F.concat(F.lit("pmid:"), i)), F.concat(F.lit("title:"), F.lower(F.substring("title", 1, 80)), F.lit("|"), "year"))
-    return papers(spark, d).select("ord", key.alias("record_key"))
-
-
 @R.query("e03_ordinal_scores", "SELECT l_orderkey, l_linenumber, l_suppkey, CAST(least(5, greatest(0, floor(CASE WHEN p < 0.368 THEN p / 0.368 * 2.5 ELSE 2.5 + (p - 0.368) / 0.632 * 2.5 END + 0.5))) AS INT) AS score FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_discount * 10 AS p FROM lineitem)")
 def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", C.ordinal(F.col("l_discount") * 10).alias("score"))
@@ -286,14 +275,6 @@ def _(spark, d):
     return x.select("l_suppkey", F.round("x", 6).alias("stability"), F.when(F.col("x") >= 0.9, "excellent").when(F.col("x") >= 0.75, "good").when(F.col("x") >= 0.5, "moderate").otherwise("poor").alias("label"))
 
 
-@R.query("n06_evidence_network", "WITH e AS (SELECT 'cluster:' || label AS s, 'paper:' || vec_id AS t, 'contains' AS type FROM embeddings UNION ALL SELECT 'paper:' || vec_id, 'term:' || vec_id % 11, 'mentions' FROM embeddings UNION ALL SELECT 'cluster:' || label, 'term:' || vec_id % 11, 'about' FROM embeddings) SELECT s AS source, t AS target, type, count(*) AS weight FROM e GROUP BY ALL")
-def _(spark, d):
-    label, paper, term = (F.concat(F.lit(p), c) for p, c in (("cluster:", F.col("label")), ("paper:", F.col("vec_id")), ("term:", F.col("vec_id") % 11)))
-    edge = lambda s, t, k: F.struct(s.alias("source"), t.alias("target"), F.lit(k).alias("type"))
-    e = table(spark, d, "embeddings").select(F.explode(F.array(edge(label, paper, "contains"), edge(paper, term, "mentions"), edge(label, term, "about"))).alias("e"))
-    return e.groupBy("e.source", "e.target", "e.type").agg(F.count("*").alias("weight"))
-
-
 @R.query("n10_explanation_rollup", f"WITH {CLAIMS} SELECT l_returnflag AS cluster, count(*) AS n, count(*) FILTER (a >= 3) AS supporting, count(*) FILTER (a < 2) AS contradicting, round(avg(b), 6) AS mean_score, array_to_string(list_sort(list(DISTINCT b)), ',') AS seen FROM claims GROUP BY 1")
 def _(spark, d):
     return claims(spark, d).groupBy(F.col("l_returnflag").alias("cluster")).agg(F.count("*").alias("n"), F.count_if(F.col("a") >= 3).alias("supporting"), F.count_if(F.col("a") < 2).alias("contradicting"), F.round(F.avg("b"), 6).alias("mean_score"), F.array_join(F.sort_array(F.collect_set("b")), ",").alias("seen"))
@@ -309,32 +290,224 @@ def _(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
 
 
-@R.query("s13_plain_text", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\r\\f]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' *\\n *', chr(10), 'g'), ' ' || chr(10))) AS text FROM documents")
+@R.query("s13_plain_text", rf"""WITH e AS (SELECT doc_id, {UNESCAPED} AS t FROM (SELECT doc_id, text AS t FROM documents)), c AS (SELECT doc_id, translate(t, chr(65279) || chr(65533) || chr(160), '   ') AS t FROM e)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS text FROM c""")
 def _(spark, d):
-    t = F.translate("text", "﻿�", "  ")
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f]+", " "), r"\n{3,}", "\n\n"), r" *\n *", "\n")
-    return table(spark, d, "documents").select("doc_id", F.md5(F.trim(t, F.lit(" \n"))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.plain_text(F.col("text"))).alias("text"))
 
 
-@R.query("x07_comparisons", "SELECT n_nationkey, regexp_extract('We saw ' || lower(n_name) || ' vs. group b here', '([a-z][a-z0-9 /-]{2,40}?)\\s+(?:vs\\.?|versus)\\s+([a-z][a-z0-9]+)', 2) AS b FROM nation")
+@R.query("z14_normal_list_set", "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT lower(trim(o_orderpriority)))), '|') AS items FROM orders GROUP BY 1")
 def _(spark, d):
-    t = F.concat(F.lit("We saw "), F.lower("n_name"), F.lit(" vs. group b here"))
-    return table(spark, d, "nation").select("n_nationkey", F.regexp_extract(t, r"([a-z][a-z0-9 /-]{2,40}?)\s+(?:vs\.?|versus)\s+([a-z][a-z0-9]+)", 2).alias("b"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_set(F.lower(F.trim("o_orderpriority")))), "|").alias("items"))
+
+
+def abstracts(spark, d):
+    """part as papers on a few conditions, regions and methods."""
+    pick = lambda n, *names: F.get(F.array(*(F.lit(x) for x in names)), (n % len(names)).cast("int"))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    text = F.concat(F.lit("We found altered GABA in "), pick(size, "ASD", "epileptic people", "attention-deficit/hyperactivity disorder", "nobody"), F.lit(". The "), pick(key, "amygdala", "hippocampus", "skin"), F.lit(" was seen by "), pick(size, "fMRI", "cohort", "chance"), F.lit("! Networks grew? "), pick(key, "Results indicate more", "Nothing"))
+    return table(spark, d, "part").select("p_partkey", text.alias("abstract"), F.col("p_name").alias("title"))
+
+
+_PICK = lambda n, *names: f"([{', '.join(repr(x) for x in names)}])[1 + {n} % {len(names)}]"
 
 
-@R.query("x09_missing_fields", f"WITH {CLAIMS} SELECT l_orderkey, l_linenumber, l_suppkey, array_to_string(list_filter([CASE WHEN a = 0 THEN 'p_value_or_ci' END, CASE WHEN b = 0 THEN 'effect_size' END, CASE WHEN a + b > 9 THEN 'sample_size' END], lambda x: x IS NOT NULL), ',') AS missing FROM claims")
+@R.query("f26_heuristic_claims", f"""WITH p AS (SELECT p_partkey, p_size, lower(p_name) AS name FROM part) SELECT p_partkey,
+  'We found altered GABA in ' || {_PICK("p_size", "ASD", "epileptic people", "attention-deficit/hyperactivity disorder", "nobody")} || CASE WHEN p_partkey % 2 = 0 THEN '|Results indicate more' ELSE '' END AS findings, 'GABA' AS mechanisms,
+  {_PICK("p_size", "autism spectrum disorder", "epilepsy", "ADHD", "")} AS conditions, {_PICK("p_partkey", "amygdala", "hippocampus", "")} AS brain_regions, {_PICK("p_size", "fmri", "cohort", "")} AS methodology, true AS supports_criticality, true AS network_effects FROM p""")
 def _(spark, d):
-    gaps = F.array_compact(F.array(F.when(F.col("a") == 0, "p_value_or_ci"), F.when(F.col("b") == 0, "effect_size"), F.when(F.col("a") + F.col("b") > 9, "sample_size")))
-    return claims(spark, d).select("l_orderkey", "l_linenumber", "l_suppkey", F.array_join(gaps, ",").alias("missing"))
+    c = abstracts(spark, d).select("p_partkey", *E.heuristic_claims(F.col("abstract"), F.lit("")))
+    joined = [F.array_join(n, "|").alias(n) for n in ("findings", "mechanisms", "conditions", "brain_regions")]
+    return c.select("p_partkey", *joined, "methodology", "supports_criticality", F.col("network_effects_described").alias("network_effects"))
 
 
-@R.query("x14_report_numbers", "SELECT user_id, event_id, CAST(regexp_extract(t, '(\\d+) events', 1) AS BIGINT) AS n, CAST(regexp_extract(t, '(\\d+)%', 1) AS BIGINT) AS pct FROM (SELECT user_id, event_id, 'Of ' || event_id || ' events, ' || user_id % 100 || '% passed' AS t FROM events)")
+@R.query("x19_entities", f"""WITH e AS (SELECT p_partkey, 'conditions' AS category, {_PICK("p_size", "", "Epilepsy", "ADHD", "")} AS entity FROM part UNION ALL SELECT p_partkey, 'structural_regions', {_PICK("p_partkey", "Amygdala", "Hippocampus", "")} FROM part) SELECT * FROM e WHERE entity <> ''""")
 def _(spark, d):
-    t = F.concat(F.lit("Of "), "event_id", F.lit(" events, "), F.col("user_id") % 100, F.lit("% passed"))
-    num = lambda p: F.regexp_extract(t, p, 1).cast("bigint")
-    return table(spark, d, "events").select("user_id", "event_id", num(r"(\d+) events").alias("n"), num(r"(\d+)%").alias("pct"))
+    return E.entities(abstracts(spark, d), "p_partkey", "abstract")
 
 
-@R.query("z14_normal_list_set", "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT lower(trim(o_orderpriority)))), '|') AS items FROM orders GROUP BY 1")
+@R.query("f29_balance_flag", "SELECT p_partkey, p_size % 3 <> 2 AS balance FROM part")
 def _(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_set(F.lower(F.trim("o_orderpriority")))), "|").alias("items"))
+    texts = F.get(F.array(F.lit("E/I ratio"), F.lit("Glutamate tone"), F.lit("other")), (F.col("p_size") % 3).cast("int"))
+    return table(spark, d, "part").select("p_partkey", E.names_balance(texts, F.lit("x")).alias("balance"))
+
+
+@R.query("f39_region_names", f"""SELECT p_partkey, {_PICK("p_size", "dorsolateral prefrontal cortex", "prefrontal cortex", "insula", "temporoparietal junction")} AS region, {_PICK("p_size", True, True, False, False)} AS like_cortex FROM part""")
+def _(spark, d):
+    name = F.get(F.array(*(F.lit(x) for x in (" DLPFC", "pfc ", "Insula", "TPJ"))), (F.col("p_size") % 4).cast("int"))
+    return table(spark, d, "part").select("p_partkey", E.region(name).alias("region"), E.regions_match(name, F.lit("Prefrontal  cortex")).alias("like_cortex"))
+
+
+_ANSWERS = ["""'{"score": ' || k || ', "quoted_span": " q' || event_id || ' "}'""", """'I think {"score": ' || k || '.5} so rating: ' || k""", """'Well, ' || k || '/5 it is, quote: "x"'""", """'give this a ' || k""", """'at last ' || k""", """'none'"""]
+
+
+@R.query("x20_relevance_answers", f"""WITH e AS (SELECT event_id, event_id % 6 AS v, event_id % 5 AS k FROM events) SELECT event_id, CASE WHEN v < 5 THEN CAST(k AS INT) END AS score, CASE v WHEN 0 THEN 'q' || event_id WHEN 2 THEN 'x' ELSE '' END AS quote FROM e""")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 6).alias("v"), (F.col("event_id") % 5).alias("k"))
+    text = F.expr("CASE v " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_ANSWERS)) + " END")
+    return e.select("event_id", E.relevance_answer(text).alias("r")).select("event_id", "r.*")
+
+
+@R.query("x20_batched_answers", "WITH e AS (SELECT user_id, event_id FROM events) SELECT user_id, CAST(event_id AS VARCHAR) AS id, CAST(event_id % 6 AS INT) AS score FROM e WHERE event_id % 7 < 6 AND user_id % 3 < 2")
+def _(spark, d):
+    """A model's answers for batches of events: an object with results, a list, or neither; entries with a score out of bounds go."""
+    item = F.concat(F.lit('{"id": "'), "event_id", F.lit('", "score": '), F.when(F.col("event_id") % 7 < 6, F.col("event_id") % 6).otherwise(F.lit(9)), F.lit("}"))
+    by = table(spark, d, "events").groupBy("user_id", F.pmod(F.xxhash64("event_id"), F.lit(8)).alias("batch")).agg(F.array_join(F.collect_list(item), ", ").alias("items"))
+    answer = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit('Here: {"results": ['), "items", F.lit("]}"))).when(F.col("user_id") % 3 == 1, F.concat(F.lit("["), "items", F.lit("]"))).otherwise("sorry")
+    return by.select("user_id", F.explode(E.batched_answers(answer)).alias("a")).select("user_id", "a.id", "a.score")
+
+
+@R.query("x20_extraction_answers", "WITH e AS (SELECT event_id, event_id % 3 AS v FROM events) SELECT event_id, 'f' || event_id AS findings, 'm' AS methodology, true AS supports_criticality, CASE WHEN v = 2 THEN 'parse_failed' END AS error FROM e")
+def _(spark, d):
+    body = F.concat(F.lit('"findings": ["f'), "event_id", F.lit('"], "methodology": "m", "supports_criticality": true'))
+    v = F.col("event_id") % 3
+    text = F.when(v == 0, F.concat(F.lit("```json\n{"), body, F.lit("}\n```"))).when(v == 1, F.concat(F.lit("Sure: {"), body, F.lit(', "x": {"y": 1}} done'))).otherwise(F.concat(F.lit("{"), body))
+    c = table(spark, d, "events").select("event_id", E.extraction_answer(text).alias("c"))
+    return c.select("event_id", F.array_join("c.findings", "|").alias("findings"), "c.methodology", "c.supports_criticality", "c.error")
+
+
+@R.query("p10_full_text_only", r"SELECT page_id FROM pages WHERE regexp_matches(html, '\S')")
+def _(spark, d):
+    return O.full_text_only(table(spark, d, "pages"), "html").select("page_id")
+
+
+@R.query("p11_spine_defaults", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN 'u' || doc_id WHEN doc_id % 3 = 1 THEN '' END, ''), md5(text)) AS uid, 0 AS n_hits, coalesce(CASE WHEN doc_id % 2 = 0 THEN source END, 'unknown') AS source FROM documents")
+def _(spark, d):
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text", F.when(i % 2 == 0, F.col("source")).alias("source"), F.when(i % 3 == 0, F.concat(F.lit("u"), i)).when(i % 3 == 1, "").alias("uid"))
+    return O.with_spine(docs, {"hits": "array()", "source": "'unknown'"}, F.md5("text")).select("doc_id", "uid", F.size("hits").alias("n_hits"), "source")
+
+
+@R.query("p19_light_clusters", "SELECT label AS cluster, count(*) AS paper_count FROM embeddings GROUP BY label")
+def _(spark, d):
+    """Clusters without their papers, but with how many they have."""
+    c = table(spark, d, "embeddings").groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("paper_count"))
+    return c
+
+
+def records(spark, d):
+    """documents as records whose identifiers are partly missing and variously written."""
+    i = F.col("doc_id")
+    c = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    doi = F.when(i % 3 == 0, c(" https://doi.org/10.1/A", i)).when(i % 3 == 1, "")
+    pmc = F.when(i % 4 == 0, c("https://pmc.ncbi.nlm.nih.gov/articles/PMC", i, "/")).when(i % 4 == 1, i.cast("string")).when(i % 4 == 2, c(" pmc", i))
+    pmid = F.when(i % 5 < 2, c("https://pubmed.ncbi.nlm.nih.gov/", i)).when(i % 5 == 2, i.cast("string"))
+    return papers(spark, d).withColumnRenamed("ord", "doc_id").select("doc_id", doi.alias("doi"), pmc.alias("pmc"), pmid.alias("pmid"), "title", "year", "source")
+
+
+RECORDS = f"""{PAPERS}, rec AS (SELECT ord AS doc_id, CASE ord % 3 WHEN 0 THEN ' https://doi.org/10.1/A' || ord WHEN 1 THEN '' END AS doi, CASE ord % 3 WHEN 0 THEN '10.1/a' || ord END AS bare, CASE ord % 4 WHEN 3 THEN NULL ELSE 'PMC' || ord END AS pmc, CASE WHEN ord % 5 < 3 THEN CAST(ord AS VARCHAR) END AS pmid,
+  CASE WHEN ord % 5 < 2 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || ord WHEN ord % 5 = 2 THEN CAST(ord AS VARCHAR) END AS raw_pmid, title, year, source FROM papers)"""
+
+
+@R.query("p02_record_identifiers", f"WITH {RECORDS} SELECT doc_id, bare AS doi, pmc, pmid FROM rec")
+def _(spark, d):
+    """DOI, PMC and PubMed ids without their addresses."""
+    c = F.col
+    return records(spark, d).select("doc_id", T.doi(c("doi")).alias("doi"), I.pmcid(c("pmc")).alias("pmc"), I.pmid(c("pmid")).alias("pmid"))
+
+
+@R.query("f40_record_keys", f"""WITH {RECORDS} SELECT doc_id, substr(sha256(coalesce('doi:' || bare, 'pmid:' || pmid, lower(trim(title)) || '|' || year)), 1, 32) AS uid, coalesce('doi:' || nullif(lower(trim(doi)), ''), 'pmid:' || pmid, 'title:' || substr(lower(trim(title)), 1, 80) || '|' || year) AS record_key,
+  coalesce('doi:' || lower(nullif(doi, '')), 'title:' || trim(lower(title))) AS article_key, coalesce(nullif(doi, ''), pmc, pmid, title, '') AS paper_key, coalesce(nullif(trim(doi), ''), pmid, nullif(substr(trim(title), 1, 80), ''), 'paper_' || (doc_id + 1)) AS article_id FROM rec""")
+def _(spark, d):
+    """Five keys of a record, as five parts of a review make them."""
+    c = F.col
+    r = records(spark, d).withColumns({"pmc": I.pmcid(c("pmc")), "pmid": I.pmid(c("pmid"))})
+    none = F.lit(None).cast("string")
+    return r.select("doc_id", I.paper_uid(c("doi"), c("pmid"), c("title"), c("year")).alias("uid"), I.record_key(c("doi"), c("pmid"), none, c("title"), c("year")).alias("record_key"), I.article_key(c("doi"), c("title")).alias("article_key"), I.paper_key(c("doi"), c("pmc"), c("pmid"), c("title")).alias("paper_key"), I.article_id([c("doi"), c("pmid")], c("title"), c("doc_id")).alias("article_id"))
+
+
+@R.query("p15_open_access_candidates", """WITH p AS (SELECT page_id AS i, nullif(trim(url), '') AS url FROM pages), c AS (SELECT i, unnest([{'n': 1, 's': 'pmc', 'u': CASE WHEN i % 4 = 0 THEN 'https://pmc.ncbi.nlm.nih.gov/articles/PMC' || i || '/' END}, {'n': 2, 's': 'openalex_best_oa_pdf', 'u': CASE WHEN i % 3 = 1 THEN url || '.pdf' END}, {'n': 3, 's': 'openalex_best_oa', 'u': url}, {'n': 4, 's': 'openalex_oa_url', 'u': url}, {'n': 5, 's': 's2_open_access_pdf', 'u': 'https://host/' || i}]) AS c FROM p),
+f AS (SELECT i, c.u AS u, min(c.n) AS n, arg_min(c.s, c.n) AS s FROM c WHERE c.u IS NOT NULL GROUP BY 1, 2) SELECT i AS page_id, arg_min(s, n) AS best_source, arg_min(u, n) AS best, count(*) AS n FROM f GROUP BY 1""")
+def _(spark, d):
+    """Open-access addresses in order of preference, each once; the first is best."""
+    i = F.col("page_id")
+    row = {"pmc": F.when(i % 4 == 0, i.cast("string")), "openalex_best_oa_pdf_url": F.when(i % 3 == 1, F.concat(F.trim("url"), F.lit(".pdf"))), "openalex_best_oa_url": F.col("url"), "openalex_oa_url": F.concat(F.lit(" "), "url"), "s2_open_access_pdf_url": F.concat(F.lit("https://host/"), i)}
+    return table(spark, d, "pages").select("page_id", I.candidates(row).alias("c")).select("page_id", F.col("c")[0]["source"].alias("best_source"), F.col("c")[0]["url"].alias("best"), F.size("c").cast("bigint").alias("n"))
+
+
+@R.query("s14_pdf_link", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://x/' || page_id || '.pdf?a=1&b=2' WHEN 1 THEN '/files/' || page_id || '.PDF' WHEN 2 THEN page_id || '.pdf' ELSE '' END AS pdf FROM pages""")
+def _(spark, d):
+    """The PDF that a page names in its citation tag, in a link, or for a reader. Links of the pages themselves are put out of the way first."""
+    i = F.col("page_id")
+    c = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    own = F.when(i % 4 == 0, c('<META name="citation_pdf_url" content="https://x/', i, '.pdf?a=1&amp;b=2">')).when(i % 4 == 1, c("<a href='/files/", i, ".PDF'>")).when(i % 4 == 2, c('<div data-readcube-pdf-url = "', i, '.pdf">')).otherwise("")
+    html = F.concat(own, F.regexp_replace("html", r"(?i)\.pdf|citation_pdf_url", ""))
+    return table(spark, d, "pages").select("page_id", I.pdf_link(html).alias("pdf"))
+
+
+@R.query("z09_paper_fields", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(n_chars % 6 AS DOUBLE) WHEN 1 THEN 2.5 WHEN 2 THEN 3.0 ELSE 0.0 END AS score, CASE doc_id % 4 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'supports' WHEN 2 THEN 'supports' ELSE 'neutral' END AS direction, CASE WHEN doc_id % 3 = 0 THEN 'q ' || doc_id WHEN doc_id % 3 = 1 THEN 's' || doc_id ELSE '' END AS quote FROM documents""")
+def _(spark, d):
+    """Score, direction and quote of a paper from the fields that hold them."""
+    i = F.col("doc_id")
+    supports = i % 4 == 2
+    score = I.paper_score({"relevance_score": F.when(i % 4 == 0, (F.col("n_chars") % 6).cast("string")).when(i % 4 == 1, "high"), "score": F.when(i % 4 == 1, F.lit("2.5"))}, supports)
+    way = I.paper_direction({"direction": F.when(i % 4 == 0, "Contradicting").when(i % 4 == 1, "?"), "llm_direction": F.when(i % 4 == 1, "SUPPORTS it")}, supports)
+    quote = I.paper_quote({"quote": F.when(i % 3 == 0, F.concat(F.lit(" q  "), i)).otherwise(" ")}, F.when(i % 3 == 1, F.array(F.lit(" "), F.concat(F.lit("s"), i))))
+    return table(spark, d, "documents").select("doc_id", score.alias("score"), way.alias("direction"), quote.alias("quote"))
+
+
+@R.query("g13_stopping_rule", "WITH r AS (SELECT CAST(doc_id // 100 AS INT) AS round, count(*) FILTER (quality = 1) AS new_relevant FROM labels GROUP BY 1) SELECT round, new_relevant, CASE WHEN round >= 8 THEN 'max_rounds' WHEN round > 0 AND new_relevant < 3 THEN 'below_yield' END AS why FROM r")
+def _(spark, d):
+    """Labels in rounds of a hundred ids; what would end retrieval after each."""
+    r = table(spark, d, "labels").groupBy(F.floor(F.col("doc_id") / 100).cast("int").alias("round")).agg(F.count_if(F.col("quality") == 1).alias("new_relevant"))
+    return r.select("round", "new_relevant", I.stops(F.col("round"), F.col("new_relevant"), 8, 3).alias("why"))
+
+
+@R.query("s07_pubmed_strings", f"WITH {PAPERS} SELECT ord, CAST(ord AS VARCHAR) AS pmid, 'T ' || ord AS title, 'A ' || source || ' B' AS abstract, year, CASE WHEN ord % 2 = 0 THEN '10.1/' || ord END AS doi FROM papers")
+def _(spark, d):
+    """Papers written as a service's XML and read back."""
+    c = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    i, y = F.col("ord"), F.col("year")
+    date = F.when(i % 3 == 0, c("<MedlineDate>", y, " Jan-Feb</MedlineDate>")).otherwise(c("<Year>", y, "</Year>"))
+    doi = F.when(i % 2 == 0, c('<ArticleId IdType="doi">10.1/', i, "</ArticleId>")).otherwise("")
+    xml = c("<S><PubmedArticle><MedlineCitation><PMID>", i, "</PMID><Article><ArticleTitle>T ", i, "</ArticleTitle><Abstract><AbstractText>A ", F.col("source"), "</AbstractText><AbstractText>B</AbstractText></Abstract><Journal><Title>J</Title><JournalIssue><PubDate>", date, "</PubDate></JournalIssue></Journal></Article></MedlineCitation><PubmedData><ArticleIdList>", doi, "</ArticleIdList></PubmedData></PubmedArticle></S>")
+    return bib.pubmed_strings(papers(spark, d).select("ord", xml.alias("xml")), "ord", "xml").drop("journal")
+
+
+@R.query("s04_json_lines", "SELECT doc_id, n_chars FROM documents WHERE doc_id % 5 < 3")
+def _(spark, d):
+    """A log of one object a line, among blank and broken lines, written and read back."""
+    i = F.col("doc_id")
+    line = F.when(i % 5 < 3, F.to_json(F.struct("doc_id", "n_chars"))).when(i % 5 == 3, " ").otherwise(F.concat(F.lit('{"doc_id": '), i))
+    path = new_folder(spark, "lines")
+    table(spark, d, "documents").select(line.alias("value")).write.text(path)
+    return bib.jsonl(spark, path, "doc_id bigint, n_chars bigint")
+
+
+@R.query("s01_paper_lists", "SELECT doc_id, source FROM documents WHERE source IS NOT NULL")
+def _(spark, d):
+    """Lists of papers in JSON files, some under a key, written and read back."""
+    by = table(spark, d, "documents").where("source IS NOT NULL").groupBy(F.floor(F.col("doc_id") / 100).alias("b")).agg(F.to_json(F.collect_list(F.struct("doc_id", "source"))).alias("x"))
+    path = new_folder(spark, "lists")
+    value = F.when(F.col("b") % 2 == 0, F.col("x")).otherwise(F.concat(F.lit('{"articles": '), "x", F.lit("}")))
+    by.select(F.regexp_replace(value, "^(.*)$", "$1").alias("value")).write.text(path)
+    return bib.paper_lists(spark.read.text(path), "value", "doc_id bigint, source string")
+
+
+@R.query("z01_locations_and_authors", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'p' || page_id ELSE coalesce(url, '') END AS url, CASE page_id % 3 WHEN 0 THEN 'p' || page_id ELSE '' END AS pdf_url, CASE page_id % 2 WHEN 0 THEN 'journal' ELSE '' END AS host_type, CASE page_id % 4 WHEN 0 THEN 'A,C' WHEN 1 THEN 'Z' ELSE '' END AS authors FROM pages""")
+def _(spark, d):
+    """Addresses and authors in the shapes that providers give them."""
+    i = F.col("page_id")
+    place = F.struct(F.when(i % 3 == 0, F.concat(F.lit("p"), i)).otherwise(F.when(i % 3 == 1, F.lit(""))).alias("pdf_url"), F.col("url").alias("landing_page_url"), F.struct(F.when(i % 2 == 0, " journal ").alias("type")).alias("source"))
+    author = lambda full, short: F.struct(F.lit(full).cast("string").alias("displayName"), F.lit(short).cast("string").alias("name"))
+    authors = F.when(i % 4 == 0, F.array(author("A", "B"), author(None, ""), author("", "C")))
+    x = table(spark, d, "pages").select("page_id", I.location(place).alias("l"), I.author_names(authors, ("displayName", "name"), F.when(i % 4 == 1, "Z")).alias("a"))
+    return x.select("page_id", "l.*", F.array_join("a", ",").alias("authors"))
+
+
+@R.query("z05_full_text_enrich", r"SELECT d.doc_id, length(p.html) AS n FROM documents d JOIN pages p ON p.page_id = d.doc_id WHERE regexp_matches(p.html, '\S')")
+def _(spark, d):
+    """Papers with their full text, those without one left out."""
+    p = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("full_text"))
+    return O.full_text_only(table(spark, d, "documents").select("doc_id").join(p, "doc_id", "left")).select("doc_id", F.length("full_text").alias("n"))
+
+
+@R.query("x18_text_files", "SELECT 'source=' || source AS folder, count(*) AS n_lines FROM documents WHERE source IS NOT NULL AND source <> '' GROUP BY source")
+def _(spark, d):
+    """Ids written as text files in a folder for each source, and read back file by file."""
+    path = new_folder(spark, "files")
+    docs = table(spark, d, "documents").where("source IS NOT NULL AND source <> ''").select(F.col("doc_id").cast("string").alias("value"), "source")
+    docs.write.partitionBy("source").text(path)
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x != ""))
+    files = bib.text_files(spark, path).select(F.regexp_extract("path", "(source=[^/]+)/[^/]+$", 1).alias("folder"), lines.alias("n"))
+    return files.groupBy("folder").agg(F.sum("n").alias("n_lines"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: SQL for column t with character references resolved.
+UNESCAPED = "t"
+for _name, _plain in T.ENTITIES.items():
+    UNESCAPED = f"replace({UNESCAPED}, '{_name}', {'chr(39)' if _plain == chr(39) else repr(_plain) if _plain.isascii() else f'chr({ord(_plain)})'})"
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as bibliographic records: the title is the text up to its first full stop."""
     return table(spark, sf_dir, "documents").select(

@@ -220,12 +220,14 @@ terms AS (SELECT side, id, unnest(w) AS term FROM tok UNION ALL SELECT side, id,
 c AS (SELECT side, id, term, count(*) AS n FROM terms GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY term),
 w AS (SELECT side, id, term, (1 + ln(n)) * (ln((1.0 + (SELECT count(*) FROM raw)) / (1.0 + df)) + 1) AS w FROM c JOIN df USING (term)),
 norm AS (SELECT side, id, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-dot AS (SELECT a.id AS doc, b.id AS query, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.term = b.term AND a.side = 'd' AND b.side = 'q' GROUP BY ALL)
-SELECT doc, query, round(least(1.0, dot / (x.norm * y.norm)), 6) AS tfidf FROM dot JOIN norm x ON x.side = 'd' AND x.id = doc JOIN norm y ON y.side = 'q' AND y.id = query""")
+dot AS (SELECT a.id AS doc, b.id AS query, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.term = b.term AND a.side = 'd' AND b.side = 'q' GROUP BY ALL),
+s AS (SELECT doc, query, round(least(1.0, dot / (x.norm * y.norm)), 6) AS tfidf FROM dot JOIN norm x ON x.side = 'd' AND x.id = doc JOIN norm y ON y.side = 'q' AND y.id = query)
+SELECT doc, query, tfidf FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY tfidf DESC, query) AS rn FROM s) WHERE rn <= 3""")
 def _(spark, d):
+    """The three best queries of every document: a top-k report."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text")
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    return S.tfidf_similarity(docs, queries).withColumn("tfidf", F.round("tfidf", 6))
+    return S.tfidf_similarity(docs, queries, best=3).withColumn("tfidf", F.round("tfidf", 6))
 
 
 @R.query("e10_triage_band", f"""WITH {PAPERS}, s AS (SELECT ord, CAST(citations % 101 AS DOUBLE) / 100 AS c FROM papers)
@@ -286,3 +288,12 @@ def _(spark, d):
     i = F.col("doc_id") % 5
     more = F.when(i == 0, " anxiety and depressive").when(i == 1, " epileptic seizures").when(i == 2, " adhd (attention deficit)").otherwise("")
     return table(spark, d, "documents").select("doc_id", F.array_join(F.sort_array(T.conditions(F.concat("text", more))), "|").alias("conditions"))
+
+
+@R.query("e13_tfidf_vectors", f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)}) GROUP BY ALL),
+v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY term ORDER BY total DESC, term LIMIT 5000), w AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM c JOIN v USING (term)), n AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1)
+SELECT doc_id, count(*) AS n_terms, round(max(w / n), 6) AS top_weight, round(sum(w / n), 4) AS total FROM w JOIN n USING (doc_id) GROUP BY 1""")
+def _(spark, d):
+    """What is to be known of each document's vector: its terms, its heaviest weight and the sum."""
+    v = S.tfidf_vectors(table(spark, d, "documents"), "doc_id", "text", T.STOP_WORDS)
+    return v.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"), F.round(F.sum("weight"), 4).alias("total"))

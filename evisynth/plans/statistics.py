@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import grading as G
 from ..operators import agreement as A
 from ..operators import meta as M
 from .registry import CLAIMS, EFFECTS, Registry, claims, effects, table
@@ -104,15 +105,6 @@ def _(spark, d):
     return M.trim_and_fill(effects(spark, d), ["condition"])
 
 
-@R.query("m12_bias_verdict")
-def _(spark, d):
-    """Egger's t against its two-sided 10 % point near 1.66, a shift over 0.2, and the fail-safe rule, joined."""
-    e, n, t = M.egger(effects(spark, d), ["condition"]), M.fail_safe(effects(spark, d), ["condition"]), M.trim_and_fill(effects(spark, d), ["condition"])
-    j = e.select("condition", F.round("t", 6).alias("t")).join(n.select("condition", "failsafe_n", "robust"), "condition").join(t.select("condition", "n_imputed", F.abs(F.col("original") - F.col("adjusted")).alias("shift")), "condition")
-    signals = F.filter(F.array(F.when(F.abs("t") > 1.66, "egger"), F.when(F.col("shift") > 0.2, "shift"), F.when(~F.col("robust"), "fail-safe")), lambda x: x.isNotNull())
-    return j.withColumn("signals", F.array_join(signals, ",")).withColumn("bias", F.col("signals") != "")
-
-
 @R.query("m15_two_group_effect", """WITH a AS (SELECT l_returnflag, count(*) FILTER (l_linestatus = 'O') AS n1, count(*) FILTER (l_linestatus = 'F') AS n2, avg(l_quantity) FILTER (l_linestatus = 'O') AS m1, avg(l_quantity) FILTER (l_linestatus = 'F') AS m2, var_samp(l_quantity) FILTER (l_linestatus = 'O') AS v1, var_samp(l_quantity) FILTER (l_linestatus = 'F') AS v2 FROM lineitem GROUP BY l_returnflag),
 s AS (SELECT *, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS sd FROM a WHERE n1 >= 2 AND n2 >= 2) SELECT l_returnflag, n1, n2, round(sd, 6) AS pooled_sd, round((m1 - m2) / sd, 6) AS d, round((m1 - m2) / sd * (1 - 3.0 / (4 * (n1 + n2) - 9)), 6) AS g FROM s""")
 def _(spark, d):
@@ -246,3 +238,37 @@ def _(spark, d):
 @R.query("a12_run_summary", f"WITH {CLAIMS} SELECT l_suppkey AS run, count(*) AS n, round(avg(a), 6) AS mean_score, {', '.join(f'count(*) FILTER (a = {i}) AS score_{i}' for i in range(6))}, round(avg(CASE WHEN b > 0 THEN CAST(b >= 3 AS DOUBLE) END), 6) AS rate FROM claims GROUP BY l_suppkey")
 def _(spark, d):
     return claims(spark, d).groupBy(F.col("l_suppkey").alias("run")).agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("mean_score"), *(F.count_if(F.col("a") == i).alias(f"score_{i}") for i in range(6)), F.round(F.avg(F.when(F.col("b") > 0, (F.col("b") >= 3).cast("double"))), 6).alias("rate"))
+
+
+#: Bias tests in SQL: Egger's t with its two-sided p (the density summed by Simpson's rule), what trim-and-fill imputes, and the fail-safe N, for each condition.
+BIAS = f"""{EFFECTS}, {pool_sql('effects', 'condition')}, r AS (SELECT condition, y / sqrt(v) AS s, 1 / sqrt(v) AS x FROM effects),
+a AS (SELECT condition, count(*) AS k, regr_intercept(s, x) AS b, regr_sxx(s, x) AS sxx, regr_syy(s, x) AS syy, regr_sxy(s, x) AS sxy, avg(x) AS mx FROM r GROUP BY condition),
+eg AS (SELECT condition, k, CAST(k - 2 AS DOUBLE) AS n, b / sqrt((syy - sxy * sxy / sxx) / (k - 2) * (1.0 / k + mx * mx / sxx)) AS t FROM a WHERE k >= 3),
+pt AS (SELECT condition, any_value(k) AS k, any_value(t) AS t, 1 - 2 * sum(exp(lgamma((n + 1) / 2) - lgamma(n / 2)) / sqrt(n * pi()) * pow(1 + pow(abs(t) * i / 2000, 2) / n, -(n + 1) / 2) * CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * any_value(abs(t)) / 2000 / 3 AS p FROM eg, range(2001) q(i) GROUP BY condition),
+res AS (SELECT condition, study, y - round(mu, 6) AS res FROM effects JOIN pool ON key = condition),
+rk AS (SELECT condition, res, row_number() OVER (PARTITION BY condition ORDER BY res, study) AS rank, count(*) FILTER (res > 0) OVER (PARTITION BY condition) AS pos, count(*) FILTER (res < 0) OVER (PARTITION BY condition) AS neg, count(*) OVER (PARTITION BY condition) AS k FROM res),
+tf AS (SELECT condition, CAST(CASE WHEN any_value(pos) = any_value(neg) THEN 0 ELSE greatest(0, round_even((4.0 * sum(CASE WHEN (pos > neg AND res > 0) OR (neg > pos AND res < 0) THEN rank ELSE 0 END) - any_value(k) * (any_value(k) + 1)) / (2.0 * any_value(k)), 0)) END AS INT) AS n_imputed FROM rk GROUP BY condition),
+fs AS (SELECT condition, CAST(greatest(0, floor(pow(sum(y / sqrt(v)) / {M.Z_HALF}, 2) - count(*))) AS BIGINT) AS failsafe_n FROM effects GROUP BY condition),
+bias AS (SELECT condition, pt.k, p, n_imputed, failsafe_n, 5 * pt.k + 10 AS threshold FROM pt JOIN tf USING (condition) JOIN fs USING (condition))"""
+
+
+@R.query("m12_bias_verdict", f"WITH {BIAS} SELECT condition, k, round(p, 6) AS p, n_imputed, failsafe_n, array_to_string(list_filter([CASE WHEN p < 0.05 THEN 'egger' WHEN p < 0.10 THEN 'egger borderline' END, CASE WHEN n_imputed > 0 THEN 'imputed' END, CASE WHEN failsafe_n < threshold THEN 'fail-safe' END], lambda x: x IS NOT NULL), ',') AS concerns FROM bias")
+def _(spark, d):
+    """Egger's p with k - 2 degrees of freedom, any imputed study, and the fail-safe rule."""
+    return M.bias_tests(effects(spark, d), ["condition"]).select("condition", "k", F.round("p", 6).alias("p"), "n_imputed", "failsafe_n", F.array_join("concerns", ",").alias("concerns"))
+
+
+@R.query("g05_publication_bias", f"WITH {BIAS} SELECT condition, CASE WHEN p < 0.05 THEN 2 WHEN p < 0.10 OR (failsafe_n > 0 AND failsafe_n < threshold) THEN 1 ELSE 0 END AS downgrade FROM bias")
+def _(spark, d):
+    """The domain's downgrade from the bias tests of each condition. Effects lie between 0 and 0.1, so imputed studies cannot move them by 0.2."""
+    b = M.bias_tests(effects(spark, d), ["condition"])
+    down = G.publication_bias(F.col("k"), F.col("p"), F.col("n_imputed"), F.abs(F.col("original") - F.col("adjusted")), F.col("failsafe_n"))
+    return b.select("condition", down.cast("int").alias("downgrade"))
+
+
+@R.query("m13_analysis", f"WITH {BIAS} SELECT condition, pool.k AS k, round(mu, 6) AS mu, round(se, 6) AS se, round(i2, 3) AS i2, round(p, 6) AS egger_p, n_imputed, failsafe_n FROM pool JOIN bias ON pool.key = bias.condition")
+def _(spark, d):
+    """Pooled effect, heterogeneity and bias tests of every condition in one table."""
+    e = effects(spark, d)
+    j = M.pooled(e, ["condition"]).join(M.bias_tests(e, ["condition"]).select("condition", F.col("p").alias("egger_p"), "n_imputed", "failsafe_n"), "condition")
+    return rounded(rounded(j, 6, "mu", "se", "egger_p"), 3, "i2").select("condition", "k", "mu", "se", "i2", "egger_p", "n_imputed", "failsafe_n")

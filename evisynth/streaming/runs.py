@@ -34,6 +34,11 @@ def windowed_counts(stream: DataFrame, ts: str, by: str, width: str = "1 hour",
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
+def complete(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the table at `out` equal to all of a stream's groups: each batch writes them anew."""
+    return counts.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest(events: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(value, ts).alias(value), F.max(ts).alias(ts))
 

@@ -41,6 +41,9 @@ def test_keep_first_is_greedy(spark):
     pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "a long, b long")
     got = {r["id"]: (r["kept"], r["match"]) for r in C.keep_first(nodes, pairs, cut).collect()}
     assert got == {0: (True, None), 1: (False, 0), 2: (True, None), 3: (False, 2), 4: (True, None), 5: (False, 4)}
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 5), (4, 5)], "a long, b long")
+    got = {r["id"]: (r["kept"], r["match"]) for r in C.keep_first(nodes, pairs, cut).collect()}
+    assert got[5] == (False, 3) and got[3] == (True, None)
 
 
 @pytest.mark.parametrize("a,b", [("kitten", "sitting"), ("", ""), ("abc", ""), ("aaa", "aa"), ("neural network", "network neural")])
@@ -63,7 +66,8 @@ def test_statistics_in_text(spark):
     r = spark.createDataFrame([(t,)], "t string").select(X.p_values(F.col("t")).alias("p"), X.intervals(F.col("t")).alias("c"), X.sample_sizes(F.col("t")).alias("n"), X.effects(F.col("t")).alias("d")).head()
     assert [(p["operator"], p["value"]) for p in r["p"]] == [("=", 0.018), ("<", 0.001)]
     assert [tuple(c) for c in r["c"]] == [(95, 0.10, 0.94)] and r["n"] == [84] and r["d"] == [0.52]
-    assert [(n, v) for n, v, _, _ in X.results_in(t)] == [("t_test", 2.41), ("effect_size", 0.52), ("correlation", 0.48), ("regression_coefficient", -0.02)]
+    rows = X.test_statistics(spark.createDataFrame([(1, t)], "id long, t string"), "id", "t").orderBy("start").collect()
+    assert [(r["test"], r["statistic"]) for r in rows] == [("t_test", 2.41), ("effect_size", 0.52), ("correlation", 0.48), ("regression_coefficient", -0.02)]
 
 
 def test_communities_of_two_triangles(spark):
@@ -84,12 +88,15 @@ def test_evidence_links_by_hand(spark):
     assert rows[2, "x"]["relevance"] == 0 and rows[2, "x"]["direction"] == "neutral"
 
 
-def test_pubmed_xml_and_paged_source(spark, tmp_path):
-    (tmp_path / "a.xml").write_text("<S><PubmedArticle><MedlineCitation><PMID>7</PMID><Article><ArticleTitle>T</ArticleTitle><Abstract><AbstractText>A</AbstractText><AbstractText>B</AbstractText></Abstract><Journal><Title>J</Title><JournalIssue><PubDate><MedlineDate>1999 Jan-Feb</MedlineDate></PubDate></JournalIssue></Journal></Article></MedlineCitation></PubmedArticle></S>")
+ARTICLE = "<PubmedArticle><MedlineCitation><PMID>7</PMID><Article><ArticleTitle>T</ArticleTitle><Abstract><AbstractText>A</AbstractText><AbstractText>B</AbstractText></Abstract><Journal><Title>J</Title><JournalIssue><PubDate><MedlineDate>1999 Jan-Feb</MedlineDate></PubDate></JournalIssue></Journal></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType='doi'>10.1/x</ArticleId></ArticleIdList></PubmedData></PubmedArticle>"
+
+
+def test_pubmed_xml(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(f"<S>{ARTICLE}</S>")
     assert tuple(B.pubmed_xml(spark, str(tmp_path / "a.xml")).head()) == ("7", "T", "A B", "J", 1999)
-    spark.dataSource.register(B.PagedSearch)
-    rows = spark.read.format("paged_search").option("total", 250).option("limit", 120).load()
-    assert rows.count() == 120 and rows.select("page").distinct().count() == 2
+    df = spark.createDataFrame([(1, f"<S>{ARTICLE}{ARTICLE.replace('7', '8')}</S>"), (2, "no XML"), (3, None)], "id long, x string")
+    got = sorted(tuple(r) for r in B.pubmed_strings(df, "id", "x").collect())
+    assert got == [(1, "7", "T", "A B", "J", 1999, "10.1/x"), (1, "8", "T", "A B", "J", 1999, "10.1/x")]
 
 
 def test_bibtex_escapes(spark):
@@ -143,3 +150,111 @@ def test_permutation_threshold(spark, sf, monkeypatch):
     monkeypatch.setattr(N, "permutation_threshold", lambda *a, **b: asked.update(b) or spark.createDataFrame([(1, 1)], "threshold long, rounds long"))
     R.queries["n02_n03_edge_threshold"](spark, sf)
     assert asked.get("rounds", 1000) >= 500
+
+
+def test_first_by_keys_in_order(spark):
+    made = random.Random(4)
+    rows = [(i, made.choice([None, *"abcdefgh"]), made.choice([None, *"tuvwxyz"])) for i in range(60)]
+    got = {r["id"]: r["root"] for r in C.first_by_keys(spark.createDataFrame(rows, "id long, d string, p string"), ["d", "p"], cut).collect()}
+    dois, pmids, want = {}, {}, {}
+    for i, d, p in rows:
+        if d in dois or p in pmids:
+            want[i] = dois[d] if d in dois else pmids[p]
+            continue
+        want[i] = i
+        if d:
+            dois[d] = i
+        if p:
+            pmids[p] = i
+    assert got == want
+
+
+def test_hard_mode_dedup_by_hand(spark):
+    kind = "ord long, doi string, pmid string, title string, authors array<string>, year int, source string, hits array<struct<provider:string,family:string,query:string,rank:int>>, machine struct<score:int,tag:string>"
+    hit = lambda *x: [x]
+    long_title = "a very long title of a paper on many things"
+    rows = [
+        (1, "https://doi.org/10.1/A", None, long_title, ["P"], 2000, "x", hit("a", "f", "q", 1), (None, "m1")),
+        (2, "10.1/a", "9", "something else entirely", ["Q"], 2001, "y", hit("a", "f", "q", 2), (3, "m2")),
+        (3, None, "9", "third one of its own kind", [], None, "x", hit("b", "f", "q", 3), None),
+        (4, None, None, long_title + "s", ["P"], 1999, "z", hit("b", "g", "q", 4), (5, "m4")),
+        (5, None, "9", "", None, None, "z", [], (1, None)),
+        (6, None, None, "", None, None, "z", [], None),
+    ]
+    got = {r["ord"]: r for r in C.dedupe_papers(spark.createDataFrame(rows, kind), ["title", "doi"], ["machine"], cut).collect()}
+    assert {k: r["n_merged"] for k, r in got.items()} == {1: 3, 3: 2, 6: 1}
+    assert got[1]["source"] == "x+y+z" and tuple(got[1]["machine"]) == (3, "m1") and [tuple(h) for h in got[1]["hits"]] == [("a", "f", "q", 1), ("b", "g", "q", 4)]
+    assert tuple(got[3]["machine"]) == (1, None) and got[6]["hits"] == []
+
+
+def test_word_error_rate_against_table(spark):
+    made = random.Random(2)
+    pairs = [(" ".join(made.choice("ab cd ef gh 日本 x".split()) for _ in range(made.randint(0, 12))), " ".join(made.choice("AB cd ef zz".split()) for _ in range(made.randint(0, 12)))) for _ in range(80)] + [(None, "a"), ("a", None), (None, None)]
+
+    def wer(a, b):
+        a, b = (a or "").lower().split(), (b or "").lower().split()
+        if not a:
+            return 1.0 if b else 0.0
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1] / len(a)
+
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a string, b string")
+    got = {r["i"]: r["w"] for r in df.select("i", C.word_error_rate(F.col("a"), F.col("b")).alias("w")).collect()}
+    assert got == pytest.approx({i: wer(*p) for i, p in enumerate(pairs)})
+
+
+def test_two_hops(spark):
+    e = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10), (3, 10), (4, 11), (10, 20)], "src long, dst long")
+    got = {r["id"]: (r["hop"], r["via"], r["kind"]) for r in N.dive(spark.createDataFrame([(1,)], "id long"), e, 2, 2, cut).collect()}
+    assert got == {1: (0, None, None), 10: (1, 1, "reference"), 11: (1, 1, "reference"), 2: (2, 10, "citation"), 20: (2, 10, "reference"), 4: (2, 11, "citation")}
+
+
+def test_network_takes_top_papers_and_terms(spark):
+    kind = "cluster string, paper string, title string, direction string, score double, citations long, year int, mechanisms array<string>, conditions array<string>, brain_regions array<string>, findings array<string>, methodology string"
+    rows = [("c", "1", "T1", "supports", 2.0, 5, 2000, ["M  x", "rare"], None, None, None, "a/b, c,d,e"), ("c", "2", "T2", None, None, None, None, ["M  x"], None, None, ["f"], None), ("c", "3", "T3", "mixed", 9.0, 1, 1990, ["M  x"], None, None, None, None)]
+    nodes, edges = N.evidence_network(spark.createDataFrame(rows, kind), cut, top_papers=2, top_terms=1)
+    got = {(r["source"], r["target"], r["type"]): (r["weight"], r["evidence_count"]) for r in edges.collect()}
+    assert got == {("paper:1", "cluster:c", "belongs_to"): (1.0, 1), ("paper:3", "cluster:c", "belongs_to"): (1.0, 1), ("paper:1", "cluster:c", "supports"): (2.0, 1), ("paper:1", "mechanism:m_x", "mentions"): (1.0, 1), ("paper:3", "mechanism:m_x", "mentions"): (1.0, 1), ("cluster:c", "mechanism:m_x", "cluster_theme"): (2.0, 2), ("paper:1", "method:a_b", "uses_method"): (1.0, 1)}
+    assert {(r["id"], r["type"], r["count"]) for r in nodes.collect()} == {("cluster:c", "cluster", 3), ("paper:1", "paper", 1), ("paper:3", "paper", 1), ("mechanism:m_x", "mechanism", 3), ("method:a_b", "method", 1)}
+
+
+def test_paragraphs_and_sections(spark):
+    text = "\nMethods:\n\nWe did this\nand that.\n \n  Results\n\nIt worked. "
+    rows = C.paragraph_blocks(spark.createDataFrame([(1, text), (2, None), (3, "Short one. " * 200)], "id long, t string"), "id", "t").collect()
+    assert [tuple(r)[1:] for r in rows if r["id"] == 1] == [(0, 10, "Methods", "We did this and that."), (1, 45, "Results", "It worked.")]
+    assert [r["text"] for r in rows if r["id"] == 3] == ["Short one. Short one. Short one. Short one."] * 50
+    assert [r["start"] for r in rows if r["id"] == 3][:3] == [0, 43, 87] and not [r for r in rows if r["id"] == 2]
+
+
+def test_quote_ratios(spark):
+    from evisynth.operators import records
+
+    df = spark.createDataFrame([("abc", "xxabcxx"), ("abd", "zzabczz"), ("", "x"), (None, None)], "a string, b string")
+    got = [r["p"] for r in df.select(records.partial_ratio("a", "b").alias("p")).collect()]
+    assert got == pytest.approx([100.0, 100 * 2 / 3, 0.0, 100.0])
+    sets = spark.createDataFrame([("b a c", "C  a b"), ("a b", "a c")], "a string, b string")
+    assert [r["p"] for r in sets.select(records.token_sort_ratio("a", "b").alias("p")).collect()] == pytest.approx([100.0, 200 * 2 / 6])
+
+
+def test_greedy_batches(spark):
+    from evisynth.operators import records
+
+    rows = [(i, random.Random(i).choice([1, 5, 30, 200])) for i in range(300)]
+    got = records.greedy_batches(spark.createDataFrame(rows, "id long, n long"), "id", "n", 4, 60, shards=3).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append((r["id"], r["batch"]))
+    size = dict(rows)
+    assert sum(map(len, by.values())) == 300
+    for members in by.values():
+        batch = n = total = 0
+        for i, b in sorted(members):
+            if n and (n >= 4 or total + size[i] > 60):
+                batch, n, total = batch + 1, 0, 0
+            n, total = n + 1, total + size[i]
+            assert b == batch

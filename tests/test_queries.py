@@ -8,7 +8,6 @@ import __spark_entry__ as entry
 from evisynth.plans import REGISTRIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"c01_c04_topics", "c06_ridge_folds"}
 
 
 def plain(df: pd.DataFrame) -> pd.DataFrame:
@@ -28,15 +27,15 @@ def duck(sf):
     return con
 
 
-NAMES = [n for r in REGISTRIES for n in r.queries if n not in SLOW]
+NAMES = [n for r in REGISTRIES for n in r.queries]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, sf, duck, name):
     got = entry.queries()[name](spark, sf).toPandas()
     sql = entry.oracle_sql().get(name)
-    if sql is None:
-        assert len(got.columns)
+    if sql is None:  # known answers are in the other modules
+        assert len(got) and not got.isna().all().any()
         return
     want = duck.sql(sql).df()
     pd.testing.assert_frame_equal(plain(got), plain(want))

@@ -93,3 +93,73 @@ def test_icc(spark):
     rows = lambda m: spark.createDataFrame([(0, s, float(x)) for s, xs in enumerate(m) for x in xs], "g int, s int, r double")
     assert A.icc1(rows([[1, 1], [3, 3], [5, 5]]), ["s"], "r", ["g"]).head()["icc"] > 0.99
     assert A.icc1(rows([[1, 2], [3, 4]]), ["s"], "r", ["g"]).head()["icc"] == 0
+
+
+def test_split_halves_of_scores(spark):
+    from evisynth.operators import resample as B
+
+    scores = [0] * 40 + [1] * 30 + [5] * 31
+    df = spark.createDataFrame([(x,) for x in scores] + [(None,)], "a int")
+    rows = B.split_half(df, "a", 400).collect()
+    mean = sum(scores) / len(scores)
+    assert len(rows) == 400 and abs(sum(r["mean_1"] for r in rows) / 400 - mean) < 0.1
+    # two halves leave out one of 101 rows: their sums and one score are all there is
+    assert all(min(abs(50 * (r["mean_1"] + r["mean_2"]) - (sum(scores) - x)) for x in (0, 1, 5)) < 1e-6 for r in rows)
+    assert all(-1 <= r["r"] <= 1 for r in rows) and abs(sum(r["r"] for r in rows) / 400) < 0.03
+    assert rows == B.split_half(df, "a", 400).collect()
+    s = B.split_half_summary(df, "a", 200).head()
+    assert s["n_splits"] == 200 and s["means_correlation"] < -0.9 and s["kendall_tau"] < -0.8 and s["icc"] < 0 and s["interpretation"] == "poor"
+    assert tuple(B.split_half_summary(df.limit(2), "a", 20).head())[:3] == (0, 0.0, 0.0)
+
+
+def test_bootstrap_and_permutation(spark):
+    from evisynth.operators import resample as B
+
+    df = spark.createDataFrame([(i % 6,) for i in range(600)], "a int")
+    r = B.interval(B.bootstrap_means(df, "a", 2000)).head()
+    error = (35 / 12) ** 0.5 / 600**0.5
+    assert r["replicates"] == 2000 and abs(r["mean"] - 2.5) < 0.01 and r["ci_lower"] == pytest.approx(2.5 - 1.96 * error, abs=0.02) and r["ci_upper"] == pytest.approx(2.5 + 1.96 * error, abs=0.02)
+    points = spark.createDataFrame([(i, float(i)) for i in range(6)] + [(None, 1.0), (9, None)], "x long, y double")
+    p = B.permutation_p(points, "x", "y", 4000).head()
+    assert p["rho"] == 1.0 and p["p"] == pytest.approx(2 / 720, abs=0.003)
+
+
+def test_isotonic_and_kmeans(spark):
+    from evisynth.operators import topics as P
+
+    rows = [(0.1, 0), (0.2, 1), (0.3, 0), (0.4, 1), (0.5, 1)]
+    got = P.isotonic(spark.createDataFrame(rows, "score double, label int"), "score", "label").collect()
+    assert [r["calibrated"] for r in sorted(got, key=lambda r: r["score"])] == pytest.approx([0, 0.5, 0.5, 1, 1])
+    curve = [r["calibrated"] for r in sorted(P.platt(spark.createDataFrame(rows, "score double, label int"), "score", "label").collect(), key=lambda r: r["score"])]
+    assert curve == sorted(curve) and 0 < curve[0] < curve[-1] < 1 and sum(curve) == pytest.approx(3, abs=1e-3)
+    vectors = [(i, [float(i % 2) * 10 + i / 100, 0.0]) for i in range(20)]
+    k = {r["id"]: r[1] for r in P.kmeans(spark.createDataFrame(vectors, "id long, v array<float>"), "id", "v", 2).collect()}
+    assert len({k[i] for i in range(0, 20, 2)}) == 1 and len({k[i] for i in range(1, 20, 2)}) == 1 and k[0] != k[1]
+
+
+def test_benjamini_hochberg_in_ranges(spark):
+    import random
+
+    from evisynth.operators import meta as M
+
+    r = random.Random(1)
+    tests = [(f"t{i}", r.random() ** 3) for i in range(200)]
+    got = {x["name"]: x["adjusted_p"] for x in M.benjamini_hochberg(spark.createDataFrame(tests, "name string, p double")).collect()}
+    ordered = sorted(tests, key=lambda x: (x[1], x[0]))
+    least, want = 1.0, {}
+    for i in range(len(ordered) - 1, -1, -1):
+        least = min(least, ordered[i][1] * len(ordered) / (i + 1))
+        want[ordered[i][0]] = least
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_bias_domain(spark):
+    from pyspark.sql import functions as F
+
+    from evisynth.functions import grading as G
+
+    rows = [(20, 0.01, 0, 0.0, 500), (20, 0.07, 0, 0.0, 500), (20, 0.5, 0, 0.0, 500), (20, 0.5, 2, 0.3, 500), (20, 0.5, 0, 0.0, 50), (20, 0.5, 0, 0.0, 0), (20, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, p double, i int, s double, f long")
+    assert [r["d"] for r in df.select(G.publication_bias(*(F.col(c) for c in "kpisf")).alias("d")).collect()] == [2, 1, 0, 1, 1, 0, 1]
+    claims = spark.createDataFrame([("a", ["Alpha waves"], ["x"]), ("b", ["none"], ["BETA"]), ("", ["alpha"], None), ("c", None, None)], "article_id string, findings array<string>, conditions array<string>")
+    assert {tuple(r) for r in G.studies_of_components(claims, [("1", "alpha", []), ("2", "zz", ["beta"])]).collect()} == {("1", "a"), ("2", "b")}
