@@ -1,15 +1,16 @@
-"""Helpers that the operators of this subpackage share: the shared folder, written tables, key buckets, files."""
+"""Helpers that the operators of this subpackage share: words, key buckets, files."""
 
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import new_folder, partitions, running, salted_join, written  # noqa: F401  the operators' own helpers and the library's are found here
+
 #: Words of every contract: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,28 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or in local mode a new temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", made := "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return made
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, so lost executors cost no recomputation and later jobs read it again cheaply."""
-    spark = df.sparkSession
-    df.write.parquet(path := new_folder(spark, tag))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row."""
     return F.transform(F.array(value), body)[0]
@@ -79,35 +58,6 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
     return F.when(key.isNull(), 0).otherwise(found)
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None) -> DataFrame:
-    """df with `rank` (from 0) in a total order of all its rows, and for each name in sums the sum of that column over all rows before.
-
-    Ranges of the order are dealt out and written; only a row a range is ordered in one task."""
-    spark, sums = df.sparkSession, sums or {}
-    ranges = partitions(spark, spark.sparkContext.defaultParallelism)
-    rows = written(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    wanted = {"rank": F.count(F.lit(1)), **{name: F.sum(c) for name, c in sums.items()}}
-    totals = rows.groupBy("_range").agg(*(x.alias(f"_{name}") for name, x in wanted.items()))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_range", *(F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in wanted))
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    at = {name: F.col(f"_{name}") + F.coalesce(x.over(inside), F.lit(0)) for name, x in wanted.items()}
-    return rows.join(totals, "_range").withColumns(at).drop("_range", *(f"_{name}" for name in wanted))
-
-
-SALTS = 32
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
-    """left joined to right, which has a row a key: each of right's rows meets left's rows in SALTS places, so no key of left meets in one task."""
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [key, "_salt"]).drop("_salt")
-
-
-def partitions(spark: SparkSession, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def filesystem(uri: str) -> tuple:
     """(file system, path) for workers that write or read files of their own format."""
     from pyarrow import fs
