@@ -118,11 +118,11 @@ def with_first(pages: DataFrame, n_files: int, least: int = LEAST) -> DataFrame:
 
     Dealt out to n_files partitions by page and digest, which is the only time that payloads are shuffled."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key")
+    key = F.concat_ws("|", F.col("page_id").cast("string"), F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("string")).alias("key")  # pages without an id are many keys
     rows = pages.select("page_id", key, F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("digest"))
     equal = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
     salted = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    later = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
+    later = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
     later = later.where(~F.col("page_id").eqNullSafe(F.col("first"))).select("key", "digest", F.col("first").alias("refers_to"))
     all_pages = pages.select("page_id", "url", "html", key, F.sha2(payload, 256).alias("digest"))
     return all_pages.repartition(n_files, "key", "digest").join(later.repartition(n_files, "key", "digest"), ["key", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
