@@ -65,6 +65,11 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _groups(pattern: str) -> dict[str, int]:
     """Numbers of the named groups; these expressions have no others."""
     return {part.split(">")[0]: i for i, part in enumerate(pattern.replace("(?<=", "").replace("(?<!", "").split("(?<")[1:], 1)}
@@ -74,22 +79,26 @@ def spans(text: Column, pattern: str, groups: dict[str, int]) -> Column:
     """The matches in order, as (start, end, raw, incomplete, and a field for each group): places in code points, end exclusive.
 
     incomplete: the point of a decimal follows, but no digits, as when a line or page ended there."""
-    parts = F.struct(F.split(text, pattern, -1).alias("between"), _all(text, pattern).alias("found"), *(_all(text, pattern, i).alias(name) for name, i in groups.items()))
     kind = "array<struct<start:int,end:int,raw:string,incomplete:boolean" + "".join(f",{name}:string" for name in groups) + ">>"
     empty = F.array().cast(kind)
+    clean = F.translate(F.coalesce(text, F.lit("")), "\x01", " ")  # one character for each match parts what is between
 
     def walk(x: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
             start = state["at"] + F.char_length(x["between"][i])
             end = start + F.char_length(x["found"][i])
             tail, last = x["between"][i + 1], i == F.size(x["found"]) - 1
-            cut = tail.rlike(r"^\s*\.\s+(?:\D|$)") | (last & tail.rlike(r"^\s*\.\s*$")) | (~last & tail.rlike(r"^\s*\.\s+$"))
-            row = F.struct(start.alias("start"), end.alias("end"), x["found"][i].alias("raw"), cut.alias("incomplete"), *(x[name][i].alias(name) for name in groups))
+            cut = tail.rlike(r"^\s*\.\s+(?:\D|$)") | (last & tail.rlike(r"^\s*\.\s*$"))
+            row = F.struct(start.alias("start"), end.alias("end"), x["found"][i].alias("raw"), cut.alias("incomplete"), *(F.regexp_extract(x["found"][i], pattern, g).alias(name) for name, g in groups.items()))
             return F.struct(end.alias("at"), F.concat(state["out"], F.array(row)).alias("out"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
 
-    return F.when(text.rlike(pattern), F.transform(F.array(parts), walk)[0]).otherwise(empty)
+    def found_in(found: Column) -> Column:
+        parts = F.struct(F.split(F.regexp_replace(clean, pattern, "\x01"), "\x01", -1).alias("between"), found.alias("found"))
+        return F.when(F.size(found) == 0, empty).otherwise(_let(parts, walk))
+
+    return _let(_all(clean, pattern), found_in)
 
 
 def p_value_spans(text: Column) -> Column:
@@ -108,8 +117,9 @@ def nearest(p_spans: Column, start: Column, end: Column) -> Column:
     """(operator, value) of the p-values within NEAR characters of a span, nearest first; if none is, of the nearest one."""
     gap = lambda s: F.when((s["start"] <= end) & (start <= s["end"]), 0).otherwise(F.least(F.abs(s["start"] - end), F.abs(start - s["end"])))
     ordered = F.array_sort(F.transform(p_spans, lambda s, i: F.struct(gap(s).alias("gap"), i.alias("i"), s["operator"].alias("operator"), s["value"].alias("value"))))
-    near = F.filter(ordered, lambda s: s["gap"] <= NEAR)
-    return F.transform(F.when(F.size(near) > 0, near).otherwise(F.slice(ordered, 1, 1)), lambda s: F.struct(s["operator"].alias("operator"), s["value"].alias("value")))
+    # the first is near, or it is the nearest one
+    kept = _let(ordered, lambda o: F.filter(o, lambda s, i: (s["gap"] <= NEAR) | (i == 0)))
+    return F.transform(kept, lambda s: F.struct(s["operator"].alias("operator"), s["value"].alias("value")))
 
 
 def intervals(text: Column) -> Column:
@@ -184,9 +194,14 @@ def test_spans(text: Column) -> Column:
     return F.aggregate(every, none, lambda taken, s: F.when(overlaps(taken, s), taken).otherwise(F.concat(taken, F.array(s))))
 
 
+def exploded(rows: DataFrame, found: Column, name: str) -> DataFrame:
+    """rows with `name`, a row for each element of the array: outer, then without nulls, as Spark would otherwise compute the array again to see whether it is empty."""
+    return rows.withColumn("_found", found).withColumn(name, F.explode_outer("_found")).drop("_found").where(F.col(name).isNotNull())
+
+
 def test_statistics(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """A row for each test statistic: id_col, test, statistic, start, end. Null and empty texts have none."""
-    rows = docs.select(id_col, F.explode(test_spans(F.col(text))).alias("t"))
+    rows = exploded(docs.select(id_col, F.col(text).alias("_text")), test_spans(F.col("_text")), "t")
     return rows.select(id_col, "t.test", number(F.col("t.stat")).alias("statistic"), "t.start", "t.end")
 
 
@@ -197,10 +212,10 @@ def results(blocks: DataFrame, id_col: str, text: str) -> DataFrame:
     sample_sizes and comparisons (of the statistic's context, else of the block), context, missing_fields,
     needs_review. A statistic that is an effect stands among its effect sizes. Null and empty texts give no rows."""
     rows = blocks.select(id_col, F.col(text).alias("_text")).where("_text IS NOT NULL")
-    rows = rows.select(id_col, "_text", p_value_spans(F.col("_text")).alias("_p"), F.explode(test_spans(F.col("_text"))).alias("t"))
+    rows = exploded(rows.withColumn("_p", p_value_spans(F.col("_text"))), test_spans(F.col("_text")), "t")
     low = F.greatest(F.lit(0), F.col("t.start") - RADIUS)
     rows = rows.withColumn("context", F.trim(F.substring("_text", low + 1, F.col("t.end") + RADIUS - low)))
-    of = lambda f: F.when(F.size(f(F.col("context"))) > 0, f(F.col("context"))).otherwise(f(F.col("_text")))
+    of = lambda f: _let(f(F.col("context")), lambda near: F.when(F.size(near) > 0, near).otherwise(f(F.col("_text"))))
     stat, test = number(F.col("t.stat")), F.col("t.test")
     rows = rows.withColumns({"statistic": stat, "p_values": nearest(F.col("_p"), F.col("t.start"), F.col("t.end")), "confidence_intervals": intervals(F.col("context")), "sample_sizes": of(subjects), "comparisons": of(comparisons), "found": effect_sizes(F.col("context"))})
     own = F.struct(F.coalesce(F.lower(F.col("t.type")), F.when(test == "correlation", "r").otherwise(test)).alias("type"), F.col("statistic").alias("value"))
@@ -218,7 +233,7 @@ def missing_fields(p: Column, ci: Column, effect: Column, test: Column, sample:
 def review_flags(blocks: DataFrame, id_col: str, text: str) -> DataFrame:
     """id_col, reason, missing_fields: each partial result of a block, and blocks that speak of results but hold none that can be read."""
     partial = results(blocks, id_col, text).where("needs_review").select(id_col, F.lit("partial_statistical_result").alias("reason"), "missing_fields")
-    silent = blocks.where(likely_result(F.col(text)) & (F.size(test_spans(F.col(text))) == 0))
+    silent = blocks.where(likely_result(F.col(text))).where(F.size(test_spans(F.col(text))) == 0)
     lacks = F.array(F.lit("statistical_test"), F.lit("effect_size"), F.lit("p_value_or_ci"))
     return partial.unionByName(silent.select(id_col, F.lit("result_context_without_parseable_statistic").alias("reason"), lacks.alias("missing_fields")))
 

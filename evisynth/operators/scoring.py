@@ -86,14 +86,14 @@ def excerpts(papers: DataFrame, keywords: list[str], k: int = 3) -> DataFrame:
 def tfidf_similarity(docs: DataFrame, queries: DataFrame, id_col: str = "ord", best: int | None = None) -> DataFrame:
     """(doc, query, tfidf): cosine of every document with every query in which they share a term, or with its `best` ones: uni- and bigrams, idf over both, tf 1 + ln.
 
-    Terms are counted in the task that holds the text. A term's weight needs its document frequency, so (text, term)
+    Terms are counted in the task that holds the text (exploded outer, or Spark would find them twice). A term's weight needs its document frequency, so (text, term)
     counts are joined to it once; from there a text is one row with its length and its terms that queries have."""
     terms = lambda t: F.concat(t, F.when(F.size(t) > 1, F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
     q_rows = queries.select(F.lit("q").alias("side"), F.col("query_id").cast("string").alias("id"), F.col("query_text").alias("text"))
     both = docs.select(F.lit("d").alias("side"), F.col(id_col).cast("string").alias("id"), "text").unionByName(q_rows)
     spark = docs.sparkSession
     dealt = both.repartition(partitions(spark, spark.sparkContext.defaultParallelism), "side", "id")  # texts are dealt out, not their terms
-    counted = dealt.select("side", "id", F.explode(terms(T.triage_terms(F.col("text")))).alias("term")).groupBy("side", "id", "term").count()
+    counted = dealt.select("side", "id", F.explode_outer(terms(T.triage_terms(F.col("text")))).alias("term")).where("term IS NOT NULL").groupBy("side", "id", "term").count()
     total = both.count()
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
     asked = q_rows.select(F.explode(terms(T.triage_terms(F.col("text")))).alias("term")).distinct().withColumn("asked", F.lit(True))
@@ -117,7 +117,7 @@ def tfidf_vectors(docs: DataFrame, id_col: str, text: str, stop_words: list[str]
     spark = docs.sparkSession
     dealt = docs.select(id_col, text).where(F.col(text).isNotNull()).repartition(partitions(spark, spark.sparkContext.defaultParallelism), id_col)
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    counted = dealt.select(id_col, F.explode(words).alias("term")).where(~F.col("term").isin(stop_words)).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    counted = dealt.select(id_col, F.explode_outer(words).alias("term")).where(~F.col("term").isin(stop_words)).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     n = docs.count()
     vocabulary = counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(most)
     weight = F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)

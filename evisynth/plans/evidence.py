@@ -43,36 +43,37 @@ STUDIES = """st AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_linenumber AS
 
 @R.query("x03_p_values", f"WITH {REPORTS} SELECT {K}, regexp_extract(text, 'p\\s*([<>=]+)', 1) AS operator, CAST(regexp_extract(text, 'p\\s*[<>=]+\\s*([0-9.]+)', 1) AS DOUBLE) AS value FROM reports")
 def _(spark, d):
-    return reports(spark, d).select(*KEYS, F.explode(X.p_values(F.col("text"))).alias("p")).select(*KEYS, "p.operator", "p.value")
+    return X.exploded(reports(spark, d), X.p_values(F.col("text")), "p").select(*KEYS, "p.operator", "p.value")
 
 
 @R.query("x04_intervals", f"WITH {REPORTS} SELECT {K}, 95 AS level, CAST(regexp_extract(text, 'CI ([0-9.]+) to', 1) AS DOUBLE) AS lower, CAST(regexp_extract(text, 'CI [0-9.]+ to ([0-9.]+)', 1) AS DOUBLE) AS upper FROM reports")
 def _(spark, d):
-    return reports(spark, d).select(*KEYS, F.explode(X.intervals(F.col("text"))).alias("c")).select(*KEYS, "c.*")
+    return X.exploded(reports(spark, d), X.intervals(F.col("text")), "c").select(*KEYS, "c.*")
 
 
 @R.query("x05_effect_sizes", f"WITH {STUDIES} SELECT {K}, 'or' AS type, CAST(l || '.' || k AS DOUBLE) AS value FROM st WHERE whole UNION ALL SELECT {K}, 'r', CAST('-0.' || k AS DOUBLE) FROM st WHERE whole")
 def _(spark, d):
-    return studies(spark, d).select(*KEYS, F.explode(X.effect_sizes(F.col("text"))).alias("e")).select(*KEYS, "e.*")
+    return X.exploded(studies(spark, d), X.effect_sizes(F.col("text")), "e").select(*KEYS, "e.*")
 
 
 @R.query("x06_subjects_and_age", f"WITH {STUDIES} SELECT {K}, q + 10 AS n, 'patients' AS label, CAST((l + 8) || '.5' AS DOUBLE) AS age_mean, CAST('1.' || l AS DOUBLE) AS age_sd FROM st WHERE whole UNION ALL SELECT {K}, q + 60, 'sample', CAST((l + 8) || '.5' AS DOUBLE), CAST('1.' || l AS DOUBLE) FROM st WHERE whole")
 def _(spark, d):
-    x = studies(spark, d).select(*KEYS, F.explode(X.subjects(F.col("text"))).alias("s"), X.age(F.col("text")).alias("a"))
+    x = X.exploded(studies(spark, d).withColumn("a", X.age(F.col("text"))), X.subjects(F.col("text")), "s")
     return x.select(*KEYS, "s.*", F.col("a.mean").alias("age_mean"), F.col("a.sd").alias("age_sd"))
 
 
 @R.query("x07_comparisons", f"WITH {STUDIES} SELECT {K}, 'Treated group vs control group' AS comparison FROM st WHERE whole")
 def _(spark, d):
-    return studies(spark, d).select(*KEYS, F.explode(X.comparisons(F.col("text"))).alias("comparison"))
+    return X.exploded(studies(spark, d), X.comparisons(F.col("text")), "comparison").select(*KEYS, "comparison")
 
 
 @R.query("t09_nearest_p", f"WITH {STUDIES}, t AS (SELECT *, unnest(['t_test', 'f_test', 'odds_or_risk_ratio', 'correlation']) AS test FROM st WHERE whole) SELECT {K}, test, CASE WHEN test = 't_test' THEN '<' ELSE '=' END AS operator, CAST('0.0' || l AS DOUBLE) AS value FROM t")
 def _(spark, d):
     """Each statistic's nearest p-value."""
-    x = studies(spark, d).select(*KEYS, F.explode(X.test_spans(F.col("text"))).alias("t"), X.p_value_spans(F.col("text")).alias("p"))
-    x = x.select(*KEYS, "t.test", F.get(X.nearest(F.col("p"), F.col("t.start"), F.col("t.end")), F.lit(0)).alias("p")).where("p IS NOT NULL")
-    return x.select(*KEYS, "test", "p.*")
+    x = studies(spark, d)
+    x = X.exploded(x.withColumn("p", X.p_value_spans(F.col("text"))), X.test_spans(F.col("text")), "t")
+    near = X.nearest(F.col("p"), F.col("t.start"), F.col("t.end"))
+    return X.exploded(x.select(*KEYS, "t", "p"), F.slice(near, 1, 1), "n").select(*KEYS, "t.test", "n.*")
 
 
 @R.query("x10_article_results", f"""WITH {STUDIES} SELECT l_orderkey, CAST(sum(CASE WHEN whole THEN 4 ELSE 1 END) AS BIGINT) AS n_results, count(*) FILTER (NOT whole) AS n_review, CAST(sum(CASE WHEN whole THEN 0 ELSE 4 END) AS BIGINT) AS n_missing, round(sum(CASE WHEN whole THEN CAST(l || '.' || two AS DOUBLE) + CAST(l || '.' || k AS DOUBLE) * 2 - CAST('0.' || k AS DOUBLE) ELSE CAST(l || '.' || k AS DOUBLE) END), 4) AS total FROM st GROUP BY l_orderkey""")
@@ -103,7 +104,7 @@ def _values(spark, d, text, columns, fields):
     """Long rows (keys, kind, value) of array columns, structs by field."""
     x = table(spark, d, "lineitem").select(*KEYS, text.alias("text")).select(*KEYS, *columns)
     number = lambda c, f: F.transform(c, lambda v: F.struct(F.lit(c if f is None else f"{c}.{f}").alias("kind"), (v if f is None else v[f]).cast("double").alias("value")))
-    return x.select(*KEYS, F.explode(F.concat(*(number(c, f) for c, f in fields))).alias("v")).select(*KEYS, "v.*")
+    return X.exploded(x, F.concat(*(number(c, f) for c, f in fields)), "v").select(*KEYS, "v.*")
 
 
 @R.query("x13_full_text_metrics", f"""WITH {STUDIES}, v AS (SELECT *, unnest([{{'kind': 'effect_sizes.value', 'value': CAST('0.' || k || '5' AS DOUBLE)}}, {{'kind': 'effect_sizes.value', 'value': CAST('0.' || k || '2' AS DOUBLE)}}, {{'kind': 'effect_sizes.value', 'value': CAST(l || '.' || k AS DOUBLE)}},
@@ -144,7 +145,7 @@ def _(spark, d):
 
 @R.query("x16_x17_coordinates", f"WITH {REPORTS}, c AS (SELECT {K}, CAST(q - 25 AS DOUBLE) AS x, CAST(l_suppkey % 60 AS DOUBLE) AS y FROM reports) SELECT {K}, round(x * 1.0101, 1) AS x, round(y * 1.0212, 1) AS y, round(CAST(12 AS DOUBLE) * 1.0760, 1) AS z FROM c")
 def _(spark, d):
-    c = reports(spark, d).select(*KEYS, F.explode(X.coordinates(F.col("text"))).alias("c"))
+    c = X.exploded(reports(spark, d), X.coordinates(F.col("text")), "c")
     x, y, z = X.talairach_to_mni(F.col("c.x"), F.col("c.y"), F.col("c.z"))
     return c.select(*KEYS, x.alias("x"), y.alias("y"), z.alias("z"))
 
