@@ -101,7 +101,9 @@ def _any_of(grams: list[str]) -> str:
 def trigram_index(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Postings (gram, doc_id) of the given lower-case trigrams over whole texts."""
     held = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_any_of(grams)), F.lit(1)))
-    return docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.explode(held).alias("gram"), F.col(id_col).alias("doc_id"))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull())
+    # outer: before an inner explode Spark would find the trigrams again to see whether there are any
+    return rows.select(F.explode_outer(held).alias("gram"), F.col(id_col).alias("doc_id")).where("gram IS NOT NULL")
 
 
 def candidates(postings: DataFrame, queries: dict[str, Clauses]) -> DataFrame:
