@@ -30,7 +30,7 @@ _STEPS = np.arange(1, SLOTS + 1, dtype=np.uint64) * _ODD
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)], np.uint64)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Word hashes that a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 _words: dict[bytes, int] = {}
 
 
@@ -110,6 +110,7 @@ def sketches(rows: DataFrame, k: int = 5) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(b" ".join(t.translate(_LOWER).split())) if len(s) else None)
                 found.append(bands(super_minhash(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["missing", "doc_id", "content", "key", "n_shingles", "bands"])
+            pa.default_memory_pool().release_unused()
 
     return rows.select("missing", "doc_id", "content", "text").mapInArrow(sketch, "missing boolean, doc_id bigint, content bigint, key binary, n_shingles bigint, bands array<bigint>")
 
@@ -131,6 +132,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int = 5) -> Da
                 joint = len(np.intersect1d(hub_set, other, assume_unique=True))
                 keep.append(100 * joint >= percent * (len(hub_set) + len(other) - joint) > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
