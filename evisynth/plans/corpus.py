@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import claims as E
 from ..operators import corpus as C
 from ..operators import graph as N
+from ..tables import running
 from ..tables import written as cut
 from .registry import PAPERS, UNESCAPED, Registry, papers, table
 
@@ -209,10 +210,11 @@ def _(spark, d):
     return p.join(s).withColumn("duplicates", F.greatest(F.col("identified") - F.col("after_dedup"), F.lit(0)))
 
 
-@R.query("a31_budget_split", "WITH n AS (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) AS place, count(*) OVER () AS k FROM region) SELECT r_regionkey, 302 // k + CAST(place <= 302 % k AS BIGINT) AS share FROM n")
+@R.query("a31_budget_split", "WITH n AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS place, count(*) OVER () AS k FROM supplier) SELECT s_suppkey, 100302 // k + CAST(place <= 100302 % k AS BIGINT) AS share FROM n")
 def _(spark, d):
-    r = table(spark, d, "region").withColumns({"place": F.row_number().over(Window.orderBy("r_regionkey")), "k": F.count("*").over(Window.partitionBy())})
-    return r.select("r_regionkey", C.budget_split(F.lit(302), F.col("k"), F.col("place")).alias("share"))
+    s = table(spark, d, "supplier").select("s_suppkey")
+    placed = running(s, [F.col("s_suppkey").asc()])
+    return placed.select("s_suppkey", C.budget_split(F.lit(100_302), F.lit(s.count()), F.col("rank") + 1).alias("share"))
 
 
 @R.query("w07_s21_citation_keys", "WITH k AS (SELECT c_custkey, lower(c_mktsegment) || c_nationkey AS base FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY c_custkey) AS rn FROM k) SELECT c_custkey, CASE WHEN rn = 1 THEN base ELSE base || chr(CAST(96 + rn AS INT)) END AS cite_key FROM r")
