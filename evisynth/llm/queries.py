@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .fingerprints import op1_winnowing
+from .manifest import OP12_SQL, op12_merkle_manifest
 from .mixing import op2_sainte_lague
 from .near_dups import OP9_SQL, op9_super_minhash
 from .packing import op10_pattern_packing
 from .quality import OP6_SQL, op6_quality_cascade
 from .repeats import op4_sentence_spans
+from .resampling import OP11_SQL, op11_importance_resampling
 from .secrets import op8_trigram_secrets
 from .token_counts import op3_token_counts
 from .token_files import op7_token_files
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_trigram_secrets": op8_trigram_secrets,
     "op9_super_minhash": op9_super_minhash,
     "op10_pattern_packing": op10_pattern_packing,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-SQL: dict[str, str] = {"op5_warc_normaliser": OP5_SQL, "op6_quality_cascade": OP6_SQL, "op9_super_minhash": OP9_SQL}
+SQL: dict[str, str] = {"op5_warc_normaliser": OP5_SQL, "op6_quality_cascade": OP6_SQL, "op9_super_minhash": OP9_SQL, "op11_importance_resampling": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
