@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .copied import op13_suffix_dedup
 from .fingerprints import op1_winnowing
 from .manifest import OP12_SQL, op12_merkle_manifest
 from .mixing import op2_sainte_lague
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_pattern_packing": op10_pattern_packing,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 SQL: dict[str, str] = {"op5_warc_normaliser": OP5_SQL, "op6_quality_cascade": OP6_SQL, "op9_super_minhash": OP9_SQL, "op11_importance_resampling": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
