@@ -1,13 +1,12 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame functions only.
 
 Target words follow from weights by water filling: no source is asked for more than `most` times its size, and what that
-leaves over is shared out again by weight. The words of all targets are the seats that sources are given by highest
-quotients, at most `most` times its size to each. A source's words are whole passes over all of its shards (hashed
-documents) and fewer words than a pass, which go to the shards by highest quotients. In a shard, documents lie end to end
-in seeded order and are cut into blocks of equal numbers of words; blocks are chosen in a seeded order until the shard's
-quota is met, the last of them in part. So what a document gives follows from its place alone.
-
-Seats are words, not blocks, as a small source's target may be less than a block.
+leaves over is shared out again by weight. The seats are blocks of equal numbers of words, and sources are given them by
+highest quotients, none more than it can fill; the block is BLOCK words, or less where the smallest target would hold fewer
+than PARTS of them, so every source comes within about a block of its target. A source's blocks are whole passes over it
+and the blocks left over, which go to its shards (hashed documents) by highest quotients as whole numbers. In a shard,
+documents lie end to end in seeded order and are cut into blocks; as many of those as its quota says are chosen, in a
+seeded order. So what a document gives follows from its place alone.
 """
 
 from __future__ import annotations
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, let, running, table, written
 
-#: Words of a block; documents that a shard holds, about; shards of a source at least.
-BLOCK, SHARD_DOCS, SHARDS = 1024, 50_000, 512
+#: Words of a block at most; blocks that the smallest target holds at least; blocks of a shard, about.
+BLOCK, PARTS, SHARD_BLOCKS = 1024, 256, 512
 #: Primes above any number of blocks in a shard: j -> (prime * j + shift) mod n puts n blocks in another order.
 _PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587, 2_147_483_579)
 #: Doublings of the range in which a capped item's last seats are looked for.
@@ -87,10 +86,9 @@ def apportioned(items: DataFrame, group: list[str], item: str, votes: str, seats
     tries = rows.where("_high > _low AND _seats > _given").select(*group, item, (F.col("_seats") - F.col("_given")).alias("_off"), (-F.col(votes)).alias("_worse"), F.explode(F.sequence(F.col("_low") + 1, F.col("_high"))).alias("_seat"))
     tries = tries.withColumn("_worse", F.col("_worse") / (2 * F.col("_seat") - 1))
     order = [F.col("_worse").asc(), F.col(item).isNull().asc(), F.col(item).asc(), F.col("_seat").asc()]
+    tries = written(running(tries, [c for g in group for c in (F.col(g).isNull(), F.col(g))] + order), "tries")
     if group:
-        tries = tries.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
-    else:
-        tries = running(tries, order)
+        tries = _matched(tries, tries.groupBy(*group).agg(F.min("rank").alias("_before")), group).withColumn("rank", F.col("rank") - F.col("_before"))
     won = tries.where("rank < _off").groupBy(*group, item).agg(F.count(F.lit(1)).alias("_won"))
     found = _matched(rows, won, [*group, item])
     return found.select(*items.columns, (F.col("_low") + F.coalesce("_won", F.lit(0))).alias(quota))
@@ -100,13 +98,9 @@ def _overlap(low: Column, high: Column, from_: Column, to: Column) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), F.least(high, to) - F.greatest(low, from_))
 
 
-def _chosen_words(j: Column) -> Column:
-    """The words that block j of a shard gives: the quota, less the blocks before it in the seeded order, at most its own."""
-    n, last = F.col("n_blocks"), F.col("shard_size") - (F.col("n_blocks") - 1) * BLOCK
-    place = lambda k: F.pmod(F.col("prime") * k + F.col("shift"), n)
-    before = place(j) * BLOCK - F.when(place(j) > place(n - 1), BLOCK - last).otherwise(0)
-    own = F.when(j == n - 1, last).otherwise(F.lit(BLOCK))
-    return F.greatest(F.lit(0), F.least(F.col("run") - before, own)).cast("bigint")
+def _place(j: Column) -> Column:
+    """Where block j of a shard stands in the seeded order."""
+    return F.pmod(F.col("prime") * j + F.col("shift"), F.col("n_blocks"))
 
 
 def mixed(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -114,7 +108,8 @@ def mixed(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 
     taken is the number of words that the mix takes, repeats counted: `passes` times the whole document, and its `parts`,
     runs (start, words) of its words that chosen blocks cover. No document gives more than `most` times its size, and
-    each source gives its target but for rounding to words.
+    each source gives its target but for about a block (and, where nearly all of a source is asked for, for the words
+    behind the last whole block of each shard).
 
     A null text has no words; documents without a source are a source of their own, last in order; a source without
     words has target 0. Repeated rows and null ids are documents of their own; a very long text lies in many blocks.
@@ -122,31 +117,38 @@ def mixed(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     text are alike). An empty table gives no rows; other columns are ignored."""
     sizes = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("content"))
     sizes = written(sizes.withColumn("line", F.xxhash64(F.lit(seed), "doc_id", "content")).drop("content"), "mix-sizes")
-    n_shards = max(SHARDS, -(-sizes.count() // SHARD_DOCS))
-    sizes = sizes.withColumn("shard", F.pmod(F.xxhash64("line"), F.lit(n_shards)).cast("int"))
-    shards = written(sizes.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")), "mix-shards")
-    targets = written(source_targets(shards.groupBy("source").agg(F.sum("shard_size").alias("source_size")), cycle, most), "targets")
-    total = round(targets.agg(F.sum("target")).head()[0] or 0)
-    targets = targets.withColumns({"most_words": most * F.col("source_size"), "all_words": F.lit(total).cast("bigint")})
-    quotas = apportioned(targets, [], "source", "target", "all_words", "source_words", "most_words")
-    # fewer words than a pass over the source are never more than a shard's own
-    passes = F.coalesce(F.floor(F.col("source_words") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("bigint")
-    quotas = quotas.withColumn("passes", passes).withColumn("rest", F.col("source_words") - F.col("passes") * F.col("source_size"))
-    parts = _matched(shards, quotas.select("source", "source_size", "target", "passes", "rest"), ["source"])
-    parts = apportioned(parts, ["source"], "shard", "shard_size", "rest", "run", "shard_size")
+    targets = written(source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, most), "targets")
+    told = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("total"), F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))), F.lit(1.0)).alias("least")).head()
+    block = max(1, min(BLOCK, int(told["least"] / PARTS)))
+    targets = targets.withColumns({"most_blocks": F.floor(most * F.col("source_size") / block).cast("bigint"), "all_blocks": F.lit(round(told["total"] / block)).cast("bigint")})
+    quotas = apportioned(targets, [], "source", "target", "all_blocks", "source_blocks", "most_blocks")
+    words = F.col("source_blocks") * block
+    quotas = quotas.withColumn("passes", F.coalesce(F.floor(words / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("bigint"))
+    quotas = quotas.withColumns({"rest": words - F.col("passes") * F.col("source_size"), "n_shards": F.greatest(F.lit(1), F.floor(F.col("source_size") / (block * SHARD_BLOCKS))).cast("bigint")})
+    quotas = written(quotas.select("source", "source_size", "target", "passes", "rest", "n_shards"), "source-quotas")
+    sizes = _matched(sizes, quotas.select("source", "n_shards"), ["source"]).withColumn("shard", F.pmod(F.xxhash64("line"), "n_shards")).drop("n_shards")
+    shards = sizes.groupBy("source", "shard").agg(F.floor(F.sum("size") / block).cast("bigint").alias("n_blocks"))
+    shards = written(shards, "mix-shards")
+    quotas = _matched(quotas, shards.groupBy("source").agg(F.sum("n_blocks").alias("whole_blocks")), ["source"])
+    # one more pass where that is nearer than all whole blocks
+    full = (F.col("rest") - F.col("whole_blocks") * block > F.col("source_size") - F.col("rest")) & (F.col("passes") < most)
+    quotas = quotas.withColumns({"passes": F.col("passes") + full.cast("int"), "run_blocks": F.when(full, 0).otherwise(F.least(F.round(F.col("rest") / block), F.col("whole_blocks"))).cast("bigint")})
+    parts = _matched(shards, quotas.drop("n_shards", "rest", "whole_blocks"), ["source"])
+    parts = apportioned(parts, ["source"], "shard", "n_blocks", "run_blocks", "run", "n_blocks")
     seeded = F.xxhash64(F.lit(seed), "source", "shard")
-    parts = parts.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("shard_size") / BLOCK)).cast("bigint"))
     prime = F.array(*(F.lit(p).cast("bigint") for p in _PRIMES))[F.pmod(F.shiftright(seeded, 40), F.lit(len(_PRIMES))).cast("int")]
-    parts = parts.withColumns({"prime": prime, "shift": F.pmod(seeded, "n_blocks")})
-    order = Window.partitionBy("source", "shard").orderBy("line", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"prime": prime, "shift": F.pmod(seeded, F.greatest(F.lit(1), "n_blocks"))})
+    alone = F.when(F.col("size") == 0, F.xxhash64("line", "doc_id"))  # rows without words take no room, so they need not meet
+    order = Window.partitionBy("source", "shard", alone).orderBy("line", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = _matched(sizes.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0))), parts, ["source", "shard"])
 
     def part(j: Column) -> Column:
-        begin = j * BLOCK
-        words = _overlap(F.col("at"), F.col("at") + F.col("size"), begin, begin + _chosen_words(j))
+        begin = j * block
+        chosen = F.when((j < F.col("n_blocks")) & (_place(j) < F.col("run")), block).otherwise(0)
+        words = _overlap(F.col("at"), F.col("at") + F.col("size"), begin, begin + chosen)
         return F.struct(F.greatest(begin - F.col("at"), F.lit(0)).alias("start"), words.alias("words"))
 
-    blocks = F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK))
+    blocks = F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))
     every = F.filter(F.transform(blocks, part), lambda p: p["words"] > 0)
     rows = rows.withColumn("parts", F.when((F.col("size") > 0) & (F.col("run") > 0), every).otherwise(F.filter(F.array(part(F.lit(0).cast("bigint"))), lambda _: F.lit(False))))
     rows = rows.withColumn("part_words", F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + p["words"]))
@@ -178,4 +180,5 @@ def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int
 
 
 def op2_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, weights 1, 2, 3 in turn, at most three times a source; nulls, repeats and empty tables as in `mixed`."""
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
