@@ -27,7 +27,7 @@ from .common import bytes_of, partitions, table, written
 from .suffixes import Scratch, suffix_order
 
 #: Bytes of texts in a pack, of texts whose hashes meet in a part, and of segments in a shard, about; bytes hashed at once.
-PACK_BYTES, PART_BYTES, SHARD_BYTES, SLICE_BYTES = 1 << 22, 1 << 26, 1 << 23, 1 << 18
+PACK_BYTES, PART_BYTES, SHARD_BYTES, SLICE_BYTES = 1 << 22, 1 << 26, 1 << 22, 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -165,17 +165,18 @@ def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _packed(*columns: np.ndarray, tail: bytes = b"") -> bytes:
-    """Arrays of numbers of one length, and bytes behind them, compressed."""
+    """Arrays of numbers of one length, and bytes behind them; compressed, and then with a byte 1 ahead, if that may pay."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(columns[0]).to_bytes(8, "little"), *(np.ascontiguousarray(c).tobytes() for c in columns), tail]))
+    raw = b"".join([len(columns[0]).to_bytes(8, "little"), *(np.ascontiguousarray(c).tobytes() for c in columns), tail])
+    return b"\1" + zstandard.ZstdCompressor(level=3).compress(raw) if len(raw) > 512 else b"\0" + raw
 
 
 def _opened(payload: bytes, *kinds: type) -> tuple:
     """The arrays of _packed, and the bytes behind them."""
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(payload)
+    raw = zstandard.ZstdDecompressor().decompress(payload[1:]) if payload[0] else payload[1:]
     n, at, out = int.from_bytes(raw[:8], "little"), 8, []
     for kind in kinds:
         out.append(np.frombuffer(raw, kind, n, at))

@@ -259,15 +259,23 @@ def induced(scratch: Scratch, text: np.ndarray, top: int, down: bool, seeds: Ite
         symbol, seed = key >> 1, (key & 1).astype(bool)
         previous = key_of(np.maximum(at - 1, 0))
         pushes = (at > 0) & ((previous > symbol) | ((previous == symbol) & ~seed))
-        ahead = np.minimum.accumulate(np.where(pushes, 2 * previous, np.iinfo(kind).max))
-        count = int(np.argmin(np.append(key[1:] <= ahead[:-1], False))) + 1
+        count = len(key)
+        if key[0] != key[-1]:  # of one key all may go, as its pushes come behind it
+            ahead = np.minimum.accumulate(np.where(pushes, 2 * previous, np.iinfo(kind).max))
+            count = int(np.argmin(np.append(key[1:] <= ahead[:-1], False))) + 1
         queue.take(count)
-        key, at, own, symbol, seed, previous, pushes = (x[:count] for x in (key, at, own, symbol, seed, previous, pushes))
+        if count < len(key):
+            key, at, own, symbol, seed, previous, pushes = (x[:count] for x in (key, at, own, symbol, seed, previous, pushes))
         # the common prefix with the suffix popped before: carried within a kind, nothing between buckets, counted where kinds meet
-        former = np.empty_like(key)
-        former[0], former[1:] = before[0], key[:-1]
-        full = np.where(former == key, own, count_kind(0))
-        seam = np.flatnonzero((former != key) & (former >> 1 == symbol) & (former >= 0))
+        if key[0] == key[-1]:
+            full = own.copy()
+            full[0] = own[0] if before[0] == key[0] else 0
+            seam = np.flatnonzero([before[0] >> 1 == symbol[0] and before[0] != key[0]])
+        else:
+            former = np.empty_like(key)
+            former[0], former[1:] = before[0], key[:-1]
+            full = np.where(former == key, own, count_kind(0))
+            seam = np.flatnonzero((former != key) & (former >> 1 == symbol) & (former >= 0))
         if len(seam):
             partner = np.where(seam > 0, at[seam - 1], before[1])
             full[seam] = common(text, at[seam], partner, np.full(len(seam), most))
@@ -379,8 +387,8 @@ def _names(scratch: Scratch, text: np.ndarray, top: int, seeds: np.ndarray) -> t
     return names, int(new.sum())
 
 
-def _ordered_in_memory(names: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes of names in order, and the common prefix of each with the one before, up to most; by doubling prefixes of those still alike."""
+def _ordered_in_memory(names: np.ndarray, seeds: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of names in order, and the common prefix of each with the one before, until `most` symbols of the text below are reached; by doubling prefixes of those still alike."""
     n = len(names)
     order = _stable(names)
     rank = np.empty(n, np.int64)
@@ -404,7 +412,8 @@ def _ordered_in_memory(names: np.ndarray, most: int) -> tuple[np.ndarray, np.nda
         rank[some] = np.maximum.accumulate(np.where(new[slots], slots, 0))
         width *= 2
     shared = np.zeros(n, np.int64)
-    shared[1:] = common(names, order[:-1], order[1:], np.full(n - 1, most))
+    enough = np.searchsorted(seeds, seeds + most) - np.arange(n)
+    shared[1:] = common(names, order[:-1], order[1:], enough[order[1:]])
     return order, shared
 
 
@@ -421,7 +430,7 @@ def suffix_order(scratch: Scratch, text: np.ndarray, top: int, most: int) -> Ite
         order[names] = np.arange(n)
         shared = scratch.array(n, np.int64)
     elif len(seeds) <= scratch.base:
-        order, shared = _ordered_in_memory(names, most)
+        order, shared = _ordered_in_memory(names, seeds, most)
     else:
         order, shared = scratch.array(len(seeds), np.int64), scratch.array(len(seeds), np.int64)
         end = len(seeds)
