@@ -268,13 +268,6 @@ def _(spark, d):
     return C.greedy_batches(table(spark, d, "documents").select("doc_id", F.length("text").alias("n")), "doc_id", "n", 20, 36_000)
 
 
-@R.query("k11_stability_score", f"WITH {CLAIMS}, s AS (SELECT l_suppkey, avg(CAST(a = b AS DOUBLE)) AS exact, avg(CAST(abs(a - b) <= 1 AS DOUBLE)) AS close, corr(a, b) AS r FROM claims GROUP BY 1), m AS (SELECT l_suppkey, (exact + close + (r + 1) / 2) / 3 AS x FROM s) SELECT l_suppkey, round(x, 6) AS stability, CASE WHEN x >= 0.9 THEN 'excellent' WHEN x >= 0.75 THEN 'good' WHEN x >= 0.5 THEN 'moderate' ELSE 'poor' END AS label FROM m")
-def _(spark, d):
-    gap = F.abs(F.col("a") - F.col("b"))
-    x = claims(spark, d).groupBy("l_suppkey").agg(((F.avg((gap == 0).cast("double")) + F.avg((gap <= 1).cast("double")) + (F.corr("a", "b") + 1) / 2) / 3).alias("x"))
-    return x.select("l_suppkey", F.round("x", 6).alias("stability"), F.when(F.col("x") >= 0.9, "excellent").when(F.col("x") >= 0.75, "good").when(F.col("x") >= 0.5, "moderate").otherwise("poor").alias("label"))
-
-
 @R.query("n10_explanation_rollup", f"WITH {CLAIMS} SELECT l_returnflag AS cluster, count(*) AS n, count(*) FILTER (a >= 3) AS supporting, count(*) FILTER (a < 2) AS contradicting, round(avg(b), 6) AS mean_score, array_to_string(list_sort(list(DISTINCT b)), ',') AS seen FROM claims GROUP BY 1")
 def _(spark, d):
     return claims(spark, d).groupBy(F.col("l_returnflag").alias("cluster")).agg(F.count("*").alias("n"), F.count_if(F.col("a") >= 3).alias("supporting"), F.count_if(F.col("a") < 2).alias("contradicting"), F.round(F.avg("b"), 6).alias("mean_score"), F.array_join(F.sort_array(F.collect_set("b")), ",").alias("seen"))
