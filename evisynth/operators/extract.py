@@ -25,6 +25,8 @@ TESTS = [
 P_VALUE = rf"(?i)\bp\s*(<=|>=|[<>=])\s*({NUMBER})(?:\b|(?=\s))"
 INTERVAL = rf"(?i)(9[059])%?\s*CI\s*[:=]?\s*[\[(]?\s*({NUMBER})\s*(?:,|;|\bto\b|-)\s*({NUMBER})"
 EFFECTS = [rf"(?i)\b(?:Cohen[''’]?s\s+)?(d|g)\s*=\s*({NUMBER})", rf"\b(OR|RR|HR)\s*=\s*({NUMBER})", rf"(?i)\b(r|rho|rs)\s*=\s*({NUMBER})"]
+#: All of these in one pass; a name before d or g does not change what is found.
+ANY_EFFECT = rf"\b(?:[dgDG]|[rR](?:[hH][oO]|[sS])?|OR|RR|HR)\s*=\s*{NUMBER}"
 SAMPLE_WORDS = "participants|patients|subjects|children|adults|adolescents|students|controls|cases|mice|rats|animals|dyads|families"
 SAMPLE, N_EQUALS = rf"(?i)(\d{{1,6}})\s+({SAMPLE_WORDS})", r"\b[Nn]\s*=\s*(\d{1,6})\b"
 AGE = rf"(?i)\bage\s*(?:mean|M)?\s*[=:]?\s*({NUMBER})(?:\s*(?:years|yrs?))?(?:\s*,?\s*SD\s*=\s*({NUMBER}))?"
@@ -65,6 +67,14 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _matches(text: Column, pattern: str, *needed: str) -> Column:
+    """Whole matches of a pattern, looked for only where one of the plain strings is."""
+    there = F.contains(text, F.lit(needed[0]))
+    for plain in needed[1:]:
+        there = there | F.contains(text, F.lit(plain))
+    return F.when(there, _all(text, pattern)).otherwise(F.array().cast("array<string>"))
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once a row."""
     return F.transform(F.array(value), body)[0]
@@ -124,15 +134,16 @@ def nearest(p_spans: Column, start: Column, end: Column) -> Column:
 
 def intervals(text: Column) -> Column:
     """(level, lower, upper) with lower < upper."""
-    level, low, high = (_all(text, INTERVAL, i) for i in (1, 2, 3))
-    rows = F.transform(F.arrays_zip(level.alias("a"), low.alias("b"), high.alias("c")), lambda s: F.struct(s["a"].try_cast("int").alias("level"), number(s["b"]).alias("lower"), number(s["c"]).alias("upper")))
+    part = lambda s, i: F.regexp_extract(s, INTERVAL, i)
+    rows = F.transform(_matches(text, INTERVAL, "CI", "ci", "Ci", "cI"), lambda s: F.struct(part(s, 1).try_cast("int").alias("level"), number(part(s, 2)).alias("lower"), number(part(s, 3)).alias("upper")))
     return F.filter(rows, lambda s: s["lower"] < s["upper"])
 
 
 def effect_sizes(text: Column) -> Column:
     """Distinct (type, value): d and g, then OR, RR and HR, then r, rho and rs; types in lower case."""
-    pairs = lambda p: F.zip_with(_all(text, p, 1), _all(text, p, 2), lambda k, v: F.struct(F.lower(k).alias("type"), number(v).alias("value")))
-    return F.array_distinct(F.filter(F.concat(*map(pairs, EFFECTS)), lambda s: s["value"].isNotNull()))
+    pairs = F.transform(_matches(text, ANY_EFFECT, "="), lambda m: F.struct(F.lower(F.rtrim(F.regexp_replace(F.split_part(m, F.lit("="), F.lit(1)), r"\s+", ""))).alias("type"), number(F.split_part(m, F.lit("="), F.lit(2))).alias("value")))
+    of = lambda x, kinds: F.filter(x, lambda s: s["type"].isin(kinds) & s["value"].isNotNull())
+    return _let(pairs, lambda x: F.array_distinct(F.concat(of(x, ["d", "g"]), of(x, ["or", "rr", "hr"]), of(x, ["r", "rho", "rs"]))))
 
 
 def effects(text: Column) -> Column:
@@ -142,7 +153,7 @@ def effects(text: Column) -> Column:
 
 def subjects(text: Column) -> Column:
     """Distinct (n, label): numbers before words for people or animals, then N = n as "sample"; 2 to 999999 and no years."""
-    named = F.zip_with(_all(text, SAMPLE, 1), _all(text, SAMPLE, 2), lambda n, w: F.struct(n.try_cast("int").alias("n"), F.lower(w).alias("label")))
+    named = F.transform(_all(text, SAMPLE), lambda m: F.struct(F.regexp_extract(m, r"^\d+", 0).try_cast("int").alias("n"), F.lower(F.regexp_extract(m, r"[A-Za-z]+$", 0)).alias("label")))
     plain = F.transform(_all(text, N_EQUALS, 1), lambda n: F.struct(n.try_cast("int").alias("n"), F.lit("sample").alias("label")))
     return F.array_distinct(F.filter(F.concat(named, plain), lambda s: s["n"].between(2, 999_999) & ~s["n"].between(1900, 2099)))
 
