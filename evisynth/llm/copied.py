@@ -191,7 +191,7 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def cut_segments(packed: DataFrame, bits: DataFrame, least: int, parts: int, shards: int) -> DataFrame:
-    """For each pack with shared segments: a row a shard (its different segments with their least and greatest id) and one of shard -1 (where each of the pack's segments stands)."""
+    """For each pack with shared segments: a row a shard (its different segments with their least and greatest id) and one of a negative shard of its own (where each of the pack's segments stands)."""
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = {"pack": [], "shard": [], "payload": []}
@@ -220,7 +220,7 @@ def cut_segments(packed: DataFrame, bits: DataFrame, least: int, parts: int, sha
             for some in np.split(order, edges) if len(order) else []:
                 rows["shard"].append(int(home[some[0]]))
                 rows["payload"].append(_packed(some.astype(np.int32), sizes[some].astype(np.int32), low[some], high[some], tail=b"".join([segments[i] for i in some.tolist()])))
-            rows["shard"].append(-1)
+            rows["shard"].append(-1 - pack.number)
             rows["payload"].append(_packed(number.astype(np.int32), first))
             rows["pack"] = [pack.number] * len(rows["shard"])
         return pa.table([pa.array(rows["pack"], pa.int64()), pa.array(rows["shard"], pa.int64()), pa.array(rows["payload"], pa.binary())], ["pack", "shard", "payload"])
@@ -229,12 +229,15 @@ def cut_segments(packed: DataFrame, bits: DataFrame, least: int, parts: int, sha
 
 
 def first_documents(cut: DataFrame, least: int, folder: str) -> DataFrame:
-    """For each pack and shard: runs of windows of the pack's segments that a document with a smaller id than the greatest one of the segment in the pack has (segment, offset, windows, first id)."""
+    """For each pack and shard: runs of windows of the pack's segments that a document with a smaller id than the greatest one of the segment in the pack has (segment, offset, windows, first id). Rows of negative shards pass, so that segments are dealt out once and never written."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         text, lows, members = bytearray(), [], []
         for batch in batches:
+            if batch.num_rows and batch.column(1)[0].as_py() < 0:
+                yield batch
+                continue
             for pack, shard, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 number, size, low, high, tail = _opened(payload, np.int32, np.int32, np.int64, np.int64)
                 ends = np.cumsum(size.astype(np.int64))
@@ -324,9 +327,7 @@ def without_copied(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     bits = written(shared_hashes(packed, least, parts), "shared")
     hits = bits.agg(F.sum("hits")).head()[0] or 0
     shards = partitions(spark, -(-hits * (least + 20) // SHARD_BYTES))
-    cut = written(cut_segments(packed, bits, least, parts, shards), "cut")
-    runs = written(first_documents(cut.where("shard >= 0"), least, shared_dir(spark)), "firsts")
-    told = runs.unionByName(cut.where("shard < 0"))
+    told = written(first_documents(cut_segments(packed, bits, least, parts, shards), least, shared_dir(spark)), "firsts")
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_bytes": [], "removed": [], "kept": []}
