@@ -169,7 +169,7 @@ def _packed(*columns: np.ndarray, tail: bytes = b"") -> bytes:
     import zstandard
 
     raw = b"".join([len(columns[0]).to_bytes(8, "little"), *(np.ascontiguousarray(c).tobytes() for c in columns), tail])
-    return b"\1" + zstandard.ZstdCompressor(level=3).compress(raw) if len(raw) > 512 else b"\0" + raw
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > 512 else b"\0" + raw
 
 
 def _opened(payload: bytes, *kinds: type) -> tuple:

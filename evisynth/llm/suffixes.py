@@ -45,6 +45,11 @@ def _stable(keys: np.ndarray) -> np.ndarray:
     return np.argsort(keys, kind="stable")
 
 
+def _in_kind(value: int, like: np.ndarray) -> np.generic:
+    """value as a number of the array's own kind, or the greatest one, so that the array need not be converted."""
+    return like.dtype.type(min(value, np.iinfo(like.dtype).max))
+
+
 def _small(top: int) -> type:
     return np.int32 if top < 1 << 30 else np.int64
 
@@ -103,6 +108,7 @@ class Run:
     def upto(self, limit: int, most: int) -> tuple[list[np.ndarray], bool]:
         """The tuples from `at` with a key of at most limit, no more than `most`; whether there may be more of them."""
         if self.columns is not None:
+            limit = _in_kind(limit, self.columns[0])
             end = int(np.searchsorted(self.columns[0][self.at :], limit, "right")) + self.at
             return self.read(self.at, min(end, self.at + most)), end > self.at + most
         while True:
@@ -110,7 +116,7 @@ class Run:
                 self.head_at, self.head = self.at, self.read(self.at, min(self.length, self.at + PIECE))
             skip = self.at - self.head_at
             keys = self.head[0][skip:]
-            end = int(np.searchsorted(keys, limit, "right"))
+            end = int(np.searchsorted(keys, _in_kind(limit, keys), "right"))
             whole = end < len(keys) or self.head_at + len(self.head[0]) >= self.length
             if whole or end >= most:
                 return [c[skip : skip + min(end, most)] for c in self.head], end > most or not whole
@@ -327,9 +333,9 @@ def _seed_places(scratch: Scratch, text: np.ndarray) -> np.ndarray:
 
 
 def _ordered(scratch: Scratch, keys: np.ndarray) -> np.ndarray:
-    """The order of keys, stable; beyond memory by sorted runs of the queue."""
-    if len(keys) <= scratch.rows:
-        return _stable(keys)
+    """An order of keys; beyond memory by sorted runs of the queue."""
+    if len(keys) <= 2 * scratch.rows:
+        return np.argsort(keys)
     queue, out, at = Queue(scratch), scratch.array(len(keys), np.int64), 0
     for begin in range(0, len(keys), scratch.rows):
         some = np.asarray(keys[begin : begin + scratch.rows])
@@ -404,7 +410,7 @@ def _ordered_in_memory(names: np.ndarray, seeds: np.ndarray, most: int) -> tuple
             break
         some = order[slots]
         behind = rank[some + width]  # the last symbol is like no other, so suffixes that are alike do not reach it
-        inner = np.lexsort((behind, rank[some]))
+        inner = np.argsort(rank[some] << 32 | behind)
         some, behind = some[inner], behind[inner]
         order[slots] = some
         apart = np.concatenate([[False], (behind[1:] != behind[:-1]) & (rank[some[1:]] == rank[some[:-1]])])
