@@ -305,6 +305,14 @@ def _(spark, d):
     return N.label_communities(nation_edges(spark, d), cut, rounds=6)
 
 
+@R.query("n04_louvain")
+def _(spark, d):
+    """Communities of nations by modularity, with the modularity they reach."""
+    edges = cut(nation_edges(spark, d))
+    labels = N.louvain(edges, cut)
+    return labels.join(N.modularity(edges, labels).select(F.round("modularity", 9).alias("modularity"))).select("node", "community", "modularity")
+
+
 @R.query("n04_modularity", f"""WITH {BRANDS}, r AS (SELECT DISTINCT l_orderkey, nation FROM brands), e AS (SELECT a.nation AS s, b.nation AS t, count(*) AS w FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.nation < b.nation GROUP BY ALL),
 l AS (SELECT n_name AS node, n_regionkey AS c FROM nation), x AS (SELECT w, p.c AS cs, q.c AS ct FROM e JOIN l p ON p.node = s JOIN l q ON q.node = t), m AS (SELECT sum(w) AS m, sum(CASE WHEN cs = ct THEN w ELSE 0 END) AS i FROM x), g AS (SELECT c, sum(w) AS d FROM (SELECT cs AS c, w FROM x UNION ALL SELECT ct, w FROM x) GROUP BY c)
 SELECT round(any_value(i) / CAST(any_value(m) AS DOUBLE) - sum(pow(d / (2.0 * m), 2)), 6) AS modularity, count(*) AS communities FROM g, m""")

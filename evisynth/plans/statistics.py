@@ -168,7 +168,19 @@ tx AS (SELECT l_returnflag, sum(m * (m - 1) / 2.0) AS t FROM (SELECT l_returnfla
 n AS (SELECT l_returnflag, count(*) AS n FROM claims GROUP BY ALL)
 SELECT l_returnflag, n, round(s / sqrt((n * (n - 1) / 2.0 - tx.t) * (n * (n - 1) / 2.0 - ty.t)), 8) AS tau FROM n JOIN s USING (l_returnflag) JOIN tx USING (l_returnflag) JOIN ty USING (l_returnflag)""")
 def _(spark, d):
-    return rounded(A.kendall(claims(spark, d), "a", "b", ["l_returnflag"]), 8, "tau")
+    return rounded(A.kendall(claims(spark, d), "a", "b", ["l_returnflag"]), 8, "tau").select("l_returnflag", "n", "tau")
+
+
+@R.query("k08_kendall_fine", """WITH x AS (SELECT o_orderpriority AS g, CAST(round(o_totalprice) AS BIGINT) // 500 AS x, CAST(epoch(o_orderdate) AS BIGINT) // 86400 + o_custkey AS y FROM orders),
+s AS (SELECT p.g, sum(sign(p.x - q.x) * sign(p.y - q.y)) AS s FROM x p JOIN x q ON p.g = q.g AND (p.x < q.x OR (p.x = q.x AND p.y < q.y)) GROUP BY p.g), n AS (SELECT g, count(*)::DOUBLE AS n FROM x GROUP BY g),
+tx AS (SELECT g, sum(m * (m - 1) / 2) AS t, sum(m * (m - 1) * (m - 2)) AS a, sum(m * (m - 1) * (2 * m + 5)) AS b FROM (SELECT g, x, count(*)::DOUBLE AS m FROM x GROUP BY ALL) GROUP BY g),
+ty AS (SELECT g, sum(m * (m - 1) / 2) AS t, sum(m * (m - 1) * (m - 2)) AS a, sum(m * (m - 1) * (2 * m + 5)) AS b FROM (SELECT g, y, count(*)::DOUBLE AS m FROM x GROUP BY ALL) GROUP BY g)
+SELECT g, n::BIGINT AS n, round(s / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t)), 8) AS tau, round(s / sqrt((n * (n - 1) * (2 * n + 5) - tx.b - ty.b) / 18 + 2 * tx.t * ty.t / (n * (n - 1)) + tx.a * ty.a / (9 * n * (n - 1) * (n - 2))), 6) AS z FROM n JOIN s USING (g) JOIN tx USING (g) JOIN ty USING (g)""")
+def _(spark, d):
+    """Prices against days shifted by customer, two sides of very many values."""
+    day = F.floor(F.unix_timestamp("o_orderdate") / 86400) + F.col("o_custkey")
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.floor(F.round("o_totalprice").cast("bigint") / 500).alias("x"), day.alias("y"))
+    return rounded(rounded(A.kendall(rows, "x", "y", ["g"]), 8, "tau"), 6, "z").select("g", "n", "tau", "z")
 
 
 @R.query("k09_icc", f"""WITH {CLAIMS}, r AS (SELECT l_returnflag, l_orderkey, l_linenumber, unnest([a, b]) AS r FROM claims),
@@ -177,7 +189,7 @@ g AS (SELECT l_returnflag, count(*) AS n, max(k) AS k, max(k) * var_samp(m) AS m
 SELECT l_returnflag, n, k, round((msb - msw) / (msb + (k - 1) * msw), 7) AS icc FROM g""")
 def _(spark, d):
     rows = claims(spark, d).select("l_returnflag", "l_orderkey", "l_linenumber", F.explode(F.array("a", "b")).alias("r"))
-    return rounded(A.icc1(rows, ["l_orderkey", "l_linenumber"], "r", ["l_returnflag"]), 7, "icc")
+    return rounded(A.icc1(rows, ["l_orderkey", "l_linenumber"], "r", ["l_returnflag"]), 7, "icc").drop("ci_lower", "ci_upper")
 
 
 @R.query("w11_upper_median", f"WITH {CLAIMS}, r AS (SELECT l_suppkey, a, row_number() OVER (PARTITION BY l_suppkey ORDER BY a) AS rn, count(*) OVER (PARTITION BY l_suppkey) AS n FROM claims) SELECT l_suppkey, a AS median FROM r WHERE rn = n // 2 + 1")

@@ -208,6 +208,59 @@ def test_word_error_rate_against_table(spark):
     assert got == pytest.approx({i: wer(*p) for i, p in enumerate(pairs)})
 
 
+def _graphs():
+    r = random.Random(5)
+    clique = lambda nodes: [(a, b, 1.0) for i, a in enumerate(nodes) for b in nodes[:i]]
+    yield clique([1, 2, 3]) + clique([4, 5, 6]) + [(3, 4, 1.0)]
+    yield clique([1, 2, 3, 4]) + clique([5, 6, 7]) + [(4, 5, 0.5), (1, 7, 0.5)]
+    for _ in range(2):
+        yield [(a, b, float(r.randint(1, 5))) for a in range(1, 8) for b in range(1, a) if r.random() < 0.45] or [(1, 2, 1.0)]
+
+
+def _partitions(nodes):
+    if not nodes:
+        yield []
+        return
+    for rest in _partitions(nodes[1:]):
+        yield [[nodes[0]], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], [nodes[0], *rest[i]], *rest[i + 1 :]]
+
+
+def _quality(edges, parts):
+    of = {n: i for i, p in enumerate(parts) for n in p}
+    m = sum(w for _, _, w in edges)
+    inside = sum(w for a, b, w in edges if of[a] == of[b]) / m
+    degree = {}
+    for a, b, w in edges:
+        degree[of[a]] = degree.get(of[a], 0) + w
+        degree[of[b]] = degree.get(of[b], 0) + w
+    return inside - sum((d / (2 * m)) ** 2 for d in degree.values())
+
+
+@pytest.mark.parametrize("edges", list(_graphs()))
+def test_louvain_on_small_graphs(spark, edges):
+    """As good as the best of all partitions, and its modularity is what the query reports."""
+    df = spark.createDataFrame(edges, "source long, target long, weight double")
+    labels = N.louvain(df, cut)
+    parts = {}
+    for r in labels.collect():
+        parts.setdefault(r["community"], []).append(r["node"])
+    assert {c: min(p) for c, p in parts.items()} == {c: c for c in parts}
+    best = max(_quality(edges, p) for p in _partitions(sorted({x for e in edges for x in e[:2]})))
+    assert _quality(edges, list(parts.values())) == pytest.approx(best, abs=1e-9)
+    assert N.modularity(df, labels).head()["modularity"] == pytest.approx(best, abs=1e-9)
+
+
+def test_louvain_ring_of_cliques(spark):
+    """Eight cliques of five in a ring are found, and label propagation is never better."""
+    edges = [(10 * c + i, 10 * c + j, 1.0) for c in range(8) for i in range(5) for j in range(i)] + [(10 * c, 10 * ((c + 1) % 8) + 1, 1.0) for c in range(8)]
+    df = spark.createDataFrame(edges, "source long, target long, weight double")
+    labels = N.louvain(df, cut)
+    assert {r["node"]: r["community"] for r in labels.collect()} == {10 * c + i: 10 * c for c in range(8) for i in range(5)}
+    assert N.modularity(df, labels).head()["modularity"] >= N.modularity(df, N.label_communities(df, cut, 6)).head()["modularity"] - 1e-12
+
+
 def test_two_hops(spark):
     e = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10), (3, 10), (4, 11), (10, 20)], "src long, dst long")
     got = {r["id"]: (r["hop"], r["via"], r["kind"]) for r in N.dive(spark.createDataFrame([(1,)], "id long"), e, 2, 2, cut).collect()}
@@ -241,20 +294,19 @@ def test_quote_ratios(spark):
     assert [r["p"] for r in sets.select(records.token_sort_ratio("a", "b").alias("p")).collect()] == pytest.approx([100.0, 200 * 2 / 6])
 
 
-def test_greedy_batches(spark):
+@pytest.mark.parametrize("block", [7, 64, 50_000])
+def test_greedy_batches(spark, block):
+    """10,000 rows as one sequence, whatever the blocks; oversized rows, nulls, an empty table."""
     from evisynth.operators import records
 
-    rows = [(i, random.Random(i).choice([1, 5, 30, 200])) for i in range(300)]
-    got = records.greedy_batches(spark.createDataFrame(rows, "id long, n long"), "id", "n", 4, 60, shards=3).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r["shard"], []).append((r["id"], r["batch"]))
-    size = dict(rows)
-    assert sum(map(len, by.values())) == 300
-    for members in by.values():
-        batch = n = total = 0
-        for i, b in sorted(members):
-            if n and (n >= 4 or total + size[i] > 60):
-                batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + size[i]
-            assert b == batch
+    r = random.Random(block)
+    rows = [(3 * i, r.choice([None, 0, 1, 5, 30, 200])) for i in range(10_000 if block > 7 else 500)]
+    df = spark.createDataFrame(rows, "id long, n long").repartition(5)
+    got = {x["id"]: x["batch"] for x in records.greedy_batches(df, "id", "n", 4, 60, block).collect()}
+    batch = n = total = 0
+    for i, x in rows:
+        if n and (n >= 4 or total + (x or 0) > 60):
+            batch, n, total = batch + 1, 0, 0
+        n, total = n + 1, total + (x or 0)
+        assert got.pop(i) == batch
+    assert not got and records.greedy_batches(df.limit(0), "id", "n", 4, 60).count() == 0

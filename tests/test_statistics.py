@@ -1,6 +1,8 @@
 """Known answers, re-derived by hand or numpy."""
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,6 +79,39 @@ def test_kendall(spark, x, y, tau):
     assert A.kendall(df, "x", "y", ["g"]).head()["tau"] == pytest.approx(tau)
 
 
+@pytest.mark.parametrize("grid", [2, 7, 512])
+def test_kendall_by_brute_force(spark, monkeypatch, grid):
+    """Groups, ties, nulls and very many values, with few and with many blocks."""
+    monkeypatch.setattr(A, "GRID", grid)
+    r = random.Random(grid)
+    rows = [(g, r.choice([None, r.randint(0, k)]) if k < 50 else r.randint(0, k), r.randint(0, k)) for g, k in ((None, 3), ("b", 40), ("c", 10_000), ("d", 0)) for _ in range(300)]
+    got = {x["g"]: x for x in A.kendall(spark.createDataFrame(rows, "g string, x int, y int"), "x", "y", ["g"]).collect()}
+    for g in (None, "b", "c", "d"):
+        own = [(x, y) for h, x, y in rows if h == g and x is not None]
+        n, sign = len(own), lambda a, b: (a > b) - (a < b)
+        s = sum(sign(a, c) * sign(b, e) for i, (a, b) in enumerate(own) for c, e in own[:i])
+        tied = lambda values: sum(m * (m - 1) / 2 for m in Counter(values).values())
+        scale = ((n * (n - 1) / 2 - tied([x for x, _ in own])) * (n * (n - 1) / 2 - tied([y for _, y in own]))) ** 0.5
+        assert got[g]["n"] == n and got[g]["tau"] == pytest.approx(s / scale if scale else 0.0)
+        assert got[g]["p_value"] == 1.0 if g == "d" else 0 <= got[g]["p_value"] <= 1
+
+
+def test_kendall_p_values(spark):
+    """Known values: few ranks exactly, and a small table with ties by the normal approximation."""
+    assert A.mahonian_p(3, 0) == pytest.approx(1 / 3) and A.mahonian_p(5, 2) == pytest.approx(2 * (1 + 4 + 9) / 120) and A.mahonian_p(5, 5) == 1.0
+    df = spark.createDataFrame([(0, a, b) for a, b in zip((12, 2, 1, 12, 2), (1, 4, 7, 1, 0), strict=True)], "g int, x int, y int")
+    row = A.kendall(df, "x", "y", ["g"]).head()
+    assert row["tau"] == pytest.approx(-0.47140452079103173) and row["p_value"] == pytest.approx(0.2827454599327748)
+
+
+def test_icc_interval(spark):
+    """Six subjects by four judges, a textbook table: ICC(1,1) 0.17 with bounds -0.13 and 0.72."""
+    m = [[9, 2, 5, 8], [6, 1, 3, 2], [8, 4, 6, 8], [7, 1, 2, 6], [10, 5, 6, 9], [6, 2, 4, 7]]
+    df = spark.createDataFrame([(0, s, float(x)) for s, xs in enumerate(m) for x in xs], "g int, s int, r double")
+    row = A.icc1(df, ["s"], "r", ["g"]).head()
+    assert (round(row["icc"], 2), round(row["ci_lower"], 2), round(row["ci_upper"], 2)) == (0.17, -0.13, 0.72)
+
+
 def test_kappas(spark):
     same = spark.createDataFrame([(0, i % 3, i % 3) for i in range(30)], "g int, a int, b int")
     assert A.cohen_kappa(same, "a", "b", ["g"]).head()["kappa"] == pytest.approx(1.0)
