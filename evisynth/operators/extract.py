@@ -327,3 +327,62 @@ def verdict(claim: Column, actual: Column, relative: float = 0.02, absolute: flo
     """PASS within 2 % or an absolute 2 of the actual number, FAIL beyond, WARN without one."""
     gap = F.abs(claim - actual)
     return F.when(actual.isNull(), "WARN").when((gap <= absolute) | (gap <= relative * F.abs(actual)), "PASS").otherwise("FAIL")
+
+
+#: Characters before and behind a percentage in which words tell what it is of, and those words, first kinds first.
+BEFORE, BEHIND = 80, 40
+PERCENTAGES = {"criticality support": ["critical", "e/i", "excitat", "inhibit", "support"], "mechanism": ["mechanism", "gaba", "glutam", "gabaergic"], "agreement": ["agree", "concordan"]}
+
+
+def number_checks(docs: DataFrame, id_col: str, text: str, actual: dict[str, Column]) -> DataFrame:
+    """A row for each number of a report text, held against computed metrics: id_col, kind, start, claim, expected, expected_upper, actual, actual_upper, metric, status.
+
+    actual gives columns of docs (or literals) by metric: papers, criticality support, mechanism, agreement, kappa, ci_lower and
+    ci_upper, p, correlation, conditions; what is missing or null makes a check a WARN. A percentage is of the first metric whose
+    words stand within BEFORE characters before it or BEHIND behind it. PASS is within 2 % or an absolute 2, for p-values
+    claimed to be below a bound at or below it, for intervals at both ends. Null and empty texts have no numbers."""
+    none = F.lit(None).cast("double")
+    metric = {name: actual[name].cast("double") if name in actual else none for name in ("papers", *PERCENTAGES, "kappa", "ci_lower", "ci_upper", "p", "correlation", "conditions")}
+    rows = docs.select(F.col(id_col), F.col(text).alias("_text"), *(c.alias(f"_m{i}") for i, c in enumerate(metric.values())))
+    known = {name: F.col(f"_m{i}") for i, name in enumerate(metric)}
+    plain = lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("double")
+
+    def entry(kind: str, groups: dict[str, int], build) -> Column:
+        return F.transform(spans(F.col("_text"), ABSTRACT_NUMBERS[kind], groups), lambda s: build(kind, s))
+
+    def check(kind: str, s: Column, value: Column, real: Column, name: Column, upper: Column = none, real_upper: Column = none, below: Column | None = None) -> Column:
+        near = lambda x, y: F.coalesce((F.abs(x - y) <= 2.0) | (F.abs(x - y) <= 0.02 * F.abs(x)), F.lit(True))
+        good = near(value, real) & near(upper, real_upper)
+        if below is not None:
+            good = F.when(below, real <= value).otherwise(good)
+        status = F.when(real.isNull() | (upper.isNotNull() & real_upper.isNull()), "WARN").when(good, "PASS").otherwise("FAIL")
+        named = [F.lit(kind).alias("kind"), s["start"].alias("start"), s["raw"].alias("claim"), value.alias("expected"), upper.alias("expected_upper"), real.alias("actual"), real_upper.alias("actual_upper"), name.alias("metric"), status.alias("status")]
+        return F.struct(*named)
+
+    def percentage(kind: str, s: Column) -> Column:
+        low = F.greatest(F.lit(0), s["start"] - BEFORE)
+        around = F.lower(F.substring(F.col("_text"), low + 1, s["end"] + BEHIND - low))
+        name = F.lit(None).cast("string")
+        real = none
+        for what, words in reversed(PERCENTAGES.items()):
+            there = F.contains(around, F.lit(words[0]))
+            for w in words[1:]:
+                there = there | F.contains(around, F.lit(w))
+            name, real = F.when(there, what).otherwise(name), F.when(there, known[what]).otherwise(real)
+        return check(kind, s, plain(s["v"]), real, name)
+
+    def generic(kind: str, s: Column) -> Column:
+        of = F.contains(F.lower(s["raw"]), F.lit("condition"))
+        return check(kind, s, plain(s["v"]), F.when(of, known["conditions"]), F.when(of, "conditions"))
+
+    simple = lambda name: lambda kind, s: check(kind, s, plain(s["v"]), known[name], F.lit(name))
+    every = F.concat(
+        entry("paper_counts", {"v": 1}, simple("papers")),
+        entry("percentages", {"v": 1}, percentage),
+        entry("kappa_values", {"v": 1}, simple("kappa")),
+        entry("ci_values", {"v": 1, "w": 2}, lambda kind, s: check(kind, s, plain(s["v"]), known["ci_lower"], F.lit("interval"), plain(s["w"]), known["ci_upper"])),
+        entry("p_values", {"op": 1, "v": 2}, lambda kind, s: check(kind, s, plain(s["v"]), known["p"], F.lit("p"), below=s["op"].isin("<", "≤"))),
+        entry("correlations", {"v": 1}, simple("correlation")),
+        entry("generic_counts", {"v": 1}, generic),
+    )
+    return exploded(rows.select(id_col, "_text", *(f"_m{i}" for i in range(len(metric)))), every, "c").select(id_col, "c.*")

@@ -138,6 +138,62 @@ def band(composite: Column, high: float = 0.5, medium: float = 0.28) -> tuple[Co
     return pick("high", "medium", "low"), pick(1, 2, 3)
 
 
+#: Weights of the parts of the triage composite.
+TRIAGE_WEIGHTS = {"semantic": 0.45, "tfidf": 0.35, "token_overlap": 0.15, "retrieval_hit": 0.05}
+
+
+def cheap_triage(docs: DataFrame, families: list[tuple[str, str]], id_col: str = "ord", semantic: DataFrame | None = None, weights: dict[str, float] = TRIAGE_WEIGHTS, high: float = 0.5, medium: float = 0.28) -> DataFrame:
+    """id_col, family, tfidf, token_overlap, retrieval_hit, semantic, composite, band, tier: each document's best query family (ties to the earlier one) and the scores with it, to four places.
+
+    docs: id_col (unique), text, hits (ids of families that have retrieved it; null as none). families: (id, query text).
+    semantic, if there is a model, gives (id_col, family, semantic) from 0 to 1; without it the other weights are scaled
+    up to 1. A null or empty text has no terms and scores by its hits alone."""
+    spark = docs.sparkSession
+    rounded = lambda c: F.round(F.round(F.coalesce(c, F.lit(0.0)), 9), 4)  # noqa: E731  first what sums leave behind the ninth place
+    terms = F.array_distinct(T.triage_terms(F.coalesce("text", F.lit(""))))
+    each = [F.struct(F.lit(i).alias("place"), F.lit(f).alias("family"), F.array_distinct(T.triage_terms(F.lit(q))).alias("terms")) for i, (f, q) in enumerate(families)]
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce("hits", F.array().cast("array<string>")).alias("_hits"), terms.alias("_terms")).withColumn("f", F.explode(F.array(*each)))
+    rows = rows.select("_id", F.col("f.place").alias("_place"), F.col("f.family").alias("family"), rounded(token_overlap(F.col("_terms"), F.col("f.terms"))).alias("token_overlap"), F.array_contains("_hits", F.col("f.family")).cast("double").alias("retrieval_hit"))
+    asked = spark.createDataFrame(families, "query_id string, query_text string")
+    cosine = tfidf_similarity(docs.select(id_col, F.coalesce("text", F.lit("")).alias("text")), asked, id_col).select(F.col("doc").alias("_doc"), F.col("query").alias("family"), "tfidf")
+    rows = rows.withColumn("_doc", F.col("_id").cast("string")).join(cosine, ["_doc", "family"], "left").drop("_doc").withColumn("tfidf", rounded(F.col("tfidf")))
+    used = dict(weights)
+    if semantic is None:
+        rows, used["semantic"] = rows.withColumn("semantic", F.lit(0.0)), 0.0
+    else:
+        rows = rows.join(semantic.select(F.col(id_col).alias("_id"), "family", "semantic"), ["_id", "family"], "left").withColumn("semantic", rounded(F.col("semantic")))
+    total = sum(used.values()) or 1.0
+    composite = rounded(sum((w * F.col(name) for name, w in used.items()), F.lit(0.0)) / total)
+    names = ["family", "semantic", "tfidf", "token_overlap", "retrieval_hit", "composite"]
+    best = rows.withColumn("composite", composite).groupBy("_id").agg(F.max(F.struct("composite", (-F.col("_place")).alias("_first"), *(n for n in names if n != "composite"))).alias("best"))
+    name, tier = band(F.col("composite"), high, medium)
+    return best.select(F.col("_id").alias(id_col), *(F.col(f"best.{n}").alias(n) for n in names)).withColumns({"band": name, "tier": tier})
+
+
+def audit_spans(rows: DataFrame, keys: list[str], span: str, text: str, semantic: str | None = None) -> DataFrame:
+    """keys, token_similarity, tfidf_similarity, semantic_similarity, composite, priority of quoted spans against the text they are said to come from.
+
+    Token similarity is the Jaccard index of words of two or more of a-z, 0 if a side has none. TF-IDF similarity is the
+    cosine over the two texts alone (words of two or more letters, digits or _); token similarity stands in for it where a side
+    is blank. With a model's similarity (column `semantic`) the weights are 0.4, 0.3 and 0.3, else 0.5 for each of the others.
+    Rows without a span or a text are left out; keys are unique."""
+    given = rows.where((F.col(span) != "") & (F.col(text) != "")).select(*keys, F.col(span).alias("_span"), F.col(text).alias("_text"), (F.col(semantic) if semantic else F.lit(0.0)).cast("double").alias("semantic_similarity"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    side = lambda c, n: F.transform(words(F.col(c)), lambda w: F.struct(w.alias("term"), F.lit(n).alias("side")))
+    counted = given.select(*keys, F.explode(F.concat(side("_span", 1), side("_text", 2))).alias("t")).groupBy(*keys, "t.term").agg(F.count_if(F.col("t.side") == 1).alias("a"), F.count_if(F.col("t.side") == 2).alias("b"))
+    idf = F.when((F.col("a") > 0) & (F.col("b") > 0), 1.0).otherwise(F.log(F.lit(1.5)) + 1)
+    x, y = F.col("a") * idf, F.col("b") * idf
+    cosine = counted.groupBy(*keys).agg((F.sum(x * y) / F.nullif(F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y)), F.lit(0.0))).alias("_cosine"))
+    sets = [T.token_set(F.col(c), "[a-z]{2,}") for c in ("_span", "_text")]
+    token = given.select(*keys, "_span", "_text", "semantic_similarity", T.jaccard(*sets).alias("token_similarity")).join(cosine, keys, "left")
+    blank = (F.trim("_span") == "") | (F.trim("_text") == "")
+    token = token.withColumn("tfidf_similarity", F.when(blank, F.col("token_similarity")).otherwise(F.coalesce("_cosine", F.lit(0.0))))
+    c = 0.4 * F.col("semantic_similarity") + 0.3 * F.col("token_similarity") + 0.3 * F.col("tfidf_similarity") if semantic else 0.5 * F.col("token_similarity") + 0.5 * F.col("tfidf_similarity")
+    token = token.withColumn("composite", c)
+    weak = ((F.col("semantic_similarity") < 0.5) & (F.col("token_similarity") < 0.3)) | (F.col("composite") < 0.35)
+    return token.select(*keys, "semantic_similarity", "token_similarity", "tfidf_similarity", "composite", F.when(weak, "P1").when(F.col("composite") < 0.55, "P2").otherwise("P3").alias("priority"))
+
+
 def overlap_and_tier(axes: list[Column], integration: Column, confidence: Column, present: float = 0.35, strong: float = 0.55) -> tuple[Column, Column, Column]:
     """(bucket, axes present, tier): tier 1 needs three strong axes, integration 0.5 and confidence 0.45; tier 2 confidence 0.3."""
     n, s = (sum(((F.coalesce(a, F.lit(0.0)) >= t).cast("int") for a in axes), F.lit(0)) for t in (present, strong))

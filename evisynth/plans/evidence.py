@@ -164,6 +164,39 @@ def _(spark, d):
     return a.select("l_suppkey", claim.alias("claim"), X.verdict(claim, F.when(i % 7 != 0, F.col("n"))).alias("verdict"))
 
 
+#: What is said in each report: a number of papers, a share, an agreement, an interval, a p-value, a correlation, a count of conditions.
+_SAID = """said AS (SELECT doc_id, n_chars % 97 + 20 AS k, n_chars % 90 AS pct, n_chars % 9 + 1 AS a, regexp_replace(text, '[0-9%=<>]', '', 'g') AS prose FROM documents),
+facts AS (SELECT count(*) AS n, 100.0 * count(*) FILTER (n_chars > 1500) / count(*) AS share, 100.0 * count(*) FILTER (lang = 'en') / count(*) AS en, count(DISTINCT lang) AS langs FROM documents)"""
+
+
+def _report(spark, d):
+    docs = table(spark, d, "documents")
+    n = F.col("n_chars")
+    k, pct, a = n % 97 + 20, n % 90, n % 9 + 1
+    c = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    kind = F.when(a <= 3, c(pct, "% support the hypothesis")).when(a <= 6, c(pct, "% name a mechanism")).otherwise(c(pct, "% of something else"))
+    prose = F.regexp_replace("text", "[0-9%=<>]", "")
+    text = F.concat(c("We read ", k, " studies. Of all "), kind, F.lit(". "), F.substring(prose, 1, 10), c(" Raters: kappa = 0.", a, "; CI [0.", a, ", 9.", a, "], p < 0.0", a, ", r = 0.", a, " over ", a, " conditions. "), prose)
+    facts = docs.agg(F.count("*").alias("n"), (100.0 * F.count_if(F.col("n_chars") > 1500) / F.count("*")).alias("share"), (100.0 * F.count_if(F.col("lang") == "en") / F.count("*")).alias("en"), F.countDistinct("lang").alias("langs"))
+    return docs.select("doc_id", text.alias("text")).join(facts)
+
+
+@R.query("x15_number_checks", f"""WITH {_SAID}, t AS (SELECT *, 'We read ' || k || ' studies. Of all ' || pct || CASE WHEN a <= 3 THEN '% support the hypothesis' WHEN a <= 6 THEN '% name a mechanism' ELSE '% of something else' END || '. ' || substr(prose, 1, 10) || ' Raters: kappa = 0.' || a || '; CI [0.' || a || ', 9.' || a || '], p < 0.0' || a || ', r = 0.' || a || ' over ' || a || ' conditions. ' || prose AS text FROM said),
+p AS (SELECT doc_id, k, pct, a, lower(substr(text, greatest(0, instr(text, '%') - length(pct::VARCHAR) - 1 - 80) + 1, instr(text, '%') + 40 - greatest(0, instr(text, '%') - length(pct::VARCHAR) - 1 - 80))) AS around FROM t),
+m AS (SELECT *, CASE WHEN regexp_matches(around, 'critical|e/i|excitat|inhibit|support') THEN 'criticality support' WHEN regexp_matches(around, 'mechanism|gaba|glutam') THEN 'mechanism' WHEN regexp_matches(around, 'agree|concordan') THEN 'agreement' END AS metric FROM p),
+c AS (SELECT doc_id, 'paper_counts' AS kind, k::DOUBLE AS expected, NULL::DOUBLE AS expected_upper, n::DOUBLE AS actual, 'papers' AS metric FROM p, facts
+  UNION ALL SELECT doc_id, 'percentages', pct, NULL, CASE metric WHEN 'criticality support' THEN share WHEN 'mechanism' THEN en END, metric FROM m, facts
+  UNION ALL SELECT doc_id, 'kappa_values', a / 10.0, NULL, 0.55, 'kappa' FROM p UNION ALL SELECT doc_id, 'ci_values', a / 10.0, 9 + a / 10.0, 0.2, 'interval' FROM p
+  UNION ALL SELECT doc_id, 'p_values', a / 100.0, NULL, 0.04, 'p' FROM p UNION ALL SELECT doc_id, 'correlations', a / 10.0, NULL, NULL, 'correlation' FROM p UNION ALL SELECT doc_id, 'generic_counts', a, NULL, langs, 'conditions' FROM p, facts)
+SELECT doc_id, kind, metric, round(expected, 6) AS expected, round(expected_upper, 6) AS expected_upper, round(actual, 6) AS actual, CASE WHEN actual IS NULL THEN 'WARN' WHEN kind = 'p_values' THEN CASE WHEN actual <= expected THEN 'PASS' ELSE 'FAIL' END WHEN kind = 'ci_values' THEN CASE WHEN abs(expected_upper - 11.5) <= 2 OR abs(expected_upper - 11.5) <= 0.02 * expected_upper THEN 'PASS' ELSE 'FAIL' END
+  WHEN abs(expected - actual) <= 2 OR abs(expected - actual) <= 0.02 * abs(expected) THEN 'PASS' ELSE 'FAIL' END AS status FROM c""")
+def _(spark, d):
+    """Reports over whole documents, without their own digits, against what the corpus holds; a correlation is not known."""
+    actual = {"papers": F.col("n"), "criticality support": F.col("share"), "mechanism": F.col("en"), "kappa": F.lit(0.55), "ci_lower": F.lit(0.2), "ci_upper": F.lit(11.5), "p": F.lit(0.04), "conditions": F.col("langs")}
+    rows = X.number_checks(_report(spark, d), "doc_id", "text", actual)
+    return rows.select("doc_id", "kind", "metric", *(F.round(c, 6).alias(c) for c in ("expected", "expected_upper", "actual")), "status")
+
+
 @R.query("r02_bootstrap_mean")
 def _(spark, d):
     return B.interval(B.bootstrap_means(claims(spark, d), "a")).withColumns({c: F.round(c, 6) for c in ("mean", "ci_lower", "ci_upper")})

@@ -259,6 +259,45 @@ def _(spark, d):
     return e.join(F.broadcast(hub), "label").select("vec_id", "label", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)), 5).alias("similarity"))
 
 
+@R.query("e10_cheap_triage", f"""WITH f AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(FAMILIES))}) v(place, family, q)),
+raw AS (SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id, text AS t FROM documents UNION ALL SELECT 'q', family, q FROM f),
+tok AS (SELECT side, id, {_TERMS} AS w FROM raw),
+terms AS (SELECT side, id, unnest(w) AS term FROM tok UNION ALL SELECT side, id, w[i] || ' ' || w[i + 1] FROM (SELECT side, id, w, unnest(range(1, len(w))) AS i FROM tok)),
+c AS (SELECT side, id, term, count(*) AS n FROM terms GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+w AS (SELECT side, id, term, (1 + ln(n)) * (ln((1.0 + (SELECT count(*) FROM raw)) / (1.0 + df)) + 1) AS w FROM c JOIN df USING (term)),
+norm AS (SELECT side, id, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+dot AS (SELECT a.id AS doc, b.id AS query, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.term = b.term AND a.side = 'd' AND b.side = 'q' GROUP BY ALL),
+sim AS (SELECT doc, query, least(1.0, dot / (x.norm * y.norm)) AS tfidf FROM dot JOIN norm x ON x.side = 'd' AND x.id = doc JOIN norm y ON y.side = 'q' AND y.id = query),
+sets AS (SELECT side, id, list_distinct(w) AS w FROM tok),
+o AS (SELECT d.id AS doc, q.id AS query, len(list_intersect(d.w, q.w)) AS n, len(d.w) AS a, len(q.w) AS b FROM sets d, sets q WHERE d.side = 'd' AND q.side = 'q'),
+p AS (SELECT CAST(o.doc AS BIGINT) AS doc_id, o.query AS family, f.place, round(round(coalesce(tfidf, 0), 9), 4) AS tfidf, round(round(CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 0.7::DOUBLE * n / b + 0.3::DOUBLE * n / (a + b - n) END, 9), 4) AS token_overlap, CAST((lang = 'en' AND o.query = 'f1') OR (lang IN ('fr', 'es') AND o.query = 'f2') OR (lang = 'de' AND o.query = 'f3') AS INT)::DOUBLE AS retrieval_hit
+  FROM o JOIN f ON f.family = o.query JOIN documents ON CAST(documents.doc_id AS VARCHAR) = o.doc LEFT JOIN sim ON sim.doc = o.doc AND sim.query = o.query),
+r AS (SELECT *, round(round((0.35::DOUBLE * tfidf + 0.15::DOUBLE * token_overlap + 0.05::DOUBLE * retrieval_hit) / 0.55::DOUBLE, 9), 4) AS composite FROM p)
+SELECT doc_id, family, tfidf, token_overlap, retrieval_hit, composite, CASE WHEN composite >= 0.5 THEN 'high' WHEN composite >= 0.28 THEN 'medium' ELSE 'low' END AS band, CASE WHEN composite >= 0.5 THEN 1 WHEN composite >= 0.28 THEN 2 ELSE 3 END AS tier FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY composite DESC, place) = 1""")
+def _(spark, d):
+    """Whole texts against the query families, a language standing for the family that retrieved a document; without a semantic model."""
+    hit = F.when(F.col("lang") == "en", "f1").when(F.col("lang").isin("fr", "es"), "f2").when(F.col("lang") == "de", "f3")
+    docs = table(spark, d, "documents").select("doc_id", "text", F.array_compact(F.array(hit)).alias("hits"))
+    return S.cheap_triage(docs, FAMILIES, "doc_id").drop("semantic")
+
+
+@R.query("f19_span_audit", """WITH s AS (SELECT doc_id, unnest([{'field': 'key_quote', 'span': array_to_string(string_split(text, ' ')[3:12], ' ')}, {'field': 'relevance_quote', 'span': substr(text, 1, length(text) // 2) || ' evidence added here'}], recursive := true), text FROM documents),
+g AS (SELECT * FROM s WHERE span <> '' AND text <> ''),
+t AS (SELECT doc_id, field, term, count(*) FILTER (side = 1) AS a, count(*) FILTER (side = 2) AS b FROM (SELECT doc_id, field, unnest(regexp_extract_all(lower(span), '[\\p{L}\\p{N}_]{2,}')) AS term, 1 AS side FROM g UNION ALL SELECT doc_id, field, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')), 2 FROM g) GROUP BY ALL),
+w AS (SELECT doc_id, field, a * i AS x, b * i AS y FROM (SELECT *, CASE WHEN a > 0 AND b > 0 THEN 1.0::DOUBLE ELSE ln(1.5::DOUBLE) + 1 END AS i FROM t)),
+c AS (SELECT doc_id, field, sum(x * y) / nullif(sqrt(sum(x * x)) * sqrt(sum(y * y)), 0) AS cosine FROM w GROUP BY ALL),
+j AS (SELECT doc_id, field, span, text, list_distinct(regexp_extract_all(lower(span), '[a-z]{2,}')) AS p, list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}')) AS q FROM g),
+k AS (SELECT doc_id, field, CASE WHEN len(p) + len(q) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(p, q))::DOUBLE / (len(p) + len(q) - len(list_intersect(p, q))) END AS token, trim(span) = '' OR trim(text) = '' AS blank FROM j),
+r AS (SELECT doc_id, field, token, CASE WHEN blank THEN token ELSE coalesce(cosine, 0) END AS tfidf FROM k LEFT JOIN c USING (doc_id, field))
+SELECT doc_id, field, round(token, 6) AS token_similarity, round(tfidf, 6) AS tfidf_similarity, round(0.5 * token + 0.5 * tfidf, 6) AS composite, CASE WHEN token < 0.3 OR 0.5 * token + 0.5 * tfidf < 0.35 THEN 'P1' WHEN 0.5 * token + 0.5 * tfidf < 0.55 THEN 'P2' ELSE 'P3' END AS priority FROM r""")
+def _(spark, d):
+    """Two quotes of each document against its whole text, one of few words and one of half the text with words put behind it."""
+    half = F.concat(F.substring("text", F.lit(1), F.floor(F.char_length("text") / 2).cast("int")), F.lit(" evidence added here"))
+    quotes = {"key_quote": F.array_join(F.slice(F.split("text", " "), 3, 10), " "), "relevance_quote": half}
+    rows = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array(*(F.struct(F.lit(n).alias("field"), q.alias("span")) for n, q in quotes.items()))).alias("s")).select("doc_id", "text", "s.*")
+    return S.audit_spans(rows, ["doc_id", "field"], "span", "text").select("doc_id", "field", *six("token_similarity", "tfidf_similarity", "composite"), "priority")
+
+
 @R.query("e11_pass3_selection", f"""WITH {PAPERS}, b AS (SELECT ord, CASE WHEN citations % 101 >= 50 THEN 'high' WHEN citations % 101 >= 28 THEN 'medium' ELSE 'low' END AS band FROM papers),
 l AS (SELECT ord, row_number() OVER (ORDER BY md5('42:' || ord), ord) AS rn, count(*) OVER () AS n FROM b WHERE band = 'low')
 SELECT ord, 'band' AS reason FROM b WHERE band <> 'low' UNION ALL SELECT ord, 'sample' FROM l WHERE rn <= least(greatest(CAST(floor(n * 0.1) AS INT), 5), 25)""")
