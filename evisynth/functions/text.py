@@ -164,9 +164,25 @@ def safe_name(text: Column, most: int = 120) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "_"), F.lit("_")), 1, most)
 
 
+#: Words that a quote needs for its beginning to count, and that a beginning has at least.
+PARTIAL_WORDS, PARTIAL_LEAST = 4, 3
+
+
+def quote_beginning(quote: Column, text: Column) -> Column:
+    """How many of a quote's first words, normal forms compared, are found in the text: the most, down to half of them and no fewer than three; null for quotes of fewer than four words or where no such beginning is found."""
+    words = F.filter(F.split(normal(quote), " "), lambda w: w != "")
+    n = F.size(words)
+    least = F.greatest(F.floor(n / 2).cast("int"), F.lit(PARTIAL_LEAST))
+    low = normal(text)
+    found = F.filter(F.sequence(least, F.greatest(n, least)), lambda k: F.contains(low, F.array_join(F.slice(words, 1, k), " ")))
+    return F.when(n >= PARTIAL_WORDS, F.array_max(found))
+
+
 def quote_check(quote: Column, text: Column) -> tuple[Column, Column]:
-    """(reason, start): exact, case_insensitive, whitespace_normalized or not_found; start from 0, -1 where it is not exact in place."""
+    """(reason, start): exact, case_insensitive, whitespace_normalized, partial_match (k/n words) or not_found; start from 0, -1 where it is not exact in place."""
     exact, low = F.position(quote, text), F.position(F.lower(quote), F.lower(text))
     loose = normal(text).contains(normal(quote))
-    reason = F.when(F.coalesce(F.trim(quote), F.lit("")) == "", "empty").when(exact > 0, "exact").when(low > 0, "case_insensitive").when(loose, "whitespace_normalized").otherwise("not_found")
+    some = quote_beginning(quote, text)
+    partial = F.concat(F.lit("partial_match ("), some.cast("string"), F.lit("/"), F.size(F.filter(F.split(normal(quote), " "), lambda w: w != "")).cast("string"), F.lit(" words)"))
+    reason = F.when(F.coalesce(F.trim(quote), F.lit("")) == "", "empty").when(exact > 0, "exact").when(low > 0, "case_insensitive").when(loose, "whitespace_normalized").when(some.isNotNull(), partial).otherwise("not_found")
     return reason, F.when(reason == "exact", exact - 1).when(reason == "case_insensitive", low - 1).otherwise(-1)

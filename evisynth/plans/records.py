@@ -343,12 +343,16 @@ def _(spark, d):
     return e.select("event_id", E.relevance_answer(text).alias("r")).select("event_id", "r.*")
 
 
-@R.query("x20_batched_answers", "WITH e AS (SELECT user_id, event_id FROM events) SELECT user_id, CAST(event_id AS VARCHAR) AS id, CAST(event_id % 6 AS INT) AS score FROM e WHERE event_id % 7 < 6 AND user_id % 3 < 2")
-def _(spark, d):
-    """A model's answers for batches of events: an object with results, a list, or neither; entries with a score out of bounds go."""
-    item = F.concat(F.lit('{"id": "'), "event_id", F.lit('", "score": '), F.when(F.col("event_id") % 7 < 6, F.col("event_id") % 6).otherwise(F.lit(9)), F.lit("}"))
-    by = table(spark, d, "events").groupBy("user_id", F.pmod(F.xxhash64("event_id"), F.lit(8)).alias("batch")).agg(F.array_join(F.collect_list(item), ", ").alias("items"))
-    answer = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit('Here: {"results": ['), "items", F.lit("]}"))).when(F.col("user_id") % 3 == 1, F.concat(F.lit("["), "items", F.lit("]"))).otherwise("sorry")
+@R.query("x20_batched_answers", """WITH e AS (SELECT user_id, event_id, user_id % 3 AS form, count(*) OVER (PARTITION BY user_id, event_id % 8) AS n, max(event_id) OVER (PARTITION BY user_id, event_id % 8) AS last FROM events)
+SELECT user_id, CAST(event_id AS VARCHAR) AS id, CAST(event_id % 6 AS INT) AS score FROM e WHERE event_id % 7 < 5 AND (form = 0 OR (form = 1 AND n > 1)) AND event_id <> last UNION ALL SELECT user_id, CAST(event_id AS VARCHAR), 5 FROM e WHERE event_id = last AND (form = 0 OR (form = 1 AND n > 1))""")
+def _(spark, d):
+    """A model's answers for batches of events: an object with results, a list, or neither. Scores out of bounds or given as text go; the last event of a batch is answered twice, the second time with 5."""
+    i = F.col("event_id")
+    entry = lambda score: F.concat(F.lit('{"id": "'), i, F.lit('", "score": '), score, F.lit("}"))
+    item = entry(F.when(i % 7 < 5, (i % 6).cast("string")).when(i % 7 == 5, F.lit('"3"')).otherwise(F.lit("9")))
+    by = table(spark, d, "events").groupBy("user_id", (i % 8).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("item")))).alias("items"), F.max_by(entry(F.lit("5")), "event_id").alias("again"))
+    listed = F.concat_ws(", ", F.col("items.item"), F.when(F.size("items") > 1, F.col("again")))
+    answer = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit('Here: {"results": ['), F.concat_ws(", ", listed, "again"), F.lit("]}"))).when(F.col("user_id") % 3 == 1, F.concat(F.lit("["), listed, F.lit("]"))).otherwise("sorry")
     return by.select("user_id", F.explode(E.batched_answers(answer)).alias("a")).select("user_id", "a.id", "a.score")
 
 

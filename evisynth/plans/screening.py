@@ -159,6 +159,17 @@ def _(spark, d):
     return rows.withColumn("reason", reason).select("ord", "reason", start.alias("start"))
 
 
+@R.query("f22_partial_quotes", f"""WITH {PAPERS}, n AS (SELECT ord, trim(regexp_replace(lower(abstract), '\\s+', ' ', 'g')) AS t FROM papers), q AS (SELECT ord, t, list_concat(string_split(t, ' ')[2:7], ['zzza', 'zzzb', 'zzzc', 'zzzd', 'zzze'][1:ord % 6]) AS w FROM n),
+k AS (SELECT ord, len(w) AS n, list_max(list_filter(range(greatest(len(w) // 2, 3), greatest(len(w), 3) + 1), lambda i: contains(t, array_to_string(w[1:i], ' ')))) AS k, contains(t, array_to_string(w, ' ')) AS whole FROM q WHERE len(w) > 0)
+SELECT ord, CASE WHEN whole THEN 'exact' WHEN n >= 4 AND k IS NOT NULL THEN 'partial_match (' || k || '/' || n || ' words)' ELSE 'not_found' END AS reason FROM k""")
+def _(spark, d):
+    """Six words of each text, in lower case, with up to five foreign ones behind them, against the text in its normal form."""
+    rows = papers(spark, d).select("ord", T.normal(F.col("abstract")).alias("t"))
+    foreign = F.slice(F.array(*(F.lit(f"zzz{c}") for c in "abcde")), F.lit(1), (F.col("ord") % 6).cast("int"))
+    rows = rows.withColumn("quote", F.array_join(F.concat(F.slice(F.split("t", " "), 2, 6), foreign), " ")).where("quote <> ''")
+    return rows.select("ord", T.quote_check(F.col("quote"), F.col("t"))[0].alias("reason"))
+
+
 def _design_sql() -> str:
     cases = []
     for name, _, every, some in T.DESIGNS:

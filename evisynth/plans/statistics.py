@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from ..functions import grading as G
 from ..operators import agreement as A
 from ..operators import meta as M
+from ..tables import ranked_in_groups
 from .registry import CLAIMS, EFFECTS, Registry, claims, effects, table
 
 R = Registry()
@@ -201,7 +202,8 @@ def _(spark, d):
 
 @R.query("w05_residual_rank", f"WITH {EFFECTS} SELECT study, condition, CAST(row_number() OVER (PARTITION BY condition ORDER BY round(y, 9), study) AS INT) AS rank FROM effects")
 def _(spark, d):
-    return effects(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("condition").orderBy(F.round("y", 9), "study"))).select("study", "condition", "rank")
+    rows = ranked_in_groups(effects(spark, d), ["condition"], [F.round("y", 9), F.col("study")])
+    return rows.select("study", "condition", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 @R.query("a24_threshold_sensitivity", f"WITH {CLAIMS}, t AS (SELECT unnest(range(1, 6)) AS t) SELECT t AS threshold, count(*) FILTER (a >= t) AS n_pass, round(100.0 * count(*) FILTER (a >= t) / count(*), 4) AS pct, round(avg(b) FILTER (a >= t), 6) AS mean_pass FROM claims, t GROUP BY t")

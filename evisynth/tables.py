@@ -59,6 +59,14 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, str] | None = No
     return rows.join(totals, "_range").withColumns(at).drop("_range", *(f"_{name}" for name in wanted))
 
 
+def ranked_in_groups(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """df with `rank` (from 0) of each row in its group, by ranges of the order of all rows: a hot group's rows lie in many tasks. Nulls are a group."""
+    rows = written(running(df, [c for g in group for c in (F.col(g).isNotNull(), F.col(g))] + order), "ranked")
+    first = rows.groupBy(*group).agg(F.min("rank").alias("_first")).select(*(F.col(g).alias(f"_{g}") for g in group), "_first")
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    return rows.join(first, same).withColumn("rank", F.col("rank") - F.col("_first")).drop("_first", *(f"_{g}" for g in group))
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
     """left joined to right, which has a row a key: each of right's rows meets left's rows in SALTS places, so no key of left meets in one task."""
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

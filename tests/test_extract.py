@@ -108,7 +108,9 @@ def test_relevance_answers(spark, text, want):
 def test_batched_and_extraction_answers(spark):
     got = one(spark, 'ok {"results": [{"id": " a ", "score": 3, "quote": "x"}, {"id": "b", "score": 7}, {"score": 1}, {"id": 9, "score": 0}]}', C.batched_answers(T).alias("r"))["r"]
     assert [tuple(x) for x in got] == [("a", 3, "x"), ("9", 0, "")]
-    assert [tuple(x) for x in one(spark, 'x [{"id": "c", "score": 5}]', C.batched_answers(T).alias("r"))["r"]] == [("c", 5, "")]
+    listed = one(spark, 'x [{"id": "c", "score": 5}, {"id": "d", "score": "4"}, {"id": "e", "score": 2}, {"id": "c", "score": 1}]', C.batched_answers(T).alias("r"))["r"]
+    assert [tuple(x) for x in listed] == [("e", 2, ""), ("c", 1, "")]  # a score given as text goes, and the last of repeated ids stays
+    assert one(spark, 'x [{"id": "c", "score": 5}]', C.batched_answers(T).alias("r"))["r"] == []  # its object can be read and has no results
     assert one(spark, "none", C.batched_answers(T).alias("r"))["r"] == []
     fenced = one(spark, '```json\n{"findings": ["f", ""], "methodology": "m", "supports_criticality": true}\n```', C.extraction_answer(T).alias("r"))["r"]
     assert fenced["findings"] == ["f"] and fenced["mechanisms"] == [] and fenced["methodology"] == "m" and fenced["supports_criticality"] and fenced["error"] is None
