@@ -28,6 +28,8 @@ from .suffixes import Scratch, suffix_order
 
 #: Bytes of texts in a pack, of texts whose hashes meet in a part, and of segments in a shard, about; bytes hashed at once.
 PACK_BYTES, PART_BYTES, SHARD_BYTES, SLICE_BYTES = 1 << 22, 1 << 26, 1 << 22, 1 << 18
+#: Shards of a task, about, where there are more than shuffle partitions.
+TASK_SHARDS = 4
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -327,7 +329,8 @@ def without_copied(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     bits = written(shared_hashes(packed, least, parts), "shared")
     hits = bits.agg(F.sum("hits")).head()[0] or 0
     shards = partitions(spark, -(-hits * (least + 20) // SHARD_BYTES))
-    told = written(first_documents(cut_segments(packed, bits, least, parts, shards), least, shared_dir(spark)), "firsts")
+    cut = cut_segments(packed, bits, least, parts, shards).repartition(partitions(spark, -(-shards // TASK_SHARDS)), "shard")
+    told = written(first_documents(cut, least, shared_dir(spark)), "firsts")
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_bytes": [], "removed": [], "kept": []}
