@@ -420,3 +420,32 @@ def _(spark, d):
     long = a.select("component_id", "n", "high", F.explode(F.array(*(F.struct(F.lit(k).alias("domain"), v.cast("int").alias("downgrade")) for k, v in rated.items()))).alias("r")).select("component_id", "n", "high", "r.*")
     total = long.groupBy("component_id").agg(F.sum("downgrade").alias("down"), F.first("high").alias("high")).select("component_id", G.certainty(F.col("high") > 0.5, F.col("down")).alias("certainty"))
     return G.findings_table(long, ["component_id", "n"]).join(total, "component_id")
+
+
+#: Documents as bulk records: a labelled half of the text and another one, an author or a group, one of three kinds of dates.
+_PLAIN = "[^\\x21-\\x25\\x27-\\x3B\\x3D\\x3F-\\x7E]+"
+
+
+@R.query("s06_pubmed_bulk", f"""WITH d AS (SELECT doc_id, lang, source, trim(regexp_replace(text, '{_PLAIN}', ' ', 'g')) AS t FROM documents),
+p AS (SELECT *, trim(substr(t, 1, length(t) // 2)) AS a, trim(substr(t, length(t) // 2 + 1)) AS b FROM d)
+SELECT CAST(doc_id AS VARCHAR) AS pmid, '10.1/' || doc_id AS doi, trim(substr(t, 1, 40)) AS title, trim(CASE WHEN a <> '' THEN 'BACKGROUND: ' || a ELSE '' END || CASE WHEN b <> '' THEN ' ' || b ELSE '' END) AS abstract, CASE WHEN doc_id % 2 = 0 THEN source || ' group' ELSE 'Last' || doc_id || ', F' END AS authors,
+  CAST(CASE doc_id % 3 WHEN 0 THEN 1990 + doc_id % 30 WHEN 1 THEN 1950 + doc_id % 40 ELSE 2001 END AS INT) AS year, lang AS mesh FROM p WHERE a <> '' OR b <> ''""")
+def _(spark, d):
+    """documents written as compressed bulk XML and read back by the data source; records without an abstract stay out."""
+    from ..sources import pubmed
+    from ..tables import new_folder, partitions, written
+
+    i = F.col("doc_id")
+    t = F.trim(F.regexp_replace("text", _PLAIN, " "))
+    half = F.floor(F.char_length(t) / 2).cast("int")
+    section = lambda label, text: F.struct(F.lit(label).cast("string").alias("_Label"), F.trim(text).alias("_VALUE"))
+    author = F.struct(F.when(i % 2 == 0, F.concat("source", F.lit(" group"))).alias("CollectiveName"), F.when(i % 2 == 1, F.concat(F.lit("Last"), i)).alias("LastName"), F.when(i % 2 == 1, F.lit("F")).alias("Initials"))
+    date = F.struct(F.when(i % 3 == 0, (1990 + i % 30).cast("string")).alias("Year"), F.when(i % 3 == 1, F.concat(F.lit("Spring "), 1950 + i % 40, F.lit("-51"))).alias("MedlineDate"))
+    article = F.struct(F.substring(t, 1, 40).alias("ArticleTitle"), F.struct(F.array(section("BACKGROUND", F.substring(t, F.lit(1), half)), section(None, F.substring(t, half + 1, F.char_length(t)))).alias("AbstractText")).alias("Abstract"), F.struct(F.array(author).alias("Author")).alias("AuthorList"), F.struct(F.struct(date.alias("PubDate")).alias("JournalIssue")).alias("Journal"))
+    citation = F.struct(i.cast("string").alias("PMID"), F.when(i % 3 == 2, F.struct(F.lit("2001").alias("Year"))).alias("DateRevised"), article.alias("Article"), F.struct(F.array(F.struct(F.col("lang").alias("DescriptorName"))).alias("MeshHeading")).alias("MeshHeadingList"))
+    ids = F.struct(F.struct(F.array(F.struct(F.lit("doi").alias("_IdType"), F.concat(F.lit("10.1/"), i).alias("_VALUE"))).alias("ArticleId")).alias("ArticleIdList"))
+    folder = new_folder(spark, "pubmed")
+    table(spark, d, "documents").where(i.isNotNull()).select(citation.alias("MedlineCitation"), ids.alias("PubmedData")).repartition(partitions(spark)).write.format("xml").option("rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").option("compression", "gzip").save(folder)
+    pubmed.register(spark)
+    rows = spark.read.format("pubmed_bulk").option("path", folder).load()
+    return written(rows.select("pmid", "doi", "title", "abstract", F.array_join("authors", "; ").alias("authors"), "year", F.array_join("mesh_terms", "; ").alias("mesh")), "pubmed-rows")

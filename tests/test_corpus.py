@@ -99,6 +99,25 @@ def test_pubmed_xml(spark, tmp_path):
     assert got == [(1, "7", "T", "A B", "J", 1999, "10.1/x"), (1, "8", "T", "A B", "J", 1999, "10.1/x")]
 
 
+def test_pubmed_bulk(spark, tmp_path):
+    """Compressed and plain files, labels, groups, fallbacks of dates, records without abstracts."""
+    import gzip
+
+    from evisynth.sources import pubmed
+
+    full = "<PubmedArticle><MedlineCitation><PMID>1</PMID><DateRevised><Year>2005</Year></DateRevised><Article><ArticleTitle>On <i>x</i></ArticleTitle><Abstract><AbstractText Label='AIM'>a</AbstractText><AbstractText NlmCategory='RESULTS'> b </AbstractText><AbstractText>c</AbstractText><AbstractText Label='NONE'/></Abstract><AuthorList><Author><LastName>L</LastName><ForeName>F</ForeName><Initials>I</Initials></Author><Author><CollectiveName>Group</CollectiveName></Author><Author><LastName>M</LastName><Initials>N</Initials></Author><Author/></AuthorList><Journal><Title>J</Title><ISOAbbreviation>Jj</ISOAbbreviation></Journal><PublicationTypeList><PublicationType>Review</PublicationType></PublicationTypeList></Article><MeshHeadingList><MeshHeading><DescriptorName>D</DescriptorName></MeshHeading></MeshHeadingList></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType='pmc'>PMC1</ArticleId><ArticleId IdType='DOI'>10.1/y</ArticleId></ArticleIdList></PubmedData></PubmedArticle>"
+    bare = "<PubmedArticle><MedlineCitation><PMID>2</PMID><Article><ArticleTitle>T</ArticleTitle></Article></MedlineCitation></PubmedArticle>"
+    (tmp_path / "a.xml.gz").write_bytes(gzip.compress(f"<S>{full}{bare}</S>".encode()))
+    (tmp_path / "b.xml").write_text(f"<S>{ARTICLE}</S>")
+    (tmp_path / "c.txt").write_text("no records")
+    pubmed.register(spark)
+    read = lambda **o: {r["pmid"]: r for r in spark.read.format("pubmed_bulk").options(path=str(tmp_path), **o).load().collect()}
+    got = read()
+    assert set(got) == {"1", "7"} and set(read(includeNoAbstract="true")) == {"1", "2", "7"}
+    assert tuple(got["1"]) == ("1", "PMC1", "10.1/y", "On x", "AIM: a RESULTS: b c", ["L, F", "Group", "M, N"], 2005, "J", "Jj", ["Review"], ["D"], "PubMed", "a.xml.gz")
+    assert (got["7"]["year"], got["7"]["abstract"], got["7"]["doi"]) == (1999, "A B", "10.1/x")
+
+
 def test_bibtex_escapes(spark):
     r = spark.range(1).select(B.bibtex(F.lit("k1"), F.lit("a & b_c"), F.lit(2001), F.lit("J")).alias("x")).head()["x"]
     assert r.startswith("@article{k1,\n") and "a \\& b\\_c" in r and re.search(r"year = \{2001\}", r)
