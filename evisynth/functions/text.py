@@ -186,3 +186,15 @@ def quote_check(quote: Column, text: Column) -> tuple[Column, Column]:
     partial = F.concat(F.lit("partial_match ("), some.cast("string"), F.lit("/"), F.size(F.filter(F.split(normal(quote), " "), lambda w: w != "")).cast("string"), F.lit(" words)"))
     reason = F.when(F.coalesce(F.trim(quote), F.lit("")) == "", "empty").when(exact > 0, "exact").when(low > 0, "case_insensitive").when(loose, "whitespace_normalized").when(some.isNotNull(), partial).otherwise("not_found")
     return reason, F.when(reason == "exact", exact - 1).when(reason == "case_insensitive", low - 1).otherwise(-1)
+
+
+def embedding_text(title: Column, abstract: Column, findings: Column, mechanisms: Column, claimed_findings: Column | None = None, claimed_mechanisms: Column | None = None) -> Column:
+    """What of a paper is embedded: title, abstract, findings and mechanisms with single blanks between them, empty and null parts left out; a paper's own lists go before those of its claims, which stand in where they are empty or null."""
+    none = F.array().cast("array<string>")
+
+    def listed(own: Column, claimed: Column | None) -> Column:
+        own, claimed = F.coalesce(own, none), F.coalesce(claimed, none) if claimed is not None else none
+        return F.when(F.size(own) > 0, own).otherwise(claimed)
+
+    parts = F.concat(F.array(title, abstract), listed(findings, claimed_findings), listed(mechanisms, claimed_mechanisms))
+    return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), " ")

@@ -49,6 +49,35 @@ def alignment(links: DataFrame) -> DataFrame:
     return rows.withColumns({"neutral": F.col("evidence_count") - F.col("supporting") - F.col("contradicting"), "support_score": (F.col("supporting") - F.col("contradicting")) / F.col("evidence_count")})
 
 
+#: What is said about a body of evidence, and when.
+CAVEATS = {
+    "none": "No papers were available for deterministic provenance.",
+    "against": "%d paper(s) were marked as contradicting or directionally opposed.",
+    "weak": "Neutral or weakly directional evidence outnumbers direct support.",
+    "methods": "Method validation output was not available for study-design weighting.",
+    "grades": "GRADE output was not available when this explanation was generated.",
+}
+
+
+def cluster_support(papers: DataFrame) -> DataFrame:
+    """Per cluster: paper_count, avg_score (three places), supporting, contradicting and neutral of papers (cluster, direction, score); a score or direction that is null counts as 0 and as neutral."""
+    n = lambda way: F.count_if(F.col("direction") == way)
+    rows = papers.groupBy("cluster").agg(F.count("*").alias("paper_count"), F.round(F.avg(F.coalesce("score", F.lit(0.0))), 3).alias("avg_score"), n("supports").alias("supporting"), n("contradicts").alias("contradicting"))
+    return rows.withColumn("neutral", F.col("paper_count") - F.col("supporting") - F.col("contradicting"))
+
+
+def caveats(clusters: DataFrame, methods: DataFrame | None = None, grades: DataFrame | None = None) -> DataFrame:
+    """One row over what `cluster_support` gives: total_papers, cluster_count, supporting, contradicting, neutral, caveats (an array, in the order of CAVEATS). methods and grades count as there if they have a row."""
+    total = clusters.agg(F.coalesce(F.sum("paper_count"), F.lit(0)).alias("total_papers"), F.count("*").alias("cluster_count"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("supporting", "contradicting", "neutral")))
+    lacks = {name: df is None or df.isEmpty() for name, df in (("methods", methods), ("grades", grades))}
+    when = {
+        "none": F.when(F.col("total_papers") == 0, CAVEATS["none"]),
+        "against": F.when(F.col("contradicting") > 0, F.format_string(CAVEATS["against"], "contradicting")),
+        "weak": F.when((F.col("supporting") > 0) & (F.col("neutral") > F.col("supporting")), CAVEATS["weak"]),
+    } | {name: F.when(F.lit(lack), CAVEATS[name]) for name, lack in lacks.items()}
+    return total.withColumn("caveats", F.array_compact(F.array(*when.values())))
+
+
 def top_evidence(links: DataFrame, way: str, k: int) -> DataFrame:
     """The k most relevant links of a direction for each component, ties by order of input."""
     place = F.row_number().over(Window.partitionBy("component_id").orderBy(F.desc("relevance"), "ord"))

@@ -56,6 +56,29 @@ def _(spark, d):
     return S.alignment(links(spark, d)).select("component_id", "evidence_count", "supporting", "contradicting", "neutral", *six("support_score", "confidence"))
 
 
+@R.query("a27_cluster_support", f"WITH {LINKS} SELECT component_id AS cluster, count(*) AS paper_count, round(avg(relevance), 3) AS avg_score, count(*) FILTER (direction = 'supports') AS supporting, count(*) FILTER (direction = 'contradicts') AS contradicting, count(*) FILTER (direction NOT IN ('supports', 'contradicts')) AS neutral FROM links GROUP BY 1")
+def _(spark, d):
+    return S.cluster_support(links(spark, d).select(F.col("component_id").alias("cluster"), "direction", F.col("relevance").alias("score")))
+
+
+@R.query("a27_caveats", f"""WITH {LINKS}, c AS (SELECT count(*) AS total_papers, count(DISTINCT component_id) AS cluster_count, count(*) FILTER (direction = 'supports') AS supporting, count(*) FILTER (direction = 'contradicts') AS contradicting, count(*) FILTER (direction NOT IN ('supports', 'contradicts')) AS neutral FROM links)
+SELECT *, CASE WHEN total_papers = 0 THEN '{S.CAVEATS["none"]}|' ELSE '' END || CASE WHEN contradicting > 0 THEN contradicting || ' paper(s) were marked as contradicting or directionally opposed.|' ELSE '' END || CASE WHEN supporting > 0 AND neutral > supporting THEN '{S.CAVEATS["weak"]}|' ELSE '' END || '{S.CAVEATS["grades"]}' AS caveats FROM c""")
+def _(spark, d):
+    """Clusters are the components, designs of the papers are there, grades are not."""
+    rows = links(spark, d).select(F.col("component_id").alias("cluster"), "direction", F.col("relevance").alias("score"))
+    found = S.caveats(S.cluster_support(rows), methods=papers(spark, d).select(T.design(F.col("abstract"))[0].alias("design")))
+    return found.withColumn("caveats", F.array_join("caveats", "|"))
+
+
+@R.query("z08_embedding_text", f"""WITH {PAPERS}, w AS (SELECT ord, title, abstract, list_filter(string_split(title, ' '), lambda x: length(x) > 6) AS own, ['claimed ' || source] AS claimed, list_filter(string_split(source, '-'), lambda x: x <> '') AS mechanisms FROM papers)
+SELECT ord, md5(array_to_string(list_filter(list_concat([title, abstract], CASE WHEN len(own) > 0 THEN own ELSE claimed END, mechanisms), lambda x: x IS NOT NULL AND x <> ''), ' ')) AS digest FROM w""")
+def _(spark, d):
+    """Long words of the title are a paper's findings; where it has none, its claim's are."""
+    findings = F.filter(F.split("title", " "), lambda x: F.char_length(x) > 6)
+    text = T.embedding_text(F.col("title"), F.col("abstract"), findings, F.split("source", "-"), F.array(F.concat(F.lit("claimed "), "source")))
+    return papers(spark, d).select("ord", F.md5(text).alias("digest"))
+
+
 @R.query("a07_w01_trends", f"""WITH {LINKS}, y AS (SELECT component_id, year, count(*) AS article_count, avg(relevance) AS avg_score, sum(citations) AS c FROM links WHERE year > 1900 GROUP BY ALL)
 SELECT component_id, year, article_count, round(avg_score, 6) AS avg_score, CAST(sum(c) OVER (PARTITION BY component_id ORDER BY year ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative_citations FROM y""")
 def _(spark, d):
