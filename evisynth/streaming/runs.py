@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def source(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def additive(stream: DataFrame, key: str, order: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends to the table at `out` the records whose key it does not hold; of a batch's equal keys the first by order. A batch that is run again adds nothing."""
+def firsts(stream: DataFrame, key: str, order: str) -> DataFrame:
+    """Of a stream's records those whose key no earlier batch has had, of a batch's equal keys the first by order. A key that is null is a key too.
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-        fresh = batch.withColumn("_rn", place).where("_rn = 1").drop("_rn")
-        try:
-            fresh = fresh.join(spark.read.parquet(out).select(key), key, "left_anti")
-        except Exception as e:  # the table begins with the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(out)
+    What has been seen is keyed state, dealt out over tasks and kept with the checkpoint, so no batch reads the table."""
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def first(_, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            for _ in rows:
+                pass
+            return
+        best = None
+        for some in rows:
+            some = some.sort_values(order, kind="stable").iloc[:1]
+            best = some if best is None or some[order].iloc[0] < best[order].iloc[0] else best
+        if best is not None:
+            state.update((True,))
+            yield best
+
+    return stream.groupBy(key).applyInPandasWithState(first, stream.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def additive(stream: DataFrame, key: str, order: str, out: str, checkpoint: str, keep: Column | None = None) -> StreamingQuery:
+    """Appends to the table at `out` the records that hold `keep` (such as having an abstract) and whose key it does not hold.
+
+    The table's files are committed with the checkpoint: a query that is stopped or lost goes on behind its last whole batch, and a batch that is run again adds nothing twice."""
+    rows = stream if keep is None else stream.where(keep)
+    return firsts(rows, key, order).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(stream: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
