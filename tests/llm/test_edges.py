@@ -24,8 +24,8 @@ def folder(request, spark, tmp_path_factory):
 def test_edges(spark, folder, name):
     kind, d = folder
     if name == "pipeline":
-        found = pytest.importorskip("corpus_pipeline").run(spark, d).count()
-        assert found == 0 if kind == "empty" else found >= 0
+        # every edge-case text is short or repeats itself, so the first stage keeps none; stages on kept rows: test_pipeline.py
+        assert pytest.importorskip("corpus_pipeline").run(spark, d).count() == 0
         return
     found = QUERIES[name](spark, d).count()
     want = 0 if kind == "empty" else 4 if name.startswith("op5_") else len(EDGE) + 1
