@@ -17,6 +17,7 @@ def folder(request, spark, tmp_path_factory):
     n = 0 if request.param == "empty" else None
     spark.createDataFrame([*rows, rows[5]][:n], SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(pages[:n], PAGES).write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([*enumerate(EDGE)][:n], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return request.param, str(d)
 
 
