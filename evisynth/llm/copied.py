@@ -63,6 +63,25 @@ def packs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(gather, "pack bigint, ids array<bigint>, ends array<bigint>, blob binary")
 
 
+def _window_hashes(text: np.ndarray, least: int) -> np.ndarray:
+    """The least hash of the pieces of each window of `least` bytes, along the last axis."""
+    piece = 1 << (least // 3).bit_length() - 1
+    hashes, width = text.astype(np.uint64), 1
+    while width < piece:
+        hashes = hashes[..., :-width] * np.uint64(pow(_ODD, width, 1 << 64)) + hashes[..., width:]
+        width *= 2
+    hashes ^= hashes >> np.uint64(31)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    hashes ^= hashes >> np.uint64(29)
+    window, width = least - piece + 1, 1
+    while 2 * width <= window:
+        hashes = np.minimum(hashes[..., :-width], hashes[..., width:])
+        width *= 2
+    if width < window:
+        hashes = np.minimum(hashes[..., : width - window], hashes[..., window - width :])
+    return hashes
+
+
 class Pack:
     """A pack's row, opened: ids (with present: whether there is one), ends and text, and its segments."""
 
@@ -91,20 +110,7 @@ class Pack:
         none = np.zeros(0, np.int64)
         if end - begin < least:
             return none.astype(np.uint64), none, none, none
-        piece = 1 << (least // 3).bit_length() - 1
-        hashes, width = np.frombuffer(self.text, np.uint8, end - begin, begin).astype(np.uint64), 1
-        while width < piece:
-            hashes = hashes[:-width] * np.uint64(pow(_ODD, width, 1 << 64)) + hashes[width:]
-            width *= 2
-        hashes ^= hashes >> np.uint64(31)
-        hashes *= np.uint64(0xBF58476D1CE4E5B9)
-        hashes ^= hashes >> np.uint64(29)
-        window, width = least - piece + 1, 1
-        while 2 * width <= window:
-            hashes = np.minimum(hashes[:-width], hashes[width:])
-            width *= 2
-        if width < window:
-            hashes = np.minimum(hashes[: width - window], hashes[window - width :])
+        hashes = _window_hashes(np.frombuffer(self.text, np.uint8, end - begin, begin), least)
         ends = self.ends[first:last] - begin
         starts = np.concatenate([[0], ends[:-1]])
         inside = np.zeros(len(hashes) + 1, np.int64)  # windows that lie within a document that has an id
@@ -230,12 +236,55 @@ def cut_segments(packed: DataFrame, bits: DataFrame, least: int, parts: int, sha
     return packed.groupBy("pack").cogroup(bits.groupBy("pack")).applyInArrow(cut, "pack bigint, shard bigint, payload binary")
 
 
+def _met(segments: list[bytes], least: int) -> np.ndarray:
+    """Which of different segments have a hash that another one has too; all windows of a segment have the hash of its first."""
+    found, step = [], max(1, SLICE_BYTES // least)
+    for begin in range(0, len(segments), step):
+        some = b"".join([s[:least] for s in segments[begin : begin + step]])
+        found.append(_window_hashes(np.frombuffer(some, np.uint8).reshape(-1, least), least)[:, 0])
+    _, where, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    return count[where] > 1
+
+
+def _firsts(text: bytes, sizes: np.ndarray, first: np.ndarray, least: int, folder: str) -> tuple[np.ndarray, ...]:
+    """Segment, offset, windows and first id of the runs of windows of segments, joined in text, with one first id; first: each segment's own."""
+    with Scratch(folder) as scratch:
+        # segments end with a symbol of their own kind, the text with the least one
+        whole = scratch.array(len(text) + len(sizes) + 1, np.uint16)
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+        owner, at = _ranges(starts, sizes)
+        whole[at] = np.frombuffer(text, np.uint8)
+        whole[at] += 2
+        whole[starts + sizes] = 1
+        del text
+        window = at - starts[owner] + least <= sizes[owner]
+        place, owner = at[window], owner[window]  # where windows begin, in order
+        del at, window
+        earliest = scratch.array(len(whole), np.int64)
+        earliest[place] = first[owner]
+        late = np.zeros(0, np.int64)  # the class that the last block has left open
+        for positions, shared in suffix_order(scratch, whole, 257, least):
+            positions = np.concatenate([late, positions.astype(np.int64)])
+            new = np.concatenate([np.arange(len(late)) == 0, shared < least])
+            heads = np.flatnonzero(new)
+            size = np.diff(np.append(heads, len(positions)))
+            late = positions[heads[-1] :]
+            many = np.flatnonzero(size[:-1] > 1)
+            _settle(earliest, positions, heads[many], size[many])
+        if len(late) > 1:
+            _settle(earliest, late, np.zeros(1, np.int64), np.array([len(late)]))
+        value = earliest[place]
+        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])])
+        heads = np.flatnonzero(new)
+        return owner[heads], place[heads] - starts[owner[heads]], np.diff(np.append(heads, len(place))), value[heads]
+
+
 def first_documents(cut: DataFrame, least: int, folder: str) -> DataFrame:
     """For each pack and shard: runs of windows of the pack's segments that a document with a smaller id than the greatest one of the segment in the pack has (segment, offset, windows, first id). Rows of negative shards pass, so that segments are dealt out once and never written."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        text, lows, members = bytearray(), [], []
+        lows, members = [], []
         for batch in batches:
             if batch.num_rows and batch.column(1)[0].as_py() < 0:
                 yield batch
@@ -243,54 +292,30 @@ def first_documents(cut: DataFrame, least: int, folder: str) -> DataFrame:
             for pack, shard, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 number, size, low, high, tail = _opened(payload, np.int32, np.int32, np.int64, np.int64)
                 ends = np.cumsum(size.astype(np.int64))
-                mine = np.empty(len(number), np.int64)
-                for i, (a, b) in enumerate(zip((ends - size).tolist(), ends.tolist(), strict=True)):
-                    some = tail[a:b]
-                    found = known.get(some)
-                    if found is None:
-                        found = known[some] = len(known)
-                        text += some
-                    mine[i] = found
+                mine = np.array([known.setdefault(tail[a:b], len(known)) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)], np.int64)
                 lows.append((mine, low))
                 members.append((pack, shard, number, mine, high))
         if not members:
             return
-        sizes = np.array([len(s) for s in known], np.int64)
+        segments = list(known)
         known.clear()
+        sizes = np.array([len(s) for s in segments], np.int64)
         first = np.full(len(sizes), np.iinfo(np.int64).max)
         for mine, low in lows:
             np.minimum.at(first, mine, low)
         del lows
-        with Scratch(folder) as scratch:
-            # segments end with a symbol of their own kind, the text with the least one
-            whole = scratch.array(len(text) + len(sizes) + 1, np.uint16)
-            starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-            owner, at = _ranges(starts, sizes)
-            whole[at] = np.frombuffer(text, np.uint8)
-            whole[at] += 2
-            whole[starts + sizes] = 1
-            del text
-            window = at - starts[owner] + least <= sizes[owner]
-            place, owner = at[window], owner[window]  # where windows begin, in order
-            del at, window
-            earliest = scratch.array(len(whole), np.int64)
-            earliest[place] = first[owner]
-            late = np.zeros(0, np.int64)  # the class that the last block has left open
-            for positions, shared in suffix_order(scratch, whole, 257, least):
-                positions = np.concatenate([late, positions.astype(np.int64)])
-                new = np.concatenate([np.arange(len(late)) == 0, shared < least])
-                heads = np.flatnonzero(new)
-                size = np.diff(np.append(heads, len(positions)))
-                late = positions[heads[-1] :]
-                many = np.flatnonzero(size[:-1] > 1)
-                _settle(earliest, positions, heads[many], size[many])
-            if len(late) > 1:
-                _settle(earliest, late, np.zeros(1, np.int64), np.array([len(late)]))
-            value = earliest[place]
-            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])])
-            heads = np.flatnonzero(new)
-            count = np.diff(np.append(heads, len(place)))
-            of, value, offset = owner[heads], value[heads], place[heads] - starts[owner[heads]]
+        # a segment alone with its hash shares no window with another one, so its first document is that of all its windows
+        met = _met(segments, least)
+        alone, met = np.flatnonzero(~met), np.flatnonzero(met)
+        text = b"".join([segments[i] for i in met.tolist()])
+        del segments
+        runs = [(alone, np.zeros(len(alone), np.int64), sizes[alone] - least + 1, first[alone])]
+        if len(met):
+            of, offset, count, value = _firsts(text, sizes[met], first[met], least, folder)
+            runs.append((met[of], offset, count, value))
+        of, offset, count, value = (np.concatenate(c) for c in zip(*runs, strict=True))
+        order = np.argsort(of, kind="stable")
+        of, offset, count, value = of[order], offset[order], count[order], value[order]
         edges = np.searchsorted(of, np.arange(len(sizes) + 1))
         for pack, shard, number, mine, high in members:
             who, run = _ranges(edges[mine], edges[mine + 1] - edges[mine])

@@ -225,11 +225,19 @@ class Sequence:
 def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """How many symbols the suffixes at a and b share, up to most."""
     out = np.zeros(len(a), np.int64)
-    active = np.flatnonzero(most > 0)
+    active, n = np.flatnonzero(most > 0), 0
+    here, there, limit = a[active].astype(np.int64), b[active].astype(np.int64), most[active]
     while len(active):
-        active = active[text[a[active] + out[active]] == text[b[active] + out[active]]]
-        out[active] += 1
-        active = active[out[active] < most[active]]
+        same = text[here] == text[there]
+        n += 1
+        over = ~same | (limit <= n)
+        ended = np.flatnonzero(over)
+        if len(ended):
+            out[active[ended]] = n - 1 + same[ended]
+            going = np.flatnonzero(~over)
+            active, here, there, limit = active[going], here[going], there[going], limit[going]
+        here += 1
+        there += 1
     return out
 
 
@@ -322,10 +330,10 @@ def _seed_places(scratch: Scratch, text: np.ndarray) -> np.ndarray:
     later = False  # the type of the suffix behind the block: the end counts as S, what stands before it is L
     for end in range(n - 1, 0, -size):
         begin = max(0, end - size)
-        here = text[begin : end + 1].astype(np.int64)
-        step = np.sign(here[1:] - here[:-1])  # rising: S, falling: L, equal: like the next
-        known = np.flatnonzero(np.append(step, 1 if later else -1))
-        kind = np.append(step, 1 if later else -1)[known[np.searchsorted(known, np.arange(len(step)))]] > 0
+        here = text[begin : end + 1]
+        known = np.flatnonzero(np.append(here[1:] != here[:-1], True))
+        # rising: S, falling: L, equal: like the next
+        kind = np.repeat(np.append(here[1:] > here[:-1], later)[known], np.diff(known, prepend=-1))[:-1]
         ahead = np.append(kind, later if end < n - 1 else True)
         found.append(np.flatnonzero(~ahead[:-1] & ahead[1:]) + begin + 1)
         later = bool(kind[0])

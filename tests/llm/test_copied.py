@@ -81,3 +81,29 @@ def test_edges(spark):
     assert got(df.repartition(3)) == expected(plain)
     assert copied.without_copied(df.limit(0)).count() == 0
     assert copied.without_copied(df.where("doc_id = 3 OR text IS NULL")).count() == 1
+
+
+def test_segments_alone_with_their_hash_are_not_sorted(spark, tmp_path, monkeypatch):
+    """Copies of whole texts are one segment each and settle without an order; edges of passages in different texts need it."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    whole, passages = [text(600) for _ in range(20)], [text(200) for _ in range(10)]
+    rows = [(i + 100 * k, t) for i, t in enumerate(whole) for k in (0, 1)]
+    rows += [(1000 + i + 100 * k, text(150) + p + text(150)) for i, p in enumerate(passages) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == expected(rows)
+    packed = copied.packs(df.coalesce(1)).cache()
+    cut = copied.cut_segments(packed, copied.shared_hashes(packed, 50, 1), 50, 1, 1).where("shard = 0").toArrow()
+    sizes = [copied._opened(p, np.int32, np.int32, np.int64, np.int64)[1].sum() for p in cut["payload"].to_pylist()]
+    found = []
+    monkeypatch.setattr(copied, "suffix_order", lambda scratch, text, *more: found.append(len(text)) or suffixes.suffix_order(scratch, text, *more))
+
+    class Cut:
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, sort, _):
+            return sort
+
+    assert list(copied.first_documents(Cut(), 50, str(tmp_path))(iter(cut.to_batches())))
+    assert 0 < sum(found) < sum(sizes) / 4
