@@ -176,7 +176,7 @@ p AS (SELECT ord, CASE WHEN trim(quote) = '' THEN 'empty' WHEN strpos(abstract,
 SELECT ord, reason, CAST(CASE reason WHEN 'exact' THEN e WHEN 'case_insensitive' THEN l ELSE -1 END AS INT) AS start FROM p""")
 def _(spark, d):
     i = F.col("ord") % 4
-    quote = F.when(i == 0, F.substring("abstract", 5, 30)).when(i == 1, F.upper(F.substring("abstract", 3, 12))).when(i == 2, F.replace(F.substring("abstract", 1, 25), F.lit(" "), F.lit("  "))).otherwise("zzzz not there")
+    quote = F.when(i == 0, F.substring("abstract", 5, 30)).when(i == 1, T.upper(F.substring("abstract", 3, 12))).when(i == 2, F.replace(F.substring("abstract", 1, 25), F.lit(" "), F.lit("  "))).otherwise("zzzz not there")
     rows = papers(spark, d).withColumn("quote", quote)
     reason, start = T.quote_check(F.col("quote"), F.col("abstract"))
     return rows.withColumn("reason", reason).select("ord", "reason", start.alias("start"))
