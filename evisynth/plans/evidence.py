@@ -9,7 +9,7 @@ from ..operators import extract as X
 from ..operators import resample as B
 from ..operators import topics as P
 from ..streaming import runs as V
-from ..tables import new_folder
+from ..tables import in_ranges, new_folder, partitions
 from .registry import CLAIMS, Registry, claims, papers, table
 
 R = Registry()
@@ -248,13 +248,21 @@ def _(spark, d):
     return P.platt(r, "score", "quality")
 
 
+#: Parts in which documents arrive.
+ARRIVALS = 4
+
+
 @R.query("v01_additive_corpus", "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
 def _(spark, d):
-    """Documents arrive as a stream; the table keeps the first of each source."""
+    """Documents arrive in order of their ids, in ARRIVALS parts; the table keeps the first of each source. The stream is resumed for each part, which is one batch: its files have no order."""
     base = new_folder(spark, "stream")
     docs = table(spark, d, "documents").select("doc_id", "source")
-    docs.write.parquet(f"{base}/in")
-    V.additive(V.source(spark, f"{base}/in", docs), "source", "doc_id", f"{base}/out", f"{base}/state").awaitTermination()
+    rows = in_ranges(docs, [F.col("doc_id").asc_nulls_last()])
+    for i in range(ARRIVALS):
+        n = partitions(spark, spark.sparkContext.defaultParallelism)
+        part = rows.where(F.floor(F.col("_range") * ARRIVALS / n) == i)
+        part.select("doc_id", "source").write.mode("append").parquet(f"{base}/in")
+        V.additive(V.source(spark, f"{base}/in", docs, files_per_batch=2**31 - 1), "source", "doc_id", f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.schema(docs.schema).parquet(f"{base}/out").select("source", "doc_id")
 
 

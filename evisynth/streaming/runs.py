@@ -16,7 +16,7 @@ def source(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int
 
 
 def firsts(stream: DataFrame, key: str, order: str) -> DataFrame:
-    """Of a stream's records those whose key no earlier batch has had, of a batch's equal keys the first by order. A key that is null is a key too.
+    """Of a stream's records those whose key no earlier batch has had, of a batch's equal keys the first by order, nulls last. A key that is null is a key too.
 
     What has been seen is keyed state, dealt out over tasks and kept with the checkpoint, so no batch reads the table."""
 
@@ -28,7 +28,7 @@ def firsts(stream: DataFrame, key: str, order: str) -> DataFrame:
         best = None
         for some in rows:
             some = some.sort_values(order, kind="stable").iloc[:1]
-            best = some if best is None or some[order].iloc[0] < best[order].iloc[0] else best
+            best = some if best is None or pd.isna(best[order].iloc[0]) or some[order].iloc[0] < best[order].iloc[0] else best
         if best is not None:
             state.update((True,))
             yield best
