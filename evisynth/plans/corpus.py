@@ -219,9 +219,9 @@ def _(spark, d):
 
 @R.query("w07_s21_citation_keys", "WITH k AS (SELECT c_custkey, lower(c_mktsegment) || c_nationkey AS base FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY c_custkey) AS rn FROM k) SELECT c_custkey, CASE WHEN rn = 1 THEN base ELSE base || chr(CAST(96 + rn AS INT)) END AS cite_key FROM r")
 def _(spark, d):
-    """The first keeps the key, the second gets "b"."""
+    """The first keeps the key, the second gets "b", and so on through the code points, however many there are."""
     k = table(spark, d, "customer").select("c_custkey", F.concat(F.lower("c_mktsegment"), "c_nationkey").alias("base"))
-    return ranked_in_groups(k, ["base"], [F.col("c_custkey")]).withColumn("rn", (F.col("rank") + 1).cast("int")).select("c_custkey", F.when(F.col("rn") == 1, F.col("base")).otherwise(F.concat("base", F.char(96 + F.col("rn")))).alias("cite_key"))
+    return ranked_in_groups(k, ["base"], [F.col("c_custkey")]).withColumn("rn", (F.col("rank") + 1).cast("int")).select("c_custkey", F.when(F.col("rn") == 1, F.col("base")).otherwise(F.concat("base", T.letter(96 + F.col("rn")))).alias("cite_key"))
 
 
 @R.query("s22_ris_records", f"WITH {PAPERS} SELECT ord, md5('TY  - JOUR' || chr(10) || 'TI  - ' || title || chr(10) || 'PY  - ' || year || chr(10) || 'JO  - ' || source || chr(10) || 'ER  - ') AS ris FROM papers")

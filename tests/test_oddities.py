@@ -28,7 +28,7 @@ def odd(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["j01_evidence_links", "a06_alignment", "a27_caveats", "a27_cluster_support", "f22_quote_spans", "v01_additive_corpus"])
+@pytest.mark.parametrize("name", ["j01_evidence_links", "a06_alignment", "a27_caveats", "a27_cluster_support", "f22_quote_spans", "v01_additive_corpus", "w07_s21_citation_keys"])
 def test_as_sql(spark, odd, name):
     got = entry.queries()[name](spark, odd).toPandas()
     con = duckdb.connect()
