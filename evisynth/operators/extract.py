@@ -1,13 +1,22 @@
 """Statistical results in text: test statistics, p-values, intervals, effects, samples; report numbers; coordinates.
 
-Everything is regexp functions over whole texts. Where a match's place counts (statistics that must not be read twice,
-the p-value next to a statistic), places follow from splitting the text at its matches.
+Most is regexp functions over whole texts. Where a match's place counts (statistics that must not be read twice,
+the p-value next to a statistic), places follow from splitting the text at its matches. Results with all that is around
+them are read text by text in Arrow batches, with the same expressions.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..tables import partitions
 
 #: A number with optional sign and blanks around its point, and what it stands in. Group 1 is the statistic,
 #: the group named first where there are degrees of freedom.
@@ -216,37 +225,194 @@ def test_statistics(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.select(id_col, "t.test", number(F.col("t.stat")).alias("statistic"), "t.start", "t.end")
 
 
-def results(blocks: DataFrame, id_col: str, text: str) -> DataFrame:
+#: Columns that a result has besides its block's id.
+RESULT = "test string, raw string, statistic double, df1 double, df2 double, start int, end int, p_values array<struct<operator:string,value:double>>, confidence_intervals array<struct<level:int,lower:double,upper:double>>, effect_sizes array<struct<type:string,value:double>>, sample_sizes array<struct<n:int,label:string>>, comparisons array<string>, context string, missing_fields array<string>, needs_review boolean"
+#: Words before an equals sign with which tests and effects end; with a bracket, words before brackets that are before it.
+_TEST_WORDS = [{"t("}, {"f("}, {"square(", "2(", "²("}, {"z"}, {"r", "rho", "rs"}, {"beta", "b", "coef", "coefficient"}, {"d", "g"}, {"or", "rr", "hr"}]
+_EFFECT_WORDS = [{"d", "g"}, {"or", "rr", "hr"}, {"r", "rho", "rs"}]
+_TESTS = [(name, re.compile(pattern.replace("(?<", "(?P<")), words) for (name, pattern), words in zip(TESTS, _TEST_WORDS, strict=True)]
+_EFFECTS = [(re.compile(pattern), words) for pattern, words in zip(EFFECTS, _EFFECT_WORDS, strict=True)]
+_SIGN = re.compile(r"[<>=]")
+_P_VALUE, _INTERVAL, _SAMPLE, _N_EQUALS, _COMPARISON = map(re.compile, (P_VALUE, INTERVAL, SAMPLE, N_EQUALS, COMPARISON))
+_VERSUS = re.compile(r"(?i)(?<=\s)(?:vs\.?|versus|compared with|compared to)(?=\s)")
+_CUT = re.compile(r"\s*\.(?:\s*$|\s+(?:$|\D))")
+_BLANKS = re.compile(r"\s+")
+
+
+def _read_number(raw: str | None) -> float | None:
+    try:
+        return float(_BLANKS.sub("", raw or "").replace("−", "-"))
+    except ValueError:
+        return None
+
+
+def _signs(text: str) -> list[tuple[int, str]]:
+    """(start, word) of the word in folded case that is before each equals sign or comparison, or before the brackets that are; that of brackets ends in a bracket."""
+    out = []
+    for m in _SIGN.finditer(text):
+        end, bracket = m.start(), ""
+        while end and text[end - 1].isspace():
+            end -= 1
+        if end and text[end - 1] == ")":
+            end, bracket = max(0, text.rfind("(", 0, end)), "("
+            while end and text[end - 1].isspace():
+                end -= 1
+        at = end
+        while at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+            at -= 1
+        if at < end:
+            out.append((at, text[at:end].casefold() + bracket))
+    return out
+
+
+def _matches_at(pattern: re.Pattern, text: str, words: set[str], signs: list[tuple[int, str]]) -> list[re.Match]:
+    """The matches of a pattern that begins with one of `words`, looked for where one is; or all over the text if a match may begin before its word."""
+    if "2(" in words:
+        return list(pattern.finditer(text)) if any(w.endswith(tuple(words)) for _, w in signs) else []
+    at = [i for i, w in signs if w in words]
+    if at and "d" in words and "ohen" in text.lower():
+        return list(pattern.finditer(text))
+    return [m for i in at if (m := pattern.match(text, i))]
+
+
+def _is_cut(text: str, end: int, digits: str) -> bool:
+    return "." not in digits and _CUT.match(text, end) is not None
+
+
+def _read_tests(text: str, signs: list[tuple[int, str]]) -> list[tuple[str, re.Match]]:
+    found = []
+    for name, pattern, words in _TESTS if signs else ():
+        for m in _matches_at(pattern, text, words, signs):
+            start, end = m.span()
+            if not _is_cut(text, end, m["stat"]) and not any(max(start, t.start()) < min(end, t.end()) for _, t in found):
+                found.append((name, m))
+    return found
+
+
+def _read_p_values(text: str, signs: list[tuple[int, str]]) -> list[tuple[int, int, dict]]:
+    rows = [(*m.span(), {"operator": m[1], "value": _read_number(m[2])}) for m in _matches_at(_P_VALUE, text, {"p"}, signs) if not _is_cut(text, m.end(), m[2])]
+    return [r for r in rows if r[2]["value"] is not None and 0 <= r[2]["value"] <= 1]
+
+
+def _read_nearest(found: list[tuple[int, int, dict]], start: int, end: int) -> list[dict]:
+    gap = lambda s, e: 0 if s <= end and start <= e else min(abs(s - end), abs(start - e))
+    ordered = sorted(((gap(s, e), i, row) for i, (s, e, row) in enumerate(found)), key=lambda x: x[:2])
+    return [row for i, (far, _, row) in enumerate(ordered) if far <= NEAR or i == 0]
+
+
+def _read_intervals(text: str) -> list[dict]:
+    rows = [{"level": int(m[1]), "lower": _read_number(m[2]), "upper": _read_number(m[3])} for m in _INTERVAL.finditer(text)]
+    return [r for r in rows if r["lower"] is not None and r["upper"] is not None and r["lower"] < r["upper"]]
+
+
+def _read_effects(text: str, signs: list[tuple[int, str]]) -> list[dict]:
+    seen: dict[tuple[str, float], None] = {}
+    for pattern, words in _EFFECTS:
+        for m in _matches_at(pattern, text, words, signs):
+            value = _read_number(m[2])
+            if value is not None:
+                seen.setdefault((m[1].lower(), value))
+    return [{"type": t, "value": v} for t, v in seen]
+
+
+def _read_subjects(text: str, signs: list[tuple[int, str]]) -> list[dict]:
+    named = [(int(m[1]), m[2].lower()) for m in _SAMPLE.finditer(text)] + [(int(m[1]), "sample") for m in _matches_at(_N_EQUALS, text, {"n"}, signs)]
+    return [{"n": n, "label": label} for n, label in dict.fromkeys(named) if 2 <= n <= 999_999 and not 1900 <= n <= 2099]
+
+
+def _read_comparisons(text: str) -> list[str]:
+    """The first three; a match is looked for from 41 characters before the blanks before the next word that compares, as its first side has no more."""
+    out, at, word = [], 0, _VERSUS.search(text)
+    while word and len(out) < 3:
+        before = len(text[: word.start()].rstrip())
+        if (m := _COMPARISON.search(text, max(at, before - 41))) is None:
+            break
+        value = f"{m[1].strip(' ')} vs {m[2].strip(' ')}"
+        if len(value) <= 100:
+            out.append(value)
+        at = m.end()
+        word = _VERSUS.search(text, at)
+    return out
+
+
+def _read_results(text: str, around: bool = True) -> Iterator[dict]:
+    """Rows of RESULT of a text; without `around`, only what the statistic itself and its p-values are."""
+    signs = _signs(text)
+    tests = _read_tests(text, signs)
+    known: dict[str, tuple] = {}
+
+    def local(of: str) -> tuple:
+        if of not in known:
+            near = signs if of == text else _signs(of)
+            known[of] = (_read_intervals(of), _read_effects(of, near), _read_subjects(of, near), _read_comparisons(of))
+        return known[of]
+
+    p_values = _read_p_values(text, signs) if tests else []
+    for name, m in tests:
+        groups, (start, end) = m.groupdict(), m.span()
+        stat = _read_number(m["stat"])
+        row = {"test": name, "raw": m[0], "statistic": stat, "df1": _read_number(groups.get("df1")), "df2": _read_number(groups.get("df2")), "start": start, "end": end, "p_values": _read_nearest(p_values, start, end)}
+        if around:
+            context = text[max(0, start - RADIUS) : end + RADIUS].strip()
+            intervals_, effects_, people, compared = local(context)
+            if name in OWN_EFFECT and stat is not None:
+                own = {"type": (groups.get("type") or ("r" if name == "correlation" else name)).lower(), "value": stat}
+                effects_ = effects_ if own in effects_ else [*effects_, own]
+            people, compared = people or local(text)[2], compared or local(text)[3]
+            lacks = {"p_value_or_ci": not row["p_values"] and not intervals_, "effect_size": not effects_ and name not in OWN_EFFECT, "subjects": not people, "comparison": not compared}
+            missing = [k for k, lack in lacks.items() if lack]
+            row |= {"confidence_intervals": intervals_, "effect_sizes": effects_, "sample_sizes": people, "comparisons": compared, "context": context, "missing_fields": missing, "needs_review": bool(missing)}
+        yield row
+
+
+def by_text(blocks: DataFrame, id_col: str, text: str, fields: str, read: Callable[[str], Iterator[dict]]) -> DataFrame:
+    """id_col and `fields`, for each row that read gives of a text; texts are dealt out, however few files they come in. Nulls give none."""
+    spark = blocks.sparkSession
+    rows = blocks.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).where("_text IS NOT NULL")
+    dealt = rows.repartition(partitions(spark, spark.sparkContext.defaultParallelism), "_id", "_text")
+    schema = StructType([rows.schema["_id"], *StructType.fromDDL(fields).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, found = [], {n: [] for n in arrow.names[1:]}
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for row in read(t):
+                    at.append(i)
+                    for n, values in found.items():
+                        values.append(row[n])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(v, arrow.field(n).type) for n, v in found.items())], names=arrow.names)
+
+    return dealt.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+
+
+def results(blocks: DataFrame, id_col: str, text: str, only: list[str] | None = None) -> DataFrame:
     """A row for each test statistic of a block of text, with what is found around it, and what is missing.
 
     id_col, test, raw, statistic, df1, df2, start, end, p_values (nearest first), confidence_intervals, effect_sizes,
     sample_sizes and comparisons (of the statistic's context, else of the block), context, missing_fields,
-    needs_review. A statistic that is an effect stands among its effect sizes. Null and empty texts give no rows."""
-    rows = blocks.select(id_col, F.col(text).alias("_text")).where("_text IS NOT NULL")
-    rows = exploded(rows.withColumn("_p", p_value_spans(F.col("_text"))), test_spans(F.col("_text")), "t")
-    low = F.greatest(F.lit(0), F.col("t.start") - RADIUS)
-    rows = rows.withColumn("context", F.trim(F.substring("_text", low + 1, F.col("t.end") + RADIUS - low)))
-    of = lambda f: _let(f(F.col("context")), lambda near: F.when(F.size(near) > 0, near).otherwise(f(F.col("_text"))))
-    stat, test = number(F.col("t.stat")), F.col("t.test")
-    rows = rows.withColumns({"statistic": stat, "p_values": nearest(F.col("_p"), F.col("t.start"), F.col("t.end")), "confidence_intervals": intervals(F.col("context")), "sample_sizes": of(subjects), "comparisons": of(comparisons), "found": effect_sizes(F.col("context"))})
-    own = F.struct(F.coalesce(F.lower(F.col("t.type")), F.when(test == "correlation", "r").otherwise(test)).alias("type"), F.col("statistic").alias("value"))
-    rows = rows.withColumn("effect_sizes", F.when(test.isin(OWN_EFFECT) & F.col("statistic").isNotNull() & ~F.array_contains("found", own), F.concat("found", F.array(own))).otherwise(F.col("found")))
-    rows = rows.withColumn("missing_fields", missing_fields(F.col("p_values"), F.col("confidence_intervals"), F.col("effect_sizes"), test, F.col("sample_sizes"), F.col("comparisons")))
-    df = [number(F.col(f"t.{n}")).alias(n) for n in ("df1", "df2")]
-    return rows.select(id_col, "t.test", "t.raw", "statistic", *df, "t.start", "t.end", "p_values", "confidence_intervals", "effect_sizes", "sample_sizes", "comparisons", "context", "missing_fields", (F.size("missing_fields") > 0).alias("needs_review"))
-
-
-def missing_fields(p: Column, ci: Column, effect: Column, test: Column, sample: Column, comparison: Column) -> Column:
-    lacks = [("p_value_or_ci", (F.size(p) == 0) & (F.size(ci) == 0)), ("effect_size", (F.size(effect) == 0) & ~test.isin(OWN_EFFECT)), ("subjects", F.size(sample) == 0), ("comparison", F.size(comparison) == 0)]
-    return F.array_compact(F.array(*(F.when(c, name) for name, c in lacks)))
+    needs_review; or id_col and the columns in `only`. A statistic that is an effect stands among its effect sizes.
+    Null and empty texts give no rows."""
+    names = only or [f.name for f in StructType.fromDDL(RESULT).fields]
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(RESULT).fields if f.name in names]
+    around = not {"test", "raw", "statistic", "df1", "df2", "start", "end", "p_values"}.issuperset(names)
+    return by_text(blocks, id_col, text, ", ".join(fields), lambda t: _read_results(t, around)).select(id_col, *names)
+
+
+def _read_flags(text: str) -> Iterator[dict]:
+    none = True
+    for row in _read_results(text):
+        none = False
+        if row["needs_review"]:
+            yield {"reason": "partial_statistical_result", "missing_fields": row["missing_fields"]}
+    low = text.lower()
+    if none and any(phrase in low for phrase in RESULT_PHRASES):
+        yield {"reason": "result_context_without_parseable_statistic", "missing_fields": ["statistical_test", "effect_size", "p_value_or_ci"]}
 
 
 def review_flags(blocks: DataFrame, id_col: str, text: str) -> DataFrame:
     """id_col, reason, missing_fields: each partial result of a block, and blocks that speak of results but hold none that can be read."""
-    partial = results(blocks, id_col, text).where("needs_review").select(id_col, F.lit("partial_statistical_result").alias("reason"), "missing_fields")
-    silent = blocks.where(likely_result(F.col(text))).where(F.size(test_spans(F.col(text))) == 0)
-    lacks = F.array(F.lit("statistical_test"), F.lit("effect_size"), F.lit("p_value_or_ci"))
-    return partial.unionByName(silent.select(id_col, F.lit("result_context_without_parseable_statistic").alias("reason"), lacks.alias("missing_fields")))
+    return by_text(blocks, id_col, text, "reason string, missing_fields array<string>", _read_flags)
 
 
 def repaired(rows: DataFrame) -> DataFrame:
