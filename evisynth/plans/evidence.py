@@ -80,7 +80,7 @@ def _(spark, d):
 def _(spark, d):
     """Every statistic of an article's paragraphs with what is around it; counts of results, of those to review and of what they lack, and the sum of statistics."""
     x = studies(spark, d).withColumn("key", F.struct("l_orderkey", "id"))
-    r = X.results(x, "key", "text").groupBy("key.l_orderkey")
+    r = X.results(x, "key", "text", ["statistic", "missing_fields", "needs_review"]).groupBy("key.l_orderkey")
     return r.agg(F.count("*").alias("n_results"), F.count_if("needs_review").alias("n_review"), F.sum(F.size("missing_fields")).alias("n_missing"), F.round(F.sum("statistic"), 4).alias("total"))
 
 
