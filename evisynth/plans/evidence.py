@@ -70,10 +70,9 @@ def _(spark, d):
 @R.query("t09_nearest_p", f"WITH {STUDIES}, t AS (SELECT *, unnest(['t_test', 'f_test', 'odds_or_risk_ratio', 'correlation']) AS test FROM st WHERE whole) SELECT {K}, test, CASE WHEN test = 't_test' THEN '<' ELSE '=' END AS operator, CAST('0.0' || l AS DOUBLE) AS value FROM t")
 def _(spark, d):
     """Each statistic's nearest p-value."""
-    x = studies(spark, d)
-    x = X.exploded(x.withColumn("p", X.p_value_spans(F.col("text"))), X.test_spans(F.col("text")), "t")
-    near = X.nearest(F.col("p"), F.col("t.start"), F.col("t.end"))
-    return X.exploded(x.select(*KEYS, "t", "p"), F.slice(near, 1, 1), "n").select(*KEYS, "t.test", "n.*")
+    x = studies(spark, d).withColumn("key", F.struct(*KEYS))
+    r = X.results(x, "key", "text", ["test", "p_values"]).where(F.size("p_values") > 0)
+    return r.select("key.*", "test", F.get("p_values", F.lit(0)).alias("n")).select(*KEYS, "test", "n.*")
 
 
 @R.query("x10_article_results", f"""WITH {STUDIES} SELECT l_orderkey, CAST(sum(CASE WHEN whole THEN 4 ELSE 1 END) AS BIGINT) AS n_results, count(*) FILTER (NOT whole) AS n_review, CAST(sum(CASE WHEN whole THEN 0 ELSE 4 END) AS BIGINT) AS n_missing, round(sum(CASE WHEN whole THEN CAST(l || '.' || two AS DOUBLE) + CAST(l || '.' || k AS DOUBLE) * 2 - CAST('0.' || k AS DOUBLE) ELSE CAST(l || '.' || k AS DOUBLE) END), 4) AS total FROM st GROUP BY l_orderkey""")
