@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from evisynth.functions import text as T
+from evisynth.operators import scoring as S
 
 from .test_queries import plain
 
@@ -28,7 +29,7 @@ def odd(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["j01_evidence_links", "a06_alignment", "a27_caveats", "a27_cluster_support", "f22_quote_spans", "v01_additive_corpus", "w07_s21_citation_keys"])
+@pytest.mark.parametrize("name", ["j01_evidence_links", "a06_alignment", "a27_caveats", "a27_cluster_support", "f22_quote_spans", "v01_additive_corpus", "w07_s21_citation_keys", "f19_span_audit"])
 def test_as_sql(spark, odd, name):
     got = entry.queries()[name](spark, odd).toPandas()
     con = duckdb.connect()
@@ -44,3 +45,11 @@ def test_letters_as_duckdb(spark):
     got = {r[0]: tuple(r)[1:] for r in rows.select("id", T.lower(a), T.upper(a), T.trimmed(F.col("c"))).collect()}
     want = {r[0]: r[1:] for r in duckdb.sql("SELECT i, lower('a' || chr(i::INT) || 'a'), upper('a' || chr(i::INT) || 'a'), trim(chr(i::INT)) FROM range(1, 65536) r(i) WHERE i NOT BETWEEN 55296 AND 57343").fetchall()}
     assert {hex(i) for i in want if got[i] != want[i]} <= {hex(i) for i in (0x19B, 0x264, 0x1C89, 0x1C8A, 0xA7CB, 0xA7CC, 0xA7CD, 0xA7DA, 0xA7DB, 0xA7DC)}
+
+
+def test_span_audit_in_place(spark):
+    """A row's similarities need no other row: terms were exploded and shuffled."""
+    rows = spark.createDataFrame([(1, "the cat", "the cat and the dog"), (2, " ", "x"), (3, "", "x"), (4, "zz", "yy"), (5, None, "x")], "id long, s string, t string")
+    got = S.audit_spans(rows, ["id"], "s", "t")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r["id"], round(r["token_similarity"], 6), round(r["tfidf_similarity"], 6), r["priority"]) for r in got.orderBy("id").collect()] == [(1, 0.5, 0.709053, "P3"), (2, 0.0, 0.0, "P1"), (4, 0.0, 0.0, "P1")]
