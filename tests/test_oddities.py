@@ -25,15 +25,16 @@ def odd(spark, tmp_path_factory):
     rows = [(i, t, "en", f"src{i % 3}" if i % 7 else None, len(t)) for i, t in enumerate(TEXTS * 3)]
     for part in (rows[24:], rows[12:24], rows[:12]):
         spark.createDataFrame(part, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.mode("append").parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, len(rows), 2)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.range(1, 401).select(F.col("id").alias("c_custkey"), F.lit("AUTO").alias("c_mktsegment"), F.lit(3).alias("c_nationkey")).write.parquet(f"{d}/customer.parquet")
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["j01_evidence_links", "a06_alignment", "a27_caveats", "a27_cluster_support", "f22_quote_spans", "v01_additive_corpus", "w07_s21_citation_keys", "f19_span_audit"])
+@pytest.mark.parametrize("name", ["j01_evidence_links", "a06_alignment", "a27_caveats", "a27_cluster_support", "f22_quote_spans", "v01_additive_corpus", "w07_s21_citation_keys", "f19_span_audit", "j15_seed_match"])
 def test_as_sql(spark, odd, name):
     got = entry.queries()[name](spark, odd).toPandas()
     con = duckdb.connect()
-    for t in ("documents", "customer"):
+    for t in ("documents", "customer", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{odd}/{t}.parquet/*.parquet'")
     pd.testing.assert_frame_equal(plain(got), plain(con.sql(entry.oracle_sql()[name]).df()))
 
@@ -53,3 +54,28 @@ def test_span_audit_in_place(spark):
     got = S.audit_spans(rows, ["id"], "s", "t")
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert [(r["id"], round(r["token_similarity"], 6), round(r["tfidf_similarity"], 6), r["priority"]) for r in got.orderBy("id").collect()] == [(1, 0.5, 0.709053, "P3"), (2, 0.0, 0.0, "P1"), (4, 0.0, 0.0, "P1")]
+
+
+def test_seed_match_of_repeated_ids(spark, tmp_path, odd):
+    """An id that stands for several papers is still a pair once; pairs of a hot key are made in many tasks."""
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    docs.union(docs.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("x"), "text"))).union(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{odd}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = entry.queries()["j15_seed_match"](spark, str(tmp_path)).toPandas()
+    pd.testing.assert_frame_equal(plain(got), plain(con.sql(entry.oracle_sql()["j15_seed_match"]).df()))
+
+
+def test_seed_match_deals_out_a_hot_key(spark, tmp_path):
+    """The pairs of one key's papers were made in one task, and grouped again."""
+    spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("one same title "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).cast("long").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = entry.queries()["j15_seed_match"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+        assert "Aggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 100 * 299 and rows.select("task").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
